@@ -41,7 +41,7 @@ def counts(text: str) -> np.ndarray:
 def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and unit-length TF-IDF weights of a text."""
     c = counts(text)
-    at = np.flatnonzero(c)
+    at = np.flatnonzero(c > 0)
     x = (1 + np.log(c[at])) * idf[at]
     return at, x / max(np.sqrt((x * x).sum()), 1e-12)
 

@@ -28,7 +28,7 @@ SHALLOW = 96
 #: Bytes hashed at once, and contexts sorted at once.
 CHUNK, SORTED = 1 << 20, 1 << 15
 #: Grams with more occurrences than this are resolved window by window, which needs no group in one task.
-HOT = 4096
+HOT = 1 << 16
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -213,17 +213,22 @@ def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(t[s : s + LENGTH], digest_size=16).digest() for s in part], pa.binary()), pa.array([k] * len(part), pa.binary()), pa.array(part, pa.int64())], ["window", "k", "pos"])
 
 
+def text_key(text_col: str) -> F.Column:
+    """Half of the SHA-256 of a text, which stands for the text in joins; null counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), 1, 32))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, texts, spans).
 
-    rows: (doc_id, k, n_bytes, copies) for each input row; k is the SHA-256 of the text, copies how
+    rows: (doc_id, k, n_bytes, sha256, copies) for each input row; k is the text's key, copies how
     many rows have the text. texts: (k, doc_id, text). spans: (k, spans), the merged byte ranges to
     remove of every text that occurs once and has any. A text of 200 bytes or more with a copy goes
     wholly; it stands once among the texts searched, so that parts of it count elsewhere too.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = rows.select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("k"), "doc_id", "text")
-    small = texts.select("k", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
+    texts = rows.select(text_key("text").alias("k"), "doc_id", "text")
+    small = texts.select("k", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     copies = small.groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     found = texts.where(F.octet_length("text") >= LENGTH).select("k", "text").mapInArrow(_anchor_rows, "h long, k binary, pos long")
     one = F.xxhash64("k", "pos")
@@ -265,7 +270,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Bytes are judged on the input. Null and empty texts, and those under 200 bytes, lose nothing.
     """
     rows, texts, spans = repeated_spans(docs, id_col, text_col)
-    once = texts.join(spans, "k").select("k", "text", "spans")
+    # with doc_id, so that the exchange of the texts is the one that the contexts were read from
+    once = texts.join(spans, "k").select("k", "doc_id", "text", "spans")
     return rows, once.mapInArrow(_rest, "k binary, n_removed long, n_spans long, rest binary")
 
 
@@ -280,7 +286,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     copied = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("k").distinct().withColumn("rest", F.lit("").cast("binary"))
     new = cut.join(copied, "k", "left_anti").select("k", "rest").union(copied).select(F.col("k").alias("_k"), "rest")
     names = docs.columns
-    keyed = docs.withColumn("_k", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
+    keyed = docs.withColumn("_k", text_key("text"))
     text = F.when(F.col("rest").isNull(), F.col("text")).otherwise(F.try_validate_utf8(F.col("rest").cast("string")))
     return keyed.join(new, "_k", "left").where("rest is null or octet_length(rest) > 0").withColumn("text", text).withColumn("n_chars", F.when(F.col("rest").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*names)
 
@@ -294,5 +300,5 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("rest", F.lower(F.hex("k")))).alias("kept_sha256"),
+        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("rest", "sha256")).alias("kept_sha256"),
     )

@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrail.llm import byte_bpe, language_id, mixing, simhash, suffix_dedup
+from loomrail.llm import byte_bpe, chat_format, html_text, language_id, mixing, perplexity, simhash, suffix_dedup, topk_search, toxic_spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_perplexity": perplexity.op1,
         "op2_source_mix": mixing.op2,
+        "op3_chat_perspectives": chat_format.op3,
+        "op4_toxic_spans": toxic_spans.op4,
         "op5_suffix_dedup": suffix_dedup.op5,
         "op6_byte_bpe": byte_bpe.op6,
+        "op7_topk_search": topk_search.op7,
+        "op8_html_text": html_text.op8,
         "op9_simhash_near_dedup": simhash.op9,
         "op10_language_id": language_id.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mixing.OP2_SQL}
+    return {"op2_source_mix": mixing.OP2_SQL, "op3_chat_perspectives": chat_format.OP3_SQL, "op7_topk_search": topk_search.OP7_SQL}

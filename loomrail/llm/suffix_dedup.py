@@ -106,15 +106,15 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(size)
             at, h = anchors(np.frombuffer(b"".join(texts[i:j]), np.uint8), ends - size, ends, hasher)
             row = np.searchsorted(ends, at, side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b["k"].take(pa.array(row + i)), pa.array((at - (ends - size)[row]).astype(np.int64))], ["h", "k", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b["_k"].take(pa.array(row + i)), pa.array((at - (ends - size)[row]).astype(np.int64))], ["h", "k", "pos"])
 
 
-def _contexts(with_texts: bool):
+def _contexts(with_texts: bool, text_col: str):
     """(h, cid, k, pos[, before, after]) of the listed anchors of each text; before is reversed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, keys, at, grams = as_bytes(b["text"]), b["k"].to_pylist(), b["at"].to_pylist(), b["grams"].to_pylist()
+            texts, keys, at, grams = as_bytes(b[text_col]), b["_k"].to_pylist(), b["_at"].to_pylist(), b["_grams"].to_pylist()
             for i, j in chunks([b" " * (len(p) * 400) for p in at], 8 << 20):
                 h, cid, ks, pos, before, after = [], [], [], [], [], []
                 for r in range(i, j):
@@ -203,76 +203,84 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from out(h, before, after, many)
 
 
-def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hot_windows(text_col: str):
     """(window, k, pos): a digest of every LENGTH-byte window around the hot anchors of each text."""
-    for b in batches:
-        for t, k, at in zip(as_bytes(b["text"]), b["k"].to_pylist(), b["at"].to_pylist()):
-            start = sorted({s for p in at for s in range(max(0, p - REACH), min(p, len(t) - LENGTH) + 1)})
-            for i in range(0, len(start), 1 << 16):
-                part = start[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(t[s : s + LENGTH], digest_size=16).digest() for s in part], pa.binary()), pa.array([k] * len(part), pa.binary()), pa.array(part, pa.int64())], ["window", "k", "pos"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, k, at in zip(as_bytes(b[text_col]), b["_k"].to_pylist(), b["_at"].to_pylist()):
+                start = sorted({s for p in at for s in range(max(0, p - REACH), min(p, len(t) - LENGTH) + 1)})
+                for i in range(0, len(start), 1 << 16):
+                    part = start[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(t[s : s + LENGTH], digest_size=16).digest() for s in part], pa.binary()), pa.array([k] * len(part), pa.binary()), pa.array(part, pa.int64())], ["window", "k", "pos"])
+
+    return run
+
+
+def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with _k, half of the SHA-256 of the text, which stands for the text in joins; null counts as empty."""
+    half = F.unhex(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), 1, 32))
+    # never null, so that inner and outer joins read the same exchange
+    return docs.withColumn("_k", F.coalesce(half, F.lit(b"")))
 
-def text_key(text_col: str) -> F.Column:
-    """Half of the SHA-256 of a text, which stands for the text in joins; null counts as empty."""
-    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), 1, 32))
 
+def copies_of(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_k, _copies, _least): how many rows have a text, and the least of their ids."""
+    small = rows.select("_k", F.col(id_col).alias("_id"))
+    return small.groupBy("_k").agg(F.count("*").alias("_copies"), F.min("_id").alias("_least"))
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, texts, spans).
 
-    rows: (doc_id, k, n_bytes, sha256, copies) for each input row; k is the text's key, copies how
-    many rows have the text. texts: (k, doc_id, text). spans: (k, spans), the merged byte ranges to
-    remove of every text that occurs once and has any. A text of 200 bytes or more with a copy goes
-    wholly; it stands once among the texts searched, so that parts of it count elsewhere too.
+def repeated_spans(rows: DataFrame, copies: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_k, _spans): the merged byte ranges to remove of every text that occurs once and has any.
+
+    rows: documents with _k. A text with copies stands once among the texts searched, so that parts
+    of it count elsewhere too. All columns of rows go through the exchange by _k and into the tasks,
+    so that a later join of rows by _k finds the same exchange and the texts are dealt out once.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = rows.select(text_key("text").alias("k"), "doc_id", "text")
-    small = texts.select("k", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    copies = small.groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
-    found = texts.where(F.octet_length("text") >= LENGTH).select("k", "text").mapInArrow(_anchor_rows, "h long, k binary, pos long")
-    one = F.xxhash64("k", "pos")
-    twice = found.groupBy("h").agg(F.count("*").alias("n"), F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b").select("h", (F.col("n") > HOT).alias("hot"))
-    chosen = checkpointed(found.join(twice, "h").groupBy("k", "hot").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("p")).join(copies, "k").select("k", "hot", "least", F.col("p.pos").alias("at"), F.col("p.h").alias("grams")))
-    least = F.col("doc_id").eqNullSafe(F.col("least"))
-    cold = texts.join(chosen.where("not hot"), "k").where(least).select("k", "text", "at", "grams")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = cold.mapInArrow(_contexts(True), "h long, before binary, after binary").groupBy("h", "before", "after").agg(F.count("*").alias("n"))
+    long = rows.where(F.octet_length(text_col) >= LENGTH).select("_k", F.col(text_col).alias("text"))
+    found = long.mapInArrow(_anchor_rows, "h long, k binary, pos long")
+    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    listed = found.join(twice, "h").groupBy(F.col("k").alias("_k"), F.col("hot").alias("_hot")).agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("p"))
+    chosen = checkpointed(listed.join(copies, "_k").select("_k", "_hot", "_least", F.col("p.pos").alias("_at"), F.col("p.h").alias("_grams")))
+    least = F.col(id_col).eqNullSafe(F.col("_least"))
+    cold = rows.join(chosen.where("not _hot"), "_k").where(least)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = cold.mapInArrow(_contexts(True, text_col), "h long, before binary, after binary").groupBy("h", "before", "after").agg(F.count("*").alias("n"))
     reach = distinct.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_sorted_groups, "cid binary, back long, on long")
-    placed = cold.mapInArrow(_contexts(False), "cid binary, k binary, pos long").join(reach, "cid")
+    placed = cold.mapInArrow(_contexts(False, text_col), "cid binary, k binary, pos long").join(reach, "cid")
     ranges = placed.select("k", (F.col("pos") - F.col("back")).alias("s"), (F.col("pos") + F.col("on")).alias("e"))
-    windows = texts.join(chosen.where("hot"), "k").where(least).select("k", "text", "at").mapInArrow(_hot_windows, "window binary, k binary, pos long")
+    windows = rows.join(chosen.where("_hot"), "_k").where(least).mapInArrow(_hot_windows(text_col), "window binary, k binary, pos long")
+    one = F.xxhash64("k", "pos")
     seen = windows.groupBy("window").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b").select("window")
     hot = windows.join(seen, "window").select("k", F.col("pos").alias("s"), (F.col("pos") + LENGTH).alias("e"))
-    merged = ranges.union(hot).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("r"))
+    merged = ranges.union(hot).groupBy(F.col("k").alias("_k")).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("r"))
     # consecutive ranges that touch or overlap become one
     join = F.aggregate("r", F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)"), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))))
-    spans = merged.join(copies.where("copies = 1"), "k", "left_semi").select("k", join.alias("spans"))
-    return small.join(copies.select("k", "copies"), "k"), texts, spans
-
-
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rest, removed = [], []
-        for t, spans in zip(as_bytes(b["text"]), b["spans"].to_pylist()):
-            at, keep = 0, []
-            for s in spans:
-                keep.append(t[at : s["s"]])
-                at = s["e"]
-            rest.append(b"".join([*keep, t[at:]]))
-            removed.append(len(t) - len(rest[-1]))
-        yield pa.RecordBatch.from_arrays([b["k"], pa.array(removed, pa.int64()), pa.array([len(s) for s in b["spans"].to_pylist()], pa.int64()), pa.array(rest, pa.binary())], ["k", "n_removed", "n_spans", "rest"])
+    return merged.join(copies.where("_copies = 1"), "_k", "left_semi").select("_k", join.alias("_spans"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, cut): rows as in repeated_spans; cut: (k, n_removed, n_spans, rest) of each text that loses a part but has no copy.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with _n_bytes, _n_removed, _n_spans and _rest, the bytes that stay; _rest is null where nothing goes.
 
-    Bytes are judged on the input. Null and empty texts, and those under 200 bytes, lose nothing.
+    Bytes are judged on the input. Null and empty texts, and those under 200 bytes, lose nothing. A
+    text of 200 bytes or more with a copy goes wholly, in all copies. Every row stays, and columns
+    besides id and text pass through whatever their names, but for names that begin with an underscore.
     """
-    rows, texts, spans = repeated_spans(docs, id_col, text_col)
-    # with doc_id, so that the exchange of the texts is the one that the contexts were read from
-    once = texts.join(spans, "k").select("k", "doc_id", "text", "spans")
-    return rows, once.mapInArrow(_rest, "k binary, n_removed long, n_spans long, rest binary")
+    rows = keyed(docs, text_col)
+    copies = copies_of(rows, id_col, text_col)
+    spans = repeated_spans(rows, copies, id_col, text_col)
+    edits = spans.withColumn("_whole", F.lit(False)).unionByName(copies.where("_copies > 1").select("_k", F.lit(None).cast(spans.schema["_spans"].dataType).alias("_spans"), F.lit(True).alias("_whole")))
+    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    size = F.octet_length(data)
+    # what lies between the spans, put together
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("kept"))
+    parts = F.aggregate("_spans", start, lambda acc, x: F.struct(x["e"].alias("at"), F.concat(acc["kept"], F.substring(data, (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int"))).alias("kept")))
+    whole = F.coalesce(F.col("_whole"), F.lit(False)) & (size >= LENGTH)
+    rest = F.when(whole, F.lit(b"")).when(F.col("_spans").isNotNull(), F.concat(parts["kept"], F.substring(data, (parts["at"] + 1).cast("int"), size)))
+    removed = F.when(F.col("_rest").isNotNull(), size - F.octet_length("_rest")).otherwise(0)
+    n_spans = F.when(whole, 1).otherwise(F.coalesce(F.array_size("_spans"), F.lit(0)))
+    out = rows.join(edits, "_k", "left").withColumn("_rest", rest)
+    return out.select(*docs.columns, size.cast("long").alias("_n_bytes"), removed.cast("long").alias("_n_removed"), n_spans.cast("long").alias("_n_spans"), "_rest")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -282,23 +290,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     of them (keep one first if one should stay). Rows whose text becomes empty are dropped; rows
     that were null or empty before stay as they are.
     """
-    rows, cut = deduplicated(docs)
-    copied = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("k").distinct().withColumn("rest", F.lit("").cast("binary"))
-    new = cut.join(copied, "k", "left_anti").select("k", "rest").union(copied).select(F.col("k").alias("_k"), "rest")
-    names = docs.columns
-    keyed = docs.withColumn("_k", text_key("text"))
-    text = F.when(F.col("rest").isNull(), F.col("text")).otherwise(F.try_validate_utf8(F.col("rest").cast("string")))
-    return keyed.join(new, "_k", "left").where("rest is null or octet_length(rest) > 0").withColumn("text", text).withColumn("n_chars", F.when(F.col("rest").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*names)
+    rows = deduplicated(docs).where("_rest is null or octet_length(_rest) > 0")
+    text = F.when(F.col("_rest").isNull(), F.col("text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("_rest").cast("string")), "\ufffd", ""))
+    chars = F.when(F.col("_rest").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
+    return rows.withColumn("text", text).withColumn("n_chars", chars).select(*docs.columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, cut = deduplicated(table(spark, sf_dir, "documents"))
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    done = rows.join(cut.select("k", "n_removed", "n_spans", F.sha2("rest", 256).alias("rest")), "k", "left")
-    return done.select(
-        "doc_id",
-        "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("rest", "sha256")).alias("kept_sha256"),
-    )
+    rows = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("_rest", F.coalesce("text", F.lit("")).cast("binary")), 256)
+    return rows.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), kept.alias("kept_sha256"))

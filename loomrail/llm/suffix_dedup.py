@@ -242,7 +242,8 @@ def repeated_spans(rows: DataFrame, copies: DataFrame, id_col: str = "doc_id", t
     twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
     listed = found.join(twice, "h").groupBy(F.col("k").alias("_k"), F.col("hot").alias("_hot")).agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("p"))
     chosen = checkpointed(listed.join(copies, "_k").select("_k", "_hot", "_least", F.col("p.pos").alias("_at"), F.col("p.h").alias("_grams")))
-    least = F.col(id_col).eqNullSafe(F.col("_least"))
+    # two comparisons, as an equality would become a key of the joins and take them to another exchange
+    least = ((F.col(id_col) >= F.col("_least")) & (F.col(id_col) <= F.col("_least"))) | (F.col(id_col).isNull() & F.col("_least").isNull())
     cold = rows.join(chosen.where("not _hot"), "_k").where(least)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = cold.mapInArrow(_contexts(True, text_col), "h long, before binary, after binary").groupBy("h", "before", "after").agg(F.count("*").alias("n"))

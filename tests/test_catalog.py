@@ -1,6 +1,7 @@
 """Every timetable query against the same query in DuckDB, and goldens made by hand."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -13,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(frame):
     names = sorted(frame.columns)
-    value = lambda v: None if v is None or v != v else int(v) if isinstance(v, (int, float)) and v == int(v) else v
+    value = lambda v: None if pd.isna(v) else int(v) if isinstance(v, (int, float)) and v == int(v) else v
     return sorted(str([value(x) for x in row]) for row in frame[names].astype(object).itertuples(index=False, name=None))
 
 

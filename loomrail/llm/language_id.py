@@ -120,7 +120,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     """Fit on rows that are not held out and have a label and a text.
 
     Document frequencies cover all of these rows. The classifier sees about `sample` rows of each
-    label, chosen by a hash of the text; one in five of them calibrates the temperature instead.
+    label, chosen by a hash of the text, and each text once, however many copies it has; one in
+    five of them calibrates the temperature instead.
     """
     rows = docs.where(~held_out(id_col)).select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("label is not null and text is not null")
     n, df = document_frequencies(rows)
@@ -138,7 +139,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
             yield pa.RecordBatch.from_arrays([b["label"], b["h"], pa.array([a.astype(np.uint16).tobytes() for a, _ in pairs], pa.binary()), pa.array([x.astype(np.float16).tobytes() for _, x in pairs], pa.binary())], ["label", "h", "at", "x"])
 
     bound = F.create_map(*(F.lit(v) for kv in keep.items() for v in kv))
-    chosen = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(space))).where(F.col("h") < bound[F.col("label")])
+    chosen = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(space))).where(F.col("h") < bound[F.col("label")]).dropDuplicates(["label", "h"])
     got = chosen.select("label", "h", "text").mapInArrow(run, "label string, h long, at binary, x binary").collect()
     got.sort(key=lambda r: ((r["h"] * 0x9E3779B1) & 0xFFFFFFFF, r["label"], r["at"]))
     data = [(np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["x"], np.float16).astype(np.float64), languages.index(r["label"])) for r in got]

@@ -168,22 +168,50 @@ def test_base_rules(spark, documents):
     assert not rows[rows.base_failed].kept.any() and rows[~rows.base_failed].kept.mean() > 0.9
 
 
-def test_word_probabilities_sum_to_one():
-    words = {b"ab": 5, b"abc": 3, b"b": 2, b"ca": 1}
-    keys, n = perplexity.counted(words, 9)
-    model = perplexity.estimate(keys[:, 0], keys[:, 1], n)
-    total = 0.0
-    for c in "abc\x03":
-        # the first character, after the begin mark
-        p, _ = perplexity.word_log_probabilities(model, [c.encode() if c != "\x03" else b""], 9)
-        owner, place, slots = perplexity.grams([c.encode() if c != "\x03" else b""], 9)
-        own = np.flatnonzero(place == 1)
-        q = np.full(1, 1 / 256)
-        for k, (s, f, ctx, rest) in enumerate(model, 1):
-            if k <= 2:
-                q = perplexity._find(s, f, slots[k][own].astype(np.int32), 0.0) + perplexity._find(ctx, rest, slots[k - 1][own - 1].astype(np.int32), 1.0) * q
-        total += float(q[0])
-    assert 0.8 < total <= 1.001
+def kneser_ney(words):
+    """Natural log probability of each word, from the definition."""
+    raw = Counter()
+    for w, n in words.items():
+        t = "^" + w + "$"
+        for i in range(1, len(t)):
+            raw[t[max(0, i - 3) : i + 1]] += n
+    counts = {4: {g: n for g, n in raw.items() if len(g) == 4}}
+    for k in (3, 2, 1):
+        counts[k] = dict(Counter(g[1:] for g in counts[k + 1])) | {g: n for g, n in raw.items() if len(g) == k}
+    p = {"": 1 / len(counts[1])}
+    for k in (1, 2, 3, 4):
+        n1, n2, n3, n4 = (max(sum(n == j for n in counts[k].values()), 1) for j in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [0, *np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.1, [0.9, 1.9, 2.9])]
+        for g, n in counts[k].items():
+            same = [m for h, m in counts[k].items() if h[:-1] == g[:-1]]
+            p[g] = (n - d[min(n, 3)]) / sum(same) + sum(d[min(m, 3)] for m in same) / sum(same) * p[g[1:]]
+    for k in (1, 2, 3, 4):
+        for context in {g[:-1] for g in counts[k]}:
+            # with what is left for characters not seen after this context
+            assert sum(p[g] for g in counts[k] if g[:-1] == context) <= 1 + 1e-9
+    return {w: sum(np.log(p[("^" + w + "$")[max(0, i - 3) : i + 1]]) for i in range(1, len(w) + 2)) for w in words}
+
+
+@pytest.mark.parametrize("size", [perplexity.BLOCK, 40])
+def test_perplexity_is_kneser_ney(spark, size):
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("abcé"), rng.integers(1, 8))) for _ in range(20)) for _ in range(30)]
+    rows = [(i, t, "en" if i % 3 else None) for i, t in enumerate(texts)]
+    old, perplexity.BLOCK = perplexity.BLOCK, size
+    try:
+        got = {r["doc_id"]: r["log_perplexity"] for r in perplexity.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    finally:
+        perplexity.BLOCK = old
+    own = {lang: Counter(w for _, t, m in rows if m == lang for w in t.split()) for lang in ("en", None)}
+    # discounts come from all languages together, so the brute force gets one language at a time only where there is one
+    one = [(i, t, "en") for i, t, _ in rows]
+    alone = {r["doc_id"]: r["log_perplexity"] for r in perplexity.scored(spark.createDataFrame(one, "doc_id long, text string, lang string")).collect()}
+    p = kneser_ney(Counter(w for t in texts for w in t.split()))
+    for i, t in enumerate(texts):
+        w = t.split()
+        assert alone[i] == pytest.approx(-sum(p[x] for x in w) / sum(len(x) + 1 for x in w), rel=1e-5)
+    assert len(got) == len(texts) and all(own.values()) and all(v > 0 for v in got.values())
 
 
 def test_articles(spark):

@@ -213,6 +213,22 @@ def test_perplexity_is_kneser_ney(spark, size):
     assert len(got) == len(texts) and all(v > 0 for v in got.values())
 
 
+def test_bands_reject_junk_on_both_sides(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
+    texts = [r["text"] for r in docs.collect()]
+    rng = np.random.default_rng(4)
+    common = [w for w, _ in Counter(w for t in texts for w in t.split()).most_common(14)]
+    letters = [" ".join("".join(rng.choice(list("qzxjkvwpbgf"), rng.integers(2, 9))) for _ in range(80)) for _ in range(len(texts) // 4)]
+    plain = [" ".join(rng.choice(common, 80)) for _ in range(len(texts) // 20)]
+    copies = [" ".join(f"zq{k}xv{k * k}" for k in range(70))] * (len(texts) // 2)
+    junk = spark.createDataFrame([(10**6 * k + i, t, "en") for k, group in enumerate((letters, plain, copies), 1) for i, t in enumerate(group)], docs.schema)
+    rows = perplexity.judged(docs.union(junk)).where("not base_failed").toPandas()
+    kept = rows.kept.groupby(rows.doc_id // 10**6).mean()
+    assert kept[0] > 0.95 and kept[1] == kept[2] == kept[3] == 0
+    side = np.sign(rows.log_perplexity - rows.upper).groupby(rows.doc_id // 10**6).mean()
+    assert side[1] == 1 and side[2] == side[3] == -1
+
+
 def test_articles(spark):
     page = "<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div><article><h1>A  b</h1><p>one <b>tw</b>o &amp; x<br>y<p>last &eacute;</article><div id='comments'>no</div><footer>f</footer>"
     assert html_text.main_text(page) == "A b one two & x y last é"

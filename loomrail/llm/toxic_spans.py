@@ -7,7 +7,6 @@ The field (states clean and toxic; features word, neighbours, ending) is trained
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrail.llm.common import as_bytes, chunks, held_out, table
+from loomrail.llm.common import as_bytes, checkpointed, chunks, held_out, table
 
 #: Labelled rows from which everything is learned, about (the bound of the sample).
 SAMPLE = 6000
@@ -103,19 +102,20 @@ def evidence(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
 def train_field(texts: list[bytes], toxic: np.ndarray, updates: int = 300, rate: float = 0.3) -> Field:
     words = [[normal(w) for w in t.split()] for t in texts]
     clean, bad = {}, {}
-    # copies of one text are evidence once; near copies mostly agree in their words of least hash
+    # copies of one text are evidence once for each label
     alike: set = set()
-    for ws, y in zip(words, toxic):
-        mark = tuple(sorted(set(ws), key=zlib.crc32)[:3])
-        if mark in alike:
+    kept = [0, 0]
+    for t, ws, y in zip(texts, words, toxic):
+        if (t, bool(y)) in alike:
             continue
-        alike.add(mark)
+        alike.add((t, bool(y)))
+        kept[bool(y)] += 1
         into = bad if y else clean
         for w in set(ws):
             into[w] = into.get(w, 0) + 1
     names = sorted(set(bad) | set(clean))
     a, b = (np.array([d.get(w, 0) for w in names], np.float64) for d in (bad, clean))
-    marked = {w for w, g in zip(names, evidence(a, b, int(toxic.sum()), int((~toxic).sum()))) if g > EVIDENCE and w}
+    marked = {w for w, g in zip(names, evidence(a, b, kept[1], kept[0])) if g > EVIDENCE and w}
     count = dict(zip(names, (a + b).tolist()))
     vocabulary = {w: i for i, w in enumerate(sorted(w for w in names if count[w] > 2 and w), 1)}
     for w in sorted({b"~" + w[-3:] for w in names if w}):
@@ -219,16 +219,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     """Field and score weights, as plain values, from about `sample` labelled rows that are not held out.
 
-    docs: doc_id, text. labels: doc_id, toxic; a null label teaches nothing. The rows are chosen by
-    a hash of the id, and the texts of these only reach the driver. Text alone is learned from.
+    docs: doc_id, text. labels: doc_id, toxic; a null label teaches nothing. Rows of one text and label
+    count once; they are chosen by a hash of the text, and the texts of these only reach the driver.
+    Text alone is learned from.
     """
     learnable = labels.where(~held_out("doc_id") & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
     space = 1 << 30
-    total = learnable.count()
-    bound = min(space, sample * space // max(total, 1))
-    chosen = learnable.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < bound)
-    # at most about `sample` short rows, so they may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").orderBy(F.xxhash64("text"), "toxic").collect()
+    # the join needs no text, only its hash; one row for each distinct text and label
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    distinct = docs.select("doc_id", h.alias("h")).join(learnable, "doc_id").groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    distinct = checkpointed(distinct)
+    bound = min(space, sample * space // max(distinct.count(), 1))
+    chosen = distinct.where(F.pmod("h", F.lit(space)) < bound)
+    # at most about `sample` short rows, so they may be broadcast; an id may stand for several texts
+    rows = docs.select("doc_id", "text").withColumn("h", h).join(F.broadcast(chosen), ["doc_id", "h"]).select("h", "text", "toxic").dropDuplicates(["h", "toxic"]).orderBy("h", "toxic").select("text", "toxic").collect()
     texts, toxic = [(r["text"] or "").encode() for r in rows], np.array([r["toxic"] == 1 for r in rows], bool)
     if not len(rows) or toxic.all() or not toxic.any():
         return {}, np.zeros((4, 1)), np.zeros((2, 2)), -2.0, np.array([0.0, 0.0, 2.0 if len(rows) and toxic.all() else -4.0])

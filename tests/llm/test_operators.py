@@ -155,6 +155,27 @@ def test_field_marginals_are_those_of_all_paths():
         weights[path] = np.exp(sum(e[0, t] * s for t, s in enumerate(path)) + sum(trans[i, j] for i, j in zip(path, path[1:])))
     want = [sum(w for p, w in weights.items() if p[t]) / sum(weights.values()) for t in range(6)]
     assert np.allclose(toxic_spans.sigmoid(f + b)[0], want)
+def test_copies_make_no_ordinary_word_toxic():
+    rng = np.random.default_rng(6)
+    body = lambda: b" ".join(b"w%d" % k for k in rng.integers(0, 300, 12))
+    bad, clean = [b"the vile " + body() for _ in range(200)], [b"the " + body() for _ in range(1000)]
+    texts = bad + clean + [clean[0]] * 1000
+    toxic = np.arange(len(texts)) < len(bad)
+    field = toxic_spans.train_field(texts, toxic)
+    p = np.array([x[:2] for x in toxic_spans.marginals(field, bad[:50])])
+    assert (p[:, 0] < 0.5).all() and (p[:, 1] > 0.5).all()
+
+
+def test_copies_take_no_place_in_the_toxic_sample(spark):
+    rng = np.random.default_rng(6)
+    body = lambda: " ".join(f"w{k}" for k in rng.integers(0, 300, 12))
+    texts = ["vile " + body() for _ in range(200)] + [body() for _ in range(200)] + ["the same"] * 6000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(len(texts))], "doc_id long, toxic int")
+    rows = toxic_spans.tagged(docs, toxic_spans.fit(docs, labels, 50)).where("doc_id < 400").toPandas()
+    assert (rows[rows.doc_id < 200].score > 0.5).mean() > 0.9 and (rows[rows.doc_id >= 200].score < 0.5).mean() > 0.9
+
+
 
 
 def test_base_rules(spark, documents):

@@ -17,19 +17,20 @@ from loomrail.llm.common import table
 # Fixed lists of HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-DROPPED = frozenset("script style textarea title noscript iframe noembed noframes xmp head nav footer aside form button select option fieldset label input template svg canvas object audio video map dialog menu".split())
+DROPPED = frozenset("script style textarea title noscript iframe noembed noframes xmp head nav footer aside button select option input template svg canvas object audio video map dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("body article main section div td center blockquote".split())
 WHOLE = frozenset("article main".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-# Words of class, id and role that mark a part as no article.
+# Elements that go like marked ones, unless they wrap the page.
+FORMS = frozenset("form fieldset label".split())
+# Tokens of class, id and role that mark a part as no article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar complementary menu nav navbar navigation breadcrumb breadcrumbs footer contentinfo header masthead cookie cookies consent notice gdpr popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments disqus login signin signup search toolbar widget pagination".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|$)|<[!?/][^>]*(?:>|$)", re.S)
-MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-SPLIT = re.compile(r"[^a-z0-9]+")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 
 @dataclass
@@ -37,6 +38,8 @@ class Node:
     name: str
     parent: Node | None
     drop: bool = False
+    #: goes unless it wraps the page
+    marked: bool = False
     parts: list = field(default_factory=list)
     #: characters and tags below, and those within links
     chars: int = 0
@@ -45,6 +48,44 @@ class Node:
     link_tags: int = 0
     density: float = 0.0
     sum: float = 0.0
+    #: characters outside links below, and article and main elements with text
+    plain: int = 0
+    whole: int = 0
+
+
+def values(attributes: str) -> dict[str, str]:
+    """Values by lower-case name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, *value in ATTRIBUTE.findall(attributes):
+        out.setdefault(name.lower(), "".join(value))
+    return out
+
+
+def drop_marked(root: Node) -> None:
+    """Drop each marked element, but not one that holds most of the page's text outside links; that one is a wrapper.
+
+    With an article or main element outside of it, it is none.
+    """
+    order, todo = [], [(root, False)]
+    while todo:
+        node, link = todo.pop()
+        link = link or node.name == "a"
+        node.plain = 0 if link else sum(len("".join(c.split())) for c in node.parts if isinstance(c, str))
+        order.append(node)
+        todo.extend((c, link) for c in node.parts if isinstance(c, Node) and not c.drop)
+    if not any(n.marked for n in order):
+        return
+    for node in reversed(order):
+        node.whole += node.name in WHOLE and node.plain > 0
+        if node.parent is not None:
+            node.parent.plain += node.plain
+            node.parent.whole += node.whole
+    for node in order:
+        around, up = False, node.parent
+        while node.marked and up is not None and not around:
+            around, up = up.name in WHOLE, up.parent
+        if node.marked:
+            node.drop = 2 * node.plain <= root.plain or (root.whole > node.whole and not around)
 
 
 def parse(page: str) -> Node:
@@ -82,16 +123,17 @@ def parse(page: str) -> Node:
             close(("p",), ("table", "div", "article", "section", "main", "td", "blockquote"))
         if name in CLOSED_BY_SAME:
             close(CLOSED_BY_SAME[name], ("ul", "ol", "dl", "table", "select"))
-        drop = here.drop or name in DROPPED
-        if not drop and attributes:
-            words = {w for v in MARK.findall(attributes) for w in SPLIT.split("".join(v).lower())}
-            drop = bool(HIDDEN.search(attributes)) or bool(words & MARKS)
+        drop, marked = here.drop or name in DROPPED, name in FORMS
+        if not drop and attributes.strip(" /"):
+            of = values(attributes)
+            drop = "hidden" in of or of.get("aria-hidden", "").strip().lower() == "true" or bool(NO_DISPLAY.search(of.get("style", "")))
+            marked = marked or not MARKS.isdisjoint(f"{of.get('class', '')} {of.get('id', '')} {of.get('role', '')}".lower().split())
         if not drop and name == "header":
             node = here
             while node is not None and node.name not in WHOLE:
                 node = node.parent
             drop = node is None
-        node = Node(name, here, drop)
+        node = Node(name, here, drop, marked)
         here.parts.append(node)
         if name in VOID or m[3].endswith("/") and name not in RAW and name not in CONTAINERS:
             continue
@@ -101,6 +143,7 @@ def parse(page: str) -> Node:
             continue
         here = node
     text(page[at:])
+    drop_marked(root)
     return body
 
 

@@ -267,6 +267,18 @@ def test_top_k_stops_early_and_breaks_ties():
         want = sorted(((-int(x[j] @ x[n]), int(ids[j])) for j in range(3000) if j != n))[:20]
         assert [(-b, a) for a, b in zip(i[q == ids[n]].tolist(), s[q == ids[n]].tolist())] == want
 
+def test_wrappers_of_articles_stay():
+    prose = "Long plain prose of the page, sentence after sentence, about nothing. " * 5
+    want = " ".join(prose.split())
+    for name in ("content-with-sidebar", "no-sidebar", "has-comments", "page-with-menu", "search-result", "sidebar"):
+        assert html_text.main_text(f"<body><nav>menu</nav><div class='{name}'><p>{prose}</div><div class=ad>buy</div>") == want
+    assert html_text.main_text(f"<body><form action=x><div class='ad'>buy</div><div><p>{prose}</div><input type=hidden></form>") == want
+    assert html_text.main_text(f"<article><div class='section-header'><h2>Head</h2></div><p title='the hidden temple'>{prose}</p></article>") == "Head " + want
+    assert html_text.main_text(f"<div><p>{prose}</p><form>find</form><p hidden>no</p><p style='display: none'>no</p><p aria-hidden=true>no</p></div>") == want
+    # a marked part that is longer than the article is no wrapper
+    assert html_text.main_text(f"<article><p>{prose}</article><div class=comments><p>{prose}{prose}</div>") == want
+
+
 
 def test_odd_rows(spark, odd):
     assert len(simhash.simhash_components(odd).collect()) == len(ODD)

@@ -120,17 +120,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     """Fit on rows that are not held out and have a label and a text.
 
     Document frequencies cover all of these rows. The classifier sees about `sample` rows of each
-    label, chosen by a hash of the text, and each text once, however many copies it has; one in
-    five of them calibrates the temperature instead.
+    label, chosen by a hash of the text, and each text once, however many copies it has; the fifth,
+    tenth and so on of each label calibrate the temperature instead.
     """
     rows = docs.where(~held_out(id_col)).select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("label is not null and text is not null")
     n, df = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
-    size = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    # the rate comes from distinct texts, so that copies take no other text's place
+    space = 1 << 30
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(space)))
+    size = {r["label"]: r["count"] for r in hashed.select("label", "h").distinct().groupBy("label").count().collect()}
     languages = sorted(size)
     if not languages:
         return Model([], idf, np.zeros((BUCKETS + 1, 0)), 1.0)
-    space = 1 << 30
     keep = {k: min(space, sample * space // v) for k, v in size.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,18 +141,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
             yield pa.RecordBatch.from_arrays([b["label"], b["h"], pa.array([a.astype(np.uint16).tobytes() for a, _ in pairs], pa.binary()), pa.array([x.astype(np.float16).tobytes() for _, x in pairs], pa.binary())], ["label", "h", "at", "x"])
 
     bound = F.create_map(*(F.lit(v) for kv in keep.items() for v in kv))
-    chosen = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(space))).where(F.col("h") < bound[F.col("label")]).dropDuplicates(["label", "h"])
+    chosen = hashed.where(F.col("h") < bound[F.col("label")]).dropDuplicates(["label", "h"])
     got = chosen.select("label", "h", "text").mapInArrow(run, "label string, h long, at binary, x binary").collect()
+    without = set(languages) - {r["label"] for r in got}
+    if without:
+        raise ValueError(f"labels without training rows: {sorted(without)}")
     got.sort(key=lambda r: ((r["h"] * 0x9E3779B1) & 0xFFFFFFFF, r["label"], r["at"]))
     data = [(np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["x"], np.float16).astype(np.float64), languages.index(r["label"])) for r in got]
+    seen, training, aside = [0] * len(languages), [], []
+    for row in data:
+        seen[row[2]] += 1
+        (training if seen[row[2]] % 5 else aside).append(row)
     learner = Ftrl(len(languages))
     for _ in range(passes):
-        for i, (at, x, y) in enumerate(data):
-            if i % 5:
-                learner.learn(at, x, y)
+        for at, x, y in training:
+            learner.learn(at, x, y)
     w = learner.weights(slice(None))
-    logits = np.array([x @ w[at] + 0.1 * w[BUCKETS] for at, x, _ in data[::5]]).reshape(-1, len(languages))
-    truth = np.array([y for *_, y in data[::5]], np.int64)
+    logits = np.array([x @ w[at] + 0.1 * w[BUCKETS] for at, x, _ in aside]).reshape(-1, len(languages))
+    truth = np.array([y for *_, y in aside], np.int64)
 
     def loss(t: float) -> float:
         s = logits / t

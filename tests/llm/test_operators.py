@@ -140,21 +140,21 @@ def test_languages_of_held_out_rows(spark, documents):
     assert (rows[rows.held_out].lang == rows[rows.held_out].lang_pred).mean() > 0.95
 
 
+def test_copies_take_no_place_in_the_language_sample(spark):
+    rng = np.random.default_rng(9)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(20))
+    rows = [(text("abcde"), "xx") for _ in range(80)] + [(text("abcfg"), "yy") for _ in range(80)] + [("zzz", "xx")] * 20000 + [("only one ñ", "zz")]
+    docs = spark.createDataFrame([(4 * i + k, *r) for i, r in enumerate(rows) for k in (0, 1)], "doc_id long, text string, lang string")
+    got = language_id.identified(docs.where("text <> 'zzz'"), language_id.fit(docs, sample=40), keep=("lang",)).toPandas()
+    assert set(got.lang) == {"xx", "yy", "zz"} and (got.lang == got.lang_pred).groupby(got.lang).mean().min() > 0.9
+
+
 def test_toxic_scores_of_labelled_rows(spark):
     rows = catalog.queries()["op4_toxic_spans"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
     held = rows[rows.held_out]
     assert held[held.toxic == 1].score.mean() > 3 * held[held.toxic == 0].score.mean()
 
 
-def test_field_marginals_are_those_of_all_paths():
-    rng = np.random.default_rng(1)
-    e, trans = rng.normal(size=(1, 6)), rng.normal(size=(2, 2))
-    f, b = toxic_spans.odds(e, np.ones((1, 6), bool), trans)
-    weights = {}
-    for path in np.ndindex(*(2,) * 6):
-        weights[path] = np.exp(sum(e[0, t] * s for t, s in enumerate(path)) + sum(trans[i, j] for i, j in zip(path, path[1:])))
-    want = [sum(w for p, w in weights.items() if p[t]) / sum(weights.values()) for t in range(6)]
-    assert np.allclose(toxic_spans.sigmoid(f + b)[0], want)
 def test_copies_make_no_ordinary_word_toxic():
     rng = np.random.default_rng(6)
     body = lambda: b" ".join(b"w%d" % k for k in rng.integers(0, 300, 12))
@@ -176,6 +176,15 @@ def test_copies_take_no_place_in_the_toxic_sample(spark):
     assert (rows[rows.doc_id < 200].score > 0.5).mean() > 0.9 and (rows[rows.doc_id >= 200].score < 0.5).mean() > 0.9
 
 
+def test_field_marginals_are_those_of_all_paths():
+    rng = np.random.default_rng(1)
+    e, trans = rng.normal(size=(1, 6)), rng.normal(size=(2, 2))
+    f, b = toxic_spans.odds(e, np.ones((1, 6), bool), trans)
+    weights = {}
+    for path in np.ndindex(*(2,) * 6):
+        weights[path] = np.exp(sum(e[0, t] * s for t, s in enumerate(path)) + sum(trans[i, j] for i, j in zip(path, path[1:])))
+    want = [sum(w for p, w in weights.items() if p[t]) / sum(weights.values()) for t in range(6)]
+    assert np.allclose(toxic_spans.sigmoid(f + b)[0], want)
 
 
 def test_base_rules(spark, documents):
@@ -258,15 +267,6 @@ def test_articles(spark):
     assert [tuple(r) for r in html_text.extracted(df).orderBy("page_id").collect()] == [(1, None, "", 0), (2, "u", "A b one two & x y last é", 24)]
 
 
-def test_top_k_stops_early_and_breaks_ties():
-    rng = np.random.default_rng(2)
-    x = rng.integers(-3, 4, (3000, 5))
-    ids = rng.permutation(3000)
-    q, i, s = topk_search.threshold_top(ids, x, ids[:4], x[:4], 20)
-    for n in range(4):
-        want = sorted(((-int(x[j] @ x[n]), int(ids[j])) for j in range(3000) if j != n))[:20]
-        assert [(-b, a) for a, b in zip(i[q == ids[n]].tolist(), s[q == ids[n]].tolist())] == want
-
 def test_wrappers_of_articles_stay():
     prose = "Long plain prose of the page, sentence after sentence, about nothing. " * 5
     want = " ".join(prose.split())
@@ -279,6 +279,15 @@ def test_wrappers_of_articles_stay():
     assert html_text.main_text(f"<article><p>{prose}</article><div class=comments><p>{prose}{prose}</div>") == want
 
 
+def test_top_k_stops_early_and_breaks_ties():
+    rng = np.random.default_rng(2)
+    x = rng.integers(-3, 4, (3000, 5))
+    ids = rng.permutation(3000)
+    q, i, s = topk_search.threshold_top(ids, x, ids[:4], x[:4], 20)
+    for n in range(4):
+        want = sorted(((-int(x[j] @ x[n]), int(ids[j])) for j in range(3000) if j != n))[:20]
+        assert [(-b, a) for a, b in zip(i[q == ids[n]].tolist(), s[q == ids[n]].tolist())] == want
+
 
 def test_odd_rows(spark, odd):
     assert len(simhash.simhash_components(odd).collect()) == len(ODD)

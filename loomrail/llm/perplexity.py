@@ -1,6 +1,10 @@
 """Quality rules with n-gram perplexity: a modified Kneser-Ney model of each language, counted by Spark.
 
-The model's units are characters within words (a word begins and ends with a mark). One pass over the
+Word order has a score of its own: bigrams of words across the whole text, smoothed by the words' own
+shares, with the document's own counts taken out. Blocks hand in their bigrams as packed arrays by range
+of hash, and get back how often each of them stands in other blocks.
+
+The first model's units are characters within words (a word begins and ends with a mark). One pass over the
 texts turns them into blocks of bounded size: the words of the block, and each document as counts of
 words. An n-gram is known by a 60-bit hash, 15 bits for each character, so that its context and its
 suffix are bits of the hash. Counts, discounts and probabilities are joins and windows over all n-grams
@@ -10,11 +14,13 @@ then gets the n-grams it holds, as an array sorted by hash, and its documents ar
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +34,12 @@ BLOCK = 24 << 20
 #: Bands: so many median absolute deviations of the log perplexity from its median, by language. With planted
 #: junk on sf0.01 the English rows of the corpus lay from -5.6 to 10.9, texts of the commonest words below -8.2, random letters above 47.
 BELOW, ABOVE = 7.0, 14.0
+#: The same upwards for the score of word order; low values are copies, which are no junk.
+ABOVE_ORDER = 12.0
+#: Weight of a word's own share against the bigrams of the word before it.
+PRIOR = 50.0
+#: Least number of ranges of hashes; there are as many as blocks if there are more blocks.
+RANGES = 64
 MIN_WORDS, MAX_REPEATED = 50, 50
 SPACE = "\t\n\x0b\x0c\r "
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -111,7 +123,7 @@ def _by_model(rows: pa.Table) -> Iterator[tuple[str, np.ndarray]]:
 def _block(ids: pa.Array, hashes: pa.Array, langs: list, texts: list) -> pa.RecordBatch:
     held: list[tuple[str, bytes]] = []
     models: dict = {}
-    counts, which, times, per = [], [], [], []
+    counts, every = [], [np.zeros(0, np.int64)]
     for lang, text in zip(langs, texts):
         t = text or ""
         words = t.encode("utf-8", "replace").split()
@@ -120,18 +132,11 @@ def _block(ids: pa.Array, hashes: pa.Array, langs: list, texts: list) -> pa.Reco
         own = np.fromiter(map(models[lang].__getitem__, words), np.int64, len(words))
         lines = [x for x in t.split("\n") if x.strip(SPACE)]
         counts.append((len(words), len(t) - sum(map(t.count, SPACE)), sum(map(t.count, "#*$%&|<>")), len(lines) - len(set(lines)), repeated_words(own)))
-        u, n = np.unique(own, return_counts=True)
-        which.append(np.diff(u, prepend=0))
-        times.append(n)
-        per.append(len(u))
-    none = [np.zeros(0, np.int64)]
-    steps, times = np.concatenate(which + none), np.concatenate(times + none)
-    ends = np.cumsum([0, *per])
-    places = np.cumsum(steps)
-    places -= np.repeat(np.r_[0, places][ends[:-1]], per)
-    n = np.bincount(places, weights=times, minlength=len(held)).astype(np.int64)
-    docs = pa.RecordBatch.from_arrays([ids, hashes, pa.array(langs, pa.string()), *(pa.array(list(c), pa.int64()) for c in zip(*counts)), pa.array(per, pa.int64())], ["_id", "text_hash", "lang", *COUNTS, "words"])
-    uses = pa.RecordBatch.from_arrays([pa.array((steps & 255).astype(np.uint8)), pa.array((steps >> 8).astype(np.int32)), pa.array(times.astype(np.int32))], ["low", "high", "times"])
+        every.append(own)
+    places = np.concatenate(every)
+    n = np.bincount(places, minlength=len(held)).astype(np.int64)
+    docs = pa.RecordBatch.from_arrays([ids, hashes, pa.array(langs, pa.string()), *(pa.array(list(c), pa.int64()) for c in zip(*counts))], ["_id", "text_hash", "lang", *COUNTS])
+    uses = pa.RecordBatch.from_arrays([pa.array((places & 255).astype(np.uint8)), pa.array((places >> 8).astype(np.int32))], ["low", "high"])
     words = pa.RecordBatch.from_arrays([pa.array([m for m, _ in held], pa.string()).dictionary_encode(), pa.array([w for _, w in held], pa.binary()), pa.array(n)], ["model", "word", "n"])
     return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), *(pa.array([_packed(x)], pa.binary()) for x in (docs, uses, words))], ["block", "docs", "uses", "words"])
 
@@ -160,6 +165,100 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     return docs.sparkSession.read.parquet(path)
 
 
+def _sequence(uses: pa.Table) -> np.ndarray:
+    return uses["low"].to_numpy() + (uses["high"].to_numpy().astype(np.int64) << 8)
+
+
+def _hash(model: str, word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8, key=hashlib.blake2b(model.encode("utf-8", "replace"), digest_size=16).digest()).digest(), "little")
+
+
+def word_order(docs: pa.Table, uses: pa.Table, words: pa.Table) -> tuple[np.ndarray, ...]:
+    """Sorted 48-bit hashes of the block's words, bigrams and models, with occurrences; and the place among these of each.
+
+    (hashes, occurrences, place of each word, of each word's model, place of each bigram, its
+    document, its first and its second word)
+    """
+    seq, n = _sequence(uses), docs["n_words"].to_numpy()
+    doc = np.repeat(np.arange(len(n)), n)
+    inside = doc[1:] == doc[:-1]
+    first, second = seq[:-1][inside], seq[1:][inside]
+    h, whole = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+    texts = words["word"].to_pylist()
+    for m, at in _by_model(words):
+        h[at] = np.array([_hash(m, texts[i]) for i in at], np.uint64)
+        whole[at] = _hash(m, b" ")  # no word holds white space
+    pair = h[first] * np.uint64(0x9E3779B97F4A7C15) + (h[second] ^ (h[second] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    pair = (pair ^ (pair >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    keys = np.concatenate([h, whole, pair]) >> np.uint64(16)
+    times = np.concatenate([words["n"].to_numpy(), words["n"].to_numpy(), np.ones(len(pair), np.int64)])
+    u, at = np.unique(keys, return_inverse=True)
+    k = len(words)
+    return u.astype(np.int64), np.bincount(at, weights=times, minlength=len(u)).astype(np.int64), at[:k], at[k : 2 * k], at[2 * k :], doc[1:][inside], first, second
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    return _packed(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [str(i) for i in range(len(columns))]))
+
+
+def seen_elsewhere(parts: DataFrame) -> DataFrame:
+    """(block, data): of the hashes of word_order, the places of those that other blocks hold too, and how often those hold them."""
+    ranges = max(RANGES, parts.count())
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, *packed in zip(b["block"].to_pylist(), b["docs"], b["uses"], b["words"]):
+                keys, n, *_ = word_order(*map(_unpacked, packed))
+                ends = np.searchsorted(keys, np.arange(ranges + 1) * (1 << 48) // ranges)
+                for k in range(ranges):
+                    i, j = ends[k], ends[k + 1]
+                    if i < j:
+                        data = _pack(np.diff(keys[i:j], prepend=0), n[i:j].astype(np.int32))
+                        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([block]), pa.array([i]), pa.array([data], pa.binary())], ["range", "block", "first", "data"])
+
+    def take(rows: pa.Table) -> pa.Table:
+        got = [_unpacked(d) for c in rows["data"].chunks for d in c]
+        size = [len(t) for t in got]
+        own = np.concatenate([t["1"].to_numpy() for t in got]).astype(np.int64)
+        _, at = np.unique(np.concatenate([np.cumsum(t["0"].to_numpy()) for t in got]), return_inverse=True)
+        others = np.bincount(at, weights=own).astype(np.int64)[at] - own
+        out, start = [], 0
+        for first, n in zip(rows["first"].to_pylist(), size):
+            found = np.flatnonzero(others[start : start + n])
+            out.append(_pack(found + first, others[start : start + n][found]))
+            start += n
+        return pa.table({"block": rows["block"], "data": pa.array(out, pa.binary())})
+
+    given = parts.mapInArrow(give, "range long, block long, first long, data binary")
+    return given.groupBy("range").applyInArrow(take, "block long, data binary")
+
+
+def order_score(parts: tuple, elsewhere: list) -> np.ndarray:
+    """Mean of -log p(word | word before) of each document, counts without the document's own; NaN without a bigram."""
+    docs = parts[0]
+    _, n, word, whole, pair, doc, _, second = word_order(*parts)
+    n = n.astype(np.float64)
+    for t in elsewhere:
+        n[t["0"].to_numpy()] += t["1"].to_numpy()
+
+    def without_own(at: np.ndarray, documents: np.ndarray) -> np.ndarray:
+        _, back, own = np.unique(documents * len(n) + at, return_inverse=True, return_counts=True)
+        return n[at] - own[back]
+
+    size = docs["n_words"].to_numpy()
+    both = without_own(pair, doc)
+    seq = _sequence(parts[1])
+    owner = np.repeat(np.arange(len(size)), size)
+    single = without_own(word[seq], owner)
+    inside = owner[1:] == owner[:-1]
+    before, after = single[:-1][inside], single[1:][inside]
+    total = np.maximum(n[whole[second]] - size[doc], 0)
+    share = (after + 0.5) / (total + 1)
+    log_p = np.log((both + PRIOR * share) / (before + PRIOR))
+    held = np.bincount(doc, minlength=len(size))
+    return np.where(held > 0, -np.bincount(doc, weights=log_p, minlength=len(size)) / np.maximum(held, 1), np.nan)
+
+
 def block_grams(parts: DataFrame) -> DataFrame:
     """(block, model, gram, n): the n-grams of each block, each once for a model, with occurrences."""
 
@@ -225,6 +324,8 @@ def log_probabilities(found: DataFrame) -> DataFrame:
 
 
 def _score(parts: pa.Table, model: pa.Table) -> Iterator[pa.RecordBatch]:
+    elsewhere = [_unpacked(d) for c in model["data"].chunks for d in c if d.is_valid]
+    model = model.filter(pc.is_valid(model["model"]))
     hashes, values, of_model = model["gram"].to_numpy(), model["log_p"].to_numpy(), dict(_by_model(model))
     for docs, uses, words in zip(parts["docs"], parts["uses"], parts["words"]):
         docs, uses, words = _unpacked(docs), _unpacked(uses), _unpacked(words)
@@ -235,39 +336,40 @@ def _score(parts: pa.Table, model: pa.Table) -> Iterator[pa.RecordBatch]:
             found = values[slots][np.searchsorted(hashes[slots], h)]
             log_p[at] = np.bincount(owner, weights=found, minlength=len(at))
             predicted[at] = np.bincount(owner, minlength=len(at))
-        per, times = docs["words"].to_numpy(), uses["times"].to_numpy()
-        places = np.cumsum(uses["low"].to_numpy() + (uses["high"].to_numpy().astype(np.int64) << 8))
-        ends = np.cumsum(np.r_[0, per])
-        places -= np.repeat(np.r_[0, places][ends[:-1]], per)
+        seq, per = _sequence(uses), docs["n_words"].to_numpy()
         doc = np.repeat(np.arange(len(per)), per)
-        total = np.bincount(doc, weights=log_p[places] * times, minlength=len(per))
-        size = np.bincount(doc, weights=predicted[places] * times, minlength=len(per))
+        total = np.bincount(doc, weights=log_p[seq], minlength=len(per))
+        size = np.bincount(doc, weights=predicted[seq], minlength=len(per))
         score = pa.array(-total / np.maximum(size, 1), mask=size == 0)
-        for b in docs.drop_columns(["words"]).append_column("log_perplexity", score).to_batches(max_chunksize=10000):
+        order = order_score((docs, uses, words), elsewhere)
+        order = pa.array(order, mask=np.isnan(order))
+        for b in docs.append_column("log_perplexity", score).append_column("log_order", order).to_batches(max_chunksize=10000):
             yield b
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, text_hash, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity) of each row; log_perplexity is null without a word.
+    """(doc_id, text_hash, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity, log_order) of each row; null without a word, and log_order without two.
 
     The models are counted on these very rows, so every n-gram that is looked up is there.
     """
     parts = blocks(docs, id_col, text_col, lang_col)
     wanted = block_grams(parts)
     model = log_probabilities(wanted.groupBy("model", "gram").agg(F.sum("n").alias("n")))
-    answers = wanted.select("block", "model", "gram").join(model, ["model", "gram"]).select("block", "model", "gram", "log_p")
+    answers = wanted.select("block", "model", "gram").join(model, ["model", "gram"]).select("block", "model", "gram", "log_p", F.lit(None).cast("binary").alias("data"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("model", "string"), ("gram", "long"), ("log_p", "float"))]
+    answers = answers.unionByName(seen_elsewhere(parts).select("block", *none, "data"))
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"_id {kind}, text_hash long, lang string, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double"
+    schema = f"_id {kind}, text_hash long, lang string, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double, log_order double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = pa.schema([("_id", pa.null()), ("text_hash", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in COUNTS), ("log_perplexity", pa.float64())])
+        out = pa.schema([("_id", pa.null()), ("text_hash", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in COUNTS), ("log_perplexity", pa.float64()), ("log_order", pa.float64())])
         batches = list(_score(left, right))
         return pa.Table.from_batches(batches) if batches else out.empty_table()
 
     return parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("_id", "doc_id")
 
 
-def judged(docs: DataFrame, below: float = BELOW, above: float = ABOVE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judged(docs: DataFrame, below: float = BELOW, above: float = ABOVE, above_order: float = ABOVE_ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base counts, base_failed, log_perplexity, the language's band and kept, for each row of docs.
 
     The model is counted on all texts; a language's band is set around the median of the texts that
@@ -278,12 +380,15 @@ def judged(docs: DataFrame, below: float = BELOW, above: float = ABOVE, id_col:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     rows = checkpointed(scored(docs, id_col, text_col, lang_col).withColumn("base_failed", failed))
     good = rows.where("not base_failed").dropDuplicates(["lang", "text_hash"])
-    middle = good.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle"))
-    spread = good.join(middle, F.col("lang").eqNullSafe(F.col("_lang"))).groupBy("_lang", "middle").agg(F.greatest(F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10000), F.lit(0.01)).alias("spread"))
-    bands = spread.select("_lang", (F.col("middle") - below * F.col("spread")).alias("lower"), (F.col("middle") + above * F.col("spread")).alias("upper"))
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
+    scores = ("log_perplexity", "log_order")
+    middle = good.groupBy(F.col("lang").alias("_lang")).agg(*(F.percentile_approx(c, 0.5, 10000).alias(f"middle_{c}") for c in scores))
+    away = (F.percentile_approx(F.abs(F.col(c) - F.col(f"middle_{c}")), 0.5, 10000) for c in scores)
+    spread = good.join(middle, F.col("lang").eqNullSafe(F.col("_lang"))).groupBy(*middle.columns).agg(*(F.greatest(x, F.lit(0.01)).alias(f"spread_{c}") for c, x in zip(scores, away)))
+    at = lambda c, k: F.col(f"middle_{c}") + k * F.col(f"spread_{c}")
+    bands = spread.select("_lang", at(scores[0], -below).alias("lower"), at(scores[0], above).alias("upper"), at(scores[1], above_order).alias("upper_order"))
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")) & (F.col("log_order") <= F.col("upper_order")), F.lit(False))
     return rows.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("kept", ~F.col("base_failed") & inside).drop("_lang")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "lower", "upper")
+    return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "lower", "upper", "log_order", "upper_order")

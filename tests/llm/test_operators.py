@@ -259,6 +259,33 @@ def test_bands_reject_junk_on_both_sides(spark):
     assert side[1] == 1 and side[2] == side[3] == -1
 
 
+def chain(rng, following):
+    w = [int(rng.integers(len(following)))]
+    for _ in range(119):
+        w.append(int(rng.choice(following[w[-1]])))
+    return [f"k{x}" for x in w]
+
+
+@pytest.mark.parametrize("size", [perplexity.BLOCK, 3000])
+def test_shuffled_words_are_rejected(spark, size):
+    rng = np.random.default_rng(3)
+    following = rng.integers(0, 100, (100, 4))
+    texts = [chain(rng, following) for _ in range(200)] + [list(rng.permutation(chain(rng, following))) for _ in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(t), "zz") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    old, perplexity.BLOCK = perplexity.BLOCK, size
+    try:
+        rows = perplexity.judged(docs).toPandas().set_index("doc_id")
+    finally:
+        perplexity.BLOCK = old
+    assert not rows.base_failed.any() and rows.kept[:199].mean() > 0.95 and not rows.kept[200:].any()
+    single, both = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:]))
+    for i in (0, 7, 205):
+        t, own, pairs = texts[i], Counter(texts[i]), Counter(zip(texts[i], texts[i][1:]))
+        share = {w: (single[w] - own[w] + 0.5) / (single.total() - len(t) + 1) for w in own}
+        want = [np.log((both[a, b] - pairs[a, b] + perplexity.PRIOR * share[b]) / (single[a] - own[a] + perplexity.PRIOR)) for a, b in zip(t, t[1:])]
+        assert rows.log_order[i] == pytest.approx(-np.mean(want), rel=1e-9)
+
+
 def test_articles(spark):
     page = "<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div><article><h1>A  b</h1><p>one <b>tw</b>o &amp; x<br>y<p>last &eacute;</article><div id='comments'>no</div><footer>f</footer>"
     assert html_text.main_text(page) == "A b one two & x y last é"

@@ -38,8 +38,8 @@ BELOW, ABOVE = 7.0, 14.0
 ABOVE_ORDER = 12.0
 #: Weight of a word's own share against the bigrams of the word before it.
 PRIOR = 50.0
-#: Least number of ranges of hashes; there are as many as blocks if there are more blocks.
-RANGES = 64
+#: Least number of ranges of hashes, and bytes of packed word sequences for each range where there are more.
+RANGES, RANGE = 32, 8 << 20
 MIN_WORDS, MAX_REPEATED = 50, 50
 SPACE = "\t\n\x0b\x0c\r "
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -100,9 +100,9 @@ def repeated_words(ids: np.ndarray) -> int:
     return int(covered[:-1].sum())
 
 
-def _packed(batch: pa.RecordBatch) -> bytes:
+def _packed(batch: pa.RecordBatch, level: int = 9) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -198,12 +198,12 @@ def word_order(docs: pa.Table, uses: pa.Table, words: pa.Table) -> tuple[np.ndar
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    return _packed(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [str(i) for i in range(len(columns))]))
+    return _packed(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [str(i) for i in range(len(columns))]), 1)
 
 
 def seen_elsewhere(parts: DataFrame) -> DataFrame:
     """(block, data): of the hashes of word_order, the places of those that other blocks hold too, and how often those hold them."""
-    ranges = max(RANGES, parts.count())
+    ranges = max(RANGES, (parts.agg(F.sum(F.octet_length("uses")).alias("n")).first()["n"] or 0) // RANGE)
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,4 +1,10 @@
-"""Main text of web pages by composite text density over the DOM."""
+"""Main text of web pages by composite text density over the DOM.
+
+Every node has a density: characters for each tag below it, adjusted by the share of links. The
+densities of a container's children are summed, and the container with the largest sum is the
+article. Lists of names tell what is no text at all (scripts, hidden parts), keep footers and the
+like from being chosen where a page has other text, and take forms and menus out of the article.
+"""
 
 from __future__ import annotations
 
@@ -17,18 +23,24 @@ from loomrail.llm.common import table
 # Fixed lists of HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-DROPPED = frozenset("script style textarea title noscript iframe noembed noframes xmp head nav footer aside button select option input template svg canvas object audio video map dialog menu".split())
+# Never text of the page, wherever they stand.
+UNSEEN = frozenset("script style textarea title noscript iframe noembed noframes xmp head button select option input template svg canvas object audio video map dialog".split())
+# Parts that can be chosen as the article; their own text and other children count for them.
+CONTAINERS = frozenset("body article main section div td center blockquote nav header footer aside form fieldset menu".split())
+# Within the chosen subtree these go, unless they hold most of it.
+PARTS = frozenset("nav header footer aside form fieldset menu label".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
-CONTAINERS = frozenset("body article main section div td center blockquote".split())
 WHOLE = frozenset("article main".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-# Elements that go like marked ones, unless they wrap the page.
-FORMS = frozenset("form fieldset label".split())
-# Tokens of class, id and role that mark a part as no article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar complementary menu nav navbar navigation breadcrumb breadcrumbs footer contentinfo header masthead cookie cookies consent notice gdpr popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments disqus login signin signup search toolbar widget pagination".split())
+# Whole tokens of class, id and role of parts within an article that are none of it.
+MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar complementary menu nav navbar navigation breadcrumb breadcrumbs footer contentinfo cookie cookies consent notice gdpr popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments disqus login signin signup search toolbar widget pagination".split())
+
+#: A sibling of the chosen container with at least this share of its density sum is a part of the same article.
+SIBLING = 0.3
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|$)|<[!?/][^>]*(?:>|$)", re.S)
+# a tag whose quote is never closed ends at its first >
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|$)|<[!?/][^>]*(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
@@ -38,7 +50,7 @@ class Node:
     name: str
     parent: Node | None
     drop: bool = False
-    #: goes unless it wraps the page
+    #: by its class, id, role or name no article, if another part is
     marked: bool = False
     parts: list = field(default_factory=list)
     #: characters and tags below, and those within links
@@ -46,11 +58,13 @@ class Node:
     tags: int = 0
     link_chars: int = 0
     link_tags: int = 0
+    link: bool = False
     density: float = 0.0
     sum: float = 0.0
-    #: characters outside links below, and article and main elements with text
-    plain: int = 0
+    #: article and main elements with text below, whether one is above, and whether a marked part holds the node
     whole: int = 0
+    around: bool = False
+    out: bool = False
 
 
 def values(attributes: str) -> dict[str, str]:
@@ -61,37 +75,10 @@ def values(attributes: str) -> dict[str, str]:
     return out
 
 
-def drop_marked(root: Node) -> None:
-    """Drop each marked element, but not one that holds most of the page's text outside links; that one is a wrapper.
-
-    With an article or main element outside of it, it is none.
-    """
-    order, todo = [], [(root, False)]
-    while todo:
-        node, link = todo.pop()
-        link = link or node.name == "a"
-        node.plain = 0 if link else sum(len("".join(c.split())) for c in node.parts if isinstance(c, str))
-        order.append(node)
-        todo.extend((c, link) for c in node.parts if isinstance(c, Node) and not c.drop)
-    if not any(n.marked for n in order):
-        return
-    for node in reversed(order):
-        node.whole += node.name in WHOLE and node.plain > 0
-        if node.parent is not None:
-            node.parent.plain += node.plain
-            node.parent.whole += node.whole
-    for node in order:
-        around, up = False, node.parent
-        while node.marked and up is not None and not around:
-            around, up = up.name in WHOLE, up.parent
-        if node.marked:
-            node.drop = 2 * node.plain <= root.plain or (root.whole > node.whole and not around)
-
-
 def parse(page: str) -> Node:
-    """A tree of the page; dropped elements stand in it without their text. Unclosed elements end with their parents."""
-    root = body = Node("html", None)
-    here, at, inside = root, 0, 0
+    """A tree of the page; what is never seen stands in it without its text. Unclosed elements end with their parents."""
+    root = here = Node("body", None)
+    at = 0
 
     def text(raw: str) -> None:
         if raw and not here.drop:
@@ -109,12 +96,11 @@ def parse(page: str) -> Node:
     while (m := TOKEN.search(page, at)) is not None:
         text(page[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        slash, name, attributes, end = m.group(1, 2, 3, 4) if m[2] is not None else m.group(5, 6, 7, 8)
+        if name is None or end != ">":
             continue
-        name, attributes = m[2].lower(), m[3]
-        if m[4] != ">":
-            continue
-        if m[1]:
+        name = name.lower()
+        if slash:
             close((name,), () if name in ("body", "html") else ("table",) if name in ("p", "li") else ())
             continue
         if name in ("html", "body"):
@@ -123,32 +109,41 @@ def parse(page: str) -> Node:
             close(("p",), ("table", "div", "article", "section", "main", "td", "blockquote"))
         if name in CLOSED_BY_SAME:
             close(CLOSED_BY_SAME[name], ("ul", "ol", "dl", "table", "select"))
-        drop, marked = here.drop or name in DROPPED, name in FORMS
+        drop, marked = here.drop or name in UNSEEN, name in PARTS
         if not drop and attributes.strip(" /"):
             of = values(attributes)
             drop = "hidden" in of or of.get("aria-hidden", "").strip().lower() == "true" or bool(NO_DISPLAY.search(of.get("style", "")))
             marked = marked or not MARKS.isdisjoint(f"{of.get('class', '')} {of.get('id', '')} {of.get('role', '')}".lower().split())
-        if not drop and name == "header":
-            node = here
-            while node is not None and node.name not in WHOLE:
-                node = node.parent
-            drop = node is None
         node = Node(name, here, drop, marked)
         here.parts.append(node)
-        if name in VOID or m[3].endswith("/") and name not in RAW and name not in CONTAINERS:
+        if name in VOID or attributes.endswith("/") and name not in RAW and name not in CONTAINERS:
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            close_tag = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
+            at = close_tag.end() if close_tag else len(page)
             continue
         here = node
     text(page[at:])
-    drop_marked(root)
-    return body
+    return root
+
+
+def letters(text: str) -> int:
+    """Characters that are no white space."""
+    return len("".join(text.split()))
+
+
+def composite(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    """Characters for each tag, times a logarithm that falls with the share of links; share is that of the whole page."""
+    t, lt, outside, lc = max(t, 1), max(lt, 1), max(c - lc, 1), max(lc, 1)
+    return c / t * math.log(c / lc * t / lt) / math.log(math.log(c / outside * lc + share * c + math.e)) if c else 0.0
 
 
 def measure(root: Node) -> list[Node]:
-    """Counts, composite densities and density sums of all nodes that are not dropped, parents first."""
+    """Counts, composite densities and density sums of all nodes that are seen, parents first.
+
+    A container's sum takes its children but for containers, which stand for themselves, so that a
+    wrapper doesn't win by holding many parts; a run of text directly in it counts like a child.
+    """
     order, todo = [], [(root, False)]
     while todo:
         node, link = todo.pop()
@@ -156,7 +151,7 @@ def measure(root: Node) -> list[Node]:
         order.append(node)
         todo.extend((c, node.link) for c in reversed(node.parts) if isinstance(c, Node) and not c.drop)
     for node in reversed(order):
-        own = sum(len("".join(c.split())) for c in node.parts if isinstance(c, str))
+        own = sum(letters(c) for c in node.parts if isinstance(c, str))
         node.chars += own
         node.link_chars += own if node.link else 0
         if node.parent is not None:
@@ -165,41 +160,90 @@ def measure(root: Node) -> list[Node]:
             up.link_chars += node.link_chars
             up.tags += node.tags + 1
             up.link_tags += node.link_tags + (node.name == "a")
-    body = order[0]
-    share = body.link_chars / max(body.chars, 1)
+    share = root.link_chars / max(root.chars, 1)
     for node in order:
-        if not node.chars:
-            continue
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, max(node.link_tags, 1)
-        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-        node.density = c / t * max(math.log(c / max(lc, 1) * t / lt), 0.0) / max(math.log(base), 1.0) if base > 1 else 0.0
-        if node.parent is not None:
+        node.density = composite(node.chars, node.tags, node.link_chars, node.link_tags, share)
+        if node.parent is not None and node.name not in CONTAINERS:
             node.parent.sum += node.density
+        own = sum(letters(c) for c in node.parts if isinstance(c, str))
+        node.sum += composite(own, 0, own if node.link else 0, 0, share)
     return order
 
 
-def main_node(root: Node) -> Node | None:
-    """The container with the largest density sum among those at least as dense as the threshold of its path to the body.
+def eligible(order: list[Node]) -> list[Node]:
+    """Containers that aren't marked nor in a marked one, which counts only if it is no wrapper.
+
+    A wrapper holds most of the page's text outside links, and no article or main element lies outside of it.
+    """
+    plain, body = lambda n: n.chars - n.link_chars, order[0]
+    for node in reversed(order):
+        node.whole += node.name in WHOLE and plain(node) > 0
+        if node.parent is not None:
+            node.parent.whole += node.whole
+    for node in order:
+        up = node.parent
+        if up is not None:
+            node.around, node.out = up.around or up.name in WHOLE, up.out
+        if node.marked and not node.out:
+            node.out = 2 * plain(node) <= plain(body) or (body.whole > node.whole and not node.around)
+    return [n for n in order if not n.out and candidate(n)]
+
+
+def candidate(node: Node) -> bool:
+    return node.chars > 0 and (node.name in CONTAINERS or node.parent is None)
 
-    The threshold is the least density on the path from the densest container to the body. If the
-    container lies within an article or main element, that whole element is the subtree.
+
+def main_nodes(root: Node) -> list[Node]:
+    """The container with the largest density sum, and siblings of it that are parts of the same article.
+
+    Marked containers are chosen only where nothing else has text (see eligible). The threshold is the least density on the path from that container to the body. A sibling of the
+    same element name joins if it is at least that dense, has SIBLING of the sum and isn't marked. If
+    the container lies within an article or main element, that whole element stands alone. If the
+    body itself has the largest sum, containers in it that are less dense than it go. Ties go to the
+    earlier container; nothing is returned for a page without text.
     """
-    order = [n for n in measure(root) if n.chars and (n.name in CONTAINERS or n.parent is None)]
+    every = measure(root)
+    order = list(filter(candidate, every))
     if not order:
-        return None
-    densest = max(order, key=lambda n: n.sum)
-    path, node = [], densest
-    while node is not None:
-        path.append(node.density)
-        node = node.parent
-    threshold = min(path)
-    best = max((n for n in order if n.density >= threshold), key=lambda n: n.sum)
-    node, whole = best, best
+        return []
+    best = max(eligible(every) or order, key=lambda n: n.sum)
+    path, whole = [best], None
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    for node in path:
+        whole = node if node.name in WHOLE else whole
+    if whole is not None:
+        return [whole]
+    threshold = min(n.density for n in path)
+    if best is root and best.sum > 0:
+        for node in order[1:]:
+            node.drop = node.density < threshold
+    if best is root:
+        return [root]
+    alike = lambda n: n.parent is best.parent and n.name == best.name and not n.marked and n.density >= threshold and n.sum >= SIBLING * best.sum
+    return [n for n in order if n is best or alike(n)]
+
+
+def without_parts(top: Node) -> None:
+    """Drop marked parts within a chosen subtree, but not one that holds most of its text outside links."""
+    todo = [c for c in top.parts if isinstance(c, Node)]
+    while todo:
+        node = todo.pop()
+        if node.drop:
+            continue
+        if node.marked and 2 * (node.chars - node.link_chars) <= top.chars - top.link_chars and not (node.name == "header" and _within(node, top)):
+            node.drop = True
+        else:
+            todo.extend(c for c in node.parts if isinstance(c, Node))
+
+
+def _within(node: Node, top: Node) -> bool:
+    """Whether a header belongs to an article rather than to the page."""
     while node is not None:
         if node.name in WHOLE:
-            whole = node
-        node = node.parent
-    return whole
+            return True
+        node = None if node is top else node.parent
+    return False
 
 
 def blocks(node: Node) -> str:
@@ -219,12 +263,18 @@ def blocks(node: Node) -> str:
 
 def main_text(page: str | None) -> str:
     """The article's text; empty for a null, empty or textless page."""
-    best = main_node(parse(page)) if page else None
-    return blocks(best) if best is not None else ""
+    tops = main_nodes(parse(page)) if page else []
+    for top in tops:
+        without_parts(top)
+    return " ".join(t for t in map(blocks, tops) if t)
 
 
 def extracted(pages: DataFrame, keys: tuple = ("page_id", "url"), html_col: str = "html") -> DataFrame:
-    """(keys..., text, n_chars) of every row of pages, whole pages read."""
+    """(keys..., text, n_chars) of every row of pages, whole pages read.
+
+    Null and empty pages have an empty text. Repeated rows stay repeated, an empty table gives no
+    rows, and other columns of pages are not read, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

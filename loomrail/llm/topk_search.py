@@ -1,25 +1,38 @@
-"""Exact top-k inner products by Fagin's threshold algorithm over sorted lists, one for each dimension."""
+"""Exact top-k inner products by Fagin's threshold algorithm over sorted lists, one for each dimension.
+
+Candidates are dealt into blocks by their largest component, so that vectors alike share a block. Each
+query first runs in the block that its own components name, which gives it a floor, the kth score so
+far; then it runs in every block, and stops where no unseen vector can reach the floor.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomrail.llm.common import table
+from loomrail.llm.common import checkpointed, table
 
 #: Candidates and queries that one task compares.
 BLOCK, QUERIES = 8192, 4096
-#: Depths of sorted access after which the bound is tested; after the last the lists are read to their ends.
-DEPTHS = (8, 64, 512)
+#: Depth of a list's first step; each later one doubles it.
+STEP = 8
+#: Share of the candidates to be seen from which the lists are read to their ends, as few are left to be spared.
+REST = 0.5
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """(vec_id, v): components as floor(scale * x); rows whose id or vector is null, or that hold a null or non-finite component, are left out."""
+    """(row, vec_id, v): components as floor(scale * x), each row under a number of its own.
+
+    Rows whose id or vector is null, or that hold a null or non-finite component, are left out. Other
+    columns are not read. Repeated rows and repeated ids stay, as rows of their own.
+    """
     x = F.col(vector_col)
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & ~bad).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
+    rows = vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & ~bad).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
+    # written down, so that a number stays with its row
+    return checkpointed(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"))
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -31,72 +44,142 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def threshold_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (query, id, score) of each query among x, ties to smaller ids; the query's own id does not count.
-
-    Sorted access reads the lists from the top where the query's component is positive and from the
-    bottom where it is negative; all vectors seen are scored. No vector unseen can score more than
-    the components at the present depth together, so once the kth result is above that the rest is
-    not read. Equal scores go on, as a smaller id might follow.
-    """
-    order = np.argsort(x, axis=0, kind="stable")
-    n = len(ids)
-    out_q, out_i, out_s = [], [], []
-    # exact as long as products stay under 2^53; larger ones are summed as integers
-    small = n and float(np.abs(x).max(initial=0)) * float(np.abs(queries).max(initial=0)) * x.shape[1] < 2**53
-    held = x.astype(np.float64) if small else x
-    for qid, q in zip(query_ids, queries):
-        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        seen = np.zeros(n, bool)
-        for depth in (*DEPTHS, n):
-            if depth >= n or not (len(up) or len(down)):
+def most(u: np.ndarray, t: np.ndarray, square: float) -> float:
+    """The largest u * y with y <= t in each component and no more than `square` as sum of squares (u > 0)."""
+    if float(t @ t) <= square:
+        return float(u @ t)
+    # y = min(t, s * u) for the s that spends the square; components leave the cap one by one as s falls
+    ratio = t / u
+    by = np.argsort(ratio)
+    a, b = t[by] ** 2, u[by] ** 2
+    capped, free = np.cumsum(a) - a, np.cumsum(b[::-1])[::-1]
+    s = np.sqrt(np.maximum(square - capped, 0) / free)
+    # the last component that is not capped at its own s
+    k = int(np.argmax(s <= ratio[by])) if (s <= ratio[by]).any() else len(u) - 1
+    return float(t[by[:k]] @ u[by[:k]] + s[k] * free[k])
+
+
+class Lists:
+    """The candidates of a block, and each dimension's list of them in order."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        self.rows, self.ids, self.x = rows, ids, x
+        self.order = np.argsort(x, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(x, self.order, axis=0).astype(np.float64)
+        self.square = float((x.astype(np.float64) ** 2).sum(axis=1).max(initial=0))
+        #: candidates scored and candidates there were, over all queries
+        self.read = self.there = 0
+
+    def depths(self, q: np.ndarray, use: np.ndarray, up: np.ndarray, best: float) -> np.ndarray:
+        """How deep each list would have to be read if it were the only one to end the query: to its last value near enough to the query's."""
+        near = np.sqrt(max(self.square + float((q.astype(np.float64) ** 2).sum()) - 2 * best, 0.0)) + 1e-6
+        n = len(self.ids)
+        return np.array([n - np.searchsorted(self.sorted[:, c], q[c] - near, "left") if top else np.searchsorted(self.sorted[:, c], q[c] + near, "right") for c, top in zip(use, up)], np.int64)
+
+    def top(self, row: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best of the block that reach the floor, ties to smaller ids; the query's own row does not count.
+
+        All lists are read from the top where the query's component is positive, from the bottom where
+        it is negative, until k vectors are seen; then the list goes on that promises to end the query
+        soonest. No vector unseen exceeds the present value of any list, nor the largest norm of the
+        block; once what both allow is below the kth score, the rest is not read. Equal scores go on,
+        as a smaller id might follow.
+        """
+        n = len(self.ids)
+        exact = float(np.abs(self.x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(len(q), 1) < 2**53
+        x, w = (self.x.astype(np.float64), q.astype(np.float64)) if exact else (self.x, q)
+        use = np.flatnonzero(q)
+        seen, scores, best = np.zeros(n, bool), np.zeros(n, w.dtype), floor
+        depth, u, up = np.zeros(len(use), np.int64), np.abs(q[use]).astype(np.float64), q[use] > 0
+        value = lambda d: np.where(up, self.sorted[n - 1 - d, use], -self.sorted[d, use])
+        need, at_best = np.full(len(use), n), -np.inf
+        while n:
+            if best > at_best:
+                need, at_best = self.depths(q, use, up, best), best
+            if not len(use) or seen.sum() > REST * n or (floor > -np.inf and need.min() > REST * n):
+                left = np.flatnonzero(~seen)
+                scores[left] = x[left] @ w
                 seen[:] = True
-            else:
-                seen[order[n - depth :, up]] = True
-                seen[order[:depth, down]] = True
-            at = np.flatnonzero(seen & (ids != qid))
-            s = held[at] @ (q.astype(np.float64) if small else q)
-            if seen.all():
                 break
-            if len(at) >= k:
-                bound = int(x[order[n - depth, up], up] @ q[up] + x[order[depth - 1, down], down] @ q[down])
-                if np.partition(s, len(s) - k)[len(s) - k] > bound:
-                    break
-        if len(at) > k:
-            kth = np.partition(s, len(s) - k)[len(s) - k]
-            near = s >= kth
-            at, s = at[near], s[near]
-        best = np.lexsort((ids[at], -s))[:k]
-        out_q.append(np.full(len(best), qid))
-        out_i.append(ids[at[best]])
-        out_s.append(s[best].astype(np.int64))
-    join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-    return join(out_q), join(out_i), join(out_s)
+            if most(u, value(np.minimum(depth, n - 1)), self.square) * (1 + 1e-9) + 1e-6 < best:
+                break
+            go = range(len(use)) if best == -np.inf else [int(np.argmin(np.where(depth < n, need - depth, n)))]
+            for j in go:
+                d, e, c = depth[j], min(max(2 * depth[j], STEP), n), use[j]
+                part = self.order[n - e : n - d, c] if up[j] else self.order[d:e, c]
+                part = part[~seen[part]]
+                seen[part] = True
+                scores[part] = x[part] @ w
+                depth[j] = e
+            got = scores[seen & (self.rows != row)]
+            if len(got) >= k:
+                best = max(best, float(np.partition(got, len(got) - k)[len(got) - k]))
+        self.read, self.there = self.read + int(seen.sum()), self.there + n
+        at = np.flatnonzero(seen & (self.rows != row))
+        at = at[scores[at] >= best] if best > -np.inf else at
+        at = at[np.lexsort((self.ids[at], -scores[at]))[:k]]
+        return self.ids[at], scores[at].astype(np.int64)
+
+
+def blocks_of(candidates: DataFrame, size: int) -> tuple[int, Column]:
+    """The number of blocks, and the block of a row by its largest component; one that many rows share is dealt over several."""
+    largest = F.array_position(F.transform("v", F.abs), F.array_max(F.transform("v", F.abs)))
+    key = F.coalesce(largest * F.when(F.element_at("v", F.greatest(largest, F.lit(1)).cast("int")) < 0, -1).otherwise(1), F.lit(0)).cast("long")
+    key = F.when(F.size("v") > 0, key).otherwise(F.lit(0).cast("long"))
+    # two rows for each dimension at most
+    counts = sorted((r["key"], r["count"]) for r in candidates.groupBy(key.alias("key")).count().collect())
+    starts, total = {}, 0
+    for k, n in counts:
+        starts[k] = (total, n)
+        total += n
+    if not total:
+        return 1, F.lit(0)
+    first = F.create_map(*(F.lit(v).cast("long") for k, (s, _) in starts.items() for v in (k, s)))
+    many = F.create_map(*(F.lit(v).cast("long") for k, (_, n) in starts.items() for v in (k, n)))
+    place = F.coalesce(first[key] + F.pmod(F.xxhash64("row", "vec_id"), many[key]), F.lit(0))
+    return -(-total // size), F.floor(place / size).cast("int")
 
 
 def top_matches(candidates: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score) for (vec_id, v) tables; rows of one id are one vector's copies.
+    """(query_id, rank, vec_id, score) for tables of (row, vec_id, v), as usable makes them.
 
-    Both sides are dealt into parts of bounded size and each pair of parts is one task's work, so
-    no task depends on the size of either table. Every part gives its k best, of which the k best
-    of each query are ranked.
+    Every query row is a query of its own, and every other row a candidate of it, rows of the same
+    id and copies included. Both sides are dealt into parts of bounded size and each pair of parts is
+    one task's work, so no task depends on the size of either table. Every part gives its k best, of
+    which the k best of each query are ranked; a query without candidates has no rows.
     """
-    queries = queries.dropDuplicates(["vec_id"])
-    size = candidates.agg(F.count("*"), F.max(F.size("v"))).first()
-    n, width = size[0], size[1] or 0
-    blocks, groups = max(1, -(-n // block)), max(1, -(-queries.count() // group))
+    size = candidates.agg(F.max(F.size("v"))).first()
+    width = size[0] or 0
+    blocks, place = blocks_of(candidates, block)
+    groups = max(1, -(-queries.count() // group))
+    deal = F.pmod(F.xxhash64("row", "vec_id"), F.lit(groups)).cast("int")
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, qids = (t["vec_id"].to_numpy().astype(np.int64) for t in (left, right))
-        got = threshold_top(ids, matrix(left["v"], width), qids, matrix(right["v"], width), k) if len(ids) else (np.zeros(0, np.int64),) * 3
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, got))))
+    def lists(left: pa.Table) -> Lists:
+        return Lists(left["row"].to_numpy(), left["vec_id"].to_numpy().astype(np.int64), matrix(left["v"], width))
 
-    deal = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+    def floors(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        held, rows, q = lists(left), right["row"].to_pylist(), matrix(right["v"], width)
+        found = [held.top(r, v, k)[1] for r, v in zip(rows, q)]
+        return pa.table({"row": pa.array(rows, pa.int64()), "floor": pa.array([int(s[-1]) if len(s) == k else None for s in found], pa.int64())})
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        held, out = lists(left), []
+        for r, i, v, f in zip(right["row"].to_pylist(), right["vec_id"].to_pylist(), matrix(right["v"], width), right["floor"].to_pylist()):
+            ids, s = held.top(r, v, k, -np.inf if f is None else f)
+            out.append((np.full(len(ids), r), np.full(len(ids), i), ids, s))
+        columns = zip(*out) if out else [[]] * 4
+        return pa.table({c: pa.array(np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64)) for c, v in zip(("row", "query_id", "vec_id", "score"), columns)})
+
+    dealt = candidates.select("row", "vec_id", "v", place.alias("b"))
+    # aliases, as both sides may be rows of one table
+    asked = queries.select(*(F.col(c).alias(c) for c in ("row", "vec_id", "v")), deal.alias("g"))
+    own = queries.select(*(F.col(c).alias(c) for c in ("row", "v")), place.alias("b"))
+    first = dealt.groupBy("b").cogroup(own.groupBy("b")).applyInArrow(floors, "row long, floor long").select(F.col("row").alias("_row"), "floor")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = candidates.select("vec_id", "v", deal(blocks).alias("b"), every(groups).alias("g"))
-    right = queries.select("vec_id", "v", deal(groups).alias("g"), every(blocks).alias("b"))
-    found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    left = dealt.withColumn("g", every(groups))
+    right = asked.join(first, F.col("row") == F.col("_row"), "left").drop("_row").withColumn("b", every(blocks))
+    found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(run, "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -106,11 +189,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS j FROM embeddings
-           WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
-c AS (SELECT vec_id, j, CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM e),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.v * c.v) AS BIGINT) AS score
-      FROM c JOIN c q ON q.j = c.j AND q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id GROUP BY q.vec_id, c.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+WITH e AS (SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+u AS (SELECT row, vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS j FROM e),
+c AS (SELECT row, vec_id, j, CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM u),
+s AS (SELECT q.row, q.vec_id AS query_id, c.row AS other, c.vec_id, CAST(sum(q.v * c.v) AS BIGINT) AS score
+      FROM c JOIN c q ON q.j = c.j AND q.vec_id % 20 = 0 AND q.row <> c.row GROUP BY q.row, q.vec_id, c.row, c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

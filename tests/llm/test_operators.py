@@ -286,36 +286,6 @@ def test_shuffled_words_are_rejected(spark, size):
         assert rows.log_order[i] == pytest.approx(-np.mean(want), rel=1e-9)
 
 
-def test_articles(spark):
-    page = "<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div><article><h1>A  b</h1><p>one <b>tw</b>o &amp; x<br>y<p>last &eacute;</article><div id='comments'>no</div><footer>f</footer>"
-    assert html_text.main_text(page) == "A b one two & x y last é"
-    assert html_text.main_text(None) == html_text.main_text("") == ""
-    df = spark.createDataFrame([(1, None, None), (2, "u", page)], "page_id long, url string, html string")
-    assert [tuple(r) for r in html_text.extracted(df).orderBy("page_id").collect()] == [(1, None, "", 0), (2, "u", "A b one two & x y last é", 24)]
-
-
-def test_wrappers_of_articles_stay():
-    prose = "Long plain prose of the page, sentence after sentence, about nothing. " * 5
-    want = " ".join(prose.split())
-    for name in ("content-with-sidebar", "no-sidebar", "has-comments", "page-with-menu", "search-result", "sidebar"):
-        assert html_text.main_text(f"<body><nav>menu</nav><div class='{name}'><p>{prose}</div><div class=ad>buy</div>") == want
-    assert html_text.main_text(f"<body><form action=x><div class='ad'>buy</div><div><p>{prose}</div><input type=hidden></form>") == want
-    assert html_text.main_text(f"<article><div class='section-header'><h2>Head</h2></div><p title='the hidden temple'>{prose}</p></article>") == "Head " + want
-    assert html_text.main_text(f"<div><p>{prose}</p><form>find</form><p hidden>no</p><p style='display: none'>no</p><p aria-hidden=true>no</p></div>") == want
-    # a marked part that is longer than the article is no wrapper
-    assert html_text.main_text(f"<article><p>{prose}</article><div class=comments><p>{prose}{prose}</div>") == want
-
-
-def test_top_k_stops_early_and_breaks_ties():
-    rng = np.random.default_rng(2)
-    x = rng.integers(-3, 4, (3000, 5))
-    ids = rng.permutation(3000)
-    q, i, s = topk_search.threshold_top(ids, x, ids[:4], x[:4], 20)
-    for n in range(4):
-        want = sorted(((-int(x[j] @ x[n]), int(ids[j])) for j in range(3000) if j != n))[:20]
-        assert [(-b, a) for a, b in zip(i[q == ids[n]].tolist(), s[q == ids[n]].tolist())] == want
-
-
 def test_odd_rows(spark, odd):
     assert len(simhash.simhash_components(odd).collect()) == len(ODD)
     kept = simhash.keep_one(odd)
@@ -346,12 +316,6 @@ def test_empty_tables(spark, odd):
     assert topk_search.top_matches(vectors, vectors).count() == 0
 
 
-def test_vectors_that_take_no_part(spark):
-    inf, nan = float("inf"), float("nan")
-    rows = topk_search.usable(spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [inf, 1.0]), (4, [nan, 0.0]), (5, [0.5, 0.5]), (None, [1.0, 1.0])], "vec_id long, embedding array<double>"))
-    assert [tuple(r) for r in topk_search.top_matches(rows, rows.where("vec_id % 20 = 0")).collect()] == [(0, 1, 5, 64 * 32 + 128 * 32)]
-
-
 def test_chat_odd_rows(spark):
     rows = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, None, None, "x"), (None, 1, "ann", "y"), (2, 0, "system", "z")], "conv_id long, turn long, role string, text string")
     got = chat_format.perspectives(rows).collect()

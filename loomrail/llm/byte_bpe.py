@@ -29,6 +29,8 @@ PLAIN = {
 }
 #: Pieces remembered in a task before the memory is emptied, and characters of text cut into pieces at once.
 REMEMBERED, PART = 400_000, 1 << 20
+#: Characters of remembered pieces from which all are forgotten.
+HELD = 1 << 26
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -194,6 +196,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
+        self.held = 0
         self.places, self.ids, self.start, self.size = Places(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def pieces(self, text: str) -> list[str]:
@@ -201,10 +204,11 @@ class Encoder:
 
     def lookup(self, pieces: list[str]) -> np.ndarray:
         """Places of the pieces; new ones are all merged together."""
-        if len(self.places) > REMEMBERED:
+        if len(self.places) > REMEMBERED or self.held > HELD:
             self.forget()
         at = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
         if new := self.places.new:
+            self.held += sum(map(len, new))
             got = self.merges.encode([p.encode() for p in new])
             size = np.array([len(g) // 4 for g in got], np.int64)
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])

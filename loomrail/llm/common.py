@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,18 +15,45 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Tables written to the shared folder by new_folder.
+MADE: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session. Only where none is configured at all (tests on one machine) a local one is set."""
+    """The checkpoint folder of the session. Only on a local master, where none is configured at all (tests), a local one is set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for tables that later stages read."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
+    return path
+
+
+def remove_intermediate(spark: SparkSession) -> None:
+    """Delete the tables that this session's operators wrote for their own later stages; their results can't be computed again after that."""
+    while MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns renamed c0, c1 and so on, so that helper columns clash with none, and the new names of the given columns."""
+    names = docs.columns
+    return docs.toDF(*(f"c{i}" for i in range(len(names)))), [f"c{names.index(c)}" for c in columns]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of df in the folder that the cluster shares."""
     shared_folder(df.sparkSession)

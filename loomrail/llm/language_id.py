@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +15,12 @@ from loomrail.llm.common import held_out, table
 
 #: n-gram lengths, hashed buckets, and characters hashed at once.
 ORDERS, BUCKETS, PART = (1, 2, 3), 1 << 15, 1 << 18
-#: Labelled rows for each language from which the classifier is fitted, about (the bound of the sample).
-SAMPLE = 1200
-LETTER = re.compile(r"[^\W\d_]")
+#: Labelled rows for each language, and for all together, from which the classifier is fitted, about (the bounds of the sample).
+SAMPLE, TOTAL = 1200, 12000
+#: More labels than this are no languages; fit refuses them.
+LABELS = 1000
+#: A letter is what Unicode calls one (category L); digits, fractions and numerals in circles are none.
+LETTER = regex.compile(r"\p{L}")
 
 
 def counts(text: str) -> np.ndarray:
@@ -120,17 +123,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     """Fit on rows that are not held out and have a label and a text.
 
     Document frequencies cover all of these rows. The classifier sees about `sample` rows of each
-    label, chosen by a hash of the text, and each text once, however many copies it has; the fifth,
-    tenth and so on of each label calibrate the temperature instead.
+    label (fewer of each if all labels together had over TOTAL), chosen by a hash of the text, and
+    each text once, however many copies it has; the fifth, tenth and so on of each label calibrate
+    the temperature instead. More than LABELS labels raise an error.
     """
     rows = docs.where(~held_out(id_col)).select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("label is not null and text is not null")
     n, df = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
     # the rate comes from distinct texts, so that copies take no other text's place
     space = 1 << 30
-    hashed = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(space)))
-    size = {r["label"]: r["count"] for r in hashed.select("label", "h").distinct().groupBy("label").count().collect()}
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    size = {r["label"]: r["count"] for r in hashed.select("label", "h").distinct().groupBy("label").count().limit(LABELS + 1).collect()}
     languages = sorted(size)
+    if len(languages) > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
+    sample = min(sample, max(TOTAL // max(len(languages), 1), 1))
     if not languages:
         return Model([], idf, np.zeros((BUCKETS + 1, 0)), 1.0)
     keep = {k: min(space, sample * space // v) for k, v in size.items()}
@@ -141,7 +148,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
             yield pa.RecordBatch.from_arrays([b["label"], b["h"], pa.array([a.astype(np.uint16).tobytes() for a, _ in pairs], pa.binary()), pa.array([x.astype(np.float16).tobytes() for _, x in pairs], pa.binary())], ["label", "h", "at", "x"])
 
     bound = F.create_map(*(F.lit(v) for kv in keep.items() for v in kv))
-    chosen = hashed.where(F.col("h") < bound[F.col("label")]).dropDuplicates(["label", "h"])
+    chosen = hashed.where(F.pmod("h", F.lit(space)) < bound[F.col("label")]).dropDuplicates(["label", "h"])
     got = chosen.select("label", "h", "text").mapInArrow(run, "label string, h long, at binary, x binary").collect()
     without = set(languages) - {r["label"] for r in got}
     if without:
@@ -171,7 +178,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
-    """(doc_id, [keep...,] lang_pred, score) of each row; `und` and 0 for a text that is null or has no letter."""
+    """(doc_id, [keep...,] lang_pred, score) of each row; `und` and 0 for a text that is null or has no letter.
+
+    Labels of equal probability go to the first in order. Repeated rows stay; other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +197,10 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def in_known_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """docs without those whose language stays undetermined: no letter, or a calibrated probability under `least`."""
+    """docs without those whose language stays undetermined: no letter, or a calibrated probability under `least`.
+
+    docs has doc_id, text and lang; all its columns pass through, whatever their names.
+    """
     model = fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
     names = docs.columns

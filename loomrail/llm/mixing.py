@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomrail.llm.common import WORD, checkpointed, table
+from loomrail.llm.common import WORD, checkpointed, numbered, table
 
 #: Weights by rank of the source, repeating; a source is taken this many times at most.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -87,13 +87,16 @@ def mixed(docs: DataFrame, budget: float = 1.0, weights: tuple = WEIGHTS, most:
     return rows.join(plan, "key").select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies"))
 
 
-def mixture(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; documents without a word go by their copies too."""
-    names = docs.columns
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; documents without a word go by their copies too.
+
+    All columns pass through, whatever their names.
+    """
+    rows, (i, t, s) = numbered(docs, id_col, text_col, source_col)
     # ids that several rows share have the same number of copies within one source
-    plan = mixed(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copies").alias("_copies")).distinct()
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return joined.where("_copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*names)
+    plan = mixed(rows, id_col=i, text_col=t, source_col=s).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copies").alias("_copies")).distinct()
+    joined = rows.join(plan, F.col(i).eqNullSafe(F.col("_id")) & F.col(s).eqNullSafe(F.col("_source")))
+    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*rows.columns).toDF(*docs.columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

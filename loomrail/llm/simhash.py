@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrail.llm.common import as_bytes, checkpointed, table
+from loomrail.llm.common import as_bytes, checkpointed, numbered, table
 from loomrail.llm.components import components
 
 #: Shingles hashed at once, so that one long text needs bounded memory.
@@ -60,16 +60,26 @@ def blocks_for(n: int, distance: int) -> int:
     return next((b for b in range(distance + 1, 17) if 64 * (b - distance) / b >= np.log2(max(n, 2)) + 2), 16)
 
 
-def _stars(fps: np.ndarray, distance: int, free: int, split: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def _least_near(fps: np.ndarray, label: np.ndarray, distance: int) -> np.ndarray:
+    """The least label among each member's links, itself included; compared tile by tile."""
+    out = label.copy()
+    for i in range(0, len(fps), MATRIX):
+        for j in range(0, len(fps), 8 * MATRIX):
+            near = np.bitwise_count(fps[i : i + MATRIX, None] ^ fps[None, j : j + 8 * MATRIX]) <= distance
+            out[i : i + MATRIX] = np.minimum(out[i : i + MATRIX], np.where(near, label[None, j : j + 8 * MATRIX], len(fps)).min(axis=1))
+    return out
+
+
+def _stars(fps: np.ndarray, distance: int, free: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning star for each component of the links within one bucket.
 
     free: the bits in which the members may differ. Buckets over MATRIX members are split by
-    distance + 1 blocks of these bits, which puts linked members in one part again; a part that
-    still is large is compared in strips.
+    distance + 1 blocks of these bits, which puts linked members in one part again, and so on; a part
+    that no split makes smaller is compared in tiles.
     """
     m = len(fps)
-    if m > MATRIX and split:
-        bits = [i for i in range(64) if free >> i & 1]
+    bits = [i for i in range(64) if free >> i & 1]
+    if m > MATRIX and len(bits) > 2 * distance + 2:
         us, vs = [], []
         for k in range(distance + 1):
             mask = sum(1 << i for i in bits[k * len(bits) // (distance + 1) : (k + 1) * len(bits) // (distance + 1)])
@@ -78,16 +88,13 @@ def _stars(fps: np.ndarray, distance: int, free: int, split: bool = True) -> tup
             edge = np.flatnonzero(np.diff(key[order])) + 1
             for part in np.split(order, edge):
                 if len(part) > 1:
-                    u, v = _stars(fps[part], distance, free & ~mask, False)
+                    u, v = _stars(fps[part], distance, free & ~mask)
                     us.append(u)
                     vs.append(v)
         return (np.concatenate(us), np.concatenate(vs)) if us else (fps[:0], fps[:0])
     label = np.arange(m)
     while True:
-        new = label.copy()
-        for i in range(0, m, MATRIX):
-            near = np.bitwise_count(fps[i : i + MATRIX, None] ^ fps[None, :]) <= distance
-            new[i : i + MATRIX] = np.where(near, label[None, :], m).min(axis=1)
+        new = _least_near(fps, label, distance)
         new = np.minimum(new, label[new])
         if (new == label).all():
             break
@@ -167,20 +174,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp")
 
 
-def keep_one(docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
-    """The rows of docs that stand for their component: the one of smallest doc_id (null last), then of smallest text hash.
+def keep_one(docs: DataFrame, distance: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stand for their component: the one of smallest id (null last), then of smallest text hash.
 
-    Rows equal in both id and text are one document. All columns of docs are returned.
+    Rows equal in both id and text are one document. All columns of docs are returned, whatever their names.
     """
-    rows = simhash_components(docs, distance=distance, words=words)
+    named, (i, t) = numbered(docs, id_col, text_col)
+    rows = simhash_components(named, i, t, distance=distance, words=words)
     first = rows.groupBy("component_id", "fp", "doc_id", "text_hash").count().groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "fp")).alias("k"))
     stay = first.where("component_id is not null").select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     # components without any id: one for each fingerprint class
     nameless = rows.where("component_id is null").groupBy("fp").agg(F.min("text_hash").alias("_hash")).select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("_id"), "_hash")
     stay = stay.union(nameless)
-    names = docs.columns
-    kept = docs.withColumn("_text_hash", F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*names)
+    kept = named.withColumn("_text_hash", F.xxhash64(t)).join(stay, F.col(i).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates([i, "_text_hash"]).select(*named.columns).toDF(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrail.llm.common import as_bytes, checkpointed, chunks, table
+from loomrail.llm.common import as_bytes, checkpointed, chunks, numbered, table
 from loomrail.llm.suffix_sort import deep_shallow, neighbour_lcp
 
 LENGTH, GRAM = 200, 64
@@ -27,8 +27,11 @@ REACH = LENGTH - GRAM
 SHALLOW = 96
 #: Bytes hashed at once, and contexts sorted at once.
 CHUNK, SORTED = 1 << 20, 1 << 15
-#: Grams with more occurrences than this are resolved window by window, which needs no group in one task.
+#: Grams with more occurrences than this, and than one for each 2^20 bytes of text, are resolved window by window, which
+#: needs no group in one task. There can't be more of them than 2^20.
 HOT = 1 << 16
+#: Parts that the occurrences of one hot window are dealt over.
+SALTS = 16
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -109,6 +112,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b["_k"].take(pa.array(row + i)), pa.array((at - (ends - size)[row]).astype(np.int64))], ["h", "k", "pos"])
 
 
+def _context_id(before: bytes, after: bytes) -> bytes:
+    return hashlib.blake2b(bytes([len(before)]) + before + after, digest_size=16).digest()
+
+
 def _contexts(with_texts: bool, text_col: str):
     """(h, cid, k, pos[, before, after]) of the listed anchors of each text; before is reversed."""
 
@@ -122,7 +129,7 @@ def _contexts(with_texts: bool, text_col: str):
                     for p, g in zip(at[r], grams[r]):
                         x, y = t[max(0, p - REACH) : p][::-1], t[p : p + LENGTH]
                         h.append(g)
-                        cid.append(hashlib.blake2b(x + b"|" + y, digest_size=16).digest())
+                        cid.append(_context_id(x, y))
                         if with_texts:
                             before.append(x)
                             after.append(y)
@@ -182,7 +189,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         left, right = repeated_reach(h, before, after, many)
         hit = np.flatnonzero(right)
         if len(hit):
-            cid = [hashlib.blake2b(before[i] + b"|" + after[i], digest_size=16).digest() for i in hit]
+            cid = [_context_id(before[i], after[i]) for i in hit]
             yield pa.RecordBatch.from_arrays([pa.array(cid, pa.binary()), pa.array(left[hit]), pa.array(right[hit])], ["cid", "back", "on"])
 
     h, before, after, many = np.zeros(0, np.int64), [], [], np.zeros(0, bool)
@@ -238,66 +245,97 @@ def repeated_spans(rows: DataFrame, copies: DataFrame, id_col: str = "doc_id", t
     so that a later join of rows by _k finds the same exchange and the texts are dealt out once.
     """
     long = rows.where(F.octet_length(text_col) >= LENGTH).select("_k", F.col(text_col).alias("text"))
+    total = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     found = long.mapInArrow(_anchor_rows, "h long, k binary, pos long")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
-    listed = found.join(twice, "h").groupBy(F.col("k").alias("_k"), F.col("hot").alias("_hot")).agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("p"))
+    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    limit = max(HOT, total >> 20)
+    # hot grams (2^20 at most, of 8 bytes) part from the others before the join, which no hot key is in then
+    flagged = found.join(F.broadcast(twice.where(F.col("n") > limit).select("h", F.lit(True).alias("hot"))), "h", "left")
+    cold = flagged.where("hot is null").drop("hot").join(twice.where(F.col("n") <= limit).select("h"), "h").select("k", "h", "pos", F.lit(False).alias("_hot"))
+    every = cold.union(flagged.where("hot").select("k", "h", "pos", F.lit(True)))
+    listed = every.groupBy(F.col("k").alias("_k"), "_hot").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("p"))
     chosen = checkpointed(listed.join(copies, "_k").select("_k", "_hot", "_least", F.col("p.pos").alias("_at"), F.col("p.h").alias("_grams")))
     # two comparisons, as an equality would become a key of the joins and take them to another exchange
     least = ((F.col(id_col) >= F.col("_least")) & (F.col(id_col) <= F.col("_least"))) | (F.col(id_col).isNull() & F.col("_least").isNull())
-    cold = rows.join(chosen.where("not _hot"), "_k").where(least)
+    texts = rows.join(chosen.where("not _hot"), "_k").where(least)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = cold.mapInArrow(_contexts(True, text_col), "h long, before binary, after binary").groupBy("h", "before", "after").agg(F.count("*").alias("n"))
+    distinct = texts.mapInArrow(_contexts(True, text_col), "h long, before binary, after binary").groupBy("h", "before", "after").agg(F.count("*").alias("n"))
     reach = distinct.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_sorted_groups, "cid binary, back long, on long")
-    placed = cold.mapInArrow(_contexts(False, text_col), "cid binary, k binary, pos long").join(reach, "cid")
+    placed = texts.mapInArrow(_contexts(False, text_col), "cid binary, k binary, pos long").join(reach, "cid")
     ranges = placed.select("k", (F.col("pos") - F.col("back")).alias("s"), (F.col("pos") + F.col("on")).alias("e"))
     windows = rows.join(chosen.where("_hot"), "_k").where(least).mapInArrow(_hot_windows(text_col), "window binary, k binary, pos long")
     one = F.xxhash64("k", "pos")
-    seen = windows.groupBy("window").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b").select("window")
-    hot = windows.join(seen, "window").select("k", F.col("pos").alias("s"), (F.col("pos") + LENGTH).alias("e"))
+    # one window may stand in any number of texts, so its occurrences are dealt over parts that each get the answer
+    seen = windows.groupBy("window").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b").select("window", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hot = windows.withColumn("salt", F.pmod(one, F.lit(SALTS)).cast("int")).join(seen, ["window", "salt"]).select("k", F.col("pos").alias("s"), (F.col("pos") + LENGTH).alias("e"))
     merged = ranges.union(hot).groupBy(F.col("k").alias("_k")).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("r"))
     # consecutive ranges that touch or overlap become one
     join = F.aggregate("r", F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)"), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))))
     return merged.join(copies.where("_copies = 1"), "_k", "left_semi").select("_k", join.alias("_spans"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _n_bytes, _n_removed, _n_spans and _rest, the bytes that stay; _rest is null where nothing goes.
+def _kept(spans: Column, whole: Column, data: Column, piece=lambda x: x) -> Column:
+    """What lies between the spans, each piece by itself, put together; data where there are none."""
+    empty = piece(F.lit(b""))
+    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("kept"))
+    parts = F.aggregate(spans, start, lambda acc, x: F.struct(x["e"].alias("at"), F.concat(acc["kept"], piece(F.substring(data, (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int")))).alias("kept")))
+    return F.when(whole, empty).when(spans.isNotNull(), F.concat(parts["kept"], piece(F.substring(data, (parts["at"] + 1).cast("int"), F.octet_length(data)))))
 
-    Bytes are judged on the input. Null and empty texts, and those under 200 bytes, lose nothing. A
-    text of 200 bytes or more with a copy goes wholly, in all copies. Every row stays, and columns
-    besides id and text pass through whatever their names, but for names that begin with an underscore.
-    """
-    rows = keyed(docs, text_col)
+
+def _edited(rows: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column, Column]:
+    """rows with _spans and _whole, and the two as columns: the spans to cut, and whether all of a text goes. rows has _k and no other name with an underscore."""
     copies = copies_of(rows, id_col, text_col)
     spans = repeated_spans(rows, copies, id_col, text_col)
     edits = spans.withColumn("_whole", F.lit(False)).unionByName(copies.where("_copies > 1").select("_k", F.lit(None).cast(spans.schema["_spans"].dataType).alias("_spans"), F.lit(True).alias("_whole")))
-    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    whole = F.coalesce(F.col("_whole"), F.lit(False)) & (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) >= LENGTH)
+    return rows.join(edits, "_k", "left"), F.col("_spans"), whole
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and rest, the bytes that stay; rest is null where nothing goes.
+
+    Bytes are judged on the input. Null and empty texts, and those under 200 bytes, lose nothing. A
+    text of 200 bytes or more with a copy goes wholly, in all copies. Every row stays, and all columns
+    pass through, but for older ones of the four names.
+    """
+    named, (i, t) = numbered(docs, id_col, text_col)
+    edited, spans, whole = _edited(keyed(named, t), i, t)
+    data = F.coalesce(F.col(t), F.lit("")).cast("binary")
+    out = edited.withColumn("_rest", _kept(spans, whole, data))
     size = F.octet_length(data)
-    # what lies between the spans, put together
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("kept"))
-    parts = F.aggregate("_spans", start, lambda acc, x: F.struct(x["e"].alias("at"), F.concat(acc["kept"], F.substring(data, (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int"))).alias("kept")))
-    whole = F.coalesce(F.col("_whole"), F.lit(False)) & (size >= LENGTH)
-    rest = F.when(whole, F.lit(b"")).when(F.col("_spans").isNotNull(), F.concat(parts["kept"], F.substring(data, (parts["at"] + 1).cast("int"), size)))
     removed = F.when(F.col("_rest").isNotNull(), size - F.octet_length("_rest")).otherwise(0)
-    n_spans = F.when(whole, 1).otherwise(F.coalesce(F.array_size("_spans"), F.lit(0)))
-    out = rows.join(edits, "_k", "left").withColumn("_rest", rest)
-    return out.select(*docs.columns, size.cast("long").alias("_n_bytes"), removed.cast("long").alias("_n_removed"), n_spans.cast("long").alias("_n_spans"), "_rest")
+    n_spans = F.when(whole, 1).otherwise(F.coalesce(F.array_size(spans), F.lit(0)))
+    new = {"n_bytes": size.cast("long"), "n_removed": removed.cast("long"), "n_spans": n_spans.cast("long"), "rest": F.col("_rest")}
+    old = [F.col(c).alias(name) for c, name in zip(named.columns, docs.columns) if name not in new]
+    return out.select(*old, *(c.alias(name) for name, c in new.items()))
+
+
+def _valid(piece: Column) -> Column:
+    """A piece as text without the characters that its ends cut; characters U+FFFD of the text itself stay."""
+    marked = F.replace(F.replace(piece.cast("string"), F.lit("\ufffe"), F.lit("\ufffeb")), F.lit("\ufffd"), F.lit("\ufffea"))
+    clean = F.replace(F.make_valid_utf8(marked), F.lit("\ufffd"), F.lit(""))
+    return F.replace(F.replace(clean, F.lit("\ufffea"), F.lit("\ufffd")), F.lit("\ufffeb"), F.lit("\ufffe"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with every repeated 200-byte string cut out of text, and n_chars counted anew; all other columns as they are.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs with every repeated 200-byte string cut out of text, and n_chars (if there) counted anew; all other columns as they are.
 
     A character that a cut leaves incomplete goes with it. A text with copies becomes empty in all
     of them (keep one first if one should stay). Rows whose text becomes empty are dropped; rows
     that were null or empty before stay as they are.
     """
-    rows = deduplicated(docs).where("_rest is null or octet_length(_rest) > 0")
-    text = F.when(F.col("_rest").isNull(), F.col("text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("_rest").cast("string")), "\ufffd", ""))
-    chars = F.when(F.col("_rest").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
-    return rows.withColumn("text", text).withColumn("n_chars", chars).select(*docs.columns)
+    named, (i, t) = numbered(docs, id_col, text_col)
+    edited, spans, whole = _edited(keyed(named, t), i, t)
+    out = edited.withColumn("_new", _kept(spans, whole, F.col(t).cast("binary"), _valid)).where("_new is null or octet_length(_new) > 0")
+    text = F.coalesce(F.col("_new"), F.col(t))
+    columns = []
+    for c, name in zip(named.columns, docs.columns):
+        new = text if name == text_col else F.when(F.col("_new").isNull(), F.col(c)).otherwise(F.char_length("_new").cast(named.schema[c].dataType)) if name == chars_col else F.col(c)
+        columns.append(new.alias(name))
+    return out.select(*columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    kept = F.sha2(F.coalesce("_rest", F.coalesce("text", F.lit("")).cast("binary")), 256)
-    return rows.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), kept.alias("kept_sha256"))
+    kept = F.sha2(F.coalesce("rest", F.coalesce("text", F.lit("")).cast("binary")), 256)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", kept.alias("kept_sha256"))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from loomrail.llm import byte_bpe, catalog, chat_format, html_text, language_id, mixing, perplexity, simhash, suffix_dedup, suffix_sort, topk_search, toxic_spans
@@ -20,8 +21,6 @@ SCHEMA = "doc_id long, text string, lang string, source string"
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    from pyspark.sql import functions as F
-
     names = {c: F.lit(i) for i, c in enumerate(["k", "h", "key", "fp", "label", "size", "hash", "pos", "at"])}
     return spark.createDataFrame(ODD, SCHEMA).withColumns(names).withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -317,12 +316,30 @@ def test_empty_tables(spark, odd):
 
 
 def test_chat_odd_rows(spark):
-    rows = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, None, None, "x"), (None, 1, "ann", "y"), (2, 0, "system", "z")], "conv_id long, turn long, role string, text string")
+    rows = spark.createDataFrame([(1, 0, "system", "s", 7), (1, 1, "ann", "hi <|end|> <\\|", 7), (1, 2, "bob", None, 7), (1, None, None, "x", 7), (1, 5, "unknown", "y", 7), (None, 1, "a|>\n", "y", 7), (2, 0, "system", "z", 7)], "conv_id long, turn long, role string, text string, segment int")
     got = chat_format.perspectives(rows).collect()
-    assert Counter(r["speaker"] for r in got) == {"ann": 5, "bob": 4, "unknown": 4}
-    whole = chat_format.renderings(rows).where("conv_id = 1 and speaker = 'bob'").first()
-    assert whole["rendering"] == "<|system|>\ns<|end|>\n<|user name=ann|>\nhi<|end|>\n<|assistant|>\n<|end|>\n<|user name=unknown|>\nx<|end|>\n"
-    assert [whole["rendering"][m["start_at"] : m["end_at"]] for m in whole["masks"]] == ["<|assistant|>\n<|end|>\n"]
+    assert Counter(r["speaker"] for r in got) == {"ann": 5, "bob": 5, "unknown": 5, None: 5, "a|>\n": 1}
+    whole = {r["speaker"]: r for r in chat_format.renderings(rows).where("conv_id = 1").collect()}
+    said = "<|system|>\ns<|end|>\n<|user name=ann|>\nhi <\\|end|> <\\\\|<|end|>\n{}<|end|>\n<|user name=unknown|>\ny<|end|>\n{}x<|end|>\n"
+    assert whole["bob"]["rendering"] == said.format("<|assistant|>\n", "<|user|>\n")
+    assert whole[None]["rendering"] == said.format("<|user name=bob|>\n", "<|assistant|>\n")
+    for who, learned in (("bob", "<|end|>\n"), (None, "x<|end|>\n"), ("ann", "hi <\\|end|> <\\\\|<|end|>\n")):
+        assert [whole[who]["rendering"][m["start_at"] : m["end_at"]] for m in whole[who]["masks"]] == [learned]
+    odd = rows.where("conv_id is null").withColumns({"role": F.lit("b"), "conv_id": F.lit(3)}).union(rows.where("conv_id is null").withColumn("conv_id", F.lit(3)))
+    assert {r["segment"] for r in chat_format.perspectives(odd).where("as_role = 'user'").collect()} == {"<|user name=b|>\ny<|end|>\n", "<|user name=a\\b>\\n|>\ny<|end|>\n"}
+    assert chat_format.perspectives(rows.where("false")).count() == chat_format.renderings(rows.where("false")).count() == 0
+
+
+def test_long_conversations_and_repeated_messages(spark):
+    rows = [(1, t, ("ann", "bob")[t % 2], f"m{t % 7}") for t in range(2500)] + [(1, None, "ann", "same")] * 300 + [(1, 9, "bob", f"n{k}") for k in range(300)]
+    got = chat_format.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for who in ("ann", "bob"):
+        own = sorted((r for r in got if r["speaker"] == who), key=lambda r: r["pos"])
+        assert [r["pos"] for r in own] == list(range(1, len(rows) + 1))
+        assert [r["start_at"] for r in own] == [0, *np.cumsum([len(r["segment"]) for r in own])[:-1].tolist()]
+        assert sorted(Counter(r["segment"] for r in own).values())[-1] >= 300
+        turns = [r["turn"] for r in own]
+        assert turns == sorted(turns, key=lambda t: (t is None, t))
 
 
 def test_pipeline(spark):
@@ -333,3 +350,25 @@ def test_pipeline(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents whose other columns have the names of helper columns."""
+    text = "".join(f"ä{k} " for k in range(90))
+    rows = [(1, "é" * 3 + text + "漢", "en", "a"), (2, "ç" * 3 + text + "�x 漠", "en", "a"), (3, "kurz", "de", None), (None, None, None, "b")]
+    names = ["_k", "_rest", "_spans", "_whole", "_new", "_id", "_hash", "_text_hash", "_source", "_copies", "_copy", "_text", "label", "h", "key", "fp"]
+    return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(i) for i, c in enumerate(names)})
+
+
+@pytest.mark.parametrize("stage", [simhash.keep_one, suffix_dedup.without_repeats, mixing.mixture, language_id.in_known_language])
+def test_clashing_columns_pass_through(spark, clashing, stage):
+    rows = stage(clashing).collect()
+    assert stage(clashing).columns == clashing.columns and rows
+    assert {tuple(r)[4:] for r in rows} == {tuple(range(len(clashing.columns) - 4))}
+
+
+def test_cuts_take_broken_characters_only(spark, clashing):
+    rows = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(clashing).collect()}
+    # 漢 and 漠 share their first two bytes, é and ç their first; the U+FFFD of the text stays
+    assert rows == {1: "é" * 3 + "漢", 2: "ç" * 3 + "�x 漠", 3: "kurz", None: None}

@@ -1,48 +1,49 @@
 """Quality rules with n-gram perplexity: a modified Kneser-Ney model of each language, counted by Spark.
 
-Word order has a score of its own: bigrams of words across the whole text, smoothed by the words' own
-shares, with the document's own counts taken out. Blocks hand in their bigrams as packed arrays by range
-of hash, and get back how often each of them stands in other blocks.
-
-The first model's units are characters within words (a word begins and ends with a mark). One pass over the
-texts turns them into blocks of bounded size: the words of the block, and each document as counts of
-words. An n-gram is known by a 60-bit hash, 15 bits for each character, so that its context and its
-suffix are bits of the hash. Counts, discounts and probabilities are joins and windows over all n-grams
-of the corpus; nothing of the model is broadcast or collected but sixteen counts of counts. Each block
-then gets the n-grams it holds, as an array sorted by hash, and its documents are scored with that.
+Words follow words by interpolated modified Kneser-Ney: bigrams, below them the number of different
+words before a word, and below that the spelling of the word by a Kneser-Ney model of characters. Texts
+are dealt into two folds, near copies into one, and each text is scored by the model of the other fold,
+so that no text, and no copy of one, vouches for itself.
+
+One pass turns the texts into blocks of bounded size, of one fold each: the words of the block, and
+each document as a sequence of them. Blocks hand in their bigrams as sorted arrays of 48-bit hashes by
+range of hash, and get back how often each stands in either fold; one block owns each bigram and adds it
+to the sums of its words, which go the same way once more. An n-gram of characters is known by its code
+points, 21 bits for each, and counted and estimated by joins and windows. Nothing of the model is
+collected; each block gets the counts that it needs and scores its documents.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomrail.llm.common import checkpointed, chunks, shared_folder, table
+from loomrail.llm.common import checkpointed, chunks, new_folder, table
 
-ORDER, BITS = 4, 15
-#: Codes of characters are 1 to PRIME (equal up to U+7FEC); the marks of a word's begin and end come after them.
-PRIME, END, BEGIN = 32749, 32766, 32767
+#: Characters of an n-gram, bits of each, and the marks of a word's end and begin, which are no code points.
+ORDER, BITS = 3, 21
+END, BEGIN = 0x110001, 0x110002
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 24 << 20
-#: Bands: so many median absolute deviations of the log perplexity from its median, by language. With planted
-#: junk on sf0.01 the English rows of the corpus lay from -5.6 to 10.9, texts of the commonest words below -8.2, random letters above 47.
-BELOW, ABOVE = 7.0, 14.0
-#: The same upwards for the score of word order; low values are copies, which are no junk.
-ABOVE_ORDER = 12.0
-#: Weight of a word's own share against the bigrams of the word before it.
-PRIOR = 50.0
+BLOCK = 16 << 20
+#: Bands: so many distances to the nearer quartile of the log perplexity from its median, by language. On sf0.1 all but 2 % of
+#: the rows lay from -5 to 6, near copies that the folds part from -16 to -8, words with signs stuck to them from 9 on;
+#: planted texts of the 14 commonest words lay below -14, random letters above 24.
+BELOW, ABOVE = 11.0, 10.0
 #: Least number of ranges of hashes, and bytes of packed word sequences for each range where there are more.
 RANGES, RANGE = 32, 8 << 20
 MIN_WORDS, MAX_REPEATED = 50, 50
 SPACE = "\t\n\x0b\x0c\r "
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Sums of a word in a fold: occurrences before another word, of those followed once, twice and more by the same, and words before it.
+SUMS = 5
 
 
 def model_of(lang: str | None) -> str:
@@ -51,7 +52,7 @@ def model_of(lang: str | None) -> str:
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word, hash) of each predicted character, the end included: the hash is of the character and of up to ORDER - 1 before it."""
+    """(word, gram) of each predicted character, the end included: the gram is the character after up to ORDER - 1 before it."""
     texts = [w.decode("utf-8", "replace") for w in words]
     size = np.array([len(t) for t in texts], np.int64) + 2
     start = np.cumsum(size) - size
@@ -59,7 +60,7 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     codes[start] = BEGIN
     inner = np.ones(len(codes), bool)
     inner[start] = inner[start + size - 1] = False
-    codes[inner] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % PRIME + 1
+    codes[inner] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
     place = np.arange(len(codes)) - np.repeat(start, size)
     h = codes.copy()
     for k in range(1, ORDER):
@@ -100,6 +101,13 @@ def repeated_words(ids: np.ndarray) -> int:
     return int(covered[:-1].sum())
 
 
+def discounts(n1, n2, n3, n4) -> tuple[float, float, float]:
+    """What is taken off counts of one, two and more, from how many n-grams have each count."""
+    n1, n2, n3, n4 = (max(float(n), 1.0) for n in (n1, n2, n3, n4))
+    y = n1 / (n1 + 2 * n2)
+    return tuple(np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.1, [0.9, 1.9, 2.9]).tolist())
+
+
 def _packed(batch: pa.RecordBatch, level: int = 9) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as w:
@@ -111,6 +119,26 @@ def _unpacked(data: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(data.as_buffer()).read_all()
 
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Whole numbers of equally long columns, byte by byte of all numbers so that what is small compresses."""
+    width = [max((int(c.max(initial=0)).bit_length() + 7) // 8, 1) for c in columns]
+    planes = [np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for c, w in zip(columns, width)]
+    return bytes(width) + pa.Codec("zstd", 1).compress(b"".join(planes), asbytes=True)
+
+
+def unpack(data: bytes, columns: int, n: int) -> list[np.ndarray]:
+    """The columns of pack; n is how many numbers each has."""
+    width = list(data[:columns])
+    raw = np.frombuffer(pa.Codec("zstd", 1).decompress(data[columns:], sum(width) * n, asbytes=True), np.uint8)
+    out, at = [], 0
+    for w in width:
+        c = np.zeros((n, 8), np.uint8)
+        c[:, :w] = raw[at : at + w * n].reshape(w, n).T
+        out.append(c.reshape(-1).view("<u8").astype(np.int64))
+        at += w * n
+    return out
+
+
 def _by_model(rows: pa.Table) -> Iterator[tuple[str, np.ndarray]]:
     """Each model of the rows with the places of its rows."""
     names = rows["model"].combine_chunks()
@@ -120,7 +148,7 @@ def _by_model(rows: pa.Table) -> Iterator[tuple[str, np.ndarray]]:
         yield m, np.flatnonzero(which == i)
 
 
-def _block(ids: pa.Array, hashes: pa.Array, langs: list, texts: list) -> pa.RecordBatch:
+def _block(fold: int, ids: list, hashes: list, langs: list, texts: list) -> pa.RecordBatch:
     held: list[tuple[str, bytes]] = []
     models: dict = {}
     counts, every = [], [np.zeros(0, np.int64)]
@@ -135,136 +163,215 @@ def _block(ids: pa.Array, hashes: pa.Array, langs: list, texts: list) -> pa.Reco
         every.append(own)
     places = np.concatenate(every)
     n = np.bincount(places, minlength=len(held)).astype(np.int64)
-    docs = pa.RecordBatch.from_arrays([ids, hashes, pa.array(langs, pa.string()), *(pa.array(list(c), pa.int64()) for c in zip(*counts))], ["_id", "text_hash", "lang", *COUNTS])
+    docs = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(hashes), pa.array(langs, pa.string()), *(pa.array(list(c), pa.int64()) for c in zip(*counts))], ["_id", "text_hash", "lang", *COUNTS])
     uses = pa.RecordBatch.from_arrays([pa.array((places & 255).astype(np.uint8)), pa.array((places >> 8).astype(np.int32))], ["low", "high"])
     words = pa.RecordBatch.from_arrays([pa.array([m for m, _ in held], pa.string()).dictionary_encode(), pa.array([w for _, w in held], pa.binary()), pa.array(n)], ["model", "word", "n"])
-    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), *(pa.array([_packed(x)], pa.binary()) for x in (docs, uses, words))], ["block", "docs", "uses", "words"])
+    found = sorted({m for m, _ in held})
+    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([fold]), pa.array([found], pa.list_(pa.string())), *(pa.array([_packed(x)], pa.binary()) for x in (docs, uses, words))], ["block", "fold", "models", "docs", "uses", "words"])
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(block, docs, uses, words): one row for about BLOCK bytes of text, packed; written once, so that a block's number stays its own."""
+def fold_of(words: list[bytes]) -> int:
+    """0 or 1 by a min-hash of a text's words, of those over four bytes if there are any, so that near copies mostly agree."""
+    some = set(words)
+    some = {w for w in some if len(w) > 4} or some
+    if not some:
+        return 0
+    x = (np.fromiter(map(zlib.crc32, some), np.uint64, len(some)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return int((x ^ (x >> np.uint64(32))).min() >> np.uint64(3)) & 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, langs, texts, size = [], [], [], [], 0
-        for b in batches:
-            new, l, i, h = b["text"].to_pylist(), b["lang"].to_pylist(), b["_id"], b["text_hash"]
-            for at, to in chunks([t or "" for t in new], BLOCK // 8):
-                more = sum(len(t or "") for t in new[at:to])
-                if size and size + more > BLOCK:
-                    yield _block(pa.concat_arrays(ids), pa.concat_arrays(hashes), langs, texts)
-                    ids, hashes, langs, texts, size = [], [], [], [], 0
-                ids.append(i.slice(at, to - at))
-                hashes.append(h.slice(at, to - at))
-                langs, texts, size = langs + l[at:to], texts + new[at:to], size + more
-        if ids:
-            yield _block(pa.concat_arrays(ids), pa.concat_arrays(hashes), langs, texts)
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    path = f"{shared_folder(docs.sparkSession)}/ngram-blocks-{uuid.uuid4().hex}"
-    rows.mapInArrow(run, "block long, docs binary, uses binary, words binary").write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+class Waiting:
+    """Rows of one fold that are not yet a block."""
+
+    def __init__(self, fold: int) -> None:
+        self.fold, self.size = fold, 0
+        self.ids, self.hashes, self.langs, self.texts = [], [], [], []
 
+    def add(self, b: pa.RecordBatch, lang: list, text: list, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = [text[i] for i in at]
+        for i, j in chunks([t or "" for t in new], BLOCK // 8):
+            more = sum(len(t or "") for t in new[i:j])
+            if self.size and self.size + more > BLOCK:
+                yield from self.rest()
+            places = pa.array(at[i:j])
+            self.ids.append(b["_id"].take(places))
+            self.hashes.append(b["text_hash"].take(places))
+            self.langs += [lang[k] for k in at[i:j]]
+            self.texts += new[i:j]
+            self.size += more
 
-def _sequence(uses: pa.Table) -> np.ndarray:
-    return uses["low"].to_numpy() + (uses["high"].to_numpy().astype(np.int64) << 8)
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.ids:
+            yield _block(self.fold, self.ids, self.hashes, self.langs, self.texts)
+            self.__init__(self.fold)
 
 
-def _hash(model: str, word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8, key=hashlib.blake2b(model.encode("utf-8", "replace"), digest_size=16).digest()).digest(), "little")
+def blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(block, fold, models, docs, uses, words): one row for about BLOCK bytes of text, packed; written once, so that a block's number stays its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = [Waiting(0), Waiting(1)]
+        for b in batches:
+            text, lang = b["text"].to_pylist(), b["lang"].to_pylist()
+            fold = np.array([fold_of((t or "").encode("utf-8", "replace").split()) for t in text], np.int64)
+            for w in waiting:
+                yield from w.add(b, lang, text, np.flatnonzero(fold == w.fold))
+        for w in waiting:
+            yield from w.rest()
 
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    path = new_folder(docs.sparkSession, "ngram-blocks")
+    rows.mapInArrow(run, "block long, fold long, models array<string>, docs binary, uses binary, words binary").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
-def word_order(docs: pa.Table, uses: pa.Table, words: pa.Table) -> tuple[np.ndarray, ...]:
-    """Sorted 48-bit hashes of the block's words, bigrams and models, with occurrences; and the place among these of each.
 
-    (hashes, occurrences, place of each word, of each word's model, place of each bigram, its
-    document, its first and its second word)
-    """
-    seq, n = _sequence(uses), docs["n_words"].to_numpy()
-    doc = np.repeat(np.arange(len(n)), n)
-    inside = doc[1:] == doc[:-1]
-    first, second = seq[:-1][inside], seq[1:][inside]
-    h, whole = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
-    texts = words["word"].to_pylist()
-    for m, at in _by_model(words):
-        h[at] = np.array([_hash(m, texts[i]) for i in at], np.uint64)
-        whole[at] = _hash(m, b" ")  # no word holds white space
-    pair = h[first] * np.uint64(0x9E3779B97F4A7C15) + (h[second] ^ (h[second] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    pair = (pair ^ (pair >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    keys = np.concatenate([h, whole, pair]) >> np.uint64(16)
-    times = np.concatenate([words["n"].to_numpy(), words["n"].to_numpy(), np.ones(len(pair), np.int64)])
-    u, at = np.unique(keys, return_inverse=True)
-    k = len(words)
-    return u.astype(np.int64), np.bincount(at, weights=times, minlength=len(u)).astype(np.int64), at[:k], at[k : 2 * k], at[2 * k :], doc[1:][inside], first, second
-
-
-def _pack(*columns: np.ndarray) -> bytes:
-    return _packed(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [str(i) for i in range(len(columns))]), 1)
-
-
-def seen_elsewhere(parts: DataFrame) -> DataFrame:
-    """(block, data): of the hashes of word_order, the places of those that other blocks hold too, and how often those hold them."""
-    ranges = max(RANGES, (parts.agg(F.sum(F.octet_length("uses")).alias("n")).first()["n"] or 0) // RANGE)
+class Bigrams:
+    """The distinct bigrams of a block in order of their hashes, and where each word of its texts stands among them."""
+
+    def __init__(self, docs: pa.Table, uses: pa.Table, words: pa.Table) -> None:
+        self.words = words
+        self.seq = uses["low"].to_numpy() + (uses["high"].to_numpy().astype(np.int64) << 8)
+        self.size = docs["n_words"].to_numpy()
+        self.inside = np.ones(len(self.seq), bool)
+        self.inside[(np.cumsum(self.size) - self.size)[self.size > 0]] = False
+        second = self.seq[self.inside]
+        first = self.seq[:-1][self.inside[1:]] if len(self.seq) else second
+        key, self.place, n = np.unique(first * max(len(words), 1) + second, return_inverse=True, return_counts=True)
+        first, second = key // max(len(words), 1), key % max(len(words), 1)
+        self.hash = np.zeros(len(words), np.uint64)
+        texts = words["word"].to_pylist()
+        for m, at in _by_model(words):
+            seed = xxhash.xxh64_intdigest(m.encode("utf-8", "replace"))
+            self.hash[at] = np.fromiter((xxhash.xxh3_64_intdigest(texts[i], seed) for i in at), np.uint64, len(at))
+        pair = self.hash[first] * np.uint64(0x9E3779B97F4A7C15) + (self.hash[second] ^ (self.hash[second] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        pair = (pair ^ (pair >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(16)
+        order = np.argsort(pair, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.place = back[self.place]
+        self.keys, self.first, self.second, self.n = pair[order].astype(np.int64), first[order], second[order], n[order].astype(np.int64)
+        self.hash = (self.hash >> np.uint64(16)).astype(np.int64)
+
+    def counts(self, fold: int, answers: list) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of each bigram in either fold, and whether this block owns it."""
+        c, owned = np.zeros((2, len(self.keys)), np.int64), np.ones(len(self.keys), bool)
+        c[fold] = self.n
+        for found, size in answers:
+            at, c0, c1, mine = unpack(found, 4, size)
+            c[0][at], c[1][at], owned[at] = c0, c1, mine > 0
+        return c, owned
+
+
+def _answers(rows: pa.Table, kind: int) -> list[tuple]:
+    """(model, data, size) of the answers of a kind."""
+    rows = rows.filter(pc.equal(rows["kind"], kind))
+    return list(zip(rows["model"].to_pylist(), rows["data"].to_pylist(), rows["size"].to_pylist()))
+
+
+def bigram_counts(parts: DataFrame, ranges: int) -> DataFrame:
+    """(block, data, size): of the bigrams that several blocks hold, their places, occurrences in either fold, and the one owner."""
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, *packed in zip(b["block"].to_pylist(), b["docs"], b["uses"], b["words"]):
-                keys, n, *_ = word_order(*map(_unpacked, packed))
+            for block, fold, *packed in zip(b["block"].to_pylist(), b["fold"].to_pylist(), b["docs"], b["uses"], b["words"]):
+                own = Bigrams(*map(_unpacked, packed))
+                ends = np.searchsorted(own.keys, np.arange(ranges + 1) * (1 << 48) // ranges)
+                for k in range(ranges):
+                    i, j = ends[k], ends[k + 1]
+                    if i < j:
+                        data = pack(np.diff(own.keys[i:j], prepend=0), own.n[i:j])
+                        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([block]), pa.array([fold]), pa.array([i]), pa.array([data], pa.binary()), pa.array([j - i])], ["range", "block", "fold", "first", "data", "size"])
+
+    def take(rows: pa.Table) -> pa.Table:
+        size = rows["size"].to_numpy()
+        got = [unpack(d, 2, n) for d, n in zip(rows["data"].to_pylist(), size)]
+        n, fold = np.concatenate([g[1] for g in got]), np.repeat(rows["fold"].to_numpy(), size)
+        _, index, at, times = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_index=True, return_inverse=True, return_counts=True)
+        c = [np.bincount(at, weights=np.where(fold == f, n, 0)).astype(np.int64)[at] for f in (0, 1)]
+        owner = np.zeros(len(at), np.int64)
+        owner[index] = 1
+        shared, out, start = times[at] > 1, [], 0
+        for block, first, m in zip(rows["block"].to_pylist(), rows["first"].to_pylist(), size):
+            found = np.flatnonzero(shared[start : start + m])
+            k = found + start
+            out.append((block, pack(found + first, c[0][k], c[1][k], owner[k]), len(found)))
+            start += m
+        return pa.table(dict(zip(("block", "data", "size"), (pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int64()))))))
+
+    given = parts.mapInArrow(give, "range long, block long, fold long, first long, data binary, size long")
+    return checkpointed(given.groupBy("range").applyInArrow(take, "block long, data binary, size long").where("size > 0"))
+
+
+def _counts_of(values: np.ndarray) -> list[int]:
+    """How many values are 1, 2, 3 and 4, and how many are not 0."""
+    return [int((values == k).sum()) for k in (1, 2, 3, 4)] + [int((values > 0).sum())]
+
+
+def word_sums(parts: DataFrame, pairs: DataFrame, ranges: int) -> DataFrame:
+    """(block, model, data, size, stats): a block's words with their sums in the other fold; and without a block, a model's counts of counts."""
+    kinds = "range long, block long, fold long, model string, first long, data binary, size long, stats array<long>"
+    names = [k.split()[0] for k in kinds.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+
+    def give(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        found = list(zip(right["data"].to_pylist(), right["size"].to_pylist()))
+        for block, fold, *packed in zip(left["block"].to_pylist(), left["fold"].to_pylist(), left["docs"], left["uses"], left["words"]):
+            own = Bigrams(*map(_unpacked, packed))
+            c, owned = own.counts(fold, found)
+            w, sums = len(own.words), []
+            for f in (0, 1):
+                n = np.where(owned, c[f], 0)
+                sums += [np.bincount(own.first, weights=x, minlength=w).astype(np.int64) for x in (n, n == 1, n == 2, n > 2)] + [np.bincount(own.second[n > 0], minlength=w)]
+            for m, at in _by_model(own.words):
+                here = np.zeros(w, bool)
+                here[at] = True
+                stats = [x for f in (0, 1) for x in _counts_of(np.where(owned & here[own.first], c[f], 0))]
+                out.append((xxhash.xxh64_intdigest(m.encode("utf-8", "replace")) % ranges, None, None, m, None, None, None, stats))
+                at = at[np.argsort(own.hash[at], kind="stable")]
+                keys = own.hash[at]
                 ends = np.searchsorted(keys, np.arange(ranges + 1) * (1 << 48) // ranges)
                 for k in range(ranges):
                     i, j = ends[k], ends[k + 1]
                     if i < j:
-                        data = _pack(np.diff(keys[i:j], prepend=0), n[i:j].astype(np.int32))
-                        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([block]), pa.array([i]), pa.array([data], pa.binary())], ["range", "block", "first", "data"])
+                        out.append((k, block, fold, m, i, pack(np.diff(keys[i:j], prepend=0), *(s[at[i:j]] for s in sums)), j - i, None))
+        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
 
     def take(rows: pa.Table) -> pa.Table:
-        got = [_unpacked(d) for c in rows["data"].chunks for d in c]
-        size = [len(t) for t in got]
-        own = np.concatenate([t["1"].to_numpy() for t in got]).astype(np.int64)
-        _, at = np.unique(np.concatenate([np.cumsum(t["0"].to_numpy()) for t in got]), return_inverse=True)
-        others = np.bincount(at, weights=own).astype(np.int64)[at] - own
-        out, start = [], 0
-        for first, n in zip(rows["first"].to_pylist(), size):
-            found = np.flatnonzero(others[start : start + n])
-            out.append(_pack(found + first, others[start : start + n][found]))
-            start += n
-        return pa.table({"block": rows["block"], "data": pa.array(out, pa.binary())})
-
-    given = parts.mapInArrow(give, "range long, block long, first long, data binary")
-    return given.groupBy("range").applyInArrow(take, "block long, data binary")
-
-
-def order_score(parts: tuple, elsewhere: list) -> np.ndarray:
-    """Mean of -log p(word | word before) of each document, counts without the document's own; NaN without a bigram."""
-    docs = parts[0]
-    _, n, word, whole, pair, doc, _, second = word_order(*parts)
-    n = n.astype(np.float64)
-    for t in elsewhere:
-        n[t["0"].to_numpy()] += t["1"].to_numpy()
-
-    def without_own(at: np.ndarray, documents: np.ndarray) -> np.ndarray:
-        _, back, own = np.unique(documents * len(n) + at, return_inverse=True, return_counts=True)
-        return n[at] - own[back]
-
-    size = docs["n_words"].to_numpy()
-    both = without_own(pair, doc)
-    seq = _sequence(parts[1])
-    owner = np.repeat(np.arange(len(size)), size)
-    single = without_own(word[seq], owner)
-    inside = owner[1:] == owner[:-1]
-    before, after = single[:-1][inside], single[1:][inside]
-    total = np.maximum(n[whole[second]] - size[doc], 0)
-    share = (after + 0.5) / (total + 1)
-    log_p = np.log((both + PRIOR * share) / (before + PRIOR))
-    held = np.bincount(doc, minlength=len(size))
-    return np.where(held > 0, -np.bincount(doc, weights=log_p, minlength=len(size)) / np.maximum(held, 1), np.nan)
+        total: dict[str, np.ndarray] = {}
+        for m, s in zip(rows["model"].to_pylist(), rows["stats"].to_pylist()):
+            if s is not None:
+                total[m] = total.get(m, np.zeros(20, np.int64)) + np.array([*s, *[0] * 10])
+        rows, out = rows.filter(pc.is_valid(rows["data"])), []
+        for m, at in _by_model(rows):
+            mine = rows.take(pa.array(at))
+            size = mine["size"].to_numpy()
+            got = [unpack(d, 1 + 2 * SUMS, n) for d, n in zip(mine["data"].to_pylist(), size)]
+            _, at = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
+            sums = [np.bincount(at, weights=np.concatenate([g[1 + k] for g in got])).astype(np.int64) for k in range(2 * SUMS)]
+            total[m] = total.get(m, np.zeros(20, np.int64)) + np.array([0] * 10 + _counts_of(sums[SUMS - 1]) + _counts_of(sums[2 * SUMS - 1]))
+            start = 0
+            for block, fold, first, n in zip(mine["block"].to_pylist(), mine["fold"].to_pylist(), mine["first"].to_pylist(), size):
+                k = at[start : start + n]
+                other = [s[k] for s in sums[SUMS * (1 - fold) : SUMS * (2 - fold)]]
+                found = np.flatnonzero((other[0] > 0) | (other[-1] > 0))
+                if len(found):
+                    out.append((block, m, pack(found + first, *(x[found] for x in other)), len(found), None))
+                start += n
+        out += [(None, m, None, None, s.tolist()) for m, s in total.items()]
+        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64())))], names=["block", "model", "data", "size", "stats"])
+
+    given = parts.drop("models").groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(give, kinds)
+    return checkpointed(given.groupBy("range").applyInArrow(take, "block long, model string, data binary, size long, stats array<long>"))
 
 
 def block_grams(parts: DataFrame) -> DataFrame:
-    """(block, model, gram, n): the n-grams of each block, each once for a model, with occurrences."""
+    """(block, fold, model, gram, n): the n-grams of characters of each block, each once for a model, with occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, data in zip(b["block"].to_pylist(), b["words"]):
+            for block, fold, data in zip(b["block"].to_pylist(), b["fold"].to_pylist(), b["words"]):
                 words = _unpacked(data)
                 n = words["n"].to_numpy()
                 for m, at in _by_model(words):
@@ -273,9 +380,9 @@ def block_grams(parts: DataFrame) -> DataFrame:
                     total = np.bincount(where, weights=n[at][owner], minlength=len(u)).astype(np.int64)
                     for i in range(0, len(u), 1 << 16):
                         g = u[i : i + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.repeat(m, len(g)), pa.array(g), pa.array(total[i : i + (1 << 16)])], ["block", "model", "gram", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(np.full(len(g), fold)), pa.repeat(m, len(g)), pa.array(g), pa.array(total[i : i + (1 << 16)])], ["block", "fold", "model", "gram", "n"])
 
-    return parts.select("block", "words").mapInArrow(run, "block long, model string, gram long, n long")
+    return parts.select("block", "fold", "words").mapInArrow(run, "block long, fold long, model string, gram long, n long")
 
 
 def _longer(k: int) -> Column:
@@ -283,112 +390,149 @@ def _longer(k: int) -> Column:
 
 
 def counts_by_order(found: DataFrame) -> DataFrame:
-    """(model, k, gram, n) for k from ORDER to 1, out of (model, gram, n) of the longest n-grams.
+    """(model, k, gram, n0, n1) for k from ORDER to 1, out of (model, gram, n0, n1) of the longest n-grams.
 
-    The longest n-grams and those at a word's begin count by occurrences, shorter ones by how many
-    different characters come before them.
+    The longest n-grams and those at a word's begin count by occurrences in each fold, shorter ones
+    by how many different characters come before them. A count may be 0 in one of the folds.
     """
     above = found.where(_longer(ORDER - 1))
-    out = above.select("model", F.lit(ORDER).alias("k"), "gram", "n")
+    out = above.select("model", F.lit(ORDER).alias("k"), "gram", "n0", "n1")
     for k in range(ORDER - 1, 0, -1):
-        inner = above.groupBy("model", F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+        inner = above.groupBy("model", F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram")).agg(*(F.count_if(F.col(n) > 0).alias(n) for n in ("n0", "n1")))
         above = inner.unionByName(found.where(_longer(k - 1) & ~_longer(k))) if k > 1 else inner
-        out = out.unionByName(above.select("model", F.lit(k).alias("k"), "gram", "n"))
+        out = out.unionByName(above.select("model", F.lit(k).alias("k"), "gram", "n0", "n1"))
     return out
 
 
+def _discount_columns(n: str) -> list[Column]:
+    """The discounts of one fold as columns, out of its counts of counts."""
+    n1, n2, n3, n4 = (F.greatest(F.col(f"{n}_{j}"), F.lit(1)).cast("double") for j in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+    return [F.greatest(F.lit(0.1), F.least(F.lit(most), d)).alias(f"{n}_d{j}") for j, d, most in zip((1, 2, 3), raw, (0.9, 1.9, 2.9))]
+
+
 def log_probabilities(found: DataFrame) -> DataFrame:
-    """(model, gram, log_p): interpolated modified Kneser-Ney, for each n-gram of found (model, gram, n)."""
-    counts = checkpointed(counts_by_order(checkpointed(found)))
-    # five numbers for each order are all that the driver sees
-    of = {r["k"]: r for r in counts.groupBy("k").agg(*(F.count_if(F.col("n") == j).alias(f"n{j}") for j in (1, 2, 3, 4)), F.countDistinct(F.when(F.col("k") == 1, F.col("gram"))).alias("characters")).collect()}
+    """(model, gram, p0, p1): log probabilities of the characters by the model of each fold, for each n-gram of found (model, gram, n0, n1)."""
+    counts = checkpointed(counts_by_order(found))
+    folds = ("n0", "n1")
+    of = counts.groupBy("model", "k").agg(F.count("*").alias("kinds"), *(F.count_if(F.col(n) == j).alias(f"{n}_{j}") for n in folds for j in (1, 2, 3, 4)))
+    of = of.select("model", "k", "kinds", *(d for n in folds for d in _discount_columns(n)))
+    counts = counts.join(of, ["model", "k"])
     lower, out = None, None
     for k in range(1, ORDER + 1):
-        n1, n2, n3, n4 = (max(of[k][f"n{j}"], 1) if k in of else 1 for j in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        d1, d2, d3 = np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.1, [0.9, 1.9, 2.9]).tolist()
-        cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         context = Window.partitionBy("model", F.shiftright("gram", BITS))
-        rows = counts.where(F.col("k") == k).select("model", "gram", ((F.col("n") - cut) / F.sum("n").over(context)).alias("own"), (F.sum(cut).over(context) / F.sum("n").over(context)).alias("rest"))
-        if lower is None:
-            below = F.lit(1.0 / max(of[1]["characters"], 1) if 1 in of else 1.0)
-        else:
+        columns = []
+        for n in folds:
+            cut = F.when(F.col(n) == 0, 0.0).when(F.col(n) == 1, F.col(f"{n}_d1")).when(F.col(n) == 2, F.col(f"{n}_d2")).otherwise(F.col(f"{n}_d3"))
+            total = F.sum(n).over(context)
+            columns += [F.when(total > 0, (F.col(n) - cut) / total).otherwise(0.0).alias(f"own_{n}"), F.when(total > 0, F.sum(cut).over(context) / total).otherwise(1.0).alias(f"rest_{n}")]
+        rows = counts.where(F.col("k") == k).select("model", "gram", (1 / F.col("kinds")).alias("even"), *columns)
+        if lower is not None:
             rows = rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))).join(lower, ["model", "suffix"])
-            below = F.col("below")
-        rows = rows.select("model", "gram", (F.col("own") + F.col("rest") * below).alias("p"))
-        lower = rows.select("model", F.col("gram").alias("suffix"), F.col("p").alias("below"))
+        rows = rows.select("model", "gram", *((F.col(f"own_{n}") + F.col(f"rest_{n}") * F.col("even" if lower is None else f"below_{n}")).alias(n) for n in folds))
+        lower = rows.select("model", F.col("gram").alias("suffix"), *(F.col(n).alias(f"below_{n}") for n in folds))
         # a shorter n-gram is looked up only where it begins a word
         used = rows if k == ORDER else rows.where(F.shiftright("gram", BITS * (k - 1)) == BEGIN)
         out = used if out is None else out.unionByName(used)
-    return out.select("model", "gram", F.log("p").cast("float").alias("log_p"))
-
-
-def _score(parts: pa.Table, model: pa.Table) -> Iterator[pa.RecordBatch]:
-    elsewhere = [_unpacked(d) for c in model["data"].chunks for d in c if d.is_valid]
-    model = model.filter(pc.is_valid(model["model"]))
-    hashes, values, of_model = model["gram"].to_numpy(), model["log_p"].to_numpy(), dict(_by_model(model))
-    for docs, uses, words in zip(parts["docs"], parts["uses"], parts["words"]):
-        docs, uses, words = _unpacked(docs), _unpacked(uses), _unpacked(words)
-        log_p, predicted = np.zeros(len(words)), np.zeros(len(words))
-        for m, at in _by_model(words):
-            slots = of_model[m][np.argsort(hashes[of_model[m]])]
-            owner, h = grams(words["word"].take(pa.array(at)).to_pylist())
-            found = values[slots][np.searchsorted(hashes[slots], h)]
-            log_p[at] = np.bincount(owner, weights=found, minlength=len(at))
-            predicted[at] = np.bincount(owner, minlength=len(at))
-        seq, per = _sequence(uses), docs["n_words"].to_numpy()
-        doc = np.repeat(np.arange(len(per)), per)
-        total = np.bincount(doc, weights=log_p[seq], minlength=len(per))
-        size = np.bincount(doc, weights=predicted[seq], minlength=len(per))
-        score = pa.array(-total / np.maximum(size, 1), mask=size == 0)
-        order = order_score((docs, uses, words), elsewhere)
-        order = pa.array(order, mask=np.isnan(order))
-        for b in docs.append_column("log_perplexity", score).append_column("log_order", order).to_batches(max_chunksize=10000):
-            yield b
+    return out.select("model", "gram", F.log("n0").cast("float").alias("p0"), F.log("n1").cast("float").alias("p1"))
+
+
+def word_probabilities(own: Bigrams, fold: int, rows: pa.Table) -> np.ndarray:
+    """Log probability of each word of the block's texts, in order, by the model of the other fold."""
+    c, _ = own.counts(fold, [(d, n) for _, d, n in _answers(rows, 1)])
+    c, w = c[1 - fold].astype(np.float64), len(own.words)
+    letters = rows.filter(pc.is_valid(rows["gram"]))
+    gram, value, of_model = letters["gram"].to_numpy(), letters["log_p"].to_numpy(), dict(_by_model(letters))
+    sums, cut = np.zeros((SUMS, w)), np.zeros((3, w))
+    single = np.zeros(w)
+    stats = {m: np.array(s, float) for m, s in zip(rows["model"].to_pylist(), rows["stats"].to_pylist()) if s is not None}
+    answers: dict[str, list] = {}
+    for m, d, n in _answers(rows, 2):
+        answers.setdefault(m, []).append((d, n))
+    for m, at in _by_model(own.words):
+        slots = of_model[m][np.argsort(gram[of_model[m]])]
+        owner, h = grams(own.words["word"].take(pa.array(at)).to_pylist())
+        spelled = np.exp(np.bincount(owner, weights=value[slots][np.searchsorted(gram[slots], h)], minlength=len(at)))
+        order = at[np.argsort(own.hash[at], kind="stable")]
+        for d, n in answers.get(m, []):
+            place, *found = unpack(d, 1 + SUMS, n)
+            for k in range(SUMS):
+                sums[k][order[place]] = found[k]
+        two, one = stats[m].reshape(2, 2, 5)[:, 1 - fold]
+        cut[:, at] = np.array(discounts(*two[:4]))[:, None]
+        # words before a word, out of all distinct bigrams, with what is cut off given to the spelling
+        d = discounts(*one[:4])
+        before = sums[SUMS - 1][at]
+        rest = (d[0] * one[0] + d[1] * one[1] + d[2] * (one[4] - one[0] - one[1])) / two[4] if two[4] else 1.0
+        off = np.select([before == 0, before == 1, before == 2], [0.0, d[0], d[1]], d[2])
+        single[at] = (before - off) / max(two[4], 1) + rest * spelled
+    total, f1, f2, f3 = sums[:4]
+    rest = np.where(total > 0, (cut[0] * f1 + cut[1] * f2 + cut[2] * f3) / np.maximum(total, 1), 1.0)
+    a, b = own.first, own.second
+    off = np.select([c == 0, c == 1, c == 2], [0.0, cut[0][a], cut[1][a]], cut[2][a])
+    pair = (c - off) / np.maximum(total[a], 1) + rest[a] * single[b]
+    p = single[own.seq]
+    p[own.inside] = pair[own.place]
+    return np.log(np.maximum(p, 1e-300))
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, text_hash, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity, log_order) of each row; null without a word, and log_order without two.
+    """(doc_id, text_hash, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity) of each row.
 
-    The models are counted on these very rows, so every n-gram that is looked up is there.
+    log_perplexity is the mean of -log p over the words of the text, null without a word. Other
+    columns of docs are not read.
     """
     parts = blocks(docs, id_col, text_col, lang_col)
+    ranges = max(RANGES, (parts.agg(F.sum(F.octet_length("uses"))).first()[0] or 0) // RANGE)
+    pairs = bigram_counts(parts, ranges)
+    sums = word_sums(parts, pairs, ranges)
     wanted = block_grams(parts)
-    model = log_probabilities(wanted.groupBy("model", "gram").agg(F.sum("n").alias("n")))
-    answers = wanted.select("block", "model", "gram").join(model, ["model", "gram"]).select("block", "model", "gram", "log_p", F.lit(None).cast("binary").alias("data"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("model", "string"), ("gram", "long"), ("log_p", "float"))]
-    answers = answers.unionByName(seen_elsewhere(parts).select("block", *none, "data"))
+    letters = log_probabilities(checkpointed(wanted.groupBy("model", "gram").agg(*(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (0, 1)))))
+    columns = {"kind": "int", "model": "string", "gram": "long", "log_p": "float", "data": "binary", "size": "long", "stats": "array<long>"}
+    answer = lambda rows, **given: rows.select("block", *(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
+    spelled = wanted.select("block", "fold", "model", "gram").join(letters, ["model", "gram"])
+    known = sums.where("block is null").groupBy("model").agg(F.array(*(F.sum(F.col("stats")[i]) for i in range(20))).alias("stats"))
+    models = parts.select("block", F.explode("models").alias("model")).join(known, "model")
+    answers = answer(spelled, kind=F.lit(0), model=F.col("model"), gram=F.col("gram"), log_p=F.when(F.col("fold") == 0, F.col("p1")).otherwise(F.col("p0")))
+    answers = answers.unionByName(answer(pairs, kind=F.lit(1), data=F.col("data"), size=F.col("size")))
+    answers = answers.unionByName(answer(sums.where("block is not null"), kind=F.lit(2), model=F.col("model"), data=F.col("data"), size=F.col("size")))
+    answers = answers.unionByName(answer(models, kind=F.lit(3), model=F.col("model"), stats=F.col("stats")))
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"_id {kind}, text_hash long, lang string, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double, log_order double"
+    schema = f"_id {kind}, text_hash long, lang string, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = pa.schema([("_id", pa.null()), ("text_hash", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in COUNTS), ("log_perplexity", pa.float64()), ("log_order", pa.float64())])
-        batches = list(_score(left, right))
-        return pa.Table.from_batches(batches) if batches else out.empty_table()
+        out = []
+        for fold, *packed in zip(left["fold"].to_pylist(), left["docs"], left["uses"], left["words"]):
+            docs, uses, words = map(_unpacked, packed)
+            own = Bigrams(docs, uses, words)
+            doc = np.repeat(np.arange(len(docs)), own.size)
+            total = np.bincount(doc, weights=word_probabilities(own, fold, right), minlength=len(docs)) if len(own.seq) else np.zeros(len(docs))
+            out.append(docs.append_column("log_perplexity", pa.array(-total / np.maximum(own.size, 1), mask=own.size == 0)))
+        return pa.concat_tables(out) if out else pa.schema([("_id", pa.null()), ("text_hash", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in COUNTS), ("log_perplexity", pa.float64())]).empty_table()
 
-    return parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("_id", "doc_id")
+    return parts.drop("models").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("_id", "doc_id")
 
 
-def judged(docs: DataFrame, below: float = BELOW, above: float = ABOVE, above_order: float = ABOVE_ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judged(docs: DataFrame, below: float = BELOW, above: float = ABOVE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base counts, base_failed, log_perplexity, the language's band and kept, for each row of docs.
 
     The model is counted on all texts; a language's band is set around the median of the texts that
-    pass the base rules, each text once however many copies it has. Its width is the median absolute
-    deviation, which junk of less than half of the texts cannot carry away. A null language is a language of its own. Texts that are null, empty
-    or blank have no words, fail the base rules and have no perplexity.
+    pass the base rules, each text once however many copies it has. Its width is the distance from the
+    median to the nearer quartile, so junk on one side can't widen it. A null language is a language
+    of its own. Texts that are null, empty or blank have no words, fail the base rules and
+    have no perplexity. Repeated rows stay; an empty table gives no rows.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     rows = checkpointed(scored(docs, id_col, text_col, lang_col).withColumn("base_failed", failed))
     good = rows.where("not base_failed").dropDuplicates(["lang", "text_hash"])
-    scores = ("log_perplexity", "log_order")
-    middle = good.groupBy(F.col("lang").alias("_lang")).agg(*(F.percentile_approx(c, 0.5, 10000).alias(f"middle_{c}") for c in scores))
-    away = (F.percentile_approx(F.abs(F.col(c) - F.col(f"middle_{c}")), 0.5, 10000) for c in scores)
-    spread = good.join(middle, F.col("lang").eqNullSafe(F.col("_lang"))).groupBy(*middle.columns).agg(*(F.greatest(x, F.lit(0.01)).alias(f"spread_{c}") for c, x in zip(scores, away)))
-    at = lambda c, k: F.col(f"middle_{c}") + k * F.col(f"spread_{c}")
-    bands = spread.select("_lang", at(scores[0], -below).alias("lower"), at(scores[0], above).alias("upper"), at(scores[1], above_order).alias("upper_order"))
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")) & (F.col("log_order") <= F.col("upper_order")), F.lit(False))
+    score = F.col("log_perplexity")
+    quarters = F.percentile_approx(score, [0.25, 0.5, 0.75], 10000)
+    spread = good.groupBy(F.col("lang").alias("_lang")).agg(quarters.alias("q")).select("_lang", F.col("q")[1].alias("middle"), F.greatest(F.least(F.col("q")[1] - F.col("q")[0], F.col("q")[2] - F.col("q")[1]), F.lit(0.01)).alias("spread"))
+    bands = spread.select("_lang", (F.col("middle") - below * F.col("spread")).alias("lower"), (F.col("middle") + above * F.col("spread")).alias("upper"))
+    inside = F.coalesce(score.between(F.col("lower"), F.col("upper")), F.lit(False))
     return rows.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("kept", ~F.col("base_failed") & inside).drop("_lang")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "lower", "upper", "log_order", "upper_order")
+    return judged(table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept", "log_perplexity", "lower", "upper")

@@ -186,105 +186,6 @@ def test_field_marginals_are_those_of_all_paths():
     assert np.allclose(toxic_spans.sigmoid(f + b)[0], want)
 
 
-def test_base_rules(spark, documents):
-    rows = catalog.queries()["op1_ngram_perplexity"](spark, SF).toPandas().set_index("doc_id")
-    for i, t in zip(documents.doc_id, documents.text):
-        w = t.encode().split()
-        c = Counter(zip(w, w[1:], w[2:]))
-        cover = {j for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
-        assert (rows.n_words[i], rows.n_repeat_words[i]) == (len(w), len(cover))
-        assert rows.base_failed[i] == (len(w) < 50 or 100 * len(cover) > 50 * len(w))
-    assert not rows[rows.base_failed].kept.any() and rows[~rows.base_failed].kept.mean() > 0.9
-
-
-def kneser_ney(words):
-    """Natural log probability of each word, from the definition."""
-    raw = Counter()
-    for w, n in words.items():
-        t = "^" + w + "$"
-        for i in range(1, len(t)):
-            raw[t[max(0, i - 3) : i + 1]] += n
-    counts = {4: {g: n for g, n in raw.items() if len(g) == 4}}
-    for k in (3, 2, 1):
-        counts[k] = dict(Counter(g[1:] for g in counts[k + 1])) | {g: n for g, n in raw.items() if len(g) == k}
-    p = {"": 1 / len(counts[1])}
-    for k in (1, 2, 3, 4):
-        n1, n2, n3, n4 = (max(sum(n == j for n in counts[k].values()), 1) for j in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        d = [0, *np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.1, [0.9, 1.9, 2.9])]
-        for g, n in counts[k].items():
-            same = [m for h, m in counts[k].items() if h[:-1] == g[:-1]]
-            p[g] = (n - d[min(n, 3)]) / sum(same) + sum(d[min(m, 3)] for m in same) / sum(same) * p[g[1:]]
-    for k in (1, 2, 3, 4):
-        for context in {g[:-1] for g in counts[k]}:
-            # with what is left for characters not seen after this context
-            assert sum(p[g] for g in counts[k] if g[:-1] == context) <= 1 + 1e-9
-    return {w: sum(np.log(p[("^" + w + "$")[max(0, i - 3) : i + 1]]) for i in range(1, len(w) + 2)) for w in words}
-
-
-@pytest.mark.parametrize("size", [perplexity.BLOCK, 40])
-def test_perplexity_is_kneser_ney(spark, size):
-    rng = np.random.default_rng(8)
-    texts = [" ".join("".join(rng.choice(list("abcé"), rng.integers(1, 8))) for _ in range(20)) for _ in range(30)]
-    rows = [(i, t, "en" if i % 3 else None) for i, t in enumerate(texts)]
-    old, perplexity.BLOCK = perplexity.BLOCK, size
-    try:
-        got = {r["doc_id"]: r["log_perplexity"] for r in perplexity.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    finally:
-        perplexity.BLOCK = old
-    # discounts come from all languages together, so the brute force gets one language at a time only where there is one
-    one = [(i, t, "en") for i, t, _ in rows]
-    alone = {r["doc_id"]: r["log_perplexity"] for r in perplexity.scored(spark.createDataFrame(one, "doc_id long, text string, lang string")).collect()}
-    p = kneser_ney(Counter(w for t in texts for w in t.split()))
-    for i, t in enumerate(texts):
-        w = t.split()
-        assert alone[i] == pytest.approx(-sum(p[x] for x in w) / sum(len(x) + 1 for x in w), rel=1e-5)
-    assert len(got) == len(texts) and all(v > 0 for v in got.values())
-
-
-def test_bands_reject_junk_on_both_sides(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
-    texts = [r["text"] for r in docs.collect()]
-    rng = np.random.default_rng(4)
-    common = [w for w, _ in Counter(w for t in texts for w in t.split()).most_common(14)]
-    letters = [" ".join("".join(rng.choice(list("qzxjkvwpbgf"), rng.integers(2, 9))) for _ in range(80)) for _ in range(len(texts) // 4)]
-    plain = [" ".join(rng.choice(common, 80)) for _ in range(len(texts) // 20)]
-    copies = [" ".join(f"zq{k}xv{k * k}" for k in range(70))] * (len(texts) // 2)
-    junk = spark.createDataFrame([(10**6 * k + i, t, "en") for k, group in enumerate((letters, plain, copies), 1) for i, t in enumerate(group)], docs.schema)
-    rows = perplexity.judged(docs.union(junk)).where("not base_failed").toPandas()
-    kept = rows.kept.groupby(rows.doc_id // 10**6).mean()
-    assert kept[0] > 0.95 and kept[1] == kept[2] == kept[3] == 0
-    side = np.sign(rows.log_perplexity - rows.upper).groupby(rows.doc_id // 10**6).mean()
-    assert side[1] == 1 and side[2] == side[3] == -1
-
-
-def chain(rng, following):
-    w = [int(rng.integers(len(following)))]
-    for _ in range(119):
-        w.append(int(rng.choice(following[w[-1]])))
-    return [f"k{x}" for x in w]
-
-
-@pytest.mark.parametrize("size", [perplexity.BLOCK, 3000])
-def test_shuffled_words_are_rejected(spark, size):
-    rng = np.random.default_rng(3)
-    following = rng.integers(0, 100, (100, 4))
-    texts = [chain(rng, following) for _ in range(200)] + [list(rng.permutation(chain(rng, following))) for _ in range(20)]
-    docs = spark.createDataFrame([(i, " ".join(t), "zz") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    old, perplexity.BLOCK = perplexity.BLOCK, size
-    try:
-        rows = perplexity.judged(docs).toPandas().set_index("doc_id").sort_index()
-    finally:
-        perplexity.BLOCK = old
-    assert not rows.base_failed.any() and rows.kept[:199].mean() > 0.95 and not rows.kept[200:].any()
-    single, both = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:]))
-    for i in (0, 7, 205):
-        t, own, pairs = texts[i], Counter(texts[i]), Counter(zip(texts[i], texts[i][1:]))
-        share = {w: (single[w] - own[w] + 0.5) / (single.total() - len(t) + 1) for w in own}
-        want = [np.log((both[a, b] - pairs[a, b] + perplexity.PRIOR * share[b]) / (single[a] - own[a] + perplexity.PRIOR)) for a, b in zip(t, t[1:])]
-        assert rows.log_order[i] == pytest.approx(-np.mean(want), rel=1e-9)
-
-
 def test_odd_rows(spark, odd):
     assert len(simhash.simhash_components(odd).collect()) == len(ODD)
     kept = simhash.keep_one(odd)

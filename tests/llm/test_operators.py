@@ -148,10 +148,38 @@ def test_copies_take_no_place_in_the_language_sample(spark):
     assert set(got.lang) == {"xx", "yy", "zz"} and (got.lang == got.lang_pred).groupby(got.lang).mean().min() > 0.9
 
 
-def test_toxic_scores_of_labelled_rows(spark):
-    rows = catalog.queries()["op4_toxic_spans"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
+def test_toxic_scores_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = catalog.queries()["op4_toxic_spans"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
     held = rows[rows.held_out]
-    assert held[held.toxic == 1].score.mean() > 3 * held[held.toxic == 0].score.mean()
+    bad, rank = held.toxic == 1, held.score.rank()
+    auc = (rank[bad].sum() - bad.sum() * (bad.sum() + 1) / 2) / (bad.sum() * (~bad).sum())
+    right = (held.predicted == 1) & bad
+    assert auc > 0.94 and right.sum() / bad.sum() > 0.85 and right.sum() / held.predicted.sum() > 0.85
+    assert (held[bad].spans.str.len() > 0).mean() > 0.85 and (held[~bad].spans.str.len() > 0).mean() < 0.05
+    assert ((rows.score >= 0.3) == (rows.predicted == 1)).all() and rows.score.between(0, 1).all()
+
+
+def test_query_scores_by_the_definition(spark, documents):
+    """The query's scores against a plain recursion in logarithms, a text at a time, with the same model."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    vocabulary, weights, trans, bias, last = toxic_spans.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in catalog.queries()["op4_toxic_spans"](spark, SF).collect()}
+    for i, text in zip(documents.doc_id, documents.text):
+        names = [[vocabulary.get(n, 0) for n in toxic_spans.names_of(toxic_spans.normal(w))] for w in text.encode().split()]
+        e = [bias + sum(weights[k, x] for k, x in zip((0, 3, 4, 5), ids)) + (weights[1, names[t - 1][0]] if t else 0) + (weights[2, names[t + 1][0]] if t + 1 < len(names) else 0) for t, ids in enumerate(names)]
+        forward = []
+        for t, x in enumerate(e):
+            before = forward[-1] if t else None
+            forward.append([np.logaddexp(before[0] + trans[0, s], before[1] + trans[1, s]) + s * x if t else s * x for s in (0, 1)])
+        back, p = [0.0, 0.0], []
+        for t in reversed(range(len(e))):
+            f = [forward[t][s] + back[s] for s in (0, 1)]
+            p.append(np.exp(f[1] - np.logaddexp(*f)))
+            back = [np.logaddexp(trans[s, 0] + back[0], trans[s, 1] + e[t] + back[1]) for s in (0, 1)]
+        x = toxic_spans.features(np.array(p))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(x @ last[:2] + last[2]))), rel=1e-6)
 
 
 def test_copies_make_no_ordinary_word_toxic():

@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Tables written to the shared folder by new_folder.
 MADE: list[str] = []
+#: Tables of the warehouse made by bucketed.
+TABLES: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +43,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def bucketed(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows written once as a table of the warehouse, dealt by column into as many buckets as shuffles have parts, so that grouping by it needs no exchange."""
+    spark = rows.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    TABLES.append(table)
+    rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).sortBy(column).saveAsTable(table)
+    return spark.table(table)
+
+
 def remove_intermediate(spark: SparkSession) -> None:
     """Delete the tables that this session's operators wrote for their own later stages; their results can't be computed again after that."""
+    while TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {TABLES.pop()}")
     while MADE:
         path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

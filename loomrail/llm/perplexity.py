@@ -6,7 +6,7 @@ are dealt into two folds, near copies into one, and each text is scored by the m
 so that no text, and no copy of one, vouches for itself.
 
 One pass turns the texts into blocks of bounded size, of one fold each: the words of the block, and
-each document as a sequence of them. Blocks hand in their bigrams as sorted arrays of 48-bit hashes by
+each document as a sequence of them. Blocks hand in their bigrams as sorted arrays of hashes by
 range of hash, and get back how often each stands in either fold; one block owns each bigram and adds it
 to the sums of its words, which go the same way once more. An n-gram of characters is known by its code
 points, 21 bits for each, and counted and estimated by joins and windows. Nothing of the model is
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomrail.llm.common import checkpointed, chunks, new_folder, table
+from loomrail.llm.common import bucketed, checkpointed, chunks, table
 
 #: Characters of an n-gram, bits of each, and the marks of a word's end and begin, which are no code points.
 ORDER, BITS = 3, 21
@@ -108,7 +108,7 @@ def discounts(n1, n2, n3, n4) -> tuple[float, float, float]:
     return tuple(np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.1, [0.9, 1.9, 2.9]).tolist())
 
 
-def _packed(batch: pa.RecordBatch, level: int = 9) -> bytes:
+def _packed(batch: pa.RecordBatch, level: int = 4) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as w:
         w.write_batch(batch)
@@ -221,15 +221,20 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
             yield from w.rest()
 
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    path = new_folder(docs.sparkSession, "ngram-blocks")
-    rows.mapInArrow(run, "block long, fold long, models array<string>, docs binary, uses binary, words binary").write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    made = rows.mapInArrow(run, "block long, fold long, models array<string>, docs binary, uses binary, words binary")
+    return bucketed(made, "block", "ngram_blocks")
+
+
+def key_bits(parts: DataFrame) -> int:
+    """Bits of a hash for which under one in 4,000 bigrams shares its hash with another, however many words there are."""
+    n = parts.agg(F.sum(F.octet_length("uses"))).first()[0] or 0
+    return min(max(n.bit_length() + 12, 40), 60)
 
 
 class Bigrams:
-    """The distinct bigrams of a block in order of their hashes, and where each word of its texts stands among them."""
+    """The distinct bigrams of a block in order of their hashes of `bits` bits, and where each word of its texts stands among them."""
 
-    def __init__(self, docs: pa.Table, uses: pa.Table, words: pa.Table) -> None:
+    def __init__(self, docs: pa.Table, uses: pa.Table, words: pa.Table, bits: int) -> None:
         self.words = words
         self.seq = uses["low"].to_numpy() + (uses["high"].to_numpy().astype(np.int64) << 8)
         self.size = docs["n_words"].to_numpy()
@@ -245,13 +250,13 @@ class Bigrams:
             seed = xxhash.xxh64_intdigest(m.encode("utf-8", "replace"))
             self.hash[at] = np.fromiter((xxhash.xxh3_64_intdigest(texts[i], seed) for i in at), np.uint64, len(at))
         pair = self.hash[first] * np.uint64(0x9E3779B97F4A7C15) + (self.hash[second] ^ (self.hash[second] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        pair = (pair ^ (pair >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(16)
+        pair = (pair ^ (pair >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - bits)
         order = np.argsort(pair, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.place = back[self.place]
         self.keys, self.first, self.second, self.n = pair[order].astype(np.int64), first[order], second[order], n[order].astype(np.int64)
-        self.hash = (self.hash >> np.uint64(16)).astype(np.int64)
+        self.hash = (self.hash >> np.uint64(64 - bits)).astype(np.int64)
 
     def counts(self, fold: int, answers: list) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of each bigram in either fold, and whether this block owns it."""
@@ -259,6 +264,7 @@ class Bigrams:
         c[fold] = self.n
         for found, size in answers:
             at, c0, c1, mine = unpack(found, 4, size)
+            at = np.cumsum(at)
             c[0][at], c[1][at], owned[at] = c0, c1, mine > 0
         return c, owned
 
@@ -269,14 +275,14 @@ def _answers(rows: pa.Table, kind: int) -> list[tuple]:
     return list(zip(rows["model"].to_pylist(), rows["data"].to_pylist(), rows["size"].to_pylist()))
 
 
-def bigram_counts(parts: DataFrame, ranges: int) -> DataFrame:
+def bigram_counts(parts: DataFrame, ranges: int, bits: int) -> DataFrame:
     """(block, data, size): of the bigrams that several blocks hold, their places, occurrences in either fold, and the one owner."""
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, fold, *packed in zip(b["block"].to_pylist(), b["fold"].to_pylist(), b["docs"], b["uses"], b["words"]):
-                own = Bigrams(*map(_unpacked, packed))
-                ends = np.searchsorted(own.keys, np.arange(ranges + 1) * (1 << 48) // ranges)
+                own = Bigrams(*map(_unpacked, packed), bits)
+                ends = np.searchsorted(own.keys, np.arange(ranges + 1) * (1 << bits) // ranges)
                 for k in range(ranges):
                     i, j = ends[k], ends[k + 1]
                     if i < j:
@@ -295,12 +301,12 @@ def bigram_counts(parts: DataFrame, ranges: int) -> DataFrame:
         for block, first, m in zip(rows["block"].to_pylist(), rows["first"].to_pylist(), size):
             found = np.flatnonzero(shared[start : start + m])
             k = found + start
-            out.append((block, pack(found + first, c[0][k], c[1][k], owner[k]), len(found)))
+            out.append((block, pack(np.diff(found + first, prepend=0), c[0][k], c[1][k], owner[k]), len(found)))
             start += m
         return pa.table(dict(zip(("block", "data", "size"), (pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int64()))))))
 
     given = parts.mapInArrow(give, "range long, block long, fold long, first long, data binary, size long")
-    return checkpointed(given.groupBy("range").applyInArrow(take, "block long, data binary, size long").where("size > 0"))
+    return bucketed(given.groupBy("range").applyInArrow(take, "block long, data binary, size long").where("size > 0"), "block", "ngram_pairs")
 
 
 def _counts_of(values: np.ndarray) -> list[int]:
@@ -308,7 +314,7 @@ def _counts_of(values: np.ndarray) -> list[int]:
     return [int((values == k).sum()) for k in (1, 2, 3, 4)] + [int((values > 0).sum())]
 
 
-def word_sums(parts: DataFrame, pairs: DataFrame, ranges: int) -> DataFrame:
+def word_sums(parts: DataFrame, pairs: DataFrame, ranges: int, bits: int) -> DataFrame:
     """(block, model, data, size, stats): a block's words with their sums in the other fold; and without a block, a model's counts of counts."""
     kinds = "range long, block long, fold long, model string, first long, data binary, size long, stats array<long>"
     names = [k.split()[0] for k in kinds.split(", ")]
@@ -318,7 +324,7 @@ def word_sums(parts: DataFrame, pairs: DataFrame, ranges: int) -> DataFrame:
         out = []
         found = list(zip(right["data"].to_pylist(), right["size"].to_pylist()))
         for block, fold, *packed in zip(left["block"].to_pylist(), left["fold"].to_pylist(), left["docs"], left["uses"], left["words"]):
-            own = Bigrams(*map(_unpacked, packed))
+            own = Bigrams(*map(_unpacked, packed), bits)
             c, owned = own.counts(fold, found)
             w, sums = len(own.words), []
             for f in (0, 1):
@@ -331,7 +337,7 @@ def word_sums(parts: DataFrame, pairs: DataFrame, ranges: int) -> DataFrame:
                 out.append((xxhash.xxh64_intdigest(m.encode("utf-8", "replace")) % ranges, None, None, m, None, None, None, stats))
                 at = at[np.argsort(own.hash[at], kind="stable")]
                 keys = own.hash[at]
-                ends = np.searchsorted(keys, np.arange(ranges + 1) * (1 << 48) // ranges)
+                ends = np.searchsorted(keys, np.arange(ranges + 1) * (1 << bits) // ranges)
                 for k in range(ranges):
                     i, j = ends[k], ends[k + 1]
                     if i < j:
@@ -357,7 +363,7 @@ def word_sums(parts: DataFrame, pairs: DataFrame, ranges: int) -> DataFrame:
                 other = [s[k] for s in sums[SUMS * (1 - fold) : SUMS * (2 - fold)]]
                 found = np.flatnonzero((other[0] > 0) | (other[-1] > 0))
                 if len(found):
-                    out.append((block, m, pack(found + first, *(x[found] for x in other)), len(found), None))
+                    out.append((block, m, pack(np.diff(found + first, prepend=0), *(x[found] for x in other)), len(found), None))
                 start += n
         out += [(None, m, None, None, s.tolist()) for m, s in total.items()]
         return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64())))], names=["block", "model", "data", "size", "stats"])
@@ -458,7 +464,7 @@ def word_probabilities(own: Bigrams, fold: int, rows: pa.Table) -> np.ndarray:
         for d, n in answers.get(m, []):
             place, *found = unpack(d, 1 + SUMS, n)
             for k in range(SUMS):
-                sums[k][order[place]] = found[k]
+                sums[k][order[np.cumsum(place)]] = found[k]
         two, one = stats[m].reshape(2, 2, 5)[:, 1 - fold]
         cut[:, at] = np.array(discounts(*two[:4]))[:, None]
         # words before a word, out of all distinct bigrams, with what is cut off given to the spelling
@@ -485,8 +491,9 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """
     parts = blocks(docs, id_col, text_col, lang_col)
     ranges = max(RANGES, (parts.agg(F.sum(F.octet_length("uses"))).first()[0] or 0) // RANGE)
-    pairs = bigram_counts(parts, ranges)
-    sums = word_sums(parts, pairs, ranges)
+    bits = key_bits(parts)
+    pairs = bigram_counts(parts, ranges, bits)
+    sums = word_sums(parts, pairs, ranges, bits)
     wanted = block_grams(parts)
     letters = log_probabilities(checkpointed(wanted.groupBy("model", "gram").agg(*(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (0, 1)))))
     columns = {"kind": "int", "model": "string", "gram": "long", "log_p": "float", "data": "binary", "size": "long", "stats": "array<long>"}
@@ -505,7 +512,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         out = []
         for fold, *packed in zip(left["fold"].to_pylist(), left["docs"], left["uses"], left["words"]):
             docs, uses, words = map(_unpacked, packed)
-            own = Bigrams(docs, uses, words)
+            own = Bigrams(docs, uses, words, bits)
             doc = np.repeat(np.arange(len(docs)), own.size)
             total = np.bincount(doc, weights=word_probabilities(own, fold, right), minlength=len(docs)) if len(own.seq) else np.zeros(len(docs))
             out.append(docs.append_column("log_perplexity", pa.array(-total / np.maximum(own.size, 1), mask=own.size == 0)))

@@ -115,10 +115,6 @@ def _packed(batch: pa.RecordBatch, level: int = 4) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(data: pa.Scalar) -> pa.Table:
-    return pa.ipc.open_stream(data.as_buffer()).read_all()
-
-
 def pack(*columns: np.ndarray) -> bytes:
     """Whole numbers of equally long columns, byte by byte of all numbers so that what is small compresses."""
     width = [max((int(c.max(initial=0)).bit_length() + 7) // 8, 1) for c in columns]
@@ -139,6 +135,14 @@ def unpack(data: bytes, columns: int, n: int) -> list[np.ndarray]:
     return out
 
 
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 4).compress(data, asbytes=True)
+
+
+def _loose(data: bytes) -> bytes:
+    return pa.Codec("zstd", 4).decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def _by_model(rows: pa.Table) -> Iterator[tuple[str, np.ndarray]]:
     """Each model of the rows with the places of its rows."""
     names = rows["model"].combine_chunks()
@@ -148,6 +152,9 @@ def _by_model(rows: pa.Table) -> Iterator[tuple[str, np.ndarray]]:
         yield m, np.flatnonzero(which == i)
 
 
+PARTS = {"block": pa.int64(), "fold": pa.int64(), "models": pa.list_(pa.string()), "sizes": pa.list_(pa.int64()), "docs": pa.binary(), "uses": pa.binary(), "words": pa.binary()}
+
+
 def _block(fold: int, ids: list, hashes: list, langs: list, texts: list) -> pa.RecordBatch:
     held: list[tuple[str, bytes]] = []
     models: dict = {}
@@ -162,23 +169,47 @@ def _block(fold: int, ids: list, hashes: list, langs: list, texts: list) -> pa.R
         counts.append((len(words), len(t) - sum(map(t.count, SPACE)), sum(map(t.count, "#*$%&|<>")), len(lines) - len(set(lines)), repeated_words(own)))
         every.append(own)
     places = np.concatenate(every)
-    n = np.bincount(places, minlength=len(held)).astype(np.int64)
     docs = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(hashes), pa.array(langs, pa.string()), *(pa.array(list(c), pa.int64()) for c in zip(*counts))], ["_id", "text_hash", "lang", *COUNTS])
-    uses = pa.RecordBatch.from_arrays([pa.array((places & 255).astype(np.uint8)), pa.array((places >> 8).astype(np.int32))], ["low", "high"])
-    words = pa.RecordBatch.from_arrays([pa.array([m for m, _ in held], pa.string()).dictionary_encode(), pa.array([w for _, w in held], pa.binary()), pa.array(n)], ["model", "word", "n"])
-    found = sorted({m for m, _ in held})
-    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([fold]), pa.array([found], pa.list_(pa.string())), *(pa.array([_packed(x)], pa.binary()) for x in (docs, uses, words))], ["block", "fold", "models", "docs", "uses", "words"])
+    # words by model, the commonest first, then by name, which is what compresses best
+    names = sorted({m for m, _ in held})
+    number = {m: i for i, m in enumerate(names)}
+    order = np.array(sorted(range(len(held)), key=lambda i: held[i][1]), np.int64)
+    order = order[np.argsort(-np.bincount(places, minlength=len(held))[order], kind="stable")]
+    of = np.array([number[m] for m, _ in held], np.int64)
+    order = order[np.argsort(of[order], kind="stable")]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    uses = len(places).to_bytes(8, "little") + pack(rank[places])
+    words = _squeezed(b" ".join(held[i][1] for i in order))
+    row = [uuid.uuid4().int >> 65, fold, names, np.bincount(of, minlength=len(names)).tolist(), _packed(docs), uses, words]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, PARTS.values())], list(PARTS))
+
+
+class Block:
+    """A block unpacked: its documents, their words as numbers in order, and the words, those of each model together."""
+
+    def __init__(self, fold: int, models: list[str], sizes: list[int], docs: bytes, uses: bytes, words: bytes) -> None:
+        self.fold, self.models = fold, models
+        self.docs = pa.ipc.open_stream(docs).read_all()
+        (self.seq,) = unpack(uses[8:], 1, int.from_bytes(uses[:8], "little"))
+        self.words = _loose(words).split()
+        ends = np.cumsum(sizes).tolist()
+        #: (model, first word, end of its words)
+        self.ranges = list(zip(models, [0, *ends], ends))
+
+    @staticmethod
+    def of(rows) -> Iterator[tuple[int, Block]]:
+        """(block, Block) of each row of a batch or table of blocks()."""
+        columns = [rows[c].to_pylist() for c in PARTS]
+        for block, *rest in zip(*columns):
+            yield block, Block(*rest)
 
 
 def fold_of(words: list[bytes]) -> int:
     """0 or 1 by a min-hash of a text's words, of those over four bytes if there are any, so that near copies mostly agree."""
     some = set(words)
-    some = {w for w in some if len(w) > 4} or some
-    if not some:
-        return 0
-    x = (np.fromiter(map(zlib.crc32, some), np.uint64, len(some)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return int((x ^ (x >> np.uint64(32))).min() >> np.uint64(3)) & 1
+    some = [w for w in some if len(w) > 4] or some
+    return (min(map(zlib.crc32, some)) * 0x9E3779B1 >> 13) & 1 if some else 0
 
 
 class Waiting:
@@ -208,7 +239,7 @@ class Waiting:
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(block, fold, models, docs, uses, words): one row for about BLOCK bytes of text, packed; written once, so that a block's number stays its own."""
+    """(block, fold, models, sizes, docs, uses, words): one row for about BLOCK bytes of text, packed; written once, so that a block's number stays its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = [Waiting(0), Waiting(1)]
@@ -221,92 +252,85 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
             yield from w.rest()
 
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    made = rows.mapInArrow(run, "block long, fold long, models array<string>, docs binary, uses binary, words binary")
+    made = rows.mapInArrow(run, "block long, fold long, models array<string>, sizes array<long>, docs binary, uses binary, words binary")
     return bucketed(made, "block", "ngram_blocks")
 
 
 def key_bits(parts: DataFrame) -> int:
-    """Bits of a hash for which under one in 4,000 bigrams shares its hash with another, however many words there are."""
+    """Bits of a hash for which about one in 500 bigrams at most shares its hash with another, however many words there are."""
     n = parts.agg(F.sum(F.octet_length("uses"))).first()[0] or 0
-    return min(max(n.bit_length() + 12, 40), 60)
+    return min(max(n.bit_length() + 8, 36), 60)
 
 
 class Bigrams:
     """The distinct bigrams of a block in order of their hashes of `bits` bits, and where each word of its texts stands among them."""
 
-    def __init__(self, docs: pa.Table, uses: pa.Table, words: pa.Table, bits: int) -> None:
-        self.words = words
-        self.seq = uses["low"].to_numpy() + (uses["high"].to_numpy().astype(np.int64) << 8)
-        self.size = docs["n_words"].to_numpy()
-        self.inside = np.ones(len(self.seq), bool)
+    def __init__(self, block: Block, bits: int) -> None:
+        self.block, self.words = block, max(len(block.words), 1)
+        self.size = block.docs["n_words"].to_numpy()
+        self.inside = np.ones(len(block.seq), bool)
         self.inside[(np.cumsum(self.size) - self.size)[self.size > 0]] = False
-        second = self.seq[self.inside]
-        first = self.seq[:-1][self.inside[1:]] if len(self.seq) else second
-        key, self.place, n = np.unique(first * max(len(words), 1) + second, return_inverse=True, return_counts=True)
-        first, second = key // max(len(words), 1), key % max(len(words), 1)
-        self.hash = np.zeros(len(words), np.uint64)
-        texts = words["word"].to_pylist()
-        for m, at in _by_model(words):
+        second = block.seq[self.inside]
+        first = block.seq[:-1][self.inside[1:]] if len(block.seq) else second
+        key, self.place, n = np.unique(first * self.words + second, return_inverse=True, return_counts=True)
+        first, second = key // self.words, key % self.words
+        whole = np.zeros(self.words, np.uint64)
+        for m, i, j in block.ranges:
             seed = xxhash.xxh64_intdigest(m.encode("utf-8", "replace"))
-            self.hash[at] = np.fromiter((xxhash.xxh3_64_intdigest(texts[i], seed) for i in at), np.uint64, len(at))
-        pair = self.hash[first] * np.uint64(0x9E3779B97F4A7C15) + (self.hash[second] ^ (self.hash[second] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            whole[i:j] = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in block.words[i:j]), np.uint64, j - i)
+        pair = whole[first] * np.uint64(0x9E3779B97F4A7C15) + (whole[second] ^ (whole[second] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         pair = (pair ^ (pair >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - bits)
         order = np.argsort(pair, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.place = back[self.place]
         self.keys, self.first, self.second, self.n = pair[order].astype(np.int64), first[order], second[order], n[order].astype(np.int64)
-        self.hash = (self.hash >> np.uint64(64 - bits)).astype(np.int64)
-
-    def counts(self, fold: int, answers: list) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of each bigram in either fold, and whether this block owns it."""
-        c, owned = np.zeros((2, len(self.keys)), np.int64), np.ones(len(self.keys), bool)
-        c[fold] = self.n
-        for found, size in answers:
-            at, c0, c1, mine = unpack(found, 4, size)
-            at = np.cumsum(at)
-            c[0][at], c[1][at], owned[at] = c0, c1, mine > 0
-        return c, owned
+        self.hash = (whole >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _answers(rows: pa.Table, kind: int) -> list[tuple]:
-    """(model, data, size) of the answers of a kind."""
-    rows = rows.filter(pc.equal(rows["kind"], kind))
-    return list(zip(rows["model"].to_pylist(), rows["data"].to_pylist(), rows["size"].to_pylist()))
+def _cuts(keys: np.ndarray, ranges: int, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(range, from, to) of sorted keys for each range that holds any."""
+    ends = np.searchsorted(keys, np.arange(ranges + 1) * (1 << bits) // ranges)
+    for k in np.flatnonzero(np.diff(ends)):
+        yield int(k), int(ends[k]), int(ends[k + 1])
 
 
 def bigram_counts(parts: DataFrame, ranges: int, bits: int) -> DataFrame:
-    """(block, data, size): of the bigrams that several blocks hold, their places, occurrences in either fold, and the one owner."""
+    """(block, same, n_same, other, n_other): of a block's bigrams, those that other blocks of its fold hold too, and those that the other fold holds.
+
+    same: places, occurrences in the fold, and whether this block owns the bigram; other: places and occurrences.
+    """
+    kinds = {"range": pa.int64(), "block": pa.int64(), "fold": pa.int64(), "first": pa.int64(), "size": pa.int64(), "data": pa.binary()}
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, fold, *packed in zip(b["block"].to_pylist(), b["fold"].to_pylist(), b["docs"], b["uses"], b["words"]):
-                own = Bigrams(*map(_unpacked, packed), bits)
-                ends = np.searchsorted(own.keys, np.arange(ranges + 1) * (1 << bits) // ranges)
-                for k in range(ranges):
-                    i, j = ends[k], ends[k + 1]
-                    if i < j:
-                        data = pack(np.diff(own.keys[i:j], prepend=0), own.n[i:j])
-                        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([block]), pa.array([fold]), pa.array([i]), pa.array([data], pa.binary()), pa.array([j - i])], ["range", "block", "fold", "first", "data", "size"])
+            for block, got in Block.of(b):
+                own = Bigrams(got, bits)
+                rows = [(k, block, got.fold, i, j - i, pack(np.diff(own.keys[i:j], prepend=0), own.n[i:j])) for k, i, j in _cuts(own.keys, ranges, bits)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
 
     def take(rows: pa.Table) -> pa.Table:
         size = rows["size"].to_numpy()
         got = [unpack(d, 2, n) for d, n in zip(rows["data"].to_pylist(), size)]
         n, fold = np.concatenate([g[1] for g in got]), np.repeat(rows["fold"].to_numpy(), size)
-        _, index, at, times = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_index=True, return_inverse=True, return_counts=True)
-        c = [np.bincount(at, weights=np.where(fold == f, n, 0)).astype(np.int64)[at] for f in (0, 1)]
+        _, at = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
+        _, index, own, times = np.unique(2 * at + fold, return_index=True, return_inverse=True, return_counts=True)
+        total = np.bincount(own, weights=n)[own].astype(np.int64)
+        elsewhere = np.bincount(at, weights=n)[at].astype(np.int64) - total
         owner = np.zeros(len(at), np.int64)
         owner[index] = 1
-        shared, out, start = times[at] > 1, [], 0
+        shared, out, start = times[own] > 1, [], 0
         for block, first, m in zip(rows["block"].to_pylist(), rows["first"].to_pylist(), size):
-            found = np.flatnonzero(shared[start : start + m])
-            k = found + start
-            out.append((block, pack(np.diff(found + first, prepend=0), c[0][k], c[1][k], owner[k]), len(found)))
+            same, other = np.flatnonzero(shared[start : start + m]), np.flatnonzero(elsewhere[start : start + m])
+            if len(same) or len(other):
+                out.append((block, pack(np.diff(same + first, prepend=0), total[same + start], owner[same + start]), len(same), pack(np.diff(other + first, prepend=0), elsewhere[other + start]), len(other)))
             start += m
-        return pa.table(dict(zip(("block", "data", "size"), (pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int64()))))))
+        types = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
+        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=["block", "same", "n_same", "other", "n_other"])
 
-    given = parts.mapInArrow(give, "range long, block long, fold long, first long, data binary, size long")
-    return bucketed(given.groupBy("range").applyInArrow(take, "block long, data binary, size long").where("size > 0"), "block", "ngram_pairs")
+    given = parts.mapInArrow(give, "range long, block long, fold long, first long, size long, data binary")
+    return bucketed(given.groupBy("range").applyInArrow(take, "block long, same binary, n_same long, other binary, n_other long"), "block", "ngram_pairs")
 
 
 def _counts_of(values: np.ndarray) -> list[int]:
@@ -315,60 +339,61 @@ def _counts_of(values: np.ndarray) -> list[int]:
 
 
 def word_sums(parts: DataFrame, pairs: DataFrame, ranges: int, bits: int) -> DataFrame:
-    """(block, model, data, size, stats): a block's words with their sums in the other fold; and without a block, a model's counts of counts."""
+    """(block, model, data, size, stats): a block's words with their sums in the other fold; and without a block, a model's counts of counts.
+
+    stats: how many bigrams occur once, twice, three and four times and at all, in either fold; then the
+    same of words by how many different words come before them.
+    """
     kinds = "range long, block long, fold long, model string, first long, data binary, size long, stats array<long>"
     names = [k.split()[0] for k in kinds.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
 
     def give(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        found = list(zip(right["data"].to_pylist(), right["size"].to_pylist()))
-        for block, fold, *packed in zip(left["block"].to_pylist(), left["fold"].to_pylist(), left["docs"], left["uses"], left["words"]):
-            own = Bigrams(*map(_unpacked, packed), bits)
-            c, owned = own.counts(fold, found)
-            w, sums = len(own.words), []
-            for f in (0, 1):
-                n = np.where(owned, c[f], 0)
-                sums += [np.bincount(own.first, weights=x, minlength=w).astype(np.int64) for x in (n, n == 1, n == 2, n > 2)] + [np.bincount(own.second[n > 0], minlength=w)]
-            for m, at in _by_model(own.words):
-                here = np.zeros(w, bool)
-                here[at] = True
-                stats = [x for f in (0, 1) for x in _counts_of(np.where(owned & here[own.first], c[f], 0))]
-                out.append((xxhash.xxh64_intdigest(m.encode("utf-8", "replace")) % ranges, None, None, m, None, None, None, stats))
-                at = at[np.argsort(own.hash[at], kind="stable")]
+        for block, got in Block.of(left):
+            own = Bigrams(got, bits)
+            c, owned = own.n.copy(), np.ones(len(own.n), bool)
+            for data, size in zip(right["same"].to_pylist(), right["n_same"].to_pylist()):
+                at, total, mine = unpack(data, 3, size)
+                at = np.cumsum(at)
+                c[at], owned[at] = total, mine > 0
+            first, second, c = own.first[owned], own.second[owned], c[owned]
+            sums = [np.bincount(first, weights=x, minlength=own.words).astype(np.int64) for x in (c, c == 1, c == 2, c > 2)] + [np.bincount(second, minlength=own.words)]
+            for m, i, j in got.ranges:
+                stats = np.zeros(20, np.int64)
+                stats[5 * got.fold : 5 * got.fold + 5] = _counts_of(c[(first >= i) & (first < j)])
+                out.append((xxhash.xxh64_intdigest(m.encode("utf-8", "replace")) % ranges, None, None, m, None, None, None, stats.tolist()))
+                at = i + np.argsort(own.hash[i:j], kind="stable")
                 keys = own.hash[at]
-                ends = np.searchsorted(keys, np.arange(ranges + 1) * (1 << bits) // ranges)
-                for k in range(ranges):
-                    i, j = ends[k], ends[k + 1]
-                    if i < j:
-                        out.append((k, block, fold, m, i, pack(np.diff(keys[i:j], prepend=0), *(s[at[i:j]] for s in sums)), j - i, None))
+                out += [(k, block, got.fold, m, f, pack(np.diff(keys[f:t], prepend=0), *(s[at[f:t]] for s in sums)), t - f, None) for k, f, t in _cuts(keys, ranges, bits)]
         return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
 
     def take(rows: pa.Table) -> pa.Table:
-        total: dict[str, np.ndarray] = {}
+        stats: dict[str, np.ndarray] = {}
         for m, s in zip(rows["model"].to_pylist(), rows["stats"].to_pylist()):
             if s is not None:
-                total[m] = total.get(m, np.zeros(20, np.int64)) + np.array([*s, *[0] * 10])
+                stats[m] = stats.get(m, 0) + np.array(s)
         rows, out = rows.filter(pc.is_valid(rows["data"])), []
         for m, at in _by_model(rows):
             mine = rows.take(pa.array(at))
             size = mine["size"].to_numpy()
-            got = [unpack(d, 1 + 2 * SUMS, n) for d, n in zip(mine["data"].to_pylist(), size)]
+            got = [unpack(d, 1 + SUMS, n) for d, n in zip(mine["data"].to_pylist(), size)]
             _, at = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
-            sums = [np.bincount(at, weights=np.concatenate([g[1 + k] for g in got])).astype(np.int64) for k in range(2 * SUMS)]
-            total[m] = total.get(m, np.zeros(20, np.int64)) + np.array([0] * 10 + _counts_of(sums[SUMS - 1]) + _counts_of(sums[2 * SUMS - 1]))
+            fold = np.repeat(mine["fold"].to_numpy(), size)
+            columns = [np.concatenate([g[1 + k] for g in got]) for k in range(SUMS)]
+            sums = [[np.bincount(at, weights=np.where(fold == f, c, 0)).astype(np.int64) for c in columns] for f in (0, 1)]
+            stats[m] = stats.get(m, 0) + np.array([0] * 10 + _counts_of(sums[0][-1]) + _counts_of(sums[1][-1]))
             start = 0
-            for block, fold, first, n in zip(mine["block"].to_pylist(), mine["fold"].to_pylist(), mine["first"].to_pylist(), size):
-                k = at[start : start + n]
-                other = [s[k] for s in sums[SUMS * (1 - fold) : SUMS * (2 - fold)]]
+            for block, f, first, n in zip(mine["block"].to_pylist(), mine["fold"].to_pylist(), mine["first"].to_pylist(), size):
+                other = [s[at[start : start + n]] for s in sums[1 - f]]
                 found = np.flatnonzero((other[0] > 0) | (other[-1] > 0))
                 if len(found):
                     out.append((block, m, pack(np.diff(found + first, prepend=0), *(x[found] for x in other)), len(found), None))
                 start += n
-        out += [(None, m, None, None, s.tolist()) for m, s in total.items()]
+        out += [(None, m, None, None, s.tolist()) for m, s in stats.items()]
         return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64())))], names=["block", "model", "data", "size", "stats"])
 
-    given = parts.drop("models").groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(give, kinds)
+    given = parts.groupBy("block").cogroup(pairs.select("block", "same", "n_same").groupBy("block")).applyInArrow(give, kinds)
     return checkpointed(given.groupBy("range").applyInArrow(take, "block long, model string, data binary, size long, stats array<long>"))
 
 
@@ -377,18 +402,18 @@ def block_grams(parts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, fold, data in zip(b["block"].to_pylist(), b["fold"].to_pylist(), b["words"]):
-                words = _unpacked(data)
-                n = words["n"].to_numpy()
-                for m, at in _by_model(words):
-                    owner, h = grams(words["word"].take(pa.array(at)).to_pylist())
+            for block, got in Block.of(b):
+                n = np.bincount(got.seq, minlength=len(got.words))
+                for m, i, j in got.ranges:
+                    owner, h = grams(got.words[i:j])
                     u, where = np.unique(h, return_inverse=True)
-                    total = np.bincount(where, weights=n[at][owner], minlength=len(u)).astype(np.int64)
-                    for i in range(0, len(u), 1 << 16):
-                        g = u[i : i + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(np.full(len(g), fold)), pa.repeat(m, len(g)), pa.array(g), pa.array(total[i : i + (1 << 16)])], ["block", "fold", "model", "gram", "n"])
+                    total = np.bincount(where, weights=n[i:j][owner], minlength=len(u)).astype(np.int64)
+                    for f in range(0, len(u), 1 << 16):
+                        g = u[f : f + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(np.full(len(g), got.fold)), pa.repeat(m, len(g)), pa.array(g), pa.array(total[f : f + (1 << 16)])], ["block", "fold", "model", "gram", "n"])
 
-    return parts.select("block", "fold", "words").mapInArrow(run, "block long, fold long, model string, gram long, n long")
+    # the n-grams of a block are few against its words, and both the counts and the answers come from them
+    return checkpointed(parts.mapInArrow(run, "block long, fold long, model string, gram long, n long"))
 
 
 def _longer(k: int) -> Column:
@@ -444,41 +469,49 @@ def log_probabilities(found: DataFrame) -> DataFrame:
     return out.select("model", "gram", F.log("n0").cast("float").alias("p0"), F.log("n1").cast("float").alias("p1"))
 
 
-def word_probabilities(own: Bigrams, fold: int, rows: pa.Table) -> np.ndarray:
-    """Log probability of each word of the block's texts, in order, by the model of the other fold."""
-    c, _ = own.counts(fold, [(d, n) for _, d, n in _answers(rows, 1)])
-    c, w = c[1 - fold].astype(np.float64), len(own.words)
+def word_probabilities(own: Bigrams, pairs: list, rows: pa.Table) -> np.ndarray:
+    """Log probability of each word of the block's texts, in order, by the model of the other fold.
+
+    pairs: (other, n_other) of bigram_counts; rows: log probabilities of n-grams of characters, sums of words and stats of models.
+    """
+    block, w = own.block, own.words
+    c = np.zeros(len(own.keys))
+    for data, size in pairs:
+        at, n = unpack(data, 2, size)
+        c[np.cumsum(at)] = n
     letters = rows.filter(pc.is_valid(rows["gram"]))
     gram, value, of_model = letters["gram"].to_numpy(), letters["log_p"].to_numpy(), dict(_by_model(letters))
-    sums, cut = np.zeros((SUMS, w)), np.zeros((3, w))
-    single = np.zeros(w)
-    stats = {m: np.array(s, float) for m, s in zip(rows["model"].to_pylist(), rows["stats"].to_pylist()) if s is not None}
-    answers: dict[str, list] = {}
-    for m, d, n in _answers(rows, 2):
-        answers.setdefault(m, []).append((d, n))
-    for m, at in _by_model(own.words):
+    sums, cut, single = np.zeros((SUMS, w)), np.zeros((3, w)), np.zeros(w)
+    stats, answers = {}, {}
+    rest = rows.filter(pc.is_null(rows["gram"]))
+    for m, s, d, n in zip(*(rest[c].to_pylist() for c in ("model", "stats", "data", "size"))):
+        if s is not None:
+            stats[m] = np.array(s, float)
+        elif d is not None:
+            answers.setdefault(m, []).append((d, n))
+    for m, i, j in block.ranges:
         slots = of_model[m][np.argsort(gram[of_model[m]])]
-        owner, h = grams(own.words["word"].take(pa.array(at)).to_pylist())
-        spelled = np.exp(np.bincount(owner, weights=value[slots][np.searchsorted(gram[slots], h)], minlength=len(at)))
-        order = at[np.argsort(own.hash[at], kind="stable")]
+        owner, h = grams(block.words[i:j])
+        spelled = np.exp(np.bincount(owner, weights=value[slots][np.searchsorted(gram[slots], h)], minlength=j - i))
+        order = i + np.argsort(own.hash[i:j], kind="stable")
         for d, n in answers.get(m, []):
             place, *found = unpack(d, 1 + SUMS, n)
             for k in range(SUMS):
                 sums[k][order[np.cumsum(place)]] = found[k]
-        two, one = stats[m].reshape(2, 2, 5)[:, 1 - fold]
-        cut[:, at] = np.array(discounts(*two[:4]))[:, None]
+        two, one = stats[m].reshape(2, 2, 5)[:, 1 - block.fold]
+        cut[:, i:j] = np.array(discounts(*two[:4]))[:, None]
         # words before a word, out of all distinct bigrams, with what is cut off given to the spelling
         d = discounts(*one[:4])
-        before = sums[SUMS - 1][at]
+        before = sums[SUMS - 1][i:j]
         rest = (d[0] * one[0] + d[1] * one[1] + d[2] * (one[4] - one[0] - one[1])) / two[4] if two[4] else 1.0
         off = np.select([before == 0, before == 1, before == 2], [0.0, d[0], d[1]], d[2])
-        single[at] = (before - off) / max(two[4], 1) + rest * spelled
+        single[i:j] = (before - off) / max(two[4], 1) + rest * spelled
     total, f1, f2, f3 = sums[:4]
     rest = np.where(total > 0, (cut[0] * f1 + cut[1] * f2 + cut[2] * f3) / np.maximum(total, 1), 1.0)
     a, b = own.first, own.second
     off = np.select([c == 0, c == 1, c == 2], [0.0, cut[0][a], cut[1][a]], cut[2][a])
     pair = (c - off) / np.maximum(total[a], 1) + rest[a] * single[b]
-    p = single[own.seq]
+    p = single[block.seq]
     p[own.inside] = pair[own.place]
     return np.log(np.maximum(p, 1e-300))
 
@@ -496,29 +529,30 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     sums = word_sums(parts, pairs, ranges, bits)
     wanted = block_grams(parts)
     letters = log_probabilities(checkpointed(wanted.groupBy("model", "gram").agg(*(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (0, 1)))))
-    columns = {"kind": "int", "model": "string", "gram": "long", "log_p": "float", "data": "binary", "size": "long", "stats": "array<long>"}
+    columns = {"model": "string", "gram": "long", "log_p": "float", "data": "binary", "size": "long", "stats": "array<long>"}
     answer = lambda rows, **given: rows.select("block", *(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
     spelled = wanted.select("block", "fold", "model", "gram").join(letters, ["model", "gram"])
     known = sums.where("block is null").groupBy("model").agg(F.array(*(F.sum(F.col("stats")[i]) for i in range(20))).alias("stats"))
     models = parts.select("block", F.explode("models").alias("model")).join(known, "model")
-    answers = answer(spelled, kind=F.lit(0), model=F.col("model"), gram=F.col("gram"), log_p=F.when(F.col("fold") == 0, F.col("p1")).otherwise(F.col("p0")))
-    answers = answers.unionByName(answer(pairs, kind=F.lit(1), data=F.col("data"), size=F.col("size")))
-    answers = answers.unionByName(answer(sums.where("block is not null"), kind=F.lit(2), model=F.col("model"), data=F.col("data"), size=F.col("size")))
-    answers = answers.unionByName(answer(models, kind=F.lit(3), model=F.col("model"), stats=F.col("stats")))
+    answers = answer(spelled, model=F.col("model"), gram=F.col("gram"), log_p=F.when(F.col("fold") == 0, F.col("p1")).otherwise(F.col("p0")))
+    answers = answers.unionByName(answer(sums.where("block is not null"), model=F.col("model"), data=F.col("data"), size=F.col("size")))
+    answers = answers.unionByName(answer(models, model=F.col("model"), stats=F.col("stats")))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, text_hash long, lang string, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for fold, *packed in zip(left["fold"].to_pylist(), left["docs"], left["uses"], left["words"]):
-            docs, uses, words = map(_unpacked, packed)
-            own = Bigrams(docs, uses, words, bits)
-            doc = np.repeat(np.arange(len(docs)), own.size)
-            total = np.bincount(doc, weights=word_probabilities(own, fold, right), minlength=len(docs)) if len(own.seq) else np.zeros(len(docs))
-            out.append(docs.append_column("log_perplexity", pa.array(-total / np.maximum(own.size, 1), mask=own.size == 0)))
+        for (_, got), pairs in zip(Block.of(left), left["pairs"].to_pylist()):
+            own = Bigrams(got, bits)
+            doc = np.repeat(np.arange(len(got.docs)), own.size)
+            found = [(p["other"], p["n_other"]) for p in pairs or []]
+            total = np.bincount(doc, weights=word_probabilities(own, found, right), minlength=len(got.docs)) if len(got.seq) else np.zeros(len(got.docs))
+            out.append(got.docs.append_column("log_perplexity", pa.array(-total / np.maximum(own.size, 1), mask=own.size == 0)))
         return pa.concat_tables(out) if out else pa.schema([("_id", pa.null()), ("text_hash", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in COUNTS), ("log_perplexity", pa.float64())]).empty_table()
 
-    return parts.drop("models").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("_id", "doc_id")
+    # both tables are dealt by block, so only the answers move
+    held = pairs.groupBy("block").agg(F.collect_list(F.struct("other", "n_other")).alias("pairs"))
+    return parts.join(held, "block", "left").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("_id", "doc_id")
 
 
 def judged(docs: DataFrame, below: float = BELOW, above: float = ABOVE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -394,7 +394,7 @@ def word_sums(parts: DataFrame, pairs: DataFrame, ranges: int, bits: int) -> Dat
         return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64())))], names=["block", "model", "data", "size", "stats"])
 
     given = parts.groupBy("block").cogroup(pairs.select("block", "same", "n_same").groupBy("block")).applyInArrow(give, kinds)
-    return checkpointed(given.groupBy("range").applyInArrow(take, "block long, model string, data binary, size long, stats array<long>"))
+    return bucketed(given.groupBy("range").applyInArrow(take, "block long, model string, data binary, size long, stats array<long>"), "block", "ngram_words")
 
 
 def block_grams(parts: DataFrame) -> DataFrame:
@@ -469,33 +469,30 @@ def log_probabilities(found: DataFrame) -> DataFrame:
     return out.select("model", "gram", F.log("n0").cast("float").alias("p0"), F.log("n1").cast("float").alias("p1"))
 
 
-def word_probabilities(own: Bigrams, pairs: list, rows: pa.Table) -> np.ndarray:
+def word_probabilities(own: Bigrams, pairs: list[dict], words: list[dict], rows: pa.Table) -> np.ndarray:
     """Log probability of each word of the block's texts, in order, by the model of the other fold.
 
-    pairs: (other, n_other) of bigram_counts; rows: log probabilities of n-grams of characters, sums of words and stats of models.
+    pairs: rows of bigram_counts; words: rows of word_sums; rows: log probabilities of n-grams of characters, and stats of models.
     """
     block, w = own.block, own.words
     c = np.zeros(len(own.keys))
-    for data, size in pairs:
-        at, n = unpack(data, 2, size)
+    for p in pairs:
+        at, n = unpack(p["other"], 2, p["n_other"])
         c[np.cumsum(at)] = n
     letters = rows.filter(pc.is_valid(rows["gram"]))
     gram, value, of_model = letters["gram"].to_numpy(), letters["log_p"].to_numpy(), dict(_by_model(letters))
     sums, cut, single = np.zeros((SUMS, w)), np.zeros((3, w)), np.zeros(w)
-    stats, answers = {}, {}
-    rest = rows.filter(pc.is_null(rows["gram"]))
-    for m, s, d, n in zip(*(rest[c].to_pylist() for c in ("model", "stats", "data", "size"))):
-        if s is not None:
-            stats[m] = np.array(s, float)
-        elif d is not None:
-            answers.setdefault(m, []).append((d, n))
+    rest = rows.filter(pc.is_valid(rows["stats"]))
+    stats = {m: np.array(v, float) for m, v in zip(rest["model"].to_pylist(), rest["stats"].to_pylist())}
     for m, i, j in block.ranges:
         slots = of_model[m][np.argsort(gram[of_model[m]])]
         owner, h = grams(block.words[i:j])
         spelled = np.exp(np.bincount(owner, weights=value[slots][np.searchsorted(gram[slots], h)], minlength=j - i))
         order = i + np.argsort(own.hash[i:j], kind="stable")
-        for d, n in answers.get(m, []):
-            place, *found = unpack(d, 1 + SUMS, n)
+        for x in words:
+            if x["model"] != m:
+                continue
+            place, *found = unpack(x["data"], 1 + SUMS, x["size"])
             for k in range(SUMS):
                 sums[k][order[np.cumsum(place)]] = found[k]
         two, one = stats[m].reshape(2, 2, 5)[:, 1 - block.fold]
@@ -529,30 +526,27 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     sums = word_sums(parts, pairs, ranges, bits)
     wanted = block_grams(parts)
     letters = log_probabilities(checkpointed(wanted.groupBy("model", "gram").agg(*(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (0, 1)))))
-    columns = {"model": "string", "gram": "long", "log_p": "float", "data": "binary", "size": "long", "stats": "array<long>"}
-    answer = lambda rows, **given: rows.select("block", *(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
     spelled = wanted.select("block", "fold", "model", "gram").join(letters, ["model", "gram"])
     known = sums.where("block is null").groupBy("model").agg(F.array(*(F.sum(F.col("stats")[i]) for i in range(20))).alias("stats"))
     models = parts.select("block", F.explode("models").alias("model")).join(known, "model")
-    answers = answer(spelled, model=F.col("model"), gram=F.col("gram"), log_p=F.when(F.col("fold") == 0, F.col("p1")).otherwise(F.col("p0")))
-    answers = answers.unionByName(answer(sums.where("block is not null"), model=F.col("model"), data=F.col("data"), size=F.col("size")))
-    answers = answers.unionByName(answer(models, model=F.col("model"), stats=F.col("stats")))
+    answers = spelled.select("block", "model", "gram", F.when(F.col("fold") == 0, F.col("p1")).otherwise(F.col("p0")).alias("log_p"), F.lit(None).cast("array<long>").alias("stats"))
+    answers = answers.unionByName(models.select("block", "model", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("float").alias("log_p"), "stats"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, text_hash long, lang string, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for (_, got), pairs in zip(Block.of(left), left["pairs"].to_pylist()):
+        for (_, got), pairs, words in zip(Block.of(left), left["pairs"].to_pylist(), left["sums"].to_pylist()):
             own = Bigrams(got, bits)
             doc = np.repeat(np.arange(len(got.docs)), own.size)
-            found = [(p["other"], p["n_other"]) for p in pairs or []]
-            total = np.bincount(doc, weights=word_probabilities(own, found, right), minlength=len(got.docs)) if len(got.seq) else np.zeros(len(got.docs))
+            total = np.bincount(doc, weights=word_probabilities(own, pairs or [], words or [], right), minlength=len(got.docs)) if len(got.seq) else np.zeros(len(got.docs))
             out.append(got.docs.append_column("log_perplexity", pa.array(-total / np.maximum(own.size, 1), mask=own.size == 0)))
         return pa.concat_tables(out) if out else pa.schema([("_id", pa.null()), ("text_hash", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in COUNTS), ("log_perplexity", pa.float64())]).empty_table()
 
-    # both tables are dealt by block, so only the answers move
+    # these tables are dealt by block, so only the answers move
     held = pairs.groupBy("block").agg(F.collect_list(F.struct("other", "n_other")).alias("pairs"))
-    return parts.join(held, "block", "left").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("_id", "doc_id")
+    of_words = sums.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("model", "data", "size")).alias("sums"))
+    return parts.join(held, "block", "left").join(of_words, "block", "left").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("_id", "doc_id")
 
 
 def judged(docs: DataFrame, below: float = BELOW, above: float = ABOVE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -9,12 +9,6 @@ SELECT train, CASE WHEN source = 'A' THEN 1 WHEN source = 'N' THEN 2 ELSE 3 END
 SELECT train, source, CASE WHEN n > best THEN 'replaced_with_longer_stop_list' ELSE 'kept_existing_longer_or_equal_stop_list' END AS resolution,
        greatest(n, best) AS kept_stop_count, least(n, best) AS dropped_stop_count FROM (
   SELECT *, max(n) OVER (PARTITION BY train ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM {src}) a WHERE best IS NOT NULL""",
-    "merge_sorted_output": """
-SELECT train, CAST(row_number() OVER (ORDER BY day, train) AS BIGINT) AS pos FROM (
-  SELECT s.train, coalesce(CAST(min(o.o_orderdate) AS [[STRING||VARCHAR]]), '99:99') AS day FROM {src} s LEFT JOIN {orders} o ON o.o_orderkey = s.train AND o.o_orderkey % 5 <> 0 GROUP BY s.train) a""",
-    "normalize_names": r"""
-SELECT c_custkey AS id, regexp_replace(lower(trim(c_name)), '[-_()#.,/ ]', ''[[||, 'g']]) AS name FROM {customer}
-UNION ALL SELECT p_partkey + 100000000 AS id, regexp_replace(lower(trim(p_name)), '[-_()#.,/ ]', ''[[||, 'g']]) AS name FROM {part}""",
     "service_name_split": """
 SELECT p_partkey AS id, coalesce(a.alias, raw) AS service, number FROM (
   SELECT p_partkey, regexp_extract(p_brand, '^(.*?)([0-9]+)$', 1) AS raw, regexp_extract(p_brand, '^(.*?)([0-9]+)$', 2) AS number FROM {part}) p
@@ -37,8 +31,4 @@ SELECT service, number, station, pos FROM (
     SELECT l_returnflag AS service, l_orderkey AS number, l_linenumber AS station, min(l_shipdate) AS dep,
            min(CASE WHEN l_linenumber = 1 THEN 1 ELSE 2 END) AS first_pos FROM {lineitem} GROUP BY l_returnflag, l_orderkey, l_linenumber) a) b
 WHERE service <> 'R'""",
-    "trip_instances": """
-SELECT concat('TRIP_', [[lpad(CAST(rn AS STRING), 6, '0')||lpad(CAST(rn AS VARCHAR), 6, '0')]]) AS trip_id, o_orderkey AS train, stops, suppliers FROM (
-  SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn FROM {orders}) o
-JOIN (SELECT l_orderkey, count(*) AS stops, count(DISTINCT s_nationkey) AS suppliers FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey""",
 }

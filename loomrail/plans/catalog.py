@@ -10,10 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrail.operators import boarding, geo, markup, merging, network, pursuit
+from loomrail.operators import boarding, datasets, geo, markup, merging, network, pursuit, timetable_pages, validation
 from loomrail.sources.adapters import SQL, canonical
 from loomrail.streaming import room_clock
 
+#: Modules whose queries are DataFrame operations, each with SQL of its own that states the result in another way.
+FRAMES = (timetable_pages, datasets, validation)
 TEXTS = {k: v for m in (boarding, merging, network, pursuit, geo, markup) for k, v in m.QUERIES.items()}
 CHOICE = re.compile(r"\[\[(.*?)\|\|(.*?)\]\]", re.S)
 FIELD = re.compile(r"(?<!\{)\{(\w+)\}")
@@ -30,8 +32,8 @@ def other(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{n: (lambda spark, sf_dir, n=n: run(spark, sf_dir, n)) for n in TEXTS}, "room_clock_stream": room_clock.query}
+    return {**{n: (lambda spark, sf_dir, n=n: run(spark, sf_dir, n)) for n in TEXTS}, **{k: q for m in FRAMES for k, q in m.QUERIES.items()}, "room_clock_stream": room_clock.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: other(n) for n in TEXTS}
+    return {**{n: other(n) for n in TEXTS}, **{k: q for m in FRAMES for k, q in m.ORACLE.items()}}

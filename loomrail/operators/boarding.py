@@ -49,11 +49,6 @@ SELECT trip_id, m AS at_minute, station_id AS from_station, nxt AS to_station,
     SELECT trip_id, seq, station_id, minute, dep, lead(station_id) OVER (PARTITION BY trip_id ORDER BY seq) AS nxt, lead(minute) OVER (PARTITION BY trip_id ORDER BY seq) AS arr FROM {st}) s
   JOIN (VALUES (600), (5000), (20000)) v(m) ON s.minute <= v.m) a
 WHERE rn = 1""",
-    "board_any_of_choice": """
-SELECT want.trip_id, want.pos, want.candidate, CASE WHEN dep IS NULL THEN 'not_catchable_from_current_state' WHEN want.pos = min(CASE WHEN dep IS NOT NULL THEN want.pos END) OVER (PARTITION BY want.trip_id) THEN 'chosen' ELSE 'not_needed' END AS outcome, dep FROM (
-  SELECT h.trip_id, h.station_id, h.minute, p.pos, (h.trip_id * 7 + p.pos * 31) % 150 AS candidate FROM {st} h CROSS JOIN (VALUES (1), (2), (3)) p(pos) WHERE h.seq = 10) want
-LEFT JOIN (SELECT h.trip_id, c.trip_id AS candidate, min(c.dep) AS dep FROM {st} h JOIN {st} c ON h.seq = 10 AND c.station_id = h.station_id AND c.dep >= h.minute GROUP BY h.trip_id, c.trip_id) got
-ON got.trip_id = want.trip_id AND got.candidate = want.candidate""",
     "reachable_semi": """
 SELECT DISTINCT n_nationkey AS station_id, n_name AS name FROM {nation} WHERE n_nationkey IN (
   SELECT b.station_id FROM {st} a JOIN {st} b ON a.trip_id = b.trip_id AND b.seq > a.seq WHERE a.station_id = 3 AND a.minute BETWEEN 600 AND 2000)""",

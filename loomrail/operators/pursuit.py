@@ -4,40 +4,8 @@ QUERIES = {
     "player_state_at_minute": """
 SELECT trip_id, m AS at_minute, station_id, event_type FROM (
   SELECT s.*, v.m, row_number() OVER (PARTITION BY s.trip_id, v.m ORDER BY s.seq DESC) AS rn FROM {st} s JOIN (VALUES (600), (5000), (20000)) v(m) ON s.minute <= v.m) a WHERE rn = 1""",
-    # stays at a station overlap, both ends included; the carrier is in the join key
-    "interval_overlap_first_capture": """
-SELECT match_id, at_minute, station_id FROM (
-  SELECT r.trip_id / 2 AS m2, CAST(floor(r.trip_id / 2) AS BIGINT) AS match_id, greatest(r.minute, h.minute) AS at_minute, r.station_id,
-         row_number() OVER (PARTITION BY floor(r.trip_id / 2) ORDER BY greatest(r.minute, h.minute), r.station_id) AS rn
-  FROM {st} r JOIN {st} h ON h.trip_id = r.trip_id + 1 AND h.station_id = r.station_id AND r.minute <= h.dep + 60 AND h.minute <= r.dep + 60
-  WHERE r.trip_id % 2 = 0) a WHERE rn = 1""",
-    "capture_minute_sampled": """
-SELECT match_id, min(at_minute) AS at_minute FROM (
-  SELECT CAST(floor(r.trip_id / 2) AS BIGINT) AS match_id, r.slot * 60 AS at_minute FROM
-    (SELECT trip_id, CAST(floor(minute / 60) AS BIGINT) AS slot, station_id, row_number() OVER (PARTITION BY trip_id, floor(minute / 60) ORDER BY seq DESC) AS rn FROM {st}) r
-    JOIN (SELECT trip_id, CAST(floor(minute / 60) AS BIGINT) AS slot, station_id, row_number() OVER (PARTITION BY trip_id, floor(minute / 60) ORDER BY seq DESC) AS rn FROM {st}) h
-    ON h.trip_id = r.trip_id + 1 AND h.slot = r.slot AND h.station_id = r.station_id AND r.rn = 1 AND h.rn = 1 WHERE r.trip_id % 2 = 0) a GROUP BY match_id""",
-    # the log of both players in order, each one's state carried on, cut at the first event that leaves both at one station
-    "capture_event_driven": """
-SELECT match_id, rn, minute, role, station_id, CASE WHEN hit = 1 THEN 'CAPTURE' ELSE 'MOVE' END AS kind FROM (
-  SELECT *, min(CASE WHEN hit = 1 THEN rn END) OVER (PARTITION BY match_id) AS cap FROM (
-    SELECT l.*, CASE WHEN r.station_id = h.station_id THEN 1 ELSE 0 END AS hit FROM (
-      SELECT *, max(CASE WHEN role = 0 THEN seq END) OVER w AS r_seq, max(CASE WHEN role = 1 THEN seq END) OVER w AS h_seq FROM (
-        SELECT CAST(floor(trip_id / 2) AS BIGINT) AS match_id, trip_id, CAST(trip_id % 2 AS INTEGER) AS role, seq, minute, station_id,
-               CAST(row_number() OVER (PARTITION BY floor(trip_id / 2) ORDER BY minute, trip_id % 2, seq) AS BIGINT) AS rn FROM {st}) a
-      WINDOW w AS (PARTITION BY match_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) l
-    LEFT JOIN {st} r ON r.trip_id = l.match_id * 2 AND r.seq = l.r_seq LEFT JOIN {st} h ON h.trip_id = l.match_id * 2 + 1 AND h.seq = l.h_seq) b) c
-WHERE cap IS NULL OR rn <= cap""",
     "hourly_planning_windows": """
 SELECT trip_id, CAST(floor((minute - 360) / 60) AS BIGINT) AS window_no, count(*) AS events, min(minute) AS first_minute, max(minute) AS last_minute FROM {st} GROUP BY trip_id, CAST(floor((minute - 360) / 60) AS BIGINT)""",
-    # steps in turn: from where and when the player is, take the next departure of the trip numbered by step and place
-    "plan_fold_recursive": """
-WITH RECURSIVE legs AS (SELECT trip_id, seq, station_id, dep, lead(station_id) OVER (PARTITION BY trip_id ORDER BY seq) AS nxt, lead(minute) OVER (PARTITION BY trip_id ORDER BY seq) AS arr FROM {st}),
-hops AS (SELECT station_id, dep, trip_id, nxt, arr, CAST(row_number() OVER (PARTITION BY station_id ORDER BY dep, trip_id, seq) AS BIGINT) AS rn FROM legs WHERE nxt IS NOT NULL),
-next_hop AS (SELECT h.station_id, h.rn, h.trip_id, h.dep, h.nxt, h.arr, min(g.rn) AS nxt_rn FROM hops h LEFT JOIN hops g ON g.station_id = h.nxt AND g.dep >= h.arr AND g.dep < h.arr + 3000 GROUP BY h.station_id, h.rn, h.trip_id, h.dep, h.nxt, h.arr),
-plan AS (SELECT station_id AS player, CAST(1 AS INTEGER) AS step_index, trip_id, dep, nxt, arr, nxt_rn FROM next_hop WHERE rn = 1
-  UNION ALL SELECT p.player, p.step_index + 1 AS step_index, n.trip_id, n.dep, n.nxt, n.arr, n.nxt_rn FROM plan p JOIN next_hop n ON n.station_id = p.nxt AND n.rn = p.nxt_rn WHERE p.step_index < 6)
-SELECT player, step_index, trip_id, dep, nxt AS station_id, arr FROM plan""",
     "visibility_projection": """
 SELECT trip_id, seq, CASE WHEN minute % 1440 < 360 THEN 'hidden' WHEN trip_id % 2 = 0 AND event_type = 'click' THEN 'segment' WHEN trip_id % 2 = 0 THEN 'station' ELSE 'full' END AS shown FROM {st}""",
     "hop_replay_states": """

@@ -32,11 +32,4 @@ SELECT line, point_id, round(coalesce(sum(d) OVER (PARTITION BY line ORDER BY po
   SELECT line, point_id, 2 * 6371000 * atan2(sqrt(h), sqrt(1 - h)) AS d FROM (
     SELECT line, point_id, pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2) AS h FROM (
       SELECT point_id % 20 AS line, point_id, lon, lat, lag(lon) OVER (PARTITION BY point_id % 20 ORDER BY point_id) AS lon0, lag(lat) OVER (PARTITION BY point_id % 20 ORDER BY point_id) AS lat0 FROM {pt}) a) b) c""",
-    # boxes of one cell of a coarse grid only, so that the pairs come from an equality join
-    "label_overlap_scores": """
-SELECT a.point_id, count(b.point_id) AS overlaps FROM (SELECT *, CAST(floor(lon) AS INTEGER) AS cx, CAST(floor(lat) AS INTEGER) AS cy FROM {pt}) a
-LEFT JOIN (SELECT *, CAST(floor(lon) AS INTEGER) AS cx, CAST(floor(lat) AS INTEGER) AS cy FROM {pt}) b
-ON a.cx = b.cx AND a.cy = b.cy AND a.point_id <> b.point_id AND abs(a.lon - b.lon) < 0.3 AND abs(a.lat - b.lat) < 0.1 GROUP BY a.point_id""",
-    "geojson_features": """
-SELECT point_id, concat('{{"type":"Feature","id":', CAST(point_id AS [[STRING||VARCHAR]]), ',"properties":{{"label_rank":', CASE WHEN point_id % 3 = 0 THEN '100' ELSE '50' END, '}}}}') AS feature FROM {pt}""",
 }

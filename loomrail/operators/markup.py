@@ -1,10 +1,6 @@
 """Links, titles and cells of timetable pages, by regular expressions that both engines share."""
 
-_ALL = "[[posexplode(regexp_extract_all(html, '<a href=\"([^\"]*)\"[^>]*>([^<]*)</a>', 1))||unnest(range(len(regexp_extract_all(html, '<a href=\"([^\"]*)\"[^>]*>([^<]*)</a>', 1)))) AS pos, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"[^>]*>([^<]*)</a>', 1))]] AS [[(pos, href)||href]]"
-
 QUERIES = {
-    "html_anchors": f"SELECT page_id, CAST(pos AS BIGINT) AS pos, href FROM (SELECT page_id, {_ALL} FROM {{pages}}) a",
-    "html_distinct_links": f"SELECT concat('https://example.org', href) AS link, min(page_id * 1000 + pos) AS first_seen FROM (SELECT page_id, {_ALL} FROM {{pages}}) a WHERE href LIKE '/%' GROUP BY href",
     "html_metadata_cells": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM {pages}",
     "time_cell_parse": """
 SELECT trip_id, seq, nullif(regexp_extract(cell, '([0-9]+:[0-9][0-9]) Arr', 1), '') AS arrival, nullif(regexp_extract(cell, '([0-9]+:[0-9][0-9]) Dep', 1), '') AS departure FROM (

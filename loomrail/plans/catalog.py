@@ -10,12 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrail.operators import boarding, datasets, geo, markup, merging, network, pursuit, scenario, timetable_pages, validation
+from loomrail.operators import boarding, datasets, geo, maps, markup, merging, network, pursuit, scenario, timetable_pages, validation
 from loomrail.sources.adapters import SQL, canonical
 from loomrail.streaming import room_clock
 
 #: Modules whose queries are DataFrame operations, each with SQL of its own that states the result in another way.
-FRAMES = (timetable_pages, datasets, validation, scenario)
+FRAMES = (timetable_pages, datasets, validation, scenario, maps)
 TEXTS = {k: v for m in (boarding, merging, network, pursuit, geo, markup) for k, v in m.QUERIES.items()}
 CHOICE = re.compile(r"\[\[(.*?)\|\|(.*?)\]\]", re.S)
 FIELD = re.compile(r"(?<!\{)\{(\w+)\}")
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{n: other(n) for n in TEXTS}, **{k: q for m in FRAMES for k, q in m.ORACLE.items()}}
+    return {**{n: other(n) for n in TEXTS}, **{k: q for m in FRAMES for k, q in m.ORACLE.items()}, "room_clock_stream": room_clock.ORACLE}

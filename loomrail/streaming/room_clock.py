@@ -1,31 +1,52 @@
-"""The live room: a command stream becomes the latest state of each room."""
+"""The live room: a stream of commands becomes the state of each room's hours, kept up to date batch by batch."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomrail.sources.storage import new_folder
+
+#: Game minutes of planning at the start of an hour, and the hours of a service day.
+PLANNING, FIRST_HOUR, LAST_HOUR = 1, 6, 18
+
 
 def states(commands: DataFrame, minutes_per_second: int = 1) -> DataFrame:
-    """(room_id, hour, commands, last_ts, game_minute): commands of each room by hour of event time, and the clock at the last one."""
-    clock = (F.unix_timestamp("last_ts") - F.unix_timestamp("window.start")) * minutes_per_second
+    """(room_id, hour, commands, kinds, last_ts, game_minute, phase) of each room and hour of event time.
+
+    game_minute is how far the clock had run at the last command; phase is what the room is in at that
+    time: ENDED outside the service day, PLANNING in an hour's first minute, else LIVE.
+    """
+    clock = ((F.unix_timestamp("last_ts") - F.unix_timestamp("window.start")) * minutes_per_second).cast("long")
+    hour = F.hour("window.start")
+    phase = F.when((hour < FIRST_HOUR) | (hour >= LAST_HOUR), "ENDED").when(clock < PLANNING * 60, "PLANNING").otherwise("LIVE")
     return (
         commands.withWatermark("ts", "2 hours")
         .groupBy(F.window("ts", "1 hour"), (F.col("user_id") % 10).alias("room_id"))
-        .agg(F.count("*").alias("commands"), F.max("ts").alias("last_ts"))
-        .select("room_id", F.col("window.start").alias("hour"), "commands", "last_ts", clock.cast("long").alias("game_minute"))
+        .agg(F.count("*").alias("commands"), F.approx_count_distinct("event_type", 0.01).alias("kinds"), F.max("ts").alias("last_ts"))
+        .select("room_id", F.col("window.start").alias("hour"), "commands", "kinds", "last_ts", clock.alias("game_minute"), phase.alias("phase"))
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replay the events as a file stream; all that is there is processed and the query ends."""
+    """Replay the events as a file stream to its end. Every batch adds the states it changed; the last one of a room's hour holds."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    out = os.path.join(folder, f"rooms-{uuid.uuid4().hex}")
+    out = new_folder(spark, "rooms")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    run = states(stream).writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        # a batch done again writes the same folder again
+        changed.write.mode("overwrite").parquet(f"{out}/data/batch={batch}")
+
+    run = states(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(states(spark.createDataFrame([], schema).withColumn("ts", F.col("ts").cast("timestamp"))).schema).parquet(f"{out}/data")
+    saved = spark.read.parquet(f"{out}/data")
+    names = ["commands", "kinds", "last_ts", "game_minute", "phase"]
+    last = saved.groupBy("room_id", "hour").agg(F.max_by(F.struct(*names), "batch").alias("s"))
+    return last.select("room_id", F.col("hour").cast("timestamp_ntz").alias("hour"), "s.commands", "s.kinds", F.col("s.last_ts").cast("timestamp_ntz").alias("last_ts"), "s.game_minute", "s.phase")
+
+
+ORACLE = """
+SELECT room_id, hour, commands, kinds, last_ts, CAST(floor(epoch(last_ts - hour)) AS BIGINT) AS game_minute,
+       CASE WHEN hour(hour) NOT BETWEEN 6 AND 17 THEN 'ENDED' WHEN epoch(last_ts - hour) < 60 THEN 'PLANNING' ELSE 'LIVE' END AS phase
+FROM (SELECT user_id % 10 AS room_id, date_trunc('hour', ts) AS hour, count(*) AS commands, count(DISTINCT event_type) AS kinds, max(ts) AS last_ts FROM events GROUP BY 1, 2)"""

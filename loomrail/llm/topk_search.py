@@ -1,8 +1,10 @@
 """Exact top-k inner products by Fagin's threshold algorithm over sorted lists, one for each dimension.
 
-Candidates are dealt into blocks by their largest component, so that vectors alike share a block. Each
-query first runs in the block that its own components name, which gives it a floor, the kth score so
-far; then it runs in every block, and stops where no unseen vector can reach the floor.
+Candidates are dealt into blocks by their largest component, so that vectors alike share a block. The
+block that a query's own components name gives it a floor, the kth score there; then it runs in every
+block, and stops where no unseen vector can reach the floor. Where the floor shows that no list alone
+could end a query early, the lists would be read to their ends, and all such queries of a block are
+scored together.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ BLOCK, QUERIES = 8192, 4096
 STEP = 8
 #: Share of the candidates to be seen from which the lists are read to their ends, as few are left to be spared.
 REST = 0.5
+#: Queries scored together.
+TOGETHER = 256
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -70,13 +74,48 @@ class Lists:
         #: candidates scored and candidates there were, over all queries
         self.read = self.there = 0
 
-    def depths(self, q: np.ndarray, use: np.ndarray, up: np.ndarray, best: float) -> np.ndarray:
-        """How deep each list would have to be read if it were the only one to end the query: to its last value near enough to the query's."""
-        near = np.sqrt(max(self.square + float((q.astype(np.float64) ** 2).sum()) - 2 * best, 0.0)) + 1e-6
+    def depths(self, q: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """(query, list): how deep each list would have to be read if it were the only one to end the query: to its last value near enough to the query's."""
         n = len(self.ids)
-        return np.array([n - np.searchsorted(self.sorted[:, c], q[c] - near, "left") if top else np.searchsorted(self.sorted[:, c], q[c] + near, "right") for c, top in zip(use, up)], np.int64)
+        near = np.sqrt(np.maximum(self.square + (q.astype(np.float64) ** 2).sum(axis=1) - 2 * best, 0.0)) + 1e-6
+        out = np.full(q.shape, n, np.int64)
+        for c in range(q.shape[1]):
+            up, down = q[:, c] > 0, q[:, c] < 0
+            out[up, c] = n - np.searchsorted(self.sorted[:, c], q[up, c] - near[up], "left")
+            out[down, c] = np.searchsorted(self.sorted[:, c], q[down, c] + near[down], "right")
+        return out
+
+    def product(self, q: np.ndarray) -> np.ndarray:
+        """(query, candidate): all scores, as doubles where these are exact."""
+        exact = float(np.abs(self.x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(self.x.shape[1], 1) < 2**53
+        return q.astype(np.float64) @ self.x.T.astype(np.float64) if exact else q @ self.x.T
+
+    def best_of(self, scores: np.ndarray, row: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best candidates that reach the floor, by the scores of all."""
+        mine = self.rows != row
+        if floor == -np.inf and mine.sum() > k:
+            floor = np.partition(scores[mine], -k)[-k]
+        at = np.flatnonzero(mine & (scores >= floor)) if floor > -np.inf else np.flatnonzero(mine)
+        at = at[np.lexsort((self.ids[at], -scores[at]))[:k]]
+        return self.ids[at], scores[at].astype(np.int64)
 
-    def top(self, row: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    def tops(self, rows: np.ndarray, q: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of each query as top gives them; those that would read the lists to their ends are scored together."""
+        n = len(self.ids)
+        need = self.depths(q, np.where(floors > -np.inf, floors, 0.0))
+        whole = (floors == -np.inf) | (need.min(axis=1, initial=n) > REST * n)
+        out: list = [None] * len(q)
+        for i in np.flatnonzero(~whole):
+            out[i] = self.top(rows[i], q[i], k, floors[i], need[i])
+        at = np.flatnonzero(whole)
+        for j in range(0, len(at), TOGETHER):
+            part = at[j : j + TOGETHER]
+            for i, scores in zip(part, self.product(q[part])):
+                out[i] = self.best_of(scores, rows[i], k, floors[i])
+        self.read, self.there = self.read + len(at) * n, self.there + len(at) * n
+        return out
+
+    def top(self, row: int, q: np.ndarray, k: int, floor: float = -np.inf, need: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best of the block that reach the floor, ties to smaller ids; the query's own row does not count.
 
         All lists are read from the top where the query's component is positive, from the bottom where
@@ -89,14 +128,14 @@ class Lists:
         exact = float(np.abs(self.x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(len(q), 1) < 2**53
         x, w = (self.x.astype(np.float64), q.astype(np.float64)) if exact else (self.x, q)
         use = np.flatnonzero(q)
-        seen, scores, best = np.zeros(n, bool), np.zeros(n, w.dtype), floor
+        seen, scores, best = np.zeros(n, bool), np.full(n, -np.inf) if exact else np.full(n, np.iinfo(np.int64).min), floor
         depth, u, up = np.zeros(len(use), np.int64), np.abs(q[use]).astype(np.float64), q[use] > 0
         value = lambda d: np.where(up, self.sorted[n - 1 - d, use], -self.sorted[d, use])
-        need, at_best = np.full(len(use), n), -np.inf
+        need, at_best = (np.full(len(use), n), -np.inf) if need is None else (need[use], floor)
         while n:
             if best > at_best:
-                need, at_best = self.depths(q, use, up, best), best
-            if not len(use) or seen.sum() > REST * n or (floor > -np.inf and need.min() > REST * n):
+                need, at_best = self.depths(q[None], np.array([best]))[0][use], best
+            if not len(use) or seen.sum() > REST * n:
                 left = np.flatnonzero(~seen)
                 scores[left] = x[left] @ w
                 seen[:] = True
@@ -115,8 +154,7 @@ class Lists:
             if len(got) >= k:
                 best = max(best, float(np.partition(got, len(got) - k)[len(got) - k]))
         self.read, self.there = self.read + int(seen.sum()), self.there + n
-        at = np.flatnonzero(seen & (self.rows != row))
-        at = at[scores[at] >= best] if best > -np.inf else at
+        at = np.flatnonzero(seen & (self.rows != row) & (scores >= best))
         at = at[np.lexsort((self.ids[at], -scores[at]))[:k]]
         return self.ids[at], scores[at].astype(np.int64)
 
@@ -158,17 +196,17 @@ def top_matches(candidates: DataFrame, queries: DataFrame, k: int = 20, block: i
         return Lists(left["row"].to_numpy(), left["vec_id"].to_numpy().astype(np.int64), matrix(left["v"], width))
 
     def floors(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        held, rows, q = lists(left), right["row"].to_pylist(), matrix(right["v"], width)
-        found = [held.top(r, v, k)[1] for r, v in zip(rows, q)]
-        return pa.table({"row": pa.array(rows, pa.int64()), "floor": pa.array([int(s[-1]) if len(s) == k else None for s in found], pa.int64())})
+        held, rows, q = lists(left), right["row"].to_numpy(), matrix(right["v"], width)
+        found = held.tops(rows, q, k, np.full(len(rows), -np.inf))
+        return pa.table({"row": pa.array(rows, pa.int64()), "floor": pa.array([int(s[-1]) if len(s) == k else None for _, s in found], pa.int64())})
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        held, out = lists(left), []
-        for r, i, v, f in zip(right["row"].to_pylist(), right["vec_id"].to_pylist(), matrix(right["v"], width), right["floor"].to_pylist()):
-            ids, s = held.top(r, v, k, -np.inf if f is None else f)
-            out.append((np.full(len(ids), r), np.full(len(ids), i), ids, s))
-        columns = zip(*out) if out else [[]] * 4
-        return pa.table({c: pa.array(np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64)) for c, v in zip(("row", "query_id", "vec_id", "score"), columns)})
+        held, rows, ids = lists(left), right["row"].to_numpy(), right["vec_id"].to_numpy()
+        least = np.array([-np.inf if f is None else f for f in right["floor"].to_pylist()], np.float64)
+        found = held.tops(rows, matrix(right["v"], width), k, least)
+        size = np.array([len(s) for _, s in found], np.int64)
+        columns = (np.repeat(rows, size), np.repeat(ids, size), *(np.concatenate([*(f[c] for f in found), np.zeros(0, np.int64)]) for c in (0, 1)))
+        return pa.table({c: pa.array(v.astype(np.int64)) for c, v in zip(("row", "query_id", "vec_id", "score"), columns)})
 
     dealt = candidates.select("row", "vec_id", "v", place.alias("b"))
     # aliases, as both sides may be rows of one table

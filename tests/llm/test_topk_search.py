@@ -28,8 +28,8 @@ def test_exact_with_and_without_floor(kind):
         assert list(zip(i.tolist(), s.tolist())) == brute(ids, x, r)
         floors.append(float(s[-1]))
     lists.read = lists.there = 0
-    for r, f in zip(rows, floors):
-        assert list(zip(*(a.tolist() for a in lists.top(r, x[r], 20, f)))) == brute(ids, x, r)
+    for r, got in zip(rows, lists.tops(rows, x[rows], 20, np.array(floors))):
+        assert list(zip(*(a.tolist() for a in got))) == brute(ids, x, r)
     # with clusters the lists are left long before their ends
     assert lists.read < (0.6 if kind == "clusters" else 1.01) * lists.there
 

@@ -32,7 +32,7 @@ from loomrail.llm.common import bucketed, checkpointed, chunks, table
 ORDER, BITS = 3, 21
 END, BEGIN = 0x110001, 0x110002
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 #: Bands: so many distances to the nearer quartile of the log perplexity from its median, by language. On sf0.1 all but 2 % of
 #: the rows lay from -5 to 6, near copies that the folds part from -16 to -8, words with signs stuck to them from 9 on;
 #: planted texts of the 14 commonest words lay below -14, random letters above 24.

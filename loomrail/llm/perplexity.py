@@ -31,8 +31,8 @@ from loomrail.llm.common import bucketed, checkpointed, chunks, table
 #: Characters of an n-gram, bits of each, and the marks of a word's end and begin, which are no code points.
 ORDER, BITS = 3, 21
 END, BEGIN = 0x110001, 0x110002
-#: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 6 << 20
+#: Bytes of text in a block (a longer text is a block of its own), and words spelled at once.
+BLOCK, SPELLED = 10 << 20, 1 << 15
 #: Bands: so many distances to the nearer quartile of the log perplexity from its median, by language. On sf0.1 all but 2 % of
 #: the rows lay from -5 to 6, near copies that the folds part from -16 to -8, words with signs stuck to them from 9 on;
 #: planted texts of the 14 commonest words lay below -14, random letters above 24.
@@ -405,9 +405,13 @@ def block_grams(parts: DataFrame) -> DataFrame:
             for block, got in Block.of(b):
                 n = np.bincount(got.seq, minlength=len(got.words))
                 for m, i, j in got.ranges:
-                    owner, h = grams(got.words[i:j])
-                    u, where = np.unique(h, return_inverse=True)
-                    total = np.bincount(where, weights=n[i:j][owner], minlength=len(u)).astype(np.int64)
+                    parts = []
+                    for f in range(i, j, SPELLED):
+                        owner, h = grams(got.words[f : min(f + SPELLED, j)])
+                        u, where = np.unique(h, return_inverse=True)
+                        parts.append((u, np.bincount(where, weights=n[f + owner], minlength=len(u))))
+                    u, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                    total = np.bincount(where, weights=np.concatenate([p[1] for p in parts]), minlength=len(u)).astype(np.int64)
                     for f in range(0, len(u), 1 << 16):
                         g = u[f : f + (1 << 16)]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(np.full(len(g), got.fold)), pa.repeat(m, len(g)), pa.array(g), pa.array(total[f : f + (1 << 16)])], ["block", "fold", "model", "gram", "n"])
@@ -486,8 +490,11 @@ def word_probabilities(own: Bigrams, pairs: list[dict], words: list[dict], rows:
     stats = {m: np.array(v, float) for m, v in zip(rest["model"].to_pylist(), rest["stats"].to_pylist())}
     for m, i, j in block.ranges:
         slots = of_model[m][np.argsort(gram[of_model[m]])]
-        owner, h = grams(block.words[i:j])
-        spelled = np.exp(np.bincount(owner, weights=value[slots][np.searchsorted(gram[slots], h)], minlength=j - i))
+        known, p, spelled = gram[slots], value[slots], np.zeros(j - i)
+        for f in range(0, j - i, SPELLED):
+            part = block.words[i + f : min(i + f + SPELLED, j)]
+            owner, h = grams(part)
+            spelled[f : f + len(part)] = np.exp(np.bincount(owner, weights=p[np.searchsorted(known, h)], minlength=len(part)))
         order = i + np.argsort(own.hash[i:j], kind="stable")
         for x in words:
             if x["model"] != m:

@@ -47,7 +47,7 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: The stages have hashes, suffix orders and trained models that SQL cannot express; tests hold run() against brute force.
+#: The stages have hashes, suffix orders and trained models that SQL cannot express; tests hold each stage's operator, and the last rows of run(), against plain code.
 ORACLE_SQL = None
 
 

@@ -107,9 +107,18 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in chunks(texts, CHUNK):
             size = np.array([len(t) for t in texts[i:j]], np.int64)
             ends = np.cumsum(size)
-            at, h = anchors(np.frombuffer(b"".join(texts[i:j]), np.uint8), ends - size, ends, hasher)
-            row = np.searchsorted(ends, at, side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b["_k"].take(pa.array(row + i)), pa.array((at - (ends - size)[row]).astype(np.int64))], ["h", "k", "pos"])
+            data, last = np.frombuffer(b"".join(texts[i:j]), np.uint8), -1
+            # a long text goes bit by bit; an anchor depends on its window only, and anchors come in order
+            for f in range(0, max(len(data) - LENGTH, 0) + 1, CHUNK) if j == i + 1 else [0]:
+                part = data[f : f + CHUNK + LENGTH - 1] if j == i + 1 else data
+                bounds = (np.zeros(1, np.int64), np.array([len(part)])) if j == i + 1 else (ends - size, ends)
+                at, h = anchors(part, *bounds, hasher)
+                new = at + f > last
+                at, h = at[new] + f, h[new]
+                if len(at):
+                    last = int(at[-1])
+                    row = np.searchsorted(ends, at, side="right")
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b["_k"].take(pa.array(row + i)), pa.array((at - (ends - size)[row]).astype(np.int64))], ["h", "k", "pos"])
 
 
 def _context_id(before: bytes, after: bytes) -> bytes:
@@ -251,8 +260,10 @@ def repeated_spans(rows: DataFrame, copies: DataFrame, id_col: str = "doc_id", t
     limit = max(HOT, total >> 20)
     # hot grams (2^20 at most, of 8 bytes) part from the others before the join, which no hot key is in then
     flagged = found.join(F.broadcast(twice.where(F.col("n") > limit).select("h", F.lit(True).alias("hot"))), "h", "left")
-    cold = flagged.where("hot is null").drop("hot").join(twice.where(F.col("n") <= limit).select("h"), "h").select("k", "h", "pos", F.lit(False).alias("_hot"))
-    every = cold.union(flagged.where("hot").select("k", "h", "pos", F.lit(True)))
+    # hot occurrences have a key of their own there, which nothing waits for
+    spread = flagged.withColumn("j", F.when(F.col("hot"), F.xxhash64("k", "pos")).otherwise(F.col("h")))
+    cold = twice.where(F.col("n") <= limit).select(F.col("h").alias("j"), F.lit(True).alias("cold"))
+    every = spread.join(cold, "j", "left").where("hot or cold").select("k", "h", "pos", F.coalesce("hot", F.lit(False)).alias("_hot"))
     listed = every.groupBy(F.col("k").alias("_k"), "_hot").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("p"))
     chosen = checkpointed(listed.join(copies, "_k").select("_k", "_hot", "_least", F.col("p.pos").alias("_at"), F.col("p.h").alias("_grams")))
     # two comparisons, as an equality would become a key of the joins and take them to another exchange

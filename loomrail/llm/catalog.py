@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrail.llm import byte_bpe, chat_format, html_text, language_id, mixing, perplexity, simhash, suffix_dedup, topk_search, toxic_spans
+from loomrail.llm import byte_bpe, chat_format, html_text, language_id, mixing, perplexity, prefix_trie, secret_links, simhash, suffix_dedup, topk_search, toxic_spans, yinyang
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": html_text.op8,
         "op9_simhash_near_dedup": simhash.op9,
         "op10_language_id": language_id.op10,
+        "op11_yinyang_clusters": yinyang.op11,
+        "op12_prefix_trie": prefix_trie.op12,
+        "op13_secret_links": secret_links.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mixing.OP2_SQL, "op3_chat_perspectives": chat_format.OP3_SQL, "op7_topk_search": topk_search.OP7_SQL}
+    return {"op2_source_mix": mixing.OP2_SQL, "op3_chat_perspectives": chat_format.OP3_SQL, "op7_topk_search": topk_search.OP7_SQL, "op11_yinyang_clusters": yinyang.OP11_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL}

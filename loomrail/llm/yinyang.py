@@ -27,10 +27,11 @@ GROUP = 4
 SLICE = 2048
 #: Integers below are exact as doubles; vectors with larger sums of squares are reckoned in Python's integers.
 EXACT = 1 << 53
+HALF = 1 << 64
 WIDE = "decimal(38,0)"
 LONGEST = (1 << 63) - 1
-STATE = "vec_id bigint, v array<bigint>, cluster int, distance bigint, upper double, lower array<double>, n bigint, sums array<string>, inertia string, scanned bigint"
-ARROW = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.int64())), ("cluster", pa.int32()), ("distance", pa.int64()), ("upper", pa.float64()), ("lower", pa.list_(pa.float64())), ("n", pa.int64()), ("sums", pa.list_(pa.string())), ("inertia", pa.string()), ("scanned", pa.int64())])
+STATE = "vec_id bigint, v array<bigint>, cluster int, distance bigint, upper double, lower array<double>, n bigint, sums array<string>, scanned bigint"
+ARROW = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.int64())), ("cluster", pa.int32()), ("distance", pa.int64()), ("upper", pa.float64()), ("lower", pa.list_(pa.float64())), ("n", pa.int64()), ("sums", pa.list_(pa.string())), ("scanned", pa.int64())])
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, width: int, scale: int) -> DataFrame:
@@ -163,9 +164,11 @@ def one_pass(centroids: list[list[int]], group: np.ndarray, drift: np.ndarray, k
                 far = [min(int(d), LONGEST) for d in best] if last else [None] * n
                 offsets = pa.array(np.arange(n + 1) * lower.shape[1], pa.int32())
                 nulls = lambda t: pa.nulls(n, t)
-                yield pa.RecordBatch.from_arrays([b["vec_id"], nulls(pa.list_(pa.int64())) if last else b["v"], pa.array(own, pa.int32()), pa.array(far, pa.int64()), pa.array(upper), pa.ListArray.from_arrays(offsets, pa.array(lower.ravel())), nulls(pa.int64()), nulls(pa.list_(pa.string())), nulls(pa.string()), nulls(pa.int64())], schema=ARROW)
-        rows = [{"cluster": i, "n": counts[i], "sums": [str(s) for s in sums[i]], "inertia": str(inertia[i]), "scanned": 0} for i in range(k) if counts[i]]
-        yield pa.RecordBatch.from_pylist([*rows, {"cluster": -1, "n": 0, "sums": [], "inertia": "0", "scanned": assigner.scanned}], schema=ARROW)
+                yield pa.RecordBatch.from_arrays([b["vec_id"], nulls(pa.list_(pa.int64())) if last else b["v"], pa.array(own, pa.int32()), pa.array(far, pa.int64()), pa.array(upper), pa.ListArray.from_arrays(offsets, pa.array(lower.ravel())), nulls(pa.int64()), nulls(pa.list_(pa.string())), nulls(pa.int64())], schema=ARROW)
+        # components, or in the last pass the sum of squares in two halves
+        added = lambda i: [str(s) for s in (divmod(inertia[i], HALF) if last else sums[i])]
+        rows = [{"cluster": i, "n": counts[i], "sums": added(i), "scanned": 0} for i in range(k) if counts[i]]
+        yield pa.RecordBatch.from_pylist([*rows, {"cluster": -1, "n": 0, "sums": [], "scanned": assigner.scanned}], schema=ARROW)
 
     return run
 
@@ -201,14 +204,14 @@ def clustered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         folder = new_folder(spark, f"yinyang-{r}")
         source.mapInArrow(one_pass(centroids, group, drift, r > 0, r == rounds), STATE).write.parquet(folder)
         written = spark.read.schema(STATE).parquet(folder)
-        sums = written.where("n IS NOT NULL").groupBy("cluster").agg(F.sum(F.col("n").cast(WIDE)).alias("n"), F.sum(F.col("inertia").cast(WIDE)).alias("inertia"), F.sum(F.col("scanned").cast(WIDE)).alias("scanned"), *([F.sum(F.get("sums", F.lit(i)).cast(WIDE)).alias(f"s{i}") for i in range(width)] if r < rounds else []))
+        sums = written.where("n IS NOT NULL").groupBy("cluster").agg(F.sum(F.col("n").cast(WIDE)).alias("n"), F.sum(F.col("scanned").cast(WIDE)).alias("scanned"), *(F.sum(F.get("sums", F.lit(i)).cast(WIDE)).alias(f"s{i}") for i in range(width if r < rounds else 2)))
         got = {row["cluster"]: row for row in sums.collect()}
         scanned.append(int(got[-1]["scanned"]))
         if r < rounds:
             moved = [[int(got[i][f"s{j}"]) // int(got[i]["n"]) for j in range(width)] if i in got else c for i, c in enumerate(centroids)]
             drift = np.array([math.sqrt(sum((a - b) ** 2 for a, b in zip(c, m))) for c, m in zip(centroids, moved)])
             centroids, source = moved, written.where("n IS NULL").select("vec_id", "v", "cluster", "upper", "lower")
-    return Clusters(written.where("n IS NULL").select("vec_id", "cluster", "distance"), centroids, [int(got[i]["inertia"]) if i in got else 0 for i in range(len(centroids))], scanned)
+    return Clusters(written.where("n IS NULL").select("vec_id", "cluster", "distance"), centroids, [int(got[i]["s0"]) * HALF + int(got[i]["s1"]) if i in got else 0 for i in range(len(centroids))], scanned)
 
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:

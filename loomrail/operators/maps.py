@@ -78,28 +78,36 @@ def diagram_points(visits: DataFrame, count: int, hour_width: float = 60.0, gap:
 def estimated(stations: DataFrame, routes: DataFrame) -> DataFrame:
     """(station_id, lat, lon, estimated): missing coordinates between two known ones of a route, by places between them.
 
-    routes: (route_id, pos, station_id). Routes go in order, as what one fills another may build on; rounds
-    go on until nothing is filled any more. There is a job for each route and round, on its stations only.
+    routes: (route_id, pos, station_id), each station once in a route. The result is that of passes over
+    the routes in order, as what one fills another may build on, until a pass fills nothing. A route only
+    has to wait for earlier ones that share a station with it whose coordinates are missing, so all
+    routes that are first at each of theirs go in one round, with a window for each. Rounds grow with the
+    longest chain of such routes, not with their number.
     """
     shared_folder(stations.sparkSession)
-    known = stations.select("station_id", "lat", "lon", F.lit(False).alias("estimated")).checkpoint()
-    ids = sorted(r["route_id"] for r in routes.select("route_id").distinct().collect())
-    order, changed = Window.orderBy("pos"), True
-    while changed:
-        changed = False
-        for i in ids:
-            here = routes.where(F.col("route_id") == i).select("pos", "station_id").join(known, "station_id")
-            there = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("pos", "lat", "lon"))
-            # one route's stations
+    missing = F.col("lat").isNull() | F.col("lon").isNull()
+    places = routes.join(stations.select("station_id", "lat", "lon"), "station_id").checkpoint()
+    gaps = places.where(missing).select("route_id", "station_id").checkpoint()
+    filled = stations.sparkSession.createDataFrame([], "station_id long, nlat double, nlon double")
+    order = Window.partitionBy("route_id").orderBy("pos")
+    while True:
+        waiting, found = gaps.join(filled, "station_id", "left_anti").select("route_id", "station_id").checkpoint(), 0
+        while not waiting.isEmpty():
+            first = waiting.groupBy("station_id").agg(F.min("route_id").alias("first"))
+            ready = waiting.join(first, "station_id").groupBy("route_id").agg(F.min(F.col("route_id") == F.col("first")).alias("go")).where("go").select("route_id").checkpoint()
+            here = places.join(ready, "route_id").join(filled, "station_id", "left").select("route_id", "pos", "station_id", F.coalesce("nlat", F.when(~missing, F.col("lat"))).alias("lat"), F.coalesce("nlon", F.when(~missing, F.col("lon"))).alias("lon"))
+            there = F.when(F.col("lat").isNotNull(), F.struct("pos", "lat", "lon"))
             sides = here.withColumns({"a": F.last(there, True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "b": F.first(there, True).over(order.rowsBetween(1, Window.unboundedFollowing))})
-            gap = sides.where("(lat is null or lon is null) and a is not null and b is not null")
+            gap = sides.where("lat is null and a is not null and b is not null")
             part = (F.col("pos") - F.col("a.pos")) / (F.col("b.pos") - F.col("a.pos"))
-            new = gap.groupBy("station_id").agg(F.min_by(F.struct(*((F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * part).alias(c) for c in ("lat", "lon"))), "pos").alias("n")).checkpoint()
-            if new.count():
-                changed = True
-                joined = known.join(new, "station_id", "left")
-                known = joined.select("station_id", F.coalesce("n.lat", "lat").alias("lat"), F.coalesce("n.lon", "lon").alias("lon"), (F.col("estimated") | F.col("n").isNotNull()).alias("estimated")).checkpoint()
-    return known
+            new = gap.select(F.col("station_id").cast("long").alias("station_id"), *((F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * part).alias(f"n{c}") for c in ("lat", "lon"))).checkpoint()
+            found += new.count()
+            filled = filled.union(new)
+            waiting = waiting.join(ready, "route_id", "left_anti").checkpoint()
+        if not found:
+            break
+        filled = filled.checkpoint()
+    return stations.select("station_id", "lat", "lon").join(filled, "station_id", "left").select("station_id", F.coalesce("nlat", "lat").alias("lat"), F.coalesce("nlon", "lon").alias("lon"), F.col("nlat").isNotNull().alias("estimated"))
 
 
 def label_overlaps(rows: DataFrame, wide: float = 0.3, high: float = 0.1) -> DataFrame:
@@ -190,6 +198,16 @@ def _estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimated(sparse, routes).select("station_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "estimated")
 
 
+def _estimated_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as stations: each route has twelve in a row, of which it shares the last four with the next; some stretches of them have no coordinates."""
+    k = F.col("p_partkey")
+    h = F.crc32(k.cast("string").cast("binary")) % 10
+    lost = (h < 4) | ((F.floor(k / 6) % 5) == 2)
+    rows = read(spark, sf_dir, "part").select(k.alias("station_id"), F.when(~lost, 31.0 + (k * 7 % 25) * 0.5).alias("lat"), F.when(~lost, 128.0 + k % 97 * 0.25).alias("lon"))
+    routes = rows.select(F.explode(F.sequence(F.floor((F.col("station_id") - 4) / 8), F.floor(F.col("station_id") / 8))).alias("route_id"), F.col("station_id").alias("pos"), "station_id")
+    return estimated(rows, routes).select("station_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "estimated")
+
+
 QUERIES = {
     "map_layers": _shown,
     "layer_manifest": _manifest,
@@ -204,6 +222,7 @@ QUERIES = {
     "downstream_preview": _preview,
     "raw_name_lookup": _raw_lookup,
     "estimated_coordinates": _estimated,
+    "estimated_route_coordinates": _estimated_parts,
 }
 
 _S = "(SELECT n_nationkey AS k, n_name, CASE WHEN n_nationkey % 9 <> 8 THEN 128.0 + n_nationkey * 0.5 END AS lon, CASE WHEN n_nationkey % 9 <> 8 THEN 31.0 + n_nationkey * 7 % 25 * 0.5 END AS lat FROM nation)"

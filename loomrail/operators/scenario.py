@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomrail.sources.adapters import SQL, read, stop_times
-from loomrail.sources.storage import shared_folder
 
-# The order of events of one minute.
+# The order of events of one minute, their families, and which of them belong to the match or may capture.
 PRIORITY = {"SCENARIO_START": 0, "START_AT_STATION": 1, "WAIT_UNTIL": 2, "PLAN_RESOLUTION": 3, "BOARD_TRAIN": 4, "ALIGHT_TRAIN": 5, "CAPTURE": 6, "SCENARIO_END": 7}
 FAMILY = {"SCENARIO_START": "LIFECYCLE", "SCENARIO_END": "LIFECYCLE", "CAPTURE": "RESOLUTION", "START_AT_STATION": "POSITION", "WAIT_UNTIL": "POSITION", "BOARD_TRAIN": "MOVEMENT", "ALIGHT_TRAIN": "MOVEMENT", "PLAN_RESOLUTION": "PLANNING"}
 GLOBAL = ("SCENARIO_START", "CAPTURE", "SCENARIO_END")
@@ -22,50 +21,51 @@ def _by(values: dict, key: Column, default) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[key], F.lit(default))
 
 
+def _packed(players: DataFrame, steps: DataFrame, visits: DataFrame) -> DataFrame:
+    """players with their steps in order, and the visits that a plan can touch: of its trains, at its start or its targets."""
+    if "loop_pass" not in visits.columns:
+        visits = visits.withColumn("loop_pass", F.row_number().over(Window.partitionBy("trip_id", "station_id").orderBy("seq")))
+    if "loop_pass" not in steps.columns:
+        steps = steps.withColumn("loop_pass", F.lit(None).cast("int"))
+    plans = steps.groupBy(*PLAYER).agg(F.array_sort(F.collect_list(F.struct("step_index", "type", "until", "trains", "target", "loop_pass"))).alias("steps"))
+    plans = players.select(*PLAYER, "station_id", "minute").join(plans, PLAYER)
+    wish = plans.select(*PLAYER, F.array_union(F.array("station_id"), F.transform("steps", lambda s: s["target"])).alias("places"), F.explode(F.array_distinct(F.flatten(F.transform("steps", lambda s: F.coalesce(s["trains"], F.array().cast("array<long>")))))).alias("trip_id"))
+    stops = visits.select("trip_id", F.struct(F.col("trip_id").alias("train"), F.col("seq"), F.col("station_id").alias("at"), F.col("minute").alias("arr"), "dep", "loop_pass").alias("stop"))
+    touched = wish.join(stops, "trip_id").where(F.array_contains("places", F.col("stop.at")))
+    held = touched.groupBy(*PLAYER).agg(F.collect_list("stop").alias("stops"))
+    return plans.join(held, PLAYER, "left").withColumn("stops", F.coalesce("stops", F.expr("filter(array(struct(0L AS train, 0L AS seq, 0 AS at, 0 AS arr, 0 AS dep, 0 AS loop_pass)), x -> false)")))
+
+
+#: What one step comes to, as SQL over acc (station, minute, train, seq, stopped, done), the step s, and b (best boarding, getting off).
+_BOARDS, _RIDES, _WAITS = "s.type IN ('BOARD_TRAIN', 'BOARD_ANY_OF')", "s.type = 'RIDE_TO_STATION'", "s.type = 'WAIT_UNTIL'"
+_BEST = """array_min(transform(filter(stops, v -> acc.station IS NOT NULL AND array_contains(s.trains, v.train) AND v.at = acc.station AND v.dep >= acc.minute),
+  v -> struct(CAST(array_position(s.trains, v.train) AS INT) AS choice, v.dep AS dep, v.seq AS seq, v.train AS train)))"""
+_OFF = "array_min(transform(filter(stops, v -> v.train = acc.train AND v.at = s.target AND v.seq > acc.seq AND (s.loop_pass IS NULL OR v.loop_pass = s.loop_pass)), v -> struct(v.seq AS seq, v.arr AS arr)))"
+_ERROR = f"""CASE WHEN {_WAITS} AND acc.station IS NULL THEN 'waits_on_a_train' WHEN {_WAITS} AND s.until < acc.minute THEN 'waits_backwards'
+  WHEN {_BOARDS} AND acc.station IS NULL THEN 'boards_on_a_train' WHEN {_BOARDS} AND b.best IS NULL THEN 'not_catchable_from_current_state'
+  WHEN {_RIDES} AND acc.train IS NULL THEN 'rides_without_a_train' WHEN {_RIDES} AND b.off IS NULL THEN 'station_not_reached'
+  WHEN NOT ({_WAITS} OR {_BOARDS} OR {_RIDES}) THEN 'unsupported_step' END"""
+_ROW = f"""struct(s.step_index AS step_index, s.type AS type, acc.minute AS begin, CASE WHEN {_WAITS} THEN s.until ELSE coalesce(b.best.dep, b.off.arr) END AS end, CASE WHEN {_RIDES} THEN s.target ELSE acc.station END AS station_id,
+  coalesce(b.best.train, acc.train) AS train, coalesce(b.best.seq, b.off.seq) AS seq, b.best.choice AS choice, {_ERROR} AS error)"""
+_STATE = "struct<station:int,minute:int,train:bigint,seq:bigint,stopped:boolean,done:array<struct<step_index:int,type:string,begin:int,end:int,station_id:int,train:bigint,seq:bigint,choice:int,error:string>>>"
+_NEXT = f"""CASE WHEN acc.stopped THEN acc ELSE transform(array(struct({_BEST} AS best, {_OFF} AS off)), b -> transform(array({_ROW}), r -> CAST(struct(
+  CASE WHEN {_BOARDS} THEN NULL ELSE r.station_id END AS station, r.end AS minute, CASE WHEN {_BOARDS} THEN r.train END AS train, CASE WHEN {_BOARDS} THEN r.seq END AS seq,
+  r.error IS NOT NULL AS stopped, concat(acc.done, array(r)) AS done) AS {_STATE}))[0])[0] END"""
+_FOLD = f"aggregate(steps, CAST(struct(station_id, minute, NULL, NULL, false, array()) AS {_STATE}), (acc, s) -> {_NEXT}, acc -> acc.done)"
+
+
 def resolved(players: DataFrame, steps: DataFrame, visits: DataFrame) -> DataFrame:
     """(match_id, role, step_index, type, begin, end, station_id, train, seq, choice, error): what each step of each plan came to.
 
     players: match_id, role, station_id, minute. steps: match_id, role, step_index, type, until, trains,
-    target; trains are tried in order. begin and end are minutes; station_id is where a waiting or
-    boarding player stands and where a riding one gets off; choice is the place of the train taken among
-    trains, from 1. A step that can't be done has an error and ends the plan. All players take one step
-    at a time: a plan of n steps costs n rounds of joins by train and station.
+    target, and loop_pass where only that visit of the target counts; trains are tried in order. visits
+    may have loop_pass, else visits of a station are counted. begin and end are minutes; station_id is
+    where a waiting or boarding player stands and where a riding one gets off; choice is the place of
+    the train taken among trains, from 1. A step that can't be done has an error and ends the plan.
+    Plans are folded in one expression over the visits they can touch, whatever the number of steps;
+    no steps give no rows.
     """
-    shared_folder(players.sparkSession)
-    state = players.select(*PLAYER, "station_id", "minute", F.lit(None).cast("long").alias("train"), F.lit(None).cast("long").alias("seq"))
-    last = steps.agg(F.max("step_index")).first()[0] or 0
-    stops = visits.select(F.col("trip_id").alias("train"), F.col("station_id").alias("at"), F.col("seq").alias("stop"), F.col("minute").alias("arr"), "dep")
-    done = []
-    for k in range(1, last + 1):
-        now = state.join(steps.where(F.col("step_index") == k), PLAYER)
-        boards, rides = F.col("type").isin("BOARD_TRAIN", "BOARD_ANY_OF"), F.col("type") == "RIDE_TO_STATION"
-        wish = now.where(boards & F.col("station_id").isNotNull()).select(*PLAYER, "station_id", "minute", F.posexplode("trains").alias("choice", "train"))
-        caught = wish.join(stops, (wish["train"] == stops["train"]) & (F.col("at") == F.col("station_id")) & (F.col("dep") >= F.col("minute")))
-        best = caught.groupBy(*PLAYER).agg(F.min(F.struct("choice", "dep", "stop", wish["train"].alias("train"))).alias("best"))
-        seat = now.where(rides & F.col("train").isNotNull()).select(*PLAYER, F.col("train").alias("seat"), "seq", "target")
-        off = seat.join(stops, (F.col("seat") == F.col("train")) & (F.col("at") == F.col("target")) & (F.col("stop") > F.col("seq"))).groupBy(*PLAYER).agg(F.min(F.struct("stop", "arr")).alias("off"))
-        both = now.join(best, PLAYER, "left").join(off, PLAYER, "left")
-        waits = F.col("type") == "WAIT_UNTIL"
-        error = (
-            F.when(waits & F.col("station_id").isNull(), "waits_on_a_train").when(waits & (F.col("until") < F.col("minute")), "waits_backwards")
-            .when(boards & F.col("station_id").isNull(), "boards_on_a_train").when(boards & F.col("best").isNull(), "not_catchable_from_current_state")
-            .when(rides & F.col("train").isNull(), "rides_without_a_train").when(rides & F.col("off").isNull(), "station_not_reached")
-            .when(~(waits | boards | rides), "unsupported_step")
-        )
-        row = both.select(
-            *PLAYER, "step_index", "type", F.col("minute").alias("begin"),
-            F.coalesce(F.when(waits, F.col("until")), F.col("best.dep"), F.col("off.arr")).alias("end"),
-            F.when(rides, F.col("target")).otherwise(F.col("station_id")).alias("station_id"),
-            F.coalesce("best.train", "train").alias("train"),
-            F.coalesce("best.stop", "off.stop").alias("seq"),
-            (F.col("best.choice") + 1).alias("choice"),
-            error.alias("error"),
-        ).checkpoint()
-        done.append(row)
-        good = row.where("error is null")
-        aboard = good["type"].isin("BOARD_TRAIN", "BOARD_ANY_OF")
-        state = good.select(*PLAYER, F.when(~aboard, F.col("station_id")).alias("station_id"), F.col("end").alias("minute"), F.when(aboard, F.col("train")).alias("train"), F.when(aboard, F.col("seq")).alias("seq"))
-    return reduce(DataFrame.unionByName, done)
+    return _packed(players, steps, visits).select(*PLAYER, F.inline(F.expr(_FOLD)))
 
 
 def intervals(players: DataFrame, steps: DataFrame, done: DataFrame) -> DataFrame:
@@ -110,17 +110,40 @@ def match_log(players: DataFrame, done: DataFrame) -> DataFrame:
     return shown.unionByName(closing).withColumns({"scope": F.when(F.col("type").isin(*GLOBAL), "MATCH_GLOBAL").otherwise("PLAYER_LOCAL"), "lane": F.coalesce("player", F.lit("match")), "family": _by(FAMILY, F.col("type"), "GENERIC"), "player": F.coalesce("player", F.lit("-"))})
 
 
-def overlaps(spans: DataFrame, closed: bool) -> DataFrame:
-    """(match_id, minute, kind, place): the first minute that both players spend in one place, or on one train; ends count if closed."""
+def overlaps(spans: DataFrame) -> DataFrame:
+    """(match_id, minute, kind, place): the first minute that both players spend in one place, or on one train; ends of spans count."""
     side = lambda r, n: spans.where(F.col("role") == r).select("match_id", "kind", "place", F.col("begin").alias(f"b{n}"), F.col("end").alias(f"e{n}"))
     both = side(0, 1).join(side(1, 2), ["match_id", "kind", "place"])
     start, stop = F.greatest("b1", "b2"), F.least("e1", "e2")
-    met = both.where(start <= stop if closed else start < stop)
+    met = both.where(start <= stop)
     # on a train before at a station, as T sorts after N
     first = met.groupBy("match_id").agg(F.min(F.struct(start.alias("minute"), F.when(F.col("kind") == "TRAIN", 0).otherwise(1).alias("o"), "place")).alias("x"))
     return first.select("match_id", F.col("x.minute").alias("minute"), F.when(F.col("x.o") == 0, "TRAIN").otherwise("NODE").alias("kind"), F.col("x.place").alias("place"))
 
 
+def sampled(spans: DataFrame) -> DataFrame:
+    """(match_id, minute, kind, place): the first minute at which a look at both players finds them in one place or on one train.
+
+    A player is where its span began until the minute before it ends, so a span of no length is never seen.
+    """
+    looks = spans.where(F.col("begin") < F.col("end")).select("match_id", "role", "kind", "place", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("minute"))
+    where = F.min(F.struct(F.when(F.col("kind") == "TRAIN", 0).otherwise(1).alias("o"), "place"))
+    both = looks.groupBy("match_id", "minute", "kind", "place").agg(F.min("role").alias("r0"), F.max("role").alias("r1")).where("r0 < r1").groupBy("match_id", "minute").agg(where.alias("x"))
+    first = both.groupBy("match_id").agg(F.min(F.struct("minute", "x")).alias("f"))
+    return first.select("match_id", F.col("f.minute").alias("minute"), F.when(F.col("f.x.o") == 0, "TRAIN").otherwise("NODE").alias("kind"), F.col("f.x.place").alias("place"))
+
+
+def previewed(players: DataFrame, done: DataFrame, cap: Column) -> DataFrame:
+    """(match_id, role, steps, minute, kind, place, error): where each player is after the steps that end by `cap`, a column of players; error is that of the plan if it comes by then."""
+    at = players.select(*PLAYER, F.col("station_id").alias("home"), F.col("minute").alias("start"), cap.alias("cap"))
+    known = at.join(done, PLAYER, "left")
+    applied = F.col("error").isNull() & (F.col("end") <= F.col("cap"))
+    last = known.groupBy(*PLAYER, "home", "start").agg(F.max(F.when(applied, F.struct("step_index", "type", "end", "station_id", "train"))).alias("x"), F.max(F.when(F.col("error").isNotNull() & (F.col("begin") <= F.col("cap")), F.col("error"))).alias("error"))
+    aboard = F.col("x.type").isin("BOARD_TRAIN", "BOARD_ANY_OF")
+    place = F.when(aboard, F.col("x.train")).otherwise(F.coalesce("x.station_id", "home").cast("long"))
+    return last.select(*PLAYER, F.coalesce("x.step_index", F.lit(0)).alias("steps"), F.coalesce("x.end", "start").alias("minute"), F.when(aboard, "TRAIN").otherwise("NODE").alias("kind"), place.alias("place"), "error")
+
+
 def cast(visits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Players and steps out of visits: trip 2m runs from trip 2m + 1. Each waits for its first visit, takes its own train to its fourth station, then one of three trains to its ninth."""
     m, role = F.floor(F.col("trip_id") / 2).alias("match_id"), (F.col("trip_id") % 2).cast("int").alias("role")
@@ -137,10 +160,8 @@ def cast(visits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _played(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    # written once, as every step joins them
-    shared_folder(spark)
-    visits = stop_times(read(spark, sf_dir, "events")).checkpoint()
-    players, steps = (x.checkpoint() for x in cast(visits))
+    visits = stop_times(read(spark, sf_dir, "events"))
+    players, steps = cast(visits)
     return players, steps, resolved(players, steps, visits)
 
 
@@ -164,6 +185,23 @@ def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(*PLAYER, "step_index", F.when(F.col("step_index") <= F.coalesce("prefix", F.lit(0)), "DONE").otherwise("NEXT").alias("mark"))
 
 
+def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plans of every match as far as 3000 minutes after its start."""
+    players, _, done = _played(spark, sf_dir)
+    return previewed(players, done, F.col("minute") + 3000)
+
+
+def _pass_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trip's first station is ridden to again: to the second visit by even trips, to the third by odd ones."""
+    visits = stop_times(read(spark, sf_dir, "events"))
+    home = visits.where("seq = 1").select(F.col("trip_id").alias("match_id"), F.lit(0).alias("role"), "station_id", "minute")
+    none = F.lit(None).cast("int")
+    step = lambda k, t, trains, target, n: F.struct(F.lit(k).alias("step_index"), F.lit(t).alias("type"), none.alias("until"), trains.cast("array<long>").alias("trains"), target.cast("int").alias("target"), n.cast("int").alias("loop_pass"))
+    steps = home.select("match_id", "role", F.inline(F.array(step(1, "BOARD_TRAIN", F.array("match_id"), none, none), step(2, "RIDE_TO_STATION", F.lit(None), F.col("station_id"), 2 + F.col("match_id") % 2))))
+    done = resolved(home, steps, visits).where("type = 'RIDE_TO_STATION'")
+    return done.select(F.col("match_id").alias("trip_id"), F.coalesce("seq", F.lit(-1)).alias("seq"), F.coalesce("end", F.lit(-1)).alias("minute"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of every candidate of a choice of trains: unknown, not to be caught, taken, or not needed after that."""
     visits = stop_times(read(spark, sf_dir, "events"))
@@ -183,8 +221,10 @@ QUERIES = {
     "plan_errors": _errors,
     "plan_marks": _marks,
     "match_event_log": _log,
-    "interval_overlap_first_capture": lambda spark, sf_dir: overlaps(_spans(spark, sf_dir), True),
-    "capture_minute_sampled": lambda spark, sf_dir: overlaps(_spans(spark, sf_dir), False),
+    "interval_overlap_first_capture": lambda spark, sf_dir: overlaps(_spans(spark, sf_dir)),
+    "capture_minute_sampled": lambda spark, sf_dir: sampled(_spans(spark, sf_dir)),
+    "plan_preview": _preview,
+    "loop_pass_rides": _pass_rides,
     "board_any_of_choice": _choices,
 }
 
@@ -221,7 +261,14 @@ w AS (SELECT m, pos, minute, type, who, runner, hunter FROM l UNION ALL SELECT m
 SELECT m AS match_id, pos, CAST(minute AS BIGINT) AS minute, type, CASE WHEN who = '' THEN '-' ELSE who END AS player, runner, hunter, CASE WHEN who = '' THEN 'MATCH_GLOBAL' ELSE 'PLAYER_LOCAL' END AS scope, CASE WHEN who = '' THEN 'match' ELSE who END AS lane,
   CASE type WHEN 'CAPTURE' THEN 'RESOLUTION' WHEN 'PLAN_RESOLUTION' THEN 'PLANNING' WHEN 'BOARD_TRAIN' THEN 'MOVEMENT' WHEN 'ALIGHT_TRAIN' THEN 'MOVEMENT' WHEN 'WAIT_UNTIL' THEN 'POSITION' WHEN 'START_AT_STATION' THEN 'POSITION' ELSE 'LIFECYCLE' END AS family FROM w""",
     "interval_overlap_first_capture": f"WITH {_CHAIN} {_MET.format('<=')}",
-    "capture_minute_sampled": f"WITH {_CHAIN} {_MET.format('<')} AND 1 = 1",
+    "capture_minute_sampled": f"WITH {_CHAIN} {_MET.format('<')}",
+    "plan_preview": f"""WITH {_CHAIN}, w AS (SELECT *, start + 3000 AS cap, CASE WHEN d1 IS NULL THEN 'not_catchable_from_current_state' WHEN a1 IS NULL THEN 'station_not_reached' WHEN c IS NULL THEN 'not_catchable_from_current_state' WHEN a2 IS NULL THEN 'station_not_reached' END AS err,
+  CASE WHEN d1 IS NULL THEN t0 WHEN a1 IS NULL THEN d1 WHEN c IS NULL THEN a1 WHEN a2 IS NULL THEN d2 END AS since FROM f),
+n AS (SELECT *, CASE WHEN a2 <= cap THEN 5 WHEN d2 <= cap THEN 4 WHEN a1 <= cap THEN 3 WHEN d1 <= cap THEN 2 WHEN t0 <= cap THEN 1 ELSE 0 END AS k9 FROM w)
+SELECT m AS match_id, role, CAST(k9 AS INTEGER) AS steps, [start, t0, d1, a1, d2, a2][k9 + 1] AS minute, CASE WHEN k9 IN (2, 4) THEN 'TRAIN' ELSE 'NODE' END AS kind, CAST([home, home, t, s4, c, s9][k9 + 1] AS BIGINT) AS place, CASE WHEN since <= cap THEN err END AS error FROM n""",
+    "loop_pass_rides": f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY trip_id, station_id ORDER BY seq) AS pass FROM {SQL['st']}),
+b AS (SELECT h.trip_id, h.station_id, arg_min(o.seq, CAST(o.dep AS BIGINT) * 1000000 + o.seq) AS on_seq FROM v h JOIN v o USING (trip_id, station_id) WHERE h.seq = 1 AND o.dep >= h.minute GROUP BY 1, 2)
+SELECT b.trip_id, coalesce(v.seq, -1) AS seq, coalesce(v.minute, -1) AS minute, CASE WHEN v.seq IS NULL THEN 'station_not_reached' ELSE '' END AS error FROM b LEFT JOIN v ON v.trip_id = b.trip_id AND v.station_id = b.station_id AND v.seq > on_seq AND v.pass = 2 + b.trip_id % 2""",
     "board_any_of_choice": f"""WITH v AS (SELECT * FROM {SQL['st']}), w AS (SELECT trip_id, station_id, minute, unnest([1, 2, 3, 4]) AS pos, unnest([trip_id + 1, trip_id + 100000000, trip_id, trip_id + 2]) AS candidate FROM v WHERE seq = 3),
 d AS (SELECT w.*, (SELECT min(dep) FROM v WHERE v.trip_id = candidate AND v.station_id = w.station_id AND dep >= w.minute) AS dep FROM w)
 SELECT trip_id, pos, candidate, CASE WHEN NOT EXISTS (SELECT 1 FROM v WHERE v.trip_id = candidate) THEN 'unknown_train' WHEN dep IS NULL THEN 'not_catchable_from_current_state' WHEN EXISTS (SELECT 1 FROM d o WHERE o.trip_id = d.trip_id AND o.pos < d.pos AND o.dep IS NOT NULL) THEN 'not_needed' ELSE 'chosen' END AS outcome, coalesce(dep, -1) AS dep FROM d""",

@@ -31,13 +31,20 @@ SERVICE_NAMES = {
     "つばめ": "Tsubame",
     "かもめ": "Kamome",
 }
-# Fixed value: what a name is compared without.
-NAME_NOISE = r"[\s\-_()（）・'’.,/]"
+# Fixed value: what a name is compared without; white space of any script counts.
+NAME_NOISE = r"(?U)[\s\u001c-\u001f\-_()（）・'’.,/]"
+#: White space of any script, no-break and ideographic ones too.
+SPACES = r"(?U)[\s\u001c-\u001f]+"
+
+
+def stripped(text: Column) -> Column:
+    """Text without white space of any script at its ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\u001c-\u001f]+|[\s\u001c-\u001f]+$", "")
 
 
 def normal_name(name: Column) -> Column:
     """Lower case without white space, brackets and joining marks."""
-    return F.regexp_replace(F.lower(F.trim(name)), NAME_NOISE, "")
+    return F.regexp_replace(F.lower(name), NAME_NOISE, "")
 
 
 def romanised(service: Column) -> Column:
@@ -87,7 +94,7 @@ def unescaped(text: Column) -> Column:
 
 def plain_text(markup: Column) -> Column:
     """Tags become spaces, references are resolved, white space is one space."""
-    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(markup, "<[^>]+>", " ")), r"[\s\u00a0]+", " "))
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(markup, "<[^>]+>", " ")), SPACES, " "))
 
 
 @F.pandas_udf(StringType())

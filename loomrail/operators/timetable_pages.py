@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomrail.functions import absolute_link, plain_text, romanised, service_parts, unescaped
+from loomrail.functions import absolute_link, plain_text, romanised, service_parts, stripped, unescaped
 from loomrail.sources.adapters import SQL, read, stop_times
-from loomrail.sources.rendered_pages import departure_grids, detail_pages, two_column_pages
-
-CELL = r"(?s)<td[^>]*>(.*?)</td>"
-
+from loomrail.sources.rendered_pages import departure_grids, detail_pages, service_pages, two_column_pages
+from loomrail.sources.storage import ranked
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """All matches of a group, and an empty list where text is null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), group), F.array().cast("array<string>"))
 
 
-def first(text: Column, pattern: str) -> Column:
-    """A group of the first match, null without one."""
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-
-
 def anchors(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
     """(page_id, pos, href, text, link) of each anchor with an address, wherever href stands among its attributes; text without tags inside."""
     tags = found(F.col(html_col), r"(?is)<a\s[^>]*>.*?</a\s*>", 0)
@@ -47,77 +40,174 @@ def train_links(links: DataFrame) -> DataFrame:
     return firsts.select("link", F.col("at.page_id").alias("page_id"), F.col("at.pos").alias("pos"))
 
 
-def detail_table(pages: DataFrame) -> DataFrame:
-    """pages with the table of trains and its three header rows as lists; pages without that table are left out."""
-    table = F.regexp_extract("html", r'(?s)<table id="tbl_train"[^>]*>(.*?)</table>', 1)
-    head = lambda label: F.transform(found(F.regexp_extract("table", rf"(?s)<th>{label}</th>(.*?)</tr>", 1), r'(?s)<td[^>]*colspan="2"[^>]*>(.*?)</td>'), lambda x: x)
-    got = pages.withColumn("table", table).where("table <> ''")
-    return got.withColumns({"numbers": head("Train number"), "names": head("Train name"), "kinds": head("Train type")})
+def tokens(pages: DataFrame, *keys: str, html_col: str = "html") -> DataFrame:
+    """(keys, pos, tag, token, text, before, before_that): each tag, comment and stretch of text of a page in order.
+
+    tag is the lower-case name, with / for closing tags, "!" for comments, and empty for text; before and
+    before_that are the one and two tokens before it.
+    """
+    every = pages.select(*keys, F.posexplode(found(F.col(html_col), "(?s)<!--.*?-->|<[^>]*>|[^<]+", 0)).alias("pos", "token"))
+    tag = F.when(F.startswith("token", F.lit("<!")), "!").otherwise(F.lower(F.regexp_extract("token", "^<(/?[A-Za-z][A-Za-z0-9]*)", 1)))
+    order = Window.partitionBy(*keys).orderBy("pos")
+    read = every.withColumns({"tag": tag, "text": F.when(tag == "", F.col("token")), "before": F.lag("token").over(order), "before_that": F.lag("token", 2).over(order)})
+    return read
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute of an opening tag, null without it."""
+    value = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]*)""", 1)
+    return F.when(tag.rlike(rf"(?is)\s{name}\s*="), F.regexp_replace(value, "^[\"']|[\"']$", ""))
+
+
+def table_cells(pages: DataFrame, *keys: str, html_col: str = "html") -> DataFrame:
+    """(keys, table_id, row, row_class, label, cell, place, tag, class, colspan, pieces, text) of each cell of each table.
+
+    row and cell count over the page; place counts within the row, from 0. label is the text of a comment
+    before a row's first cell. pieces are the stretches of text with the tag right before each; text is
+    all of them as plain text. A cell ends where it is closed or the next cell or row begins.
+    """
+    t, order = tokens(pages, *keys, html_col=html_col), Window.partitionBy(*keys).orderBy("pos")
+    cell, edge = F.col("tag").isin("td", "th"), F.col("tag").isin("tr", "/tr", "table", "/table", "/td", "/th")
+    count = lambda what: F.sum(F.when(what, 1).otherwise(0)).over(order)
+    last = lambda what, value: F.last(F.when(what, value), True).over(order)
+    t = t.withColumns({
+        "row": count(F.col("tag") == "tr"), "cell": count(cell), "inside": last(cell | edge, cell),
+        "table_id": last(F.col("tag").isin("table", "/table"), F.struct(F.when(F.col("tag") == "table", attribute(F.col("token"), "id")).alias("v")))["v"],
+        "row_class": last(F.col("tag") == "tr", F.struct(attribute(F.col("token"), "class").alias("v")))["v"],
+        "label": last((F.col("tag") == "!") | F.col("tag").isin("tr", "/tr"), F.struct(F.when(F.col("tag") == "!", F.trim(F.regexp_replace("token", "^<!-*|-*>$", ""))).alias("v")))["v"],
+    })
+    group = [*keys, "row", "cell"]
+    opening = F.min_by(F.struct("tag", attribute(F.col("token"), "class").alias("class"), attribute(F.col("token"), "colspan").alias("colspan"), "table_id", "row_class", "label"), "pos").alias("o")
+    pieces = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text", F.col("before").alias("tag"))))).alias("pieces")
+    cells = t.where("inside AND row > 0").groupBy(*group).agg(opening, pieces)
+    text = plain_text(F.array_join(F.transform("pieces", lambda p: p["text"]), " "))
+    place = F.row_number().over(Window.partitionBy(*keys, "row").orderBy("cell")) - 1
+    return cells.select(*keys, "o.table_id", "row", "o.row_class", "o.label", "cell", place.alias("place"), "o.tag", "o.class", "o.colspan", "pieces", text.alias("text"))
+
+
+# Labels, names and signs of the pages that are read.
+DETAIL_TABLE, NUMBER, NAME, TYPE, TIME, PLATFORM, SIGN = "tbl_train", "Train number", "Train name", "Train type", "time", "platform", "dep_arr"
+ARRIVES, DEPARTS = "Arr.", "Dep."
+LINE_TITLE, DIRECTIONS, ISSUE = "Yamanote Line for ", ("Clockwise", "Counterclockwise"), ("based on ", " issue")
+STATION, KINDS, NAMES, DAYS, PASSES, COMES, GOES = "駅名", "列車種", "列車名", "運転日", "レ", "着", "発"
+MAIN_TYPE, MAIN_NAME, RELAY = "新幹線", "かもめ", "リレー"
+#: Lines whose column goes by the type, and by the name where no type tells.
+BY_TYPE, BY_NAME = ("west", "main"), ("west",)
+SERVICE_CELL, SERVICE_LINK = "back5", "/jr-k_time/"
+LINE_SERVICES = {"main": ["みずほ", "さくら", "つばめ"], "west": ["かもめ"]}
+
+
+def _blank(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
+
+
+def _heads(cells: DataFrame) -> DataFrame:
+    """(page, position, NUMBER, NAME, TYPE): the wide cells of the three rows of heads, by their order."""
+    heads = cells.where(F.col("table_id") == DETAIL_TABLE)
+    title = heads.where("tag = 'th'").where(F.col("text").isin(NUMBER, NAME, TYPE)).groupBy("page", "row").agg(F.first("text").alias("title"))
+    wide = heads.where("tag = 'td' AND colspan = '2'").join(title, ["page", "row"]).withColumn("position", F.row_number().over(Window.partitionBy("page", "row").orderBy("cell")) - 1)
+    return wide.groupBy("page", "position").agg(*(F.first(F.when(F.col("title") == n, F.col("text")), True).alias(n) for n in (NUMBER, NAME, TYPE))).where(F.col(NUMBER).isNotNull())
 
 
 def detail_trains(pages: DataFrame) -> DataFrame:
-    """(page, position, train_number, train_type, name, service, number, direction, issue) of each column of each page."""
-    every = detail_table(pages).select("page", "html", "names", "kinds", F.posexplode("numbers").alias("position", "raw"))
-    at = lambda c: F.nullif(plain_text(F.get(c, F.col("position"))), F.lit(""))
-    named = every.withColumn("name", at("names"))
+    """(page, position, train_number, train_type, name, service, number, direction, issue) of each column of each page; pages without the table are left out."""
+    texts = tokens(pages, "page").where("text IS NOT NULL")
+    way = F.coalesce(*(F.when(F.contains("text", F.lit(f"({d})")), d.lower()) for d in DIRECTIONS))
+    month = F.substring_index(F.substring_index("text", ISSUE[0], -1), ISSUE[1], 1)
+    titled, dated = F.startswith(F.trim("text"), F.lit(LINE_TITLE)), F.contains("text", F.lit(ISSUE[0])) & F.contains("text", F.lit(ISSUE[1]))
+    facts = texts.groupBy("page").agg(F.min_by(way, F.when(titled & way.isNotNull(), F.col("pos"))).alias("direction"), F.min_by(month, F.when(dated, F.col("pos"))).alias("issue"))
+    rows = _heads(table_cells(pages, "page")).withColumn("name", _blank(F.col(NAME)))
     service, number = service_parts(F.col("name"))
-    direction = F.lower(first(F.col("html"), r"Yamanote Line for .*?\s+\((Clockwise|Counterclockwise)\)"))
-    return named.select("page", "position", plain_text(F.col("raw")).alias("train_number"), at("kinds").alias("train_type"), "name", service.alias("service"), number.alias("number"), direction.alias("direction"), first(F.col("html"), r"based on ([A-Za-z]+\.?\s+\d{4}) issue").alias("issue"))
+    return rows.join(facts, "page").select("page", F.col("position").cast("int"), F.col(NUMBER).alias("train_number"), _blank(F.col(TYPE)).alias("train_type"), "name", service.alias("service"), number.alias("number"), "direction", "issue")
 
 
 def detail_stops(pages: DataFrame) -> DataFrame:
     """(page, train_number, sequence, station, arrival, departure, platform): sequence is the row's number, so rows without a time leave gaps."""
-    rows = detail_table(pages).select("page", "numbers", F.posexplode(found(F.col("table"), r'(?s)<tr class="time">(.*?)</tr>')).alias("row", "body"))
-    cells = rows.select("page", "numbers", "row", F.regexp_extract("body", r'(?s)<th class="time">(.*?)</th>', 1).alias("station"), F.posexplode(found(F.col("body"), r'(?s)<td class="time">.*?</td>\s*<td class="platform">.*?</td>', 0)).alias("position", "cell"))
-    # the last time of a kind counts
-    last = lambda kind: F.try_element_at(found(F.regexp_extract("cell", r'(?s)<td class="time">(.*?)</td>', 1), rf'(\d{{2}}:\d{{2}})\s*<span class="dep_arr">{kind}\.</span>'), F.lit(-1))
-    timed = cells.where(F.col("position") < F.size("numbers")).withColumns({"arrival": last("Arr"), "departure": last("Dep")}).where("arrival is not null or departure is not null")
-    platform = F.nullif(plain_text(F.regexp_extract("cell", r'(?s)<td class="platform">(.*?)</td>', 1)), F.lit(""))
-    return timed.select("page", plain_text(F.get("numbers", F.col("position"))).alias("train_number"), (F.col("row") + 1).cast("long").alias("sequence"), plain_text(F.col("station")).alias("station"), "arrival", "departure", platform.alias("platform"))
-
-
-def chosen_column(pages: DataFrame) -> DataFrame:
-    """pages with the rows of metadata by label and the column of the train that is wanted.
-
-    On lines with a main service it is the first column of that type, else the first whose name has
-    the service without a relay; elsewhere the first column.
+    cells = table_cells(pages, "page")
+    rows = cells.where((F.col("table_id") == DETAIL_TABLE) & (F.col("row_class") == TIME))
+    order = Window.partitionBy("page", "row").orderBy("cell")
+    ahead = lambda c: F.lead(c).over(order)
+    pairs = rows.withColumns({"next": ahead("class"), "platform": _blank(ahead("text")), "sequence": F.dense_rank().over(Window.partitionBy("page").orderBy("row")), "station": F.first(F.when((F.col("tag") == "th") & (F.col("class") == TIME), F.col("text")), True).over(order)})
+    pairs = pairs.where((F.col("tag") == "td") & (F.col("class") == TIME) & (F.col("next") == PLATFORM)).withColumn("position", F.row_number().over(order) - 1)
+    # a time ends the piece before its sign; the last of a kind counts
+    signs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size("pieces"), F.lit(1))), lambda i: F.struct(F.get("pieces", i)["text"].alias("sign"), F.get("pieces", i)["tag"].alias("tag"), F.regexp_extract(F.coalesce(F.get("pieces", i - 1)["text"], F.lit("")), "([0-9]{2}:[0-9]{2})\\s*$", 1).alias("time"))), lambda x: (attribute(x["tag"], "class") == SIGN) & (x["time"] != ""))
+    last = lambda kind: F.try_element_at(F.filter("signs", lambda x: F.trim(x["sign"]) == kind), F.lit(-1))["time"]
+    timed = pairs.withColumn("signs", signs).withColumns({"arrival": last(ARRIVES), "departure": last(DEPARTS)}).where("arrival IS NOT NULL OR departure IS NOT NULL")
+    trains = _heads(cells).select("page", "position", F.col(NUMBER).alias("train_number"))
+    return timed.join(trains, ["page", "position"]).select("page", "train_number", F.col("sequence").cast("long"), F.coalesce("station", F.lit("")).alias("station"), "arrival", "departure", "platform")
+
+
+def of_type(trains: DataFrame, wanted: str | None) -> DataFrame:
+    """Trains whose type holds the wanted one; those without a type stay, and all where none is wanted."""
+    kind = F.col("train_type")
+    return trains.where(F.lit(not wanted) | F.coalesce(kind == "", F.lit(True)) | F.contains(kind, F.lit(wanted or "")))
+
+
+def service_links(pages: DataFrame, services: list[str]) -> DataFrame:
+    """(page, place, link): the first link of each marked cell that names one of the services, each address once on a page; all where no service is given."""
+    cells = table_cells(pages, "page").where("tag = 'td'").where(F.startswith("class", F.lit(SERVICE_CELL)))
+    links = F.filter(F.transform("pieces", lambda p: attribute(p["tag"], "href")), lambda h: F.startswith(h, F.lit(SERVICE_LINK)))
+    named = F.lit(not services) | F.exists(F.array(*map(F.lit, services or [""])), lambda n: F.contains("text", n))
+    got = cells.where(named).select("page", "cell", F.get(links, F.lit(0)).alias("href")).where("href IS NOT NULL")
+    firsts = got.groupBy("page", "href").agg(F.min("cell").alias("cell"))
+    return firsts.join(pages.select("page", "url"), "page").select("page", (F.row_number().over(Window.partitionBy("page").orderBy("cell")) - 1).alias("place"), absolute_link(F.col("url"), unescaped(F.col("href"))).alias("link"))
+
+
+def _chosen(cells: DataFrame, pages: DataFrame) -> DataFrame:
+    """(trip_id, column, name, days): the column of the train that is wanted, and its values.
+
+    On lines with a main service it is the first column of that type, on some else the first whose name
+    has the service without a relay; elsewhere the first. A list shorter than the column gives its first
+    value; a value that is not listed comes from the wide cell after its label.
     """
-    rows = found(F.col("html"), r"(?s)<tr[^>]*>\s*<!--.*?-->.*?</tr>", 0)
-    label = lambda x: F.trim(F.regexp_extract(x, r"(?s)<!--\s*(.*?)\s*-->", 1))
-    values = lambda x: F.transform(F.slice(F.regexp_extract_all(x, F.lit(CELL), 1), 2, 1 << 20), lambda c: F.trim(F.regexp_replace(c, "<[^>]+>", " ")))
-    listed = F.filter(F.transform(rows, lambda x: F.struct(label(x).alias("label"), values(x).alias("values"))), lambda x: (x["label"] != "") & (x["label"] != "駅名") & (F.size(x["values"]) > 0))
-    of = lambda name: F.coalesce(F.try_element_at(F.filter("meta", lambda x: x["label"] == name), F.lit(-1))["values"], F.array().cast("array<string>"))
-    place = lambda xs, test: F.array_position(F.transform(xs, test), True)
-    by_type = place(of("列車種"), lambda v: F.contains(v, F.lit("新幹線")))
-    by_name = place(of("列車名"), lambda v: F.contains(v, F.lit("かもめ")) & ~F.contains(v, F.lit("リレー")))
-    column = F.when(F.col("line") == "west", F.when(by_type > 0, by_type - 1).when(by_name > 0, by_name - 1).otherwise(0)).otherwise(0).cast("int")
-    return pages.withColumn("meta", listed).withColumn("column", column).withColumn("name", F.get(of("列車名"), F.col("column")))
+    lists = cells.where("label IS NOT NULL AND tag = 'td' AND place > 0").where(F.col("label").isin(KINDS, NAMES, DAYS)).groupBy("trip_id", "label", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda x: x["text"]).alias("values"))
+    lists = lists.groupBy("trip_id").agg(*(F.max_by("values", F.when(F.col("label") == n, F.col("row"))).alias(n) for n in (KINDS, NAMES, DAYS)))
+    follows = cells.withColumns({"title": F.lag("text").over(Window.partitionBy("trip_id", "row").orderBy("cell"))}).where("tag = 'td' AND colspan = '2'")
+    wide = follows.groupBy("trip_id").agg(*(F.min_by("text", F.when(F.col("title") == n, F.col("cell"))).alias(f"wide_{n}") for n in (NAMES, DAYS)))
+    at = lambda n, test: F.array_position(F.transform(F.coalesce(F.col(n), F.array().cast("array<string>")), test), True)
+    by_type = F.when(F.col("line").isin(*BY_TYPE), at(KINDS, lambda v: F.contains(v, F.lit(MAIN_TYPE))))
+    by_name = F.when(F.col("line").isin(*BY_NAME), at(NAMES, lambda v: F.contains(v, F.lit(MAIN_NAME)) & ~F.contains(v, F.lit(RELAY))))
+    column = F.coalesce(F.nullif(by_type, F.lit(0)), F.nullif(by_name, F.lit(0)), F.lit(1)).cast("int") - 1
+    known = pages.select("trip_id", "line").join(lists, "trip_id", "left").join(wide, "trip_id", "left").withColumn("column", column)
+    value = lambda n: F.coalesce(_blank(F.when(F.col("column") < F.size(n), F.get(n, F.col("column"))).otherwise(F.get(n, F.lit(0)))), F.col(f"wide_{n}"))
+    return known.select("trip_id", "column", value(NAMES).alias("name"), value(DAYS).alias("days"))
 
 
 def two_column_stops(pages: DataFrame) -> DataFrame:
     """(trip_id, position, name, service, number, sequence, arrival, departure, platform, days) of the chosen column; passed stations and rows without a time go."""
-    chosen = chosen_column(pages)
-    days = plain_text(F.regexp_extract("html", r'(?s)<td[^>]*>\s*運転日\s*</td>\s*<td[^>]*colspan="2"[^>]*>(.*?)</td>', 1))
-    rows = chosen.select("trip_id", "column", "name", days.alias("days"), F.posexplode(found(F.col("html"), r"(?s)<tr>\s*<!--\s*駅名\s*-->(.*?)</tr>")).alias("row", "body"))
-    cells = rows.withColumn("cells", F.slice(F.regexp_extract_all("body", F.lit(CELL), 1), 2, 1 << 20))
-    # cells come in pairs of time and platform
-    pair = lambda k: F.trim(F.regexp_replace(F.coalesce(F.get("cells", 2 * F.col("column") + k), F.lit("")), "<[^>]+>", " "))
-    got = cells.where(2 * F.col("column") < F.size("cells")).withColumns({"time": pair(0), "platform": F.nullif(pair(1), F.lit(""))}).where(~F.contains("time", F.lit("レ")))
-    last = lambda sign: F.try_element_at(found(F.col("time"), rf"(\d{{2}}:\d{{2}})\s*{sign}"), F.lit(-1))
-    timed = got.withColumns({"arrival": last("着"), "departure": last("発")}).where("arrival is not null or departure is not null")
+    cells = table_cells(pages, "trip_id")
+    stops = cells.where((F.col("label") == STATION) & F.col("row_class").isNull() & (F.col("tag") == "td"))
+    rows = stops.groupBy("trip_id", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda x: x["text"]).alias("texts"))
+    rows = rows.withColumn("sequence", F.row_number().over(Window.partitionBy("trip_id").orderBy("row"))).join(_chosen(cells, pages), "trip_id")
+    # after the station's name, cells come in pairs of time and platform
+    time, platform = F.get("texts", 2 * F.col("column") + 1), F.get("texts", 2 * F.col("column") + 2)
+    got = rows.where((F.size("texts") > 2) & (2 * F.col("column") + 1 < F.size("texts"))).withColumns({"time": time, "platform": _blank(F.coalesce(platform, F.lit("")))}).where(~F.contains("time", F.lit(PASSES)))
+    last = lambda sign: F.try_element_at(found(F.col("time"), f"([0-9]{{2}}:[0-9]{{2}})\\s*{sign}"), F.lit(-1))
+    timed = got.withColumns({"arrival": last(COMES), "departure": last(GOES)}).where("arrival IS NOT NULL OR departure IS NOT NULL")
     service, number = service_parts(F.col("name"))
-    return timed.select("trip_id", F.col("column").cast("long").alias("position"), "name", service.alias("service"), number.alias("number"), (F.col("row") + 1).cast("long").alias("sequence"), "arrival", "departure", "platform", "days")
+    return timed.select("trip_id", F.col("column").cast("long").alias("position"), "name", service.alias("service"), number.alias("number"), F.col("sequence").cast("long"), "arrival", "departure", "platform", "days")
 
 
 def grid_departures(pages: DataFrame) -> DataFrame:
-    """(station_id, day, direction, departure, service, number, destination) of every block under its hour; blocks without a numbered service go."""
-    hours = pages.select("station_id", "day", "direction", F.explode(F.slice(F.split("html", "<FONT size=4><B>(?=\\d{1,2}</B></FONT>)"), 2, 1 << 20)).alias("part"))
-    block = r"(?s)<TD nowrap class=S>([^<]+?)<TR><TD nowrap class=M[A-Z]+><B>(\d{1,2})</B>(?:◆)?<TR><TD nowrap class=S>([^<]+)"
-    rows = hours.select("station_id", "day", "direction", F.regexp_extract("part", r"^(\d{1,2})</B>", 1).cast("int").alias("hour"), F.explode(found(F.col("part"), block, 0)).alias("block"))
-    piece = lambda k: F.trim(F.regexp_extract("block", block, k))
-    named = rows.withColumns({"service": F.regexp_extract(piece(1), "([ぁ-んァ-ヶー一-龯]+)\\d+号", 1), "number": F.regexp_extract(piece(1), "[ぁ-んァ-ヶー一-龯]+(\\d+)号", 1).cast("long")}).where("service <> ''")
-    departure = F.format_string("%02d:%02d", "hour", piece(2).cast("int"))
-    return named.select("station_id", "day", "direction", departure.alias("departure"), romanised(F.col("service")).alias("service"), "number", piece(3).alias("destination"))
+    """(station_id, day, direction, departure, service, number, destination) of every block under its hour; blocks without a numbered service go.
+
+    A block is three small cells in a row: the train, the minute in bold, where it goes to.
+    """
+    keys = ["station_id", "day", "direction"]
+    texts = tokens(pages, *keys)
+    order = Window.partitionBy(*keys).orderBy("pos")
+    digits, bold = stripped(F.col("text")).rlike("^[0-9]{1,2}$"), F.lower(F.col("before")) == "<b>"
+    hour = digits & bold & (attribute(F.col("before_that"), "size") == "4")
+    small = F.last(F.when(F.col("tag").isin("td", "tr"), F.struct(F.when(F.col("tag") == "td", attribute(F.col("token"), "class")).alias("v"))), True).over(order)["v"]
+    marked = texts.withColumns({"class": small, "hour": F.last(F.when(hour, stripped(F.col("text")).cast("int")), True).over(order)}).where("text IS NOT NULL AND class IS NOT NULL")
+    # a mark after the minute is no text of its own cell
+    marked = marked.where((F.col("class") == "S") | (F.startswith("class", F.lit("M")) & digits & bold))
+    around = {f"{name}_{c}": f(c).over(order) for name, f in (("last", F.lag), ("next", F.lead)) for c in ("class", "text", "hour")}
+    blocks = marked.withColumns(around).where("class <> 'S' AND last_class = 'S' AND next_class = 'S' AND hour = last_hour AND hour = next_hour")
+    train = stripped(F.col("last_text"))
+    named = blocks.withColumns({"service": F.regexp_extract(train, "([\\p{IsHiragana}\\p{IsKatakana}\\p{IsHan}ー]+)[0-9]+号", 1), "number": F.regexp_extract(train, "[\\p{IsHiragana}\\p{IsKatakana}\\p{IsHan}ー]+([0-9]+)号", 1)}).where("service <> ''")
+    departure = F.format_string("%02d:%02d", "hour", stripped(F.col("text")).cast("int"))
+    return named.select(*keys, departure.alias("departure"), romanised(F.col("service")).alias("service"), F.col("number").cast("long").alias("number"), stripped(F.col("next_text")).alias("destination"))
 
 
 def grid_trains(departures: DataFrame, covered: tuple = (0, 8)) -> DataFrame:
@@ -135,6 +225,15 @@ def grid_trains(departures: DataFrame, covered: tuple = (0, 8)) -> DataFrame:
     return begin.where(~F.col("first_station").isin(*covered)).select(train.alias("train_id"), "day", F.concat_ws(" ", "service", F.col("number").cast("string")).alias("label"), "stops", "first_station", "first_departure")
 
 
+def supplement_order(trains: DataFrame) -> DataFrame:
+    """(day, pos, train_id): the trains of each day by first departure, service, number and direction; ranges of days are numbered side by side."""
+    parts = F.split("train_id", "_")
+    rows = trains.select("day", "first_departure", F.substring_index("label", " ", 1).alias("service"), F.substring_index("label", " ", -1).cast("long").alias("number"), F.get(parts, F.size(parts) - 1).alias("way"), "train_id")
+    every = ranked(rows, "day", "first_departure", "service", "number", "way", name="place")
+    first = every.groupBy("day").agg(F.min("place").alias("first"))
+    return every.join(first, "day").select("day", (F.col("place") - F.col("first") + 1).alias("pos"), "train_id")
+
+
 def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stop_times(read(spark, sf_dir, "events"))
 
@@ -143,10 +242,20 @@ def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors(read(spark, sf_dir, "pages"))
 
 
+def _sorted_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of every page; those of every third page lie under /train/, of every fourth under /Timetable/, the others where they are."""
+    k = F.col("page_id")
+    path = F.concat(F.when(k % 3 == 0, "/train").when(k % 4 == 0, "/Timetable").otherwise(""), F.col("href"))
+    return _anchors(spark, sf_dir).withColumn("href", path).withColumn("link", F.concat(F.lit("https://example.org"), "href"))
+
+
 QUERIES = {
     "page_anchors": lambda spark, sf_dir: _anchors(spark, sf_dir),
-    "page_train_links": lambda spark, sf_dir: train_links(_anchors(spark, sf_dir).withColumn("href", F.concat(F.lit("/train"), "href")).withColumn("link", F.concat(F.lit("https://example.org"), "href"))),
-    "page_timetable_links": lambda spark, sf_dir: timetable_links(_anchors(spark, sf_dir).withColumn("href", F.concat(F.lit("/Timetable"), "href")), "The").select("page_id", "pos"),
+    "page_train_links": lambda spark, sf_dir: train_links(_sorted_anchors(spark, sf_dir)),
+    "page_timetable_links": lambda spark, sf_dir: timetable_links(_sorted_anchors(spark, sf_dir), "The").select("page_id", "pos"),
+    "service_page_links": lambda spark, sf_dir: service_links(service_pages(_visits(spark, sf_dir)), LINE_SERVICES["main"]),
+    "trains_of_type": lambda spark, sf_dir: of_type(detail_trains(detail_pages(_visits(spark, sf_dir))), "Local").select("page", "train_number", "train_type"),
+    "supplement_order": lambda spark, sf_dir: supplement_order(grid_trains(grid_departures(departure_grids(_visits(spark, sf_dir))))),
     "detail_page_trains": lambda spark, sf_dir: detail_trains(detail_pages(_visits(spark, sf_dir))),
     "detail_page_stops": lambda spark, sf_dir: detail_stops(detail_pages(_visits(spark, sf_dir))),
     "two_column_page_stops": lambda spark, sf_dir: two_column_stops(two_column_pages(_visits(spark, sf_dir))),
@@ -161,8 +270,16 @@ _GRID = f"SELECT station_id, dep // 1440 AS day, CASE WHEN event_id % 2 = 0 THEN
 #: What the parsers must find, out of the tables that the pages were made from.
 ORACLE = {
     "page_anchors": f"SELECT page_id, pos, href, href[2:] AS text, regexp_extract(url, '^(https?://[^/]*)', 1) || href AS link FROM ({_ANCHOR})",
-    "page_train_links": f"SELECT 'https://example.org/train' || href AS link, min(page_id) AS page_id, arg_min(pos, page_id * 100000000 + pos) AS pos FROM ({_ANCHOR}) GROUP BY href",
-    "page_timetable_links": f"SELECT page_id, pos FROM ({_ANCHOR}) WHERE contains(lower(href), 'the')",
+    "page_train_links": f"SELECT 'https://example.org/train' || href AS link, min(page_id) AS page_id, arg_min(pos, page_id * 100000000 + pos) AS pos FROM ({_ANCHOR}) WHERE page_id % 3 = 0 GROUP BY href",
+    "page_timetable_links": f"SELECT page_id, pos FROM ({_ANCHOR}) WHERE contains(lower(href), 'the') AND ((page_id % 4 = 0 AND page_id % 3 <> 0) OR contains(lower(href), 'list'))",
+    "service_page_links": f"""
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY first) - 1 AS place, link FROM (SELECT station_id AS page, min(seq * 1000000 + trip_id) AS first, 'https://example.org/jr-k_time/2403/0101/' || trip_id || '.html?c=' || station_id || '&ym=2403&d=' || (seq % 2) AS link
+  FROM {SQL['st']} WHERE trip_id % 5 < 3 GROUP BY station_id, trip_id, seq % 2)""",
+    "trains_of_type": f"SELECT DISTINCT trip_id // 3 AS page, 'T' || trip_id AS train_number, NULL::VARCHAR AS train_type FROM {SQL['st']} WHERE trip_id % 5 = 0",
+    "supplement_order": f"""
+WITH g AS ({_GRID}), b AS (SELECT service, number, direction, day, station_id, CASE WHEN direction = 'outbound' THEN min(departure) ELSE max(departure) END AS t FROM g GROUP BY service, number, direction, day, station_id),
+f AS (SELECT *, row_number() OVER (PARTITION BY service, number, direction, day ORDER BY CASE WHEN direction = 'outbound' THEN station_id ELSE -station_id END) AS k FROM b)
+SELECT day, row_number() OVER (PARTITION BY day ORDER BY t, service, number, upper(direction)) AS pos, 'JRC_' || upper(service) || '_' || number || '_' || upper(direction) AS train_id FROM f WHERE k = 1 AND station_id NOT IN (0, 8)""",
     "detail_page_trains": f"""
 SELECT trip_id // 3 AS page, row_number() OVER (PARTITION BY trip_id // 3 ORDER BY trip_id) - 1 AS position, 'T' || trip_id AS train_number, CASE WHEN trip_id % 5 > 0 THEN 'Super Express' END AS train_type,
        CASE WHEN trip_id % 4 > 0 THEN CASE trip_id % 3 WHEN 0 THEN 'のぞみ' WHEN 1 THEN 'ひかり' ELSE 'Komachi' END || ' ' || trip_id END AS name,

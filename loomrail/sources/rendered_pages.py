@@ -44,7 +44,7 @@ def detail_pages(visits: DataFrame) -> DataFrame:
 
 def two_column_pages(visits: DataFrame) -> DataFrame:
     """(trip_id, line, html): a page for each train, its times in the second of two columns, another train's in the first."""
-    line = F.element_at(F.array(F.lit("west"), F.lit("west"), F.lit("other")), (F.col("trip_id") % 3 + 1).cast("int"))
+    line = F.element_at(F.array(F.lit("main"), F.lit("west"), F.lit("other")), (F.col("trip_id") % 3 + 1).cast("int"))
     arrow = lambda c, sign: F.concat(_time(c), F.lit(sign))
     second = F.when(F.col("event_id") % 5 == 0, "レ").otherwise(F.concat(arrow(F.col("minute"), "着"), F.lit("<br>"), arrow(F.col("dep"), " 発")))
     row = F.concat(F.lit("<tr>\n<!-- 駅名 --><td>駅"), F.col("seq").cast("string"), F.lit("</td><td>"), arrow(F.col("minute") + 1, "発"), F.lit("</td><td></td><td>"), second, F.lit("</td><td>"), (F.col("event_id") % 9).cast("string"), F.lit("</td></tr>"))
@@ -63,3 +63,12 @@ def departure_grids(visits: DataFrame) -> DataFrame:
     hours = cells.groupBy("station_id", "day", "direction", "hour").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "block"))), lambda x: x["block"]), "").alias("blocks"))
     rows = hours.withColumn("row", F.concat(F.lit("<FONT size=4><B>"), F.col("hour").cast("string"), F.lit("</B></FONT>"), "blocks")).withColumnRenamed("hour", "seq")
     return _rows(rows, "station_id", "day", "direction").select("station_id", "day", "direction", F.concat(F.lit("<FONT size=4>駅</FONT>"), "body").alias("html"))
+
+
+def service_pages(visits: DataFrame) -> DataFrame:
+    """(page, url, html): a page for each station, a marked cell for each visit, with the service's name and the train's link."""
+    service = F.element_at(F.array(*map(F.lit, ("みずほ", "さくら", "つばめ", "かもめ", "ひかり"))), (F.col("trip_id") % 5 + 1).cast("int"))
+    link = F.concat(F.lit("/jr-k_time/2403/0101/"), F.col("trip_id").cast("string"), F.lit(".html?c="), F.col("station_id").cast("string"), F.lit("&ym=2403&d="), (F.col("seq") % 2).cast("string"))
+    row = F.concat(F.lit('<tr><td class=time>'), _time(F.col("dep")), F.lit('</td><td class=back5a><b>'), service, F.lit('</b><a href="'), link, F.lit('">detail</a></td></tr>'))
+    cells = visits.select(F.col("station_id").alias("page"), F.struct("seq", "trip_id").alias("seq"), row.alias("row"))
+    return _rows(cells, "page").select("page", F.concat(F.lit("https://example.org/stations/"), F.col("page").cast("string")).alias("url"), F.concat(F.lit("<table>"), "body", F.lit("</table>")).alias("html"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomrail.sources.adapters import SQL, points, read, stop_times
-from loomrail.sources.documents import union_all, write_layers, write_tiles, write_trains, read_trains
+from loomrail.sources.documents import Documents, nested, read_trains, union_all, write_layers, write_tiles, write_trains, write_whole
 from loomrail.sources.storage import new_folder, ranked, shared_folder
 
 HUB_RANK, RANK, HUB_ZOOM, ZOOM = 100, 50, 4, 6
@@ -148,7 +148,24 @@ def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "documents")
     write_trains(_visits(spark, sf_dir).select("trip_id", "seq", "station_id", "minute", "dep"), path)
-    return read_trains(spark, path, "seq bigint, station_id int, minute int, dep int")
+    return read_trains(spark, path, STOP, "lines").rows.drop("path")
+
+
+STOP = "seq bigint, station_id int, minute int, dep int"
+#: Trips in one whole document.
+BLOCK = 20
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> Documents:
+    """Visits written as whole documents, every seventh of them broken, and read again."""
+    path = new_folder(spark, "whole")
+    stops = _visits(spark, sf_dir).select("trip_id", "seq", "station_id", "minute", "dep", F.floor(F.col("trip_id") / BLOCK).alias("block"))
+    write_whole(nested(stops, "block"), path, "block", F.col("block") % 7 == 3)
+    return read_trains(spark, path, STOP)
+
+
+def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(spark, sf_dir).rejected.select(F.regexp_extract("path", "block=([0-9]+)", 1).cast("long").alias("block"), "reason")
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,6 +230,8 @@ QUERIES = {
     "layer_manifest": _manifest,
     "tile_manifest": _tiles,
     "train_documents_roundtrip": _documents,
+    "train_documents_whole": lambda spark, sf_dir: _whole(spark, sf_dir).rows.drop("path"),
+    "train_documents_rejected": _rejected,
     "leg_positions": lambda spark, sf_dir: leg_positions(_visits(spark, sf_dir), [600, 5000, 20000]),
     "diagram_points": lambda spark, sf_dir: diagram_points(_visits(spark, sf_dir), 25),
     "label_overlap_scores": lambda spark, sf_dir: label_overlaps(points(read(spark, sf_dir, "embeddings"))),
@@ -235,6 +254,8 @@ UNION ALL SELECT 'lines', point_id % 40, 'LineString', count(*), round(min(lon),
     "layer_manifest": f"SELECT 'stations' AS layer, count(*) AS features, 'Point' AS geometry_type FROM nation WHERE n_nationkey % 9 <> 8 UNION ALL SELECT 'lines', count(*), 'LineString' FROM (SELECT vec_id % 40 FROM embeddings GROUP BY 1 HAVING count(*) > 1)",
     "tile_manifest": f"SELECT 'points' AS layer, z, count(DISTINCT x * 1000 + y) AS tiles, count(*) AS features FROM (SELECT z, least(greatest(floor((lon - 128.0) / 18.5 * 2**z), 0), 2**z - 1) AS x, least(greatest(floor((46.5 - lat) / 16.5 * 2**z), 0), 2**z - 1) AS y FROM {SQL['pt']} CROSS JOIN (VALUES (1), (2), (3)) v(z)) GROUP BY z",
     "train_documents_roundtrip": f"SELECT CAST(trip_id AS VARCHAR) AS train_number, seq, station_id, minute, dep FROM {SQL['st']}",
+    "train_documents_whole": f"SELECT CAST(trip_id AS VARCHAR) AS train_number, seq, station_id, minute, dep FROM {SQL['st']} WHERE trip_id // 20 % 7 <> 3",
+    "train_documents_rejected": f"SELECT DISTINCT trip_id // 20 AS block, 'broken' AS reason FROM {SQL['st']} WHERE trip_id // 20 % 7 = 3",
     "leg_positions": f"""
 WITH v AS (SELECT * FROM {SQL['st']}), l AS (SELECT a.trip_id, a.seq, t AS at_minute, a.station_id AS f, b.station_id AS n, CASE WHEN b.minute = a.dep THEN CAST(t - a.dep AS DOUBLE) ELSE (t - a.dep) / (b.minute - a.dep) END AS s FROM v a JOIN v b ON b.trip_id = a.trip_id AND b.seq = a.seq + 1 JOIN (VALUES (600), (5000), (20000)) w(t) ON t BETWEEN a.dep AND b.minute),
 o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY trip_id, at_minute ORDER BY seq) = 1)

@@ -10,12 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrail.operators import boarding, datasets, geo, labels, maps, markup, merging, network, pursuit, scenario, tiles, timejoins, timetable_pages, validation
+from loomrail.operators import boarding, bundle, datasets, geo, labels, maps, markup, merging, network, pursuit, scenario, tiles, timejoins, timetable_pages, validation
+from loomrail.sources import archives
 from loomrail.sources.adapters import SQL, canonical
 from loomrail.streaming import room_clock
 
 #: Modules whose queries are DataFrame operations, each with SQL of its own that states the result in another way.
-FRAMES = (timetable_pages, datasets, validation, scenario, maps, tiles, labels, timejoins)
+FRAMES = (timetable_pages, datasets, validation, scenario, maps, tiles, labels, timejoins, bundle, archives)
 TEXTS = {k: v for m in (boarding, merging, network, pursuit, geo, markup) for k, v in m.QUERIES.items()}
 CHOICE = re.compile(r"\[\[(.*?)\|\|(.*?)\]\]", re.S)
 FIELD = re.compile(r"(?<!\{)\{(\w+)\}")

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from loomrail.operators import tiles
-from loomrail.sources import documents
+from loomrail.sources import archives, documents
 
 FIELDS = "sequence int, station_id string"
 TRAINS = [{"train_number": str(n), "stop_times": [{"sequence": k, "station_id": f"S{n}{k}"} for k in (1, 2)]} for n in range(3)]
@@ -80,3 +80,43 @@ def test_hot_tiles_are_dealt(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(list((tmp_path / "t" / "layer=a" / "z=3" / "x=0" / "y=1").glob("part-*"))) > 1
+
+
+def test_archives_by_charset_and_filter(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as a:
+        a.writestr("http://h.org/1", "<meta charset=EUC-JP>東京".encode("euc-jp"))
+        a.writestr("http://h.org/2", "plain é".encode())
+        a.writestr("http://o.org/3", '<meta charset="no-such">x'.encode())
+        a.writestr("http://o.org/4", "東京".encode("euc-jp"))
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as b:
+        b.writestr("http://h.org/5", "<p>五</p>".encode("shift_jis"))
+    (tmp_path / "c.zip").write_bytes(b"no archive")
+    rows = archives.mirrored(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 3
+    got = {(r["archive"], r["url"]): tuple(r)[2:] for r in rows.collect()}
+    assert got == {
+        ("a.zip", "http://h.org/1"): ("euc-jp", "<meta charset=EUC-JP>東京", None),
+        ("a.zip", "http://h.org/2"): ("utf-8", "plain é", None),
+        ("a.zip", "http://o.org/3"): ("no-such", None, "unknown charset"),
+        ("a.zip", "http://o.org/4"): ("utf-8", None, "bytes of another charset"),
+        ("b.zip", "http://h.org/5"): ("utf-8", None, "bytes of another charset"),
+        ("c.zip", None): (None, None, "broken archive"),
+    }
+    assert [r["text"] for r in archives.mirrored(spark, str(tmp_path), "shift_jis").where("url = 'http://h.org/5'").collect()] == ["<p>五</p>"]
+    chosen = rows.where("url LIKE 'http://h.org/%' AND url IN ('http://h.org/2', 'http://o.org/3')")
+    plan = spark._sc._jvm.PythonSQLUtils.explainString(chosen._jdf.queryExecution(), "formatted")
+    assert "PushedFilters: [StringStartsWith(url,http://h.org/), In(url, [http://h.org/2,http://o.org/3])]" in plan
+    assert [r["url"] for r in chosen.collect()] == ["http://h.org/2"]
+    # the source itself leaves the other entries out; Spark only looks for nulls
+    assert "Condition : isnotnull(url" in plan and "Condition : (" not in plan
+    assert archives.mirrored(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_archives_written_and_read(spark, tmp_path):
+    made = [(f"http://h.org/{i}", f"<p>{i} 漢字 é 🙂</p>" if i else None) for i in range(30)]
+    told = archives.write_archives(spark.createDataFrame(made, "url string, html string"), str(tmp_path / "m"), "euc-jp", 4).collect()
+    assert sum(r["pages"] for r in told) == 30 and {r["archive"] for r in told} == {p.name for p in (tmp_path / "m").iterdir()}
+    texts = {r["url"]: r["text"] for r in archives.mirrored(spark, str(tmp_path / "m")).collect()}
+    assert texts["http://h.org/7"] == '<meta charset="euc-jp"><p>7 漢字 é &#128578;</p>' and texts["http://h.org/0"] == '<meta charset="euc-jp">' and len(texts) == 30

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomrail.operators import boarding, bundle, datasets, geo, labels, maps, markup, merging, network, pursuit, scenario, tiles, timejoins, timetable_pages, validation
 from loomrail.sources import archives
 from loomrail.sources.adapters import SQL, canonical
-from loomrail.streaming import room_clock
+from loomrail.streaming import room_clock, room_commands
 
 #: Modules whose queries are DataFrame operations, each with SQL of its own that states the result in another way.
 FRAMES = (timetable_pages, datasets, validation, scenario, maps, tiles, labels, timejoins, bundle, archives)
@@ -33,8 +33,8 @@ def other(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{n: (lambda spark, sf_dir, n=n: run(spark, sf_dir, n)) for n in TEXTS}, **{k: q for m in FRAMES for k, q in m.QUERIES.items()}, "room_clock_stream": room_clock.query}
+    return {**{n: (lambda spark, sf_dir, n=n: run(spark, sf_dir, n)) for n in TEXTS}, **{k: q for m in FRAMES for k, q in m.QUERIES.items()}, "room_clock_stream": room_clock.query, "room_commands": room_commands.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{n: other(n) for n in TEXTS}, **{k: q for m in FRAMES for k, q in m.ORACLE.items()}, "room_clock_stream": room_clock.ORACLE}
+    return {**{n: other(n) for n in TEXTS}, **{k: q for m in FRAMES for k, q in m.ORACLE.items()}, "room_clock_stream": room_clock.ORACLE, "room_commands": room_commands.ORACLE}

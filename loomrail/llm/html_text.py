@@ -1,9 +1,9 @@
 """Main text of web pages by composite text density over the DOM.
 
 Every node has a density: characters for each tag below it, adjusted by the share of links. The
-densities of a container's children are summed, and the container with the largest sum is the
-article. Lists of names tell what is no text at all (scripts, hidden parts), keep footers and the
-like from being chosen where a page has other text, and take forms and menus out of the article.
+densities of a node's paragraphs are summed, and the node with the largest sum is the article, with
+what goes on around it. Lists of names tell what is no text at all (scripts, hidden parts) and what is
+none of an article (menus, footers, forms, adverts); no name makes a node the article.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 # Never text of the page, wherever they stand.
 UNSEEN = frozenset("script style textarea title noscript iframe noembed noframes xmp head button select option input template svg canvas object audio video map dialog".split())
-# Parts that can be chosen as the article; their own text and other children count for them.
+# Elements that a slash in their tag doesn't end.
 CONTAINERS = frozenset("body article main section div td center blockquote nav header footer aside form fieldset menu".split())
 # Within the chosen subtree these go, unless they hold most of it.
 PARTS = frozenset("nav header footer aside form fieldset menu label".split())
@@ -36,8 +36,12 @@ CLOSED_BY_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": (
 # Whole tokens of class, id and role of parts within an article that are none of it.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar complementary menu nav navbar navigation breadcrumb breadcrumbs footer contentinfo cookie cookies consent notice gdpr popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments disqus login signin signup search toolbar widget pagination".split())
 
-#: A sibling of the chosen container with at least this share of its density sum is a part of the same article.
-SIBLING = 0.3
+# Leaves that are text by their name, and elements that may go on a text beside the chosen subtree.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre li dd dt td th blockquote figcaption address caption summary".split())
+FLOW = PROSE | frozenset("ul ol dl table tbody tr figure hgroup details section article main hr".split())
+
+#: So many other leaves in one block count as its paragraphs.
+SEVERAL = 3
 
 # a tag whose quote is never closed ends at its first >
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|$)|<[!?/][^>]*(?:>|$)", re.S)
@@ -61,6 +65,7 @@ class Node:
     link: bool = False
     density: float = 0.0
     sum: float = 0.0
+    leaf: bool = False
     #: article and main elements with text below, whether one is above, and whether a marked part holds the node
     whole: int = 0
     around: bool = False
@@ -138,16 +143,31 @@ def composite(c: int, t: int, lc: int, lt: int, share: float) -> float:
     return c / t * math.log(c / lc * t / lt) / math.log(math.log(c / outside * lc + share * c + math.e)) if c else 0.0
 
 
+def children(node: Node) -> list[Node]:
+    """Elements right below that are seen and hold text."""
+    return [c for c in node.parts if isinstance(c, Node) and not c.drop and c.chars]
+
+
+def own_text(node: Node) -> tuple[int, int]:
+    """Characters right in the node, inline elements counted with it, and those of them in links."""
+    runs = sum(letters(c) for c in node.parts if isinstance(c, str))
+    inline = [c for c in children(node) if c.name in INLINE]
+    return runs + sum(c.chars for c in inline), (runs if node.link else 0) + sum(c.link_chars for c in inline)
+
+
 def measure(root: Node) -> list[Node]:
     """Counts, composite densities and density sums of all nodes that are seen, parents first.
 
-    A container's sum takes its children but for containers, which stand for themselves, so that a
-    wrapper doesn't win by holding many parts; a run of text directly in it counts like a child.
+    A leaf is a block without blocks in it. A node that holds blocks sums the densities of its leaves
+    and of its own text; blocks that hold others stand for themselves. Leaves that are paragraphs,
+    headings or cells by name count always, others (a div may be a paragraph, or a notice) only where
+    there are several. A leaf's own sum is zero.
     """
     order, todo = [], [(root, False)]
     while todo:
         node, link = todo.pop()
         node.link = link or node.name == "a"
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         order.append(node)
         todo.extend((c, node.link) for c in reversed(node.parts) if isinstance(c, Node) and not c.drop)
     for node in reversed(order):
@@ -163,15 +183,20 @@ def measure(root: Node) -> list[Node]:
     share = root.link_chars / max(root.chars, 1)
     for node in order:
         node.density = composite(node.chars, node.tags, node.link_chars, node.link_tags, share)
-        if node.parent is not None and node.name not in CONTAINERS:
-            node.parent.sum += node.density
-        own = sum(letters(c) for c in node.parts if isinstance(c, str))
-        node.sum += composite(own, 0, own if node.link else 0, 0, share)
+        node.leaf = all(c.name in INLINE for c in children(node))
+    for node in order:
+        node.sum = 0.0
+        if not node.leaf:
+            leaves = [c for c in children(node) if c.leaf and c.name not in INLINE]
+            others = [c for c in leaves if c.name not in PROSE]
+            counted = leaves if len(others) >= SEVERAL else [c for c in leaves if c.name in PROSE]
+            chars, link_chars = own_text(node)
+            node.sum = sum(c.density for c in counted) + composite(chars, 0, link_chars, 0, share)
     return order
 
 
-def eligible(order: list[Node]) -> list[Node]:
-    """Containers that aren't marked nor in a marked one, which counts only if it is no wrapper.
+def take_out(order: list[Node]) -> None:
+    """Drop marked parts but wrappers, if there is text without them.
 
     A wrapper holds most of the page's text outside links, and no article or main element lies outside of it.
     """
@@ -180,48 +205,65 @@ def eligible(order: list[Node]) -> list[Node]:
         node.whole += node.name in WHOLE and plain(node) > 0
         if node.parent is not None:
             node.parent.whole += node.whole
+    out, gone = [], 0
     for node in order:
         up = node.parent
         if up is not None:
             node.around, node.out = up.around or up.name in WHOLE, up.out
-        if node.marked and not node.out:
+        # headings of an article may be marked; they are looked at when it is chosen
+        if node.marked and not node.out and not (node.name == "header" and node.around):
             node.out = 2 * plain(node) <= plain(body) or (body.whole > node.whole and not node.around)
-    return [n for n in order if not n.out and candidate(n)]
+            if node.out:
+                out.append(node)
+                gone += node.chars
+    if gone < body.chars:
+        for node in out:
+            node.drop = True
 
 
-def candidate(node: Node) -> bool:
-    return node.chars > 0 and (node.name in CONTAINERS or node.parent is None)
+def heavy(node: Node) -> bool:
+    """Whether most of its text is links."""
+    return 2 * node.link_chars > node.chars
 
 
 def main_nodes(root: Node) -> list[Node]:
-    """The container with the largest density sum, and siblings of it that are parts of the same article.
-
-    Marked containers are chosen only where nothing else has text (see eligible). The threshold is the least density on the path from that container to the body. A sibling of the
-    same element name joins if it is at least that dense, has SIBLING of the sum and isn't marked. If
-    the container lies within an article or main element, that whole element stands alone. If the
-    body itself has the largest sum, containers in it that are less dense than it go. Ties go to the
-    earlier container; nothing is returned for a page without text.
+    """The subtree whose density sum is largest, and what goes on around it, in page order.
+
+    The threshold is the least density on the path from that node to the body. On each level of the path
+    its siblings belong to the text if they are paragraphs, headings, tables and the like that aren't
+    mostly links, or hold blocks, have the same name and reach the threshold; a parent with text of its
+    own belongs to it as a whole. If the body itself has the largest sum, divisions of it below the
+    threshold go. Marked parts are out before anything is measured. Ties go to the earlier node, nothing
+    is returned for a page without text; nothing is dropped for being short.
     """
-    every = measure(root)
-    order = list(filter(candidate, every))
-    if not order:
+    take_out(measure(root))
+    order = measure(root)
+    if not root.chars:
         return []
-    best = max(eligible(every) or order, key=lambda n: n.sum)
-    path, whole = [best], None
+    best = max((n for n in order if n.name not in INLINE), key=lambda n: n.sum)
+    if best.sum <= 0:
+        best = root
+    path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    for node in path:
-        whole = node if node.name in WHOLE else whole
-    if whole is not None:
-        return [whole]
     threshold = min(n.density for n in path)
-    if best is root and best.sum > 0:
-        for node in order[1:]:
-            node.drop = node.density < threshold
-    if best is root:
-        return [root]
-    alike = lambda n: n.parent is best.parent and n.name == best.name and not n.marked and n.density >= threshold and n.sum >= SIBLING * best.sum
-    return [n for n in order if n is best or alike(n)]
+    top, beside = best, []
+    for node, up in zip(path, path[1:]):
+        if up.parent is not None and own_text(up)[0] > 0:
+            top, beside = up, []
+            continue
+        for c in children(up):
+            prose = c.name in FLOW and not heavy(c)
+            alike = c.name == node.name and not c.leaf and not heavy(c) and c.density >= threshold
+            if c is not node and (prose or alike):
+                beside.append(c)
+    if top is root:
+        several = sum(c.leaf and c.name not in FLOW and c.name not in INLINE for c in children(root)) >= SEVERAL
+        for c in children(root):
+            if c.name not in FLOW and c.name not in INLINE and (heavy(c) or (c.density < threshold and not several)):
+                c.drop = True
+    chosen = {id(n) for n in (top, *beside)}
+    return [n for n in order if id(n) in chosen]
 
 
 def without_parts(top: Node) -> None:

@@ -2,6 +2,7 @@
 
 import html
 import math
+import re
 from html.parser import HTMLParser
 
 import pytest
@@ -158,3 +159,35 @@ def test_broken_and_long_pages():
     assert html_text.main_text("<div>" * 30000 + "x" + "</div>" * 30000) == "x"
     words = " ".join(f"w{k}" for k in range(100000))
     assert html_text.main_text(f"<div><p>{html.escape(words)}</div>") == words
+
+
+def neutral(page):
+    """The page with no name, class, id or role that tells what a part is."""
+    page = re.sub(r"<(/?)(article|nav|footer|header|aside|main|section)\b", r"<\1div", page)
+    return re.sub(r' (class|id|role)="[^"]*"', "", page)
+
+
+def test_density_finds_the_article_without_names(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    want = [html_text.main_text(p) for p in pages]
+    right = lambda: sum(html_text.main_text(neutral(p)) == w for p, w in zip(pages, want))
+    assert right() >= 0.99 * len(pages)
+    monkeypatch.setattr(html_text, "composite", lambda c, t, lc, lt, share: 1.0 if c else 0.0)
+    assert right() < 0.8 * len(pages)
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<nav><a href=1>m</a></nav><div><div>{PROSE}</div><div>Short.</div><div>{PROSE}</div></div><footer>f</footer>", f"{WANT} Short. {WANT}"),
+        (f"<div>{PROSE}</div><div>Short.</div><div>{PROSE}</div>", f"{WANT} Short. {WANT}"),
+        (f"<div><section><p>{PROSE}<p>{PROSE}</section><section><p>Short one.</section></div><footer>f</footer>", f"{WANT} {WANT} Short one."),
+        (f"<div><h1>T</h1><p>Intro.</p><blockquote><p>{PROSE}<p>{PROSE}</blockquote><p>After.</p></div><footer>f</footer>", f"T Intro. {WANT} {WANT} After."),
+        (f"<p>Before.</p><table><tr><td><p>{PROSE}<p>{PROSE}</td><td>Side</td></tr><tr><td>x</td></tr></table><footer>f</footer>", f"Before. {WANT} {WANT} Side x"),
+        (f"<article><p>{PROSE}</article><article><p>Tiny.</article><footer>f</footer>", f"{WANT} Tiny."),
+        (f"<div>Words of its own <blockquote><p>{PROSE}<p>{PROSE}</blockquote> and after</div><div class=ad>buy</div>", f"Words of its own {WANT} {WANT} and after"),
+        (f"<div><div><a href=1>a</a> <a href=2>b</a></div><div><p>{PROSE}<p>Ok.</div><div>© x</div></div>", f"{WANT} Ok."),
+    ],
+)
+def test_short_parts_of_a_text_stay(page, want):
+    assert html_text.main_text(page) == want

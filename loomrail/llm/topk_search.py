@@ -1,14 +1,15 @@
 """Exact top-k inner products by Fagin's threshold algorithm over sorted lists, one for each dimension.
 
 Candidates are dealt into blocks by their largest component, so that vectors alike share a block. The
-block that a query's own components name gives it a floor, the kth score there; then it runs in every
-block, and stops where no unseen vector can reach the floor. Where the floor shows that no list alone
-could end a query early, the lists would be read to their ends, and all such queries of a block are
-scored together.
+block that a query's own components name is searched first and gives it a floor, the kth score there;
+then it runs in every other block whose longest vector could reach the floor, and stops where no unseen
+vector can.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,12 +19,10 @@ from loomrail.llm.common import checkpointed, table
 
 #: Candidates and queries that one task compares.
 BLOCK, QUERIES = 8192, 4096
-#: Depth of a list's first step; each later one doubles it.
+#: Depth of all lists' first step; each later one doubles it.
 STEP = 8
-#: Share of the candidates to be seen from which the lists are read to their ends, as few are left to be spared.
+#: Share of the candidates from which the others are scored without lists, as few are left to be spared.
 REST = 0.5
-#: Queries scored together.
-TOGETHER = 256
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -71,89 +70,60 @@ class Lists:
         self.order = np.argsort(x, axis=0, kind="stable")
         self.sorted = np.take_along_axis(x, self.order, axis=0).astype(np.float64)
         self.square = float((x.astype(np.float64) ** 2).sum(axis=1).max(initial=0))
-        #: candidates scored and candidates there were, over all queries
-        self.read = self.there = 0
-
-    def depths(self, q: np.ndarray, best: np.ndarray) -> np.ndarray:
-        """(query, list): how deep each list would have to be read if it were the only one to end the query: to its last value near enough to the query's."""
-        n = len(self.ids)
-        near = np.sqrt(np.maximum(self.square + (q.astype(np.float64) ** 2).sum(axis=1) - 2 * best, 0.0)) + 1e-6
-        out = np.full(q.shape, n, np.int64)
-        for c in range(q.shape[1]):
-            up, down = q[:, c] > 0, q[:, c] < 0
-            out[up, c] = n - np.searchsorted(self.sorted[:, c], q[up, c] - near[up], "left")
-            out[down, c] = np.searchsorted(self.sorted[:, c], q[down, c] + near[down], "right")
-        return out
-
-    def product(self, q: np.ndarray) -> np.ndarray:
-        """(query, candidate): all scores, as doubles where these are exact."""
-        exact = float(np.abs(self.x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(self.x.shape[1], 1) < 2**53
-        return q.astype(np.float64) @ self.x.T.astype(np.float64) if exact else q @ self.x.T
-
-    def best_of(self, scores: np.ndarray, row: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best candidates that reach the floor, by the scores of all."""
-        mine = self.rows != row
-        if floor == -np.inf and mine.sum() > k:
-            floor = np.partition(scores[mine], -k)[-k]
-        at = np.flatnonzero(mine & (scores >= floor)) if floor > -np.inf else np.flatnonzero(mine)
-        at = at[np.lexsort((self.ids[at], -scores[at]))[:k]]
-        return self.ids[at], scores[at].astype(np.int64)
+        #: candidates scored and candidates there were, over all queries, and queries that the threshold ended
+        self.read = self.there = self.stopped = 0
+
+    def alone(self, q: np.ndarray, use: np.ndarray, up: np.ndarray, best: float) -> np.ndarray:
+        """How deep each list would have to be read to end the query by itself: to its last value near enough to the query's, as a vector further off in one component scores less."""
+        near = math.sqrt(max(self.square + float((q.astype(np.float64) ** 2).sum()) - 2 * best, 0.0)) + 1e-6
+        return np.array([len(self.ids) - np.searchsorted(self.sorted[:, c], q[c] - near, "left") if u else np.searchsorted(self.sorted[:, c], q[c] + near, "right") for c, u in zip(use, up)])
 
     def tops(self, rows: np.ndarray, q: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, scores) of each query as top gives them; those that would read the lists to their ends are scored together."""
-        n = len(self.ids)
-        need = self.depths(q, np.where(floors > -np.inf, floors, 0.0))
-        whole = (floors == -np.inf) | (need.min(axis=1, initial=n) > REST * n)
-        out: list = [None] * len(q)
-        for i in np.flatnonzero(~whole):
-            out[i] = self.top(rows[i], q[i], k, floors[i], need[i])
-        at = np.flatnonzero(whole)
-        for j in range(0, len(at), TOGETHER):
-            part = at[j : j + TOGETHER]
-            for i, scores in zip(part, self.product(q[part])):
-                out[i] = self.best_of(scores, rows[i], k, floors[i])
-        self.read, self.there = self.read + len(at) * n, self.there + len(at) * n
-        return out
-
-    def top(self, row: int, q: np.ndarray, k: int, floor: float = -np.inf, need: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of each query as top gives them."""
+        return [self.top(r, v, k, f) for r, v, f in zip(rows, q, floors)]
+
+    def top(self, row: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best of the block that reach the floor, ties to smaller ids; the query's own row does not count.
 
-        All lists are read from the top where the query's component is positive, from the bottom where
-        it is negative, until k vectors are seen; then the list goes on that promises to end the query
-        soonest. No vector unseen exceeds the present value of any list, nor the largest norm of the
-        block; once what both allow is below the kth score, the rest is not read. Equal scores go on,
-        as a smaller id might follow.
+        The lists are read from the top where the query's component is positive, from the bottom where it
+        is negative, and every vector that comes up is scored at once: side by side, or the one list alone
+        that ends the query before REST of the block has come up. No vector unseen exceeds the present
+        value of any list, nor the largest norm of the block; once what both allow is below the kth score,
+        or the floor, the rest is not read. Equal scores go on, as a smaller id might follow. Where REST
+        has come up without an end, the others are scored without lists.
         """
-        n = len(self.ids)
+        n, use = len(self.ids), np.flatnonzero(q)
         exact = float(np.abs(self.x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(len(q), 1) < 2**53
         x, w = (self.x.astype(np.float64), q.astype(np.float64)) if exact else (self.x, q)
-        use = np.flatnonzero(q)
         seen, scores, best = np.zeros(n, bool), np.full(n, -np.inf) if exact else np.full(n, np.iinfo(np.int64).min), floor
         depth, u, up = np.zeros(len(use), np.int64), np.abs(q[use]).astype(np.float64), q[use] > 0
-        value = lambda d: np.where(up, self.sorted[n - 1 - d, use], -self.sorted[d, use])
-        need, at_best = (np.full(len(use), n), -np.inf) if need is None else (need[use], floor)
-        while n:
-            if best > at_best:
-                need, at_best = self.depths(q[None], np.array([best]))[0][use], best
-            if not len(use) or seen.sum() > REST * n:
-                left = np.flatnonzero(~seen)
-                scores[left] = x[left] @ w
-                seen[:] = True
-                break
-            if most(u, value(np.minimum(depth, n - 1)), self.square) * (1 + 1e-9) + 1e-6 < best:
+        self.there += n
+        while not seen.all():
+            at = np.minimum(depth, n - 1)
+            value = np.where(up, self.sorted[n - 1 - at, use], -self.sorted[at, use])
+            if best > -np.inf and len(use) and most(u, value, self.square) * (1 + 1e-9) + 1e-6 < best:
+                self.stopped += 1
                 break
-            go = range(len(use)) if best == -np.inf else [int(np.argmin(np.where(depth < n, need - depth, n)))]
-            for j in go:
-                d, e, c = depth[j], min(max(2 * depth[j], STEP), n), use[j]
-                part = self.order[n - e : n - d, c] if up[j] else self.order[d:e, c]
-                part = part[~seen[part]]
-                seen[part] = True
-                scores[part] = x[part] @ w
-                depth[j] = e
-            got = scores[seen & (self.rows != row)]
-            if len(got) >= k:
-                best = max(best, float(np.partition(got, len(got) - k)[len(got) - k]))
-        self.read, self.there = self.read + int(seen.sum()), self.there + n
+            new = np.zeros(n, bool)
+            need = self.alone(q, use, up, best) if best > -np.inf and len(use) else np.zeros(0)
+            if len(need) and need.min() <= REST * n and need.min() > depth[need.argmin()]:
+                j = int(need.argmin())
+                new[self.order[n - need[j] :, use[j]] if up[j] else self.order[: need[j], use[j]]] = True
+                depth[j] = need[j]
+            elif len(use) and seen.sum() <= REST * n:
+                end = min(max(2 * int(depth.min()), STEP), n)
+                new[self.order[n - end :, use[up]]] = True
+                new[self.order[:end, use[~up]]] = True
+                depth = np.maximum(depth, end)
+            else:
+                new[:] = True
+            new &= ~seen
+            scores[new] = x[new] @ w
+            seen |= new
+            mine = scores[seen & (self.rows != row)]
+            if len(mine) >= k:
+                best = max(best, float(np.partition(mine, len(mine) - k)[len(mine) - k]))
+        self.read += int(seen.sum())
         at = np.flatnonzero(seen & (self.rows != row) & (scores >= best))
         at = at[np.lexsort((self.ids[at], -scores[at]))[:k]]
         return self.ids[at], scores[at].astype(np.int64)
@@ -192,15 +162,10 @@ def top_matches(candidates: DataFrame, queries: DataFrame, k: int = 20, block: i
     groups = max(1, -(-queries.count() // group))
     deal = F.pmod(F.xxhash64("row", "vec_id"), F.lit(groups)).cast("int")
 
-    def lists(left: pa.Table) -> Lists:
+    def lists(left) -> Lists:
         return Lists(left["row"].to_numpy(), left["vec_id"].to_numpy().astype(np.int64), matrix(left["v"], width))
 
-    def floors(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        held, rows, q = lists(left), right["row"].to_numpy(), matrix(right["v"], width)
-        found = held.tops(rows, q, k, np.full(len(rows), -np.inf))
-        return pa.table({"row": pa.array(rows, pa.int64()), "floor": pa.array([int(s[-1]) if len(s) == k else None for _, s in found], pa.int64())})
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key, left, right):
         held, rows, ids = lists(left), right["row"].to_numpy(), right["vec_id"].to_numpy()
         least = np.array([-np.inf if f is None else f for f in right["floor"].to_pylist()], np.float64)
         found = held.tops(rows, matrix(right["v"], width), k, least)
@@ -208,15 +173,22 @@ def top_matches(candidates: DataFrame, queries: DataFrame, k: int = 20, block: i
         columns = (np.repeat(rows, size), np.repeat(ids, size), *(np.concatenate([*(f[c] for f in found), np.zeros(0, np.int64)]) for c in (0, 1)))
         return pa.table({c: pa.array(v.astype(np.int64)) for c, v in zip(("row", "query_id", "vec_id", "score"), columns)})
 
+    result = "row long, query_id long, vec_id long, score long"
     dealt = candidates.select("row", "vec_id", "v", place.alias("b"))
     # aliases, as both sides may be rows of one table
-    asked = queries.select(*(F.col(c).alias(c) for c in ("row", "vec_id", "v")), deal.alias("g"))
-    own = queries.select(*(F.col(c).alias(c) for c in ("row", "v")), place.alias("b"))
-    first = dealt.groupBy("b").cogroup(own.groupBy("b")).applyInArrow(floors, "row long, floor long").select(F.col("row").alias("_row"), "floor")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = dealt.withColumn("g", every(groups))
-    right = asked.join(first, F.col("row") == F.col("_row"), "left").drop("_row").withColumn("b", every(blocks))
-    found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(run, "row long, query_id long, vec_id long, score long")
+    asked = queries.select(*(F.col(c).alias(c) for c in ("row", "vec_id", "v")), deal.alias("g"), place.alias("b"))
+    first = dealt.groupBy("b").cogroup(asked.withColumn("floor", F.lit(None).cast("long")).groupBy("b")).applyInArrow(run, result)
+    if blocks > 1:
+        first = checkpointed(first)
+        floors = first.groupBy(F.col("row").alias("_row")).agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
+        # the longest vector of a block, one row each, tells where nothing can reach a floor
+        square = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
+        longest = dealt.groupBy("b").agg(F.max(square).alias("longest")).select(F.col("b").alias("to"), "longest")
+        others = asked.join(floors, F.col("row") == F.col("_row"), "left").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("b <> to").join(longest, "to")
+        right = others.where(F.col("floor").isNull() | (F.sqrt(F.col("longest")) * F.sqrt(square) * (1 + 1e-9) + 1e-6 >= F.col("floor"))).select("row", "vec_id", "v", "g", "floor", F.col("to").alias("b"))
+        left = dealt.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        first = first.union(left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(run, result))
+    found = first
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

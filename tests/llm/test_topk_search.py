@@ -69,3 +69,30 @@ def test_no_vectors_and_a_long_one(spark):
     assert topk_search.top_matches(none, none).count() == 0
     odd = topk_search.usable(spark.createDataFrame([(0, []), (1, [0.0] * 5000 + [1.0]), (2, [1.0] * 5001)], "vec_id long, embedding array<double>"))
     assert [tuple(r) for r in topk_search.top_matches(odd, odd.where("vec_id = 2")).collect()] == [(2, 1, 1, 4096), (2, 2, 0, 0)]
+
+
+def test_sorted_access_decides_where_it_can(spark):
+    rng = np.random.default_rng(3)
+    clusters = unit(np.repeat(rng.normal(size=(40, 64)), 50, axis=0) + 0.05 * rng.normal(size=(2000, 64)))
+    lists = topk_search.Lists(np.arange(2000), np.arange(2000), clusters)
+    lists.tops(np.arange(0, 2000, 20), clusters[::20], 20, np.full(100, -np.inf))
+    assert lists.stopped == 100 and lists.read < 0.6 * lists.there
+    # a floor out of reach ends a query before any access
+    lists.read = lists.there = lists.stopped = 0
+    lists.tops(np.arange(5), clusters[:5], 20, np.full(5, 1e6))
+    assert (lists.stopped, lists.read) == (5, 0)
+    # of random directions nearly all come up before the threshold falls below the kth score
+    given = np.array([r[0] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()], np.float64)
+    lists = topk_search.Lists(np.arange(len(given)), np.arange(len(given)), np.floor(64 * given).astype(np.int64))
+    lists.tops(np.arange(0, 400, 20), lists.x[:400:20], 20, np.full(20, -np.inf))
+    assert lists.read > topk_search.REST * lists.there
+
+
+def test_blocks_out_of_reach_are_skipped(spark):
+    rng = np.random.default_rng(6)
+    # the longest vectors share their largest component, so the other blocks cannot reach their queries' floors
+    x = np.concatenate([rng.integers(-2, 3, (400, 3)), rng.integers(60, 65, (40, 1)) * [[1, 0, 0]]])
+    rows = topk_search.usable(spark.createDataFrame([(i, (v / 64).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = topk_search.top_matches(rows, rows.where("vec_id >= 400"), k=5, block=40, group=7).toPandas()
+    want = sorted((r, rank, *m) for r in range(400, 440) for rank, m in enumerate(brute(np.arange(440), x, r, 5), 1))
+    assert sorted(map(tuple, got[["query_id", "rank", "vec_id", "score"]].to_numpy().tolist())) == want

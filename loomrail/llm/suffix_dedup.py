@@ -27,6 +27,8 @@ REACH = LENGTH - GRAM
 SHALLOW = 96
 #: Bytes hashed at once, and contexts sorted at once.
 CHUNK, SORTED = 1 << 20, 1 << 15
+#: Bits of a place among bytes hashed at once; hashes are cut by as many everywhere, so that equal windows choose alike.
+PLACE = (2 * CHUNK).bit_length()
 #: Grams with more occurrences than this, and than one for each 2^20 bytes of text, are resolved window by window, which
 #: needs no group in one task. There can't be more of them than 2^20.
 HOT = 1 << 16
@@ -80,7 +82,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: Hash
     # the top bits of the hash and then the place, so that one minimum finds the leftmost least gram
     n = len(h)
     place = np.arange(n, dtype=np.uint64)
-    low = np.uint64(max(1, int(n).bit_length()))
+    low = np.uint64(PLACE)
     key = (h >> low << low) | place
     pad = -n % w
     blocks = np.concatenate([key, np.full(pad, ~np.uint64(0))]).reshape(-1, w)
@@ -126,27 +128,27 @@ def _context_id(before: bytes, after: bytes) -> bytes:
 
 
 def _contexts(with_texts: bool, text_col: str):
-    """(h, cid, k, pos[, before, after]) of the listed anchors of each text; before is reversed."""
+    """(h, before, after, n), equal contexts met together counted, or (cid, k, pos), of the listed anchors of each text; before is reversed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keys, at, grams = as_bytes(b[text_col]), b["_k"].to_pylist(), b["_at"].to_pylist(), b["_grams"].to_pylist()
             for i, j in chunks([b" " * (len(p) * 400) for p in at], 8 << 20):
-                h, cid, ks, pos, before, after = [], [], [], [], [], []
+                held: dict[tuple, int] = {}
+                cid, ks, pos = [], [], []
                 for r in range(i, j):
                     t = texts[r]
                     for p, g in zip(at[r], grams[r]):
                         x, y = t[max(0, p - REACH) : p][::-1], t[p : p + LENGTH]
-                        h.append(g)
-                        cid.append(_context_id(x, y))
                         if with_texts:
-                            before.append(x)
-                            after.append(y)
+                            held[g, x, y] = held.get((g, x, y), 0) + 1
                         else:
+                            cid.append(_context_id(x, y))
                             ks.append(keys[r])
                             pos.append(p)
                 if with_texts:
-                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["h", "before", "after"])
+                    h, before, after = zip(*held) if held else ((), (), ())
+                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary()), pa.array(list(held.values()), pa.int64())], ["h", "before", "after", "n"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(cid, pa.binary()), pa.array(ks, pa.binary()), pa.array(pos, pa.int64())], ["cid", "k", "pos"])
 
@@ -270,8 +272,10 @@ def repeated_spans(rows: DataFrame, copies: DataFrame, id_col: str = "doc_id", t
     least = ((F.col(id_col) >= F.col("_least")) & (F.col(id_col) <= F.col("_least"))) | (F.col(id_col).isNull() & F.col("_least").isNull())
     texts = rows.join(chosen.where("not _hot"), "_k").where(least)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = texts.mapInArrow(_contexts(True, text_col), "h long, before binary, after binary").groupBy("h", "before", "after").agg(F.count("*").alias("n"))
-    reach = distinct.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_sorted_groups, "cid binary, back long, on long")
+    # dealt out by gram at once: the grouping by context and the sorting by gram find their rows there
+    dealt = texts.mapInArrow(_contexts(True, text_col), "h long, before binary, after binary, n long").repartition(n, "h")
+    distinct = dealt.groupBy("h", "before", "after").agg(F.sum("n").alias("n"))
+    reach = distinct.sortWithinPartitions("h").mapInArrow(_sorted_groups, "cid binary, back long, on long")
     placed = texts.mapInArrow(_contexts(False, text_col), "cid binary, k binary, pos long").join(reach, "cid")
     ranges = placed.select("k", (F.col("pos") - F.col("back")).alias("s"), (F.col("pos") + F.col("on")).alias("e"))
     windows = rows.join(chosen.where("_hot"), "_k").where(least).mapInArrow(_hot_windows(text_col), "window binary, k binary, pos long")

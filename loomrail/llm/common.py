@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Tables written to the shared folder by new_folder.
 MADE: list[str] = []
-#: Tables of the warehouse made by bucketed.
+#: Tables made by bucketed; their files are in folders of MADE.
 TABLES: list[str] = []
 
 
@@ -44,11 +44,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def bucketed(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """rows written once as a table of the warehouse, dealt by column into as many buckets as shuffles have parts, so that grouping by it needs no exchange."""
+    """rows written once as a table in the shared folder, dealt by column into as many buckets as shuffles have parts, so that grouping by it needs no exchange."""
     spark = rows.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     TABLES.append(table)
-    rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).sortBy(column).saveAsTable(table)
+    rows.write.option("path", new_folder(spark, name)).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).sortBy(column).saveAsTable(table)
     return spark.table(table)
 
 

@@ -23,6 +23,8 @@ BLOCK, QUERIES = 8192, 4096
 STEP = 8
 #: Share of the candidates from which the others are scored without lists, as few are left to be spared.
 REST = 0.5
+#: Queries scored together.
+TOGETHER = 256
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -68,19 +70,85 @@ class Lists:
     def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         self.rows, self.ids, self.x = rows, ids, x
         self.order = np.argsort(x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(x, self.order, axis=0).astype(np.float64)
+        #: the values of each list, lowest first, one list after the other
+        self.sorted = np.ascontiguousarray(np.take_along_axis(x, self.order, axis=0).astype(np.float64).T)
         self.square = float((x.astype(np.float64) ** 2).sum(axis=1).max(initial=0))
+        self.largest, self.floats = float(np.abs(x).max(initial=0)), x.astype(np.float64)
         #: candidates scored and candidates there were, over all queries, and queries that the threshold ended
         self.read = self.there = self.stopped = 0
 
-    def alone(self, q: np.ndarray, use: np.ndarray, up: np.ndarray, best: float) -> np.ndarray:
-        """How deep each list would have to be read to end the query by itself: to its last value near enough to the query's, as a vector further off in one component scores less."""
-        near = math.sqrt(max(self.square + float((q.astype(np.float64) ** 2).sum()) - 2 * best, 0.0)) + 1e-6
-        return np.array([len(self.ids) - np.searchsorted(self.sorted[:, c], q[c] - near, "left") if u else np.searchsorted(self.sorted[:, c], q[c] + near, "right") for c, u in zip(use, up)])
+    def exact(self, q: np.ndarray) -> bool:
+        """Whether doubles hold all products."""
+        return self.largest * float(np.abs(q).max(initial=0)) * max(self.x.shape[1], 1) < 2**53
+
+    def alone(self, q: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """(query, list): how deep each list would have to be read to end a query by itself: to its last value near enough to the query's, as a vector further off in one component scores less."""
+        n = len(self.ids)
+        near = np.sqrt(np.maximum(self.square + (q.astype(np.float64) ** 2).sum(axis=1) - 2 * best, 0.0)) + 1e-6
+        out = np.full(q.shape, n, np.int64)
+        for c in range(q.shape[1]):
+            up, down = q[:, c] > 0, q[:, c] < 0
+            out[up, c] = n - np.searchsorted(self.sorted[c], q[up, c] - near[up], "left")
+            out[down, c] = np.searchsorted(self.sorted[c], q[down, c] + near[down], "right")
+        return out
+
+    def together(self, q: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """How many candidates will about have come up when all lists, read side by side, end a query."""
+        n, u = len(self.ids), np.abs(q).astype(np.float64)
+        out, lists = np.full(len(q), float(n)), (q != 0).sum(axis=1)
+        for part in (0.5, 0.3, 0.15, 0.06, 0.02, 0.005):
+            d = int(part * n)
+            bound = np.where(q > 0, u, 0) @ self.sorted[:, n - 1 - d] - np.where(q < 0, u, 0) @ self.sorted[:, d]
+            ends = bound < best
+            out[ends] = np.minimum(out[ends], n * (1 - (1 - part) ** lists[ends]))
+        return out
+
+    def opening(self, row: int, q: np.ndarray, k: int, depth: int) -> float:
+        """The kth score of what comes up first in the lists, or none."""
+        use = np.flatnonzero(q)
+        first = np.unique(np.concatenate([self.order[-depth:, use[q[use] > 0]].ravel(), self.order[:depth, use[q[use] < 0]].ravel()]))
+        first = first[self.rows[first] != row]
+        if len(first) < k:
+            return -np.inf
+        scores = self.floats[first] @ q.astype(np.float64) if self.exact(q) else self.x[first] @ q
+        return float(np.partition(scores, len(first) - k)[len(first) - k])
+
+    def worth_lists(self, q: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """Queries that the lists are likely to end before REST of the block has come up."""
+        n, known = len(self.ids), np.where(floors > -np.inf, floors, 0.0)
+        if not n:
+            return np.zeros(len(q), bool)
+        return (floors > -np.inf) & ((self.alone(q, known).min(axis=1, initial=n) <= REST * n) | (self.together(q, known) <= REST * n))
 
     def tops(self, rows: np.ndarray, q: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, scores) of each query as top gives them."""
-        return [self.top(r, v, k, f) for r, v, f in zip(rows, q, floors)]
+        """(ids, scores) of each query as top gives them. A query without a floor takes one from the first entries of its lists.
+
+        Where the floor shows that neither one list nor all of them would end a query before most of the
+        block has come up, the block's vectors are scored for all such queries at once.
+        """
+        n, floors = len(self.ids), floors.astype(np.float64)
+        spared, none = self.worth_lists(q, floors), floors == -np.inf
+        for depth in (STEP, 4 * STEP):
+            for i in np.flatnonzero(none & ~spared) if n else ():
+                floors[i] = self.opening(rows[i], q[i], k, depth)
+            spared = self.worth_lists(q, floors)
+        out: list = [None] * len(q)
+        for i in np.flatnonzero(spared):
+            out[i] = self.top(rows[i], q[i], k, floors[i])
+        rest = np.flatnonzero(~spared)
+        for j in range(0, len(rest), TOGETHER):
+            part = rest[j : j + TOGETHER]
+            scores = q[part].astype(np.float64) @ self.floats.T if self.exact(q[part]) else q[part] @ self.x.T
+            for i, mine in zip(part, scores):
+                out[i] = self.best_of(mine, np.ones(n, bool), rows[i], k, floors[i])
+        self.read, self.there = self.read + len(rest) * n, self.there + len(rest) * n
+        return out
+
+    def best_of(self, scores: np.ndarray, seen: np.ndarray, row: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best among those seen that reach the floor."""
+        at = np.flatnonzero(seen & (self.rows != row) & ((scores >= floor) | (floor == -np.inf)))
+        at = at[np.lexsort((self.ids[at], -scores[at]))[:k]]
+        return self.ids[at], scores[at].astype(np.int64)
 
     def top(self, row: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best of the block that reach the floor, ties to smaller ids; the query's own row does not count.
@@ -93,19 +161,21 @@ class Lists:
         has come up without an end, the others are scored without lists.
         """
         n, use = len(self.ids), np.flatnonzero(q)
-        exact = float(np.abs(self.x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(len(q), 1) < 2**53
-        x, w = (self.x.astype(np.float64), q.astype(np.float64)) if exact else (self.x, q)
+        exact = self.exact(q)
+        x, w = (self.floats, q.astype(np.float64)) if exact else (self.x, q)
         seen, scores, best = np.zeros(n, bool), np.full(n, -np.inf) if exact else np.full(n, np.iinfo(np.int64).min), floor
         depth, u, up = np.zeros(len(use), np.int64), np.abs(q[use]).astype(np.float64), q[use] > 0
+        need, at_best = np.zeros(0, np.int64), -np.inf
         self.there += n
         while not seen.all():
             at = np.minimum(depth, n - 1)
-            value = np.where(up, self.sorted[n - 1 - at, use], -self.sorted[at, use])
+            value = np.where(up, self.sorted[use, n - 1 - at], -self.sorted[use, at])
             if best > -np.inf and len(use) and most(u, value, self.square) * (1 + 1e-9) + 1e-6 < best:
                 self.stopped += 1
                 break
+            if best > at_best and len(use):
+                need, at_best = self.alone(q[None], np.array([best]))[0][use], best
             new = np.zeros(n, bool)
-            need = self.alone(q, use, up, best) if best > -np.inf and len(use) else np.zeros(0)
             if len(need) and need.min() <= REST * n and need.min() > depth[need.argmin()]:
                 j = int(need.argmin())
                 new[self.order[n - need[j] :, use[j]] if up[j] else self.order[: need[j], use[j]]] = True
@@ -124,9 +194,7 @@ class Lists:
             if len(mine) >= k:
                 best = max(best, float(np.partition(mine, len(mine) - k)[len(mine) - k]))
         self.read += int(seen.sum())
-        at = np.flatnonzero(seen & (self.rows != row) & (scores >= best))
-        at = at[np.lexsort((self.ids[at], -scores[at]))[:k]]
-        return self.ids[at], scores[at].astype(np.int64)
+        return self.best_of(scores, seen, row, k, best)
 
 
 def blocks_of(candidates: DataFrame, size: int) -> tuple[int, Column]:

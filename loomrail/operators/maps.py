@@ -186,8 +186,10 @@ def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _six(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("station_id").orderBy("trip_id")
-    return _catchable(spark, sf_dir).withColumn("option", F.row_number().over(order).cast("long")).where("option <= 6").select("station_id", "option", "trip_id", "dep")
+    """The first six trips that can be caught at each station, in the dataset's order, which is that of their first records."""
+    place = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("trip_id")).agg(F.min("event_id").alias("place"))
+    order = Window.partitionBy("station_id").orderBy("place")
+    return _catchable(spark, sf_dir).join(place, "trip_id").withColumn("option", F.row_number().over(order).cast("long")).where("option <= 6").select("station_id", "option", "trip_id", "dep")
 
 
 def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +268,9 @@ SELECT trip_id, seq, round(100.0 + minute - (SELECT min(minute) FROM v), 4) AS x
     "label_overlap_scores": f"WITH p AS (SELECT * FROM {SQL['pt']}) SELECT a.point_id, count(b.point_id) AS overlaps FROM p a LEFT JOIN p b ON a.point_id <> b.point_id AND abs(a.lon - b.lon) < 0.3 AND abs(a.lat - b.lat) < 0.1 GROUP BY a.point_id",
     "label_order": f"SELECT row_number() OVER (ORDER BY CASE WHEN k % 4 = 0 THEN 0 ELSE 1 END, n_name) AS pos, n_name AS name, CASE WHEN k % 4 = 0 THEN 100 ELSE 50 END AS rank FROM {_S} WHERE k % 3 > 0 AND lon IS NOT NULL",
     "departures_top100": f"SELECT station_id, row_number() OVER (PARTITION BY station_id ORDER BY dep, 'Line ' || (trip_id % 13), trip_id) AS rank, dep, 'Line ' || (trip_id % 13) AS label, trip_id FROM {_C} QUALIFY rank <= 100",
-    "options_first_six": f"WITH c AS (SELECT * FROM {_C}) SELECT station_id, (SELECT count(*) FROM c o WHERE o.station_id = c.station_id AND o.trip_id <= c.trip_id) AS option, trip_id, dep FROM c WHERE (SELECT count(*) FROM c o WHERE o.station_id = c.station_id AND o.trip_id <= c.trip_id) <= 6",
+    "options_first_six": f"""
+WITH c AS (SELECT c.*, e.place FROM {_C} c JOIN (SELECT user_id, min(event_id) AS place FROM events GROUP BY 1) e ON user_id = trip_id)
+SELECT station_id, 1 + (SELECT count(*) FROM c o WHERE o.station_id = c.station_id AND o.place < c.place) AS option, trip_id, dep FROM c WHERE (SELECT count(*) FROM c o WHERE o.station_id = c.station_id AND o.place < c.place) < 6""",
     "downstream_preview": f"""
 WITH v AS (SELECT * FROM {SQL['st']}) SELECT trip_id, seq, coalesce((SELECT string_agg(CAST(o.station_id AS VARCHAR), '>' ORDER BY o.seq) FROM v o WHERE o.trip_id = v.trip_id AND o.seq BETWEEN v.seq + 1 AND v.seq + 6), '') AS preview,
   coalesce((SELECT min(o.seq) FROM v o WHERE o.trip_id = v.trip_id AND o.seq > v.seq AND o.station_id = 3), -1) AS alight_seq FROM v""",

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomrail.operators.timejoins import as_of
 from loomrail.sources.adapters import SQL, read, stop_times
 
 # The order of events of one minute, their families, and which of them belong to the match or may capture.
@@ -144,6 +145,37 @@ def previewed(players: DataFrame, done: DataFrame, cap: Column) -> DataFrame:
     return last.select(*PLAYER, F.coalesce("x.step_index", F.lit(0)).alias("steps"), F.coalesce("x.end", "start").alias("minute"), F.when(aboard, "TRAIN").otherwise("NODE").alias("kind"), place.alias("place"), "error")
 
 
+def projected(preview: DataFrame, live: Column) -> DataFrame:
+    """(match_id, viewer, target, visibility, kind, place): what each seat of a match is shown of each seat.
+
+    preview: rows of previewed; live: whether the match is running, a column of it. One's own seat is
+    shown in full; the other is hidden while the match runs, else shown with its station, or without
+    its train where it rides.
+    """
+    seats = preview.select("match_id", F.col("role").alias("viewer"))
+    other = F.col("viewer") != F.col("target")
+    rows = seats.join(preview.select("match_id", F.col("role").alias("target"), "kind", "place", live.alias("live")), "match_id")
+    seen = F.when(~other, "full").when(F.col("live"), "hidden").when(F.col("kind") == "NODE", "station").otherwise("segment")
+    rows = rows.withColumn("visibility", seen)
+    return rows.select("match_id", "viewer", "target", "visibility", F.when(F.col("visibility") == "hidden", "HIDDEN").otherwise(F.col("kind")).alias("kind"), F.when(F.col("visibility").isin("full", "station"), F.col("place")).alias("place"))
+
+
+def replayed(log: DataFrame, visits: DataFrame) -> DataFrame:
+    """(match_id, pos, player, kind, place, from_station, to_station, progress): where each player is on the map after each event of a log.
+
+    A player at a station is there; one on a train is at the stop or on the leg that the train has
+    reached at the event's minute, found by one as-of join of all events with all visits.
+    """
+    order = Window.partitionBy("trip_id").orderBy("seq")
+    legs = visits.select("trip_id", "seq", "station_id", "minute", "dep", F.lead("station_id").over(order).alias("to_station"), F.lead("minute").over(order).alias("arr"))
+    both = log.select("match_id", "pos", "minute", F.inline(F.array(F.struct(F.lit("runner").alias("player"), F.col("runner").alias("at")), F.struct(F.lit("hunter").alias("player"), F.col("hunter").alias("at")))))
+    asked = both.select("match_id", "pos", "player", "minute", F.when(F.startswith("at", F.lit("T")), "TRAIN").otherwise("NODE").alias("kind"), F.substring("at", 2, 20).cast("long").alias("place"))
+    got = as_of(asked.withColumn("trip_id", F.when(F.col("kind") == "TRAIN", F.col("place"))), legs, "trip_id", "minute", "minute", "seq")
+    rides = F.col("fact.to_station").isNotNull()
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("minute") - F.col("fact.dep")) / F.greatest(F.lit(1), F.col("fact.arr") - F.col("fact.dep"))))
+    return got.select("match_id", "pos", "player", "kind", "place", F.coalesce("fact.station_id", F.when(F.col("kind") == "NODE", F.col("place")).cast("int")).alias("from_station"), "fact.to_station", F.when(rides, share).alias("progress"))
+
+
 def cast(visits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Players and steps out of visits: trip 2m runs from trip 2m + 1. Each waits for its first visit, takes its own train to its fourth station, then one of three trains to its ninth."""
     m, role = F.floor(F.col("trip_id") / 2).alias("match_id"), (F.col("trip_id") % 2).cast("int").alias("role")
@@ -216,7 +248,17 @@ def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("asker").alias("trip_id"), (F.col("p") + 1).alias("pos"), "candidate", outcome.alias("outcome"), F.coalesce("dep", F.lit(-1)).alias("dep"))
 
 
+def _seats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected(_preview(spark, sf_dir), F.col("match_id") % 2 == 1)
+
+
+def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replayed(_log(spark, sf_dir), stop_times(read(spark, sf_dir, "events")))
+
+
 QUERIES = {
+    "seat_projection": _seats,
+    "replay_positions": _replay,
     "plan_intervals": _spans,
     "plan_errors": _errors,
     "plan_marks": _marks,
@@ -273,3 +315,10 @@ SELECT b.trip_id, coalesce(v.seq, -1) AS seq, coalesce(v.minute, -1) AS minute,
 d AS (SELECT w.*, (SELECT min(dep) FROM v WHERE v.trip_id = candidate AND v.station_id = w.station_id AND dep >= w.minute) AS dep FROM w)
 SELECT trip_id, pos, candidate, CASE WHEN NOT EXISTS (SELECT 1 FROM v WHERE v.trip_id = candidate) THEN 'unknown_train' WHEN dep IS NULL THEN 'not_catchable_from_current_state' WHEN EXISTS (SELECT 1 FROM d o WHERE o.trip_id = d.trip_id AND o.pos < d.pos AND o.dep IS NOT NULL) THEN 'not_needed' ELSE 'chosen' END AS outcome, coalesce(dep, -1) AS dep FROM d""",
 }
+ORACLE["seat_projection"] = f"""WITH w0 AS ({ORACLE['plan_preview']}), r AS (SELECT a.match_id, a.role AS viewer, b.role AS target, CASE WHEN a.role = b.role THEN 'full' WHEN a.match_id % 2 = 1 THEN 'hidden' WHEN b.kind = 'NODE' THEN 'station' ELSE 'segment' END AS visibility, b.kind AS k, b.place AS p FROM w0 a JOIN w0 b USING (match_id))
+SELECT match_id, viewer, target, visibility, CASE WHEN visibility = 'hidden' THEN 'HIDDEN' ELSE k END AS kind, CASE WHEN visibility IN ('full', 'station') THEN p END AS place FROM r"""
+ORACLE["replay_positions"] = f"""WITH l0 AS ({ORACLE['match_event_log']}), b0 AS (SELECT match_id, pos, minute, 'runner' AS player, runner AS loc FROM l0 UNION ALL SELECT match_id, pos, minute, 'hunter', hunter FROM l0),
+p0 AS (SELECT *, CASE WHEN loc[1] = 'T' THEN 'TRAIN' ELSE 'NODE' END AS kind, loc[2:]::BIGINT AS place FROM b0),
+v0 AS (SELECT *, lead(station_id) OVER w AS nxt, lead(minute) OVER w AS arr FROM {SQL['st']} WINDOW w AS (PARTITION BY trip_id ORDER BY seq)), d0 AS (SELECT * FROM v0 QUALIFY row_number() OVER (PARTITION BY trip_id, minute ORDER BY seq DESC) = 1)
+SELECT match_id, pos, player, kind, place, CASE WHEN kind = 'NODE' THEN place::INTEGER ELSE d0.station_id END AS from_station, nxt AS to_station, CASE WHEN nxt IS NULL THEN NULL WHEN p0.minute <= d0.dep THEN 0.0 WHEN arr - d0.dep < 1 THEN 1.0 ELSE least((p0.minute - d0.dep) / (arr - d0.dep), 1.0) END::DOUBLE AS progress
+FROM p0 ASOF LEFT JOIN d0 ON d0.trip_id = CASE WHEN kind = 'TRAIN' THEN place END AND p0.minute >= d0.minute"""

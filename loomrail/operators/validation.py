@@ -50,7 +50,7 @@ def train_violations(trains: DataFrame) -> DataFrame:
 
 
 def dataset_violations(head: DataFrame, expected: dict) -> DataFrame:
-    """Rules of the one row (id, version, line_id, colour, trains): all there, as expected."""
+    """Rules of each dataset's row (id, version, line_id, colour, trains), `at` being its place: all there, as expected."""
     rules = {
         "no_id": F.coalesce("id", F.lit("")) == "",
         "no_version": F.coalesce("version", F.lit("")) == "",
@@ -59,7 +59,7 @@ def dataset_violations(head: DataFrame, expected: dict) -> DataFrame:
         "line_colour": ~F.col("colour").eqNullSafe(F.lit(expected["colour"])),
         "count": ~F.col("trains").eqNullSafe(F.lit(expected["count"])),
     }
-    return _violations(head.withColumn("at", F.lit(0)), rules, "id")
+    return _violations(head if "at" in head.columns else head.withColumn("at", F.lit(0)), rules, "id")
 
 
 def station_violations(stations: DataFrame, loop: DataFrame, count: int, start: int) -> DataFrame:
@@ -105,8 +105,12 @@ def _trains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = read(spark, sf_dir, "events").agg(F.countDistinct("user_id").alias("trains")).select(F.lit("D").alias("id"), F.lit("").alias("version"), F.lit("L1").alias("line_id"), F.lit("#fff").alias("colour"), "trains")
-    return dataset_violations(head, {"line_id": "L1", "colour": "#000", "count": 1})
+    """Every ten trips are a dataset of their own; some lack a version, an id, a colour or trains."""
+    at = F.floor(F.col("user_id") / 10)
+    heads = read(spark, sf_dir, "events").groupBy(at.alias("at")).agg(F.count_distinct("user_id").alias("trains"))
+    k = F.col("at")
+    rows = heads.select("at", F.when(k % 7 == 3, "").otherwise(F.concat(F.lit("D"), k.cast("string"))).alias("id"), F.when(k % 5 > 0, "0.1.0").alias("version"), F.when(k % 4 == 2, "OTHER").otherwise("LINE").alias("line_id"), F.when(k % 3 > 0, "#80c241").alias("colour"), F.when(k % 11 == 6, 0).otherwise(F.col("trains")).alias("trains"))
+    return dataset_violations(rows, {"line_id": "LINE", "colour": "#80c241", "count": 10})
 
 
 def _stations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +144,10 @@ UNION ALL SELECT 'time_goes_backwards', train, pos FROM p WHERE greatest(a, d) <
 WITH t AS (SELECT DISTINCT user_id AS pos, CASE WHEN user_id % 50 <> 7 THEN 'T' || (user_id - CASE WHEN user_id % 31 = 5 THEN 1 ELSE 0 END) END AS number FROM events)
 SELECT 'no_train_number' AS rule, number AS k, pos FROM t WHERE number IS NULL UNION ALL SELECT 'repeated_train_number', number, pos FROM t WHERE EXISTS (SELECT 1 FROM t o WHERE o.number = t.number AND o.pos < t.pos)
 UNION ALL SELECT 'no_stops', number, pos FROM t WHERE pos % 17 = 0""",
-    "dataset_rule_violations": "SELECT unnest(['no_version', 'line_colour', 'count']) AS rule, 'D' AS k, CAST(0 AS BIGINT) AS pos",
+    "dataset_rule_violations": """
+WITH h AS (SELECT user_id // 10 AS pos, CASE WHEN user_id // 10 % 7 = 3 THEN '' ELSE 'D' || (user_id // 10) END AS k, CASE WHEN user_id // 10 % 11 = 6 THEN 0 ELSE count(DISTINCT user_id) END AS n FROM events GROUP BY user_id // 10)
+SELECT 'no_id' AS rule, k, pos FROM h WHERE k = '' UNION ALL SELECT 'no_version', k, pos FROM h WHERE pos % 5 = 0 UNION ALL SELECT 'no_trains', k, pos FROM h WHERE n = 0
+UNION ALL SELECT 'line_id', k, pos FROM h WHERE pos % 4 = 2 UNION ALL SELECT 'line_colour', k, pos FROM h WHERE pos % 3 = 0 UNION ALL SELECT 'count', k, pos FROM h WHERE n <> 10""",
     "station_rule_violations": """
 WITH s AS (SELECT CASE WHEN n_nationkey = 11 THEN NULL WHEN n_nationkey % 12 = 5 THEN n_nationkey - 1 ELSE n_nationkey END AS id, n_nationkey + CASE WHEN n_nationkey % 7 = 3 THEN 2 ELSE 1 END AS place, n_nationkey AS k FROM nation),
 l AS (SELECT CASE WHEN n_nationkey = 20 THEN 100 ELSE n_nationkey END AS id, 25 - n_nationkey AS pos FROM nation WHERE n_nationkey % 8 <> 2),

@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mixing.OP2_SQL, "op3_chat_perspectives": chat_format.OP3_SQL, "op7_topk_search": topk_search.OP7_SQL, "op11_yinyang_clusters": yinyang.OP11_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL}
+    return {"op2_source_mix": mixing.OP2_SQL, "op3_chat_perspectives": chat_format.OP3_SQL, "op7_topk_search": topk_search.OP7_SQL, "op11_yinyang_clusters": yinyang.OP11_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL, "op13_secret_links": secret_links.OP13_SQL}

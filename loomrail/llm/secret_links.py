@@ -167,3 +167,49 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda parts: F.array_join(F.transform(parts, lambda p: F.concat_ws(":", p["kind"], p["start"], p["end"])), ",")
     count = lambda kind: F.size(F.filter("parts", lambda p: p["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.filter("parts", is_base)).cast("binary"), 256).alias("base_sha256"), joined(F.col("parts")).alias("spans"))
+
+
+def _spelled(word: str) -> str:
+    """A word in letters of either case, ASCII only."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _sql() -> str:
+    """Spans by cutting each text at a kind's matches; parts that complete one another by a join of each text's spans."""
+    tied = "[\"'']?\\x20*[:=]\\x20*[\"'']?"
+    keys = lambda *words: "(" + "|".join(map(_spelled, words)) + ")"
+    value = r"([A-Za-z0-9+/_.=-]+)"
+    kinds = [
+        ("assign", keys("password", "passwd", "secret", "token", "api_?key") + tied + value, 12),
+        ("access", "AKIA[A-Z0-9]{14,}", 0),
+        ("hex", "[0-9a-f]{16,}", 0),
+        ("id", keys("user", "user_?name", "login", "account", "client_?id", "key_?id") + tied + "([A-Za-z0-9@._+-]+)", 3),
+        ("pass", keys("password", "passwd", "secret", "token", "api_?key", "pwd", "pass_?phrase", "private_?key") + tied + value, 6),
+        ("host", keys("host", "host_?name", "endpoint", "server") + tied + "([A-Za-z0-9.:/_-]+)", 4),
+        ("url", "[A-Za-z][A-Za-z0-9+.-]{0,15}://[^\\x20\\x09-\\x0D\"''<>]+", 0),
+        ("mail", r"[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,64}\.[A-Za-z0-9]+", 0),
+        ("ip", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0),
+        ("blob", "[A-Za-z0-9+/_-]{20,}", 0),
+    ]
+    cut = lambda pattern, group: f"regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS gs, regexp_extract_all(t, '{pattern}', {group}) AS vs"
+    found = " UNION ALL ".join(f"SELECT row, '{k}' AS kind, {i} AS o, {least} AS least, {cut(p, 2 if least else 0)} FROM d" for i, (k, p, least) in enumerate(kinds))
+    places = "unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: length(m))), 0)))::BIGINT"
+    reach = " OR ".join(f"kind IN ({names}) AND {need}" for names, need in (("'id', 'mail'", "secret"), ("'pass'", "(identifier OR endpoint)"), ("'blob'", "identifier"), ("'host', 'url', 'ip'", "identifier AND secret")))
+    near = lambda role: f"coalesce(bool_or(q.role = '{role}' AND q.a - p.e <= {REACH} AND p.a - q.e <= {REACH}), false) AS {role}"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+x AS (SELECT row, kind, o, least, {places} AS a, unnest(ms) AS m, unnest(vs) AS v FROM f WHERE len(ms) > 0),
+y AS (SELECT row, kind, o, a, a + length(m) AS e, m FROM x WHERE length(v) >= least AND (kind <> 'blob' OR (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')))),
+b0 AS (SELECT row, regexp_extract_all(t, '\\n\\n+') AS ms, regexp_split_to_array(t, '\\n\\n+') AS gs FROM d WHERE row IN (SELECT row FROM y)),
+b AS (SELECT row, {places} AS a FROM b0 WHERE len(ms) > 0),
+s AS (SELECT y.*, CASE WHEN kind IN ('access', 'id', 'mail') THEN 'identifier' WHEN kind IN ('assign', 'hex', 'pass', 'blob') THEN 'secret' ELSE 'endpoint' END AS role, (SELECT count(*) FROM b WHERE b.row = y.row AND b.a < y.a) AS scope FROM y
+      WHERE o < 3 OR NOT EXISTS (SELECT 1 FROM y z WHERE z.row = y.row AND z.o < y.o AND z.a < y.e AND y.a < z.e)),
+n AS (SELECT p.row, p.kind, p.o, p.a, p.e, {near('identifier')}, {near('secret')}, {near('endpoint')}
+      FROM s p LEFT JOIN s q ON q.row = p.row AND q.scope = p.scope AND q.role <> p.role AND NOT (q.kind = 'hex' AND regexp_full_match(q.m, '[0-9]+')) WHERE p.o > 2 GROUP BY ALL),
+r AS (SELECT row, kind, o, a, e FROM s WHERE o < 3 UNION ALL SELECT row, kind, o, a, e FROM n WHERE {reach}),
+g AS (SELECT row, count(*) FILTER (WHERE o = 0) AS n_assign, count(*) FILTER (WHERE o = 1) AS n_access, count(*) FILTER (WHERE o = 2) AS n_hex, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, o) FILTER (WHERE o < 3) AS base, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, o) AS spans FROM r GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.row = d.row"""
+
+
+OP13_SQL = _sql()

@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Tables written to the shared folder by new_folder.
 MADE: list[str] = []
-#: Tables made by bucketed; their files are in folders of MADE.
+#: Tables made by bucketed.
 TABLES: list[str] = []
 
 
@@ -44,11 +44,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def bucketed(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """rows written once as a table in the shared folder, dealt by column into as many buckets as shuffles have parts, so that grouping by it needs no exchange."""
+    """rows written once as a table, dealt by column into as many buckets as shuffles have parts, so that grouping by it needs no exchange.
+
+    It lies in the session's warehouse, or in the shared folder where no warehouse was set: the default
+    one is a folder of the driver's own.
+    """
     spark = rows.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     TABLES.append(table)
-    rows.write.option("path", new_folder(spark, name)).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).sortBy(column).saveAsTable(table)
+    writer = rows.write
+    if spark.conf.get("spark.sql.warehouse.dir").rstrip("/").endswith(os.path.join(os.getcwd(), "spark-warehouse")):
+        writer = writer.option("path", new_folder(spark, name))
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).sortBy(column).saveAsTable(table)
     return spark.table(table)
 
 

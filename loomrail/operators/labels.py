@@ -22,6 +22,8 @@ OFFSETS = [(18, -6), (18, 16), (-18, -6), (-18, 16), (12, -18), (12, 26), (26, -
 LEFTWARDS = (2, 3)
 CHARACTER, LEAST, HIGHER, SPACE = 0.62, 28.0, 6.0, 6.0
 CIRCLE, OVERLAP, FAR = 3, 1000, 0.05
+#: Rounds whose placed labels are put together in one table.
+COMPACT = 8
 HUB_FONT, FONT, HUB_RADIUS, RADIUS = 13.0, 12.0, 13.0, 10.0
 
 
@@ -101,9 +103,11 @@ def layout(labels: DataFrame, circles: DataFrame, taken: DataFrame | None = None
     earlier = celled(boxes.select(F.col("label_id").alias("earlier"), F.col("pos").alias("p0"), F.col("places").alias("b"), F.col("reach").alias("rb")), "rb", cell)
     meets = F.exists("a", lambda x: F.exists("b", lambda y: ~apart(x, y, SPACE)))
     pairs = later.join(earlier, ["cx", "cy"]).where((F.col("p0") < F.col("p1")) & owner("ra", "rb", cell) & meets).select("later", "earlier").checkpoint()
-    waits, left, rounds, done = pairs, every.select("label_id").checkpoint(), 0, None
-    while not left.isEmpty():
-        ready = left.join(waits.select(F.col("later").alias("label_id")).distinct(), "label_id", "left_anti")
+    # a row for each label not placed yet, and one for each that it waits for
+    open_ = every.select(F.col("label_id").alias("later"), F.lit(None).cast(every.schema["label_id"].dataType).alias("earlier")).union(pairs).checkpoint()
+    rounds, done = 0, None
+    while not open_.isEmpty():
+        ready = open_.groupBy(F.col("later").alias("label_id")).agg(F.count("earlier").alias("n")).where("n = 0").select("label_id")
         mine = single.join(ready, "label_id")
         if done is not None:
             before = pairs.join(ready.withColumnRenamed("label_id", "later"), "later").join(done.select(F.col("label_id").alias("earlier"), F.col("p").alias("t")), "earlier")
@@ -111,18 +115,20 @@ def layout(labels: DataFrame, circles: DataFrame, taken: DataFrame | None = None
             mine = mine.join(met, ["label_id", "place"], "left").select("label_id", "place", "p", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("hits"))
         score = F.when(F.col("hits") == 0, F.lit(-1.0)).otherwise(F.col("hits") * OVERLAP + F.sqrt(F.col("p.dx") * F.col("p.dx") + F.col("p.dy") * F.col("p.dy")) * FAR)
         got = mine.groupBy("label_id").agg(F.min_by(F.struct("p", "hits"), F.struct(score.alias("s"), F.col("place").alias("k"))).alias("g")).select("label_id", "g.p", "g.hits").checkpoint()
-        done = got if done is None else done.union(got)
-        waits = waits.join(got.select(F.col("label_id").alias("earlier")), "earlier", "left_anti").checkpoint()
-        left, rounds = left.join(got.select("label_id"), "label_id", "left_anti").checkpoint(), rounds + 1
+        done, rounds = got if done is None else done.union(got), rounds + 1
+        if rounds % COMPACT == 0:
+            done = done.coalesce(every.rdd.getNumPartitions()).checkpoint()
+        placed = got.select("label_id")
+        open_ = open_.join(placed.withColumnRenamed("label_id", "earlier"), "earlier", "left_anti").join(placed.withColumnRenamed("label_id", "later"), "later", "left_anti").select("later", "earlier").checkpoint()
     if done is None:
         done = single.select("label_id", "p", "hits")
     return Layout(done.select("label_id", "p.place", "p.dx", "p.dy", F.col("hits").alias("overlaps")), rounds)
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every point as a station of a canvas; one in seven is a hub, and hubs come first."""
+    """Every point as a station of a map sheet, 500 points to a sheet; one in seven is a hub, and hubs come first."""
     hub = F.col("point_id") % 7 == 0
-    rows = points(read(spark, sf_dir, "embeddings")).select("point_id", hub.alias("hub"), F.concat(F.lit("point "), F.col("point_id").cast("string")).alias("name"), ((F.col("lon") - 128.0) * 220.0).alias("x"), ((46.5 - F.col("lat")) * 220.0).alias("y"))
+    rows = points(read(spark, sf_dir, "embeddings")).select("point_id", hub.alias("hub"), F.concat(F.lit("point "), F.col("point_id").cast("string")).alias("name"), ((F.col("lon") - 128.0) * 220.0 + F.floor(F.col("point_id") / 500) * 20000.0).alias("x"), ((46.5 - F.col("lat")) * 220.0).alias("y"))
     preferred = F.when(F.col("point_id") % 11 == 0, F.struct(F.lit(20.0).alias("dx"), F.lit(-12.0).alias("dy")))
     labels = rows.select(F.col("point_id").alias("label_id"), F.struct(F.when(F.col("hub"), 0).otherwise(1).alias("below"), "name").alias("pos"), "name", "x", "y", F.when(F.col("hub"), HUB_FONT).otherwise(FONT).alias("font"), preferred.alias("preferred"))
     return labels, rows.select("x", "y", F.when(F.col("hub"), HUB_RADIUS).otherwise(RADIUS).alias("r"))
@@ -138,7 +144,7 @@ QUERIES = {"greedy_labels": _labels}
 _HALF = "{'x1': x + o.dx, 'y1': y + o.dy - font - 6, 'x2': x + o.dx + greatest(28.0, length(name) * font * 0.62), 'y2': y + o.dy, 'dx': o.dx, 'dy': o.dy, 'k': o.k}"
 ORACLE = {
     "greedy_labels": f"""
-WITH RECURSIVE s AS (SELECT point_id AS id, point_id % 7 = 0 AS hub, 'point ' || point_id AS name, (lon - 128.0) * 220.0 AS x, (46.5 - lat) * 220.0 AS y, CASE WHEN point_id % 7 = 0 THEN 13.0::DOUBLE ELSE 12.0::DOUBLE END AS font FROM {SQL['pt']}),
+WITH RECURSIVE s AS (SELECT point_id AS id, point_id % 7 = 0 AS hub, 'point ' || point_id AS name, (lon - 128.0) * 220.0 + point_id // 500 * 20000.0::DOUBLE AS x, (46.5 - lat) * 220.0 AS y, CASE WHEN point_id % 7 = 0 THEN 13.0::DOUBLE ELSE 12.0::DOUBLE END AS font FROM {SQL['pt']}),
 o AS (SELECT s.*, row_number() OVER (ORDER BY hub DESC, name) AS n, length(name) * font * 0.62::DOUBLE AS w FROM s),
 c AS (SELECT o.id, o.n, list_transform(list_concat(CASE WHEN o.id % 11 = 0 THEN [{{'k': 0, 'dx': 20.0::DOUBLE, 'dy': -12.0::DOUBLE}}] ELSE [] END,
       [{{'k': 1, 'dx': 18.0::DOUBLE, 'dy': -6.0::DOUBLE}}, {{'k': 2, 'dx': 18, 'dy': 16}}, {{'k': 3, 'dx': -18 - w, 'dy': -6}}, {{'k': 4, 'dx': -18 - w, 'dy': 16}}, {{'k': 5, 'dx': 12, 'dy': -18}}, {{'k': 6, 'dx': 12, 'dy': 26}}, {{'k': 7, 'dx': 26, 'dy': -18}}, {{'k': 8, 'dx': 26, 'dy': 26}}]),

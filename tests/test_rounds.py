@@ -174,3 +174,23 @@ def test_pairs_over_stretches(spark):
     pairs = timejoins.overlapping_pairs(frame, "place", "b", "e", "n", stretch=25).select(F.col("a.n").alias("a"), F.col("b.n").alias("b")).collect()
     want = {(p[0], q[0]) for p in spans for q in spans if p[0] < q[0] and p[1] is not None and p[1] == q[1] and p[2] <= p[3] and q[2] <= q[3] and p[2] <= q[3] and q[2] <= p[3]}
     assert sorted(tuple(p) for p in pairs) == sorted(want) and len(want) > 100
+
+
+def test_first_meeting_as_looks_at_every_minute(spark):
+    rng = random.Random(11)
+    spans = []
+    for m in range(200):
+        for _ in range(rng.randint(0, 12)):
+            begin = rng.randint(0, 60)
+            spans.append((m, rng.randint(0, 1), rng.choice(["NODE", "TRAIN"]), rng.randint(0, 3), begin, begin + rng.choice([-1, 0, 1, 4, 25])))
+    want = {}
+    for minute in range(90):
+        for m in range(200):
+            at = [{(k, p) for mm, r, k, p, b, e in spans if (mm, r) == (m, role) and b <= minute < e} for role in (0, 1)]
+            if m not in want and at[0] & at[1]:
+                want[m] = (minute, *min(at[0] & at[1], key=lambda x: (x[0] != "TRAIN", x[1])))
+    # a span of more minutes than any list of them could hold
+    spans += [(900, 0, "NODE", 7, 0, 10**13), (900, 1, "NODE", 7, 10**12, 10**13)]
+    want[900] = (10**12, "NODE", 7)
+    got = scenario.sampled(spark.createDataFrame(spans, "match_id long, role int, kind string, place long, begin long, end long")).collect()
+    assert {r["match_id"]: tuple(r)[1:] for r in got} == want and len(want) > 20

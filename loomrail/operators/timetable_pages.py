@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +45,17 @@ def train_links(links: DataFrame) -> DataFrame:
     return firsts.select("link", F.col("at.page_id").alias("page_id"), F.col("at.pos").alias("pos"))
 
 
+#: A comment, a tag or a stretch of text.
+TOKEN = "(?s)<!--.*?-->|<[^>]*>|[^<]+"
+
+
 def tokens(pages: DataFrame, *keys: str, html_col: str = "html") -> DataFrame:
     """(keys, pos, tag, token, text, before, before_that): each tag, comment and stretch of text of a page in order.
 
     tag is the lower-case name, with / for closing tags, "!" for comments, and empty for text; before and
     before_that are the one and two tokens before it.
     """
-    every = pages.select(*keys, F.posexplode(found(F.col(html_col), "(?s)<!--.*?-->|<[^>]*>|[^<]+", 0)).alias("pos", "token"))
+    every = pages.select(*keys, F.posexplode(found(F.col(html_col), TOKEN, 0)).alias("pos", "token"))
     tag = F.when(F.startswith("token", F.lit("<!")), "!").otherwise(F.lower(F.regexp_extract("token", "^<(/?[A-Za-z][A-Za-z0-9]*)", 1)))
     order = Window.partitionBy(*keys).orderBy("pos")
     read = every.withColumns({"tag": tag, "text": F.when(tag == "", F.col("token")), "before": F.lag("token").over(order), "before_that": F.lag("token", 2).over(order)})
@@ -59,30 +68,85 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(rf"(?is)\s{name}\s*="), F.regexp_replace(value, "^[\"']|[\"']$", ""))
 
 
-def table_cells(pages: DataFrame, *keys: str, html_col: str = "html") -> DataFrame:
-    """(keys, table_id, row, row_class, label, cell, place, tag, class, colspan, pieces, text) of each cell of each table.
+CELLS = "array<struct<cell: long, place: int, table_id: string, label: string, tag: string, class: string, colspan: string, pieces: array<struct<text: string, tag: string>>, text: string>>"
+#: Rows of tables in one batch that a task gives back.
+ROWS = 1 << 12
+
+
+def _rows_of(page: str) -> Iterator[tuple]:
+    """(row, row_class, cells) of each row of a page that has cells, in one walk over its tokens."""
+    flags = re.IGNORECASE | re.ASCII
+    value = {n: re.compile(rf"""\s{n}\s*=\s*("[^"]*"|'[^']*'|[^\s>]*)""", flags) for n in ("id", "class", "colspan")}
+    attribute = lambda tag, name: re.sub("^[\"']|[\"']$", "", found[1]) if (found := value[name].search(tag)) else None
+    name = re.compile("<(/?[A-Za-z][A-Za-z0-9]*)")
+    spaces, inner = re.compile(r"\s+"), re.compile("<[^>]+>")
+
+    def with_text(cell: tuple) -> tuple:
+        text = " ".join(t for t, _ in cell[-1])
+        text = html.unescape(inner.sub(" ", text) if "<" in text else text)
+        return *cell, spaces.sub(" ", text).strip(" ")
+
+    row = number = 0
+    row_class = table_id = label = before = pieces = None
+    cells: list[tuple] = []
+    for token in re.findall(TOKEN, page):
+        match = name.match(token)
+        tag = "!" if token.startswith("<!") else match[1].lower() if match else ""
+        if not tag and pieces is not None:
+            pieces.append((token, before))
+        elif tag in ("table", "/table"):
+            table_id, pieces = attribute(token, "id") if tag == "table" else None, None
+        elif tag == "!":
+            label = re.sub("^<!-*|-*>$", "", token).strip(" ")
+        elif tag in ("tr", "/tr"):
+            label = pieces = None
+            if tag == "tr":
+                if cells:
+                    yield row, row_class, [*map(with_text, cells)]
+                row, row_class, cells = row + 1, attribute(token, "class"), []
+        elif tag in ("td", "th"):
+            number, pieces = number + 1, []
+            if row:
+                cells.append((number, len(cells), table_id, label, tag, attribute(token, "class"), attribute(token, "colspan"), pieces))
+            else:
+                pieces = None
+        elif tag in ("/td", "/th"):
+            pieces = None
+        before = token
+    if cells:
+        yield row, row_class, [*map(with_text, cells)]
+
+
+def table_rows(pages: DataFrame, *keys: str, html_col: str = "html") -> DataFrame:
+    """(keys, row, row_class, cells) of each row with cells of each table; cells: (cell, place, table_id, label, tag, class, colspan, pieces, text).
 
     row and cell count over the page; place counts within the row, from 0. label is the text of a comment
     before a row's first cell. pieces are the stretches of text with the tag right before each; text is
-    all of them as plain text. A cell ends where it is closed or the next cell or row begins.
+    all of them as in plain_text. A cell ends where it is closed or the next cell or row begins. A page is
+    walked through once where it is; its tokens are never dealt out or sorted.
     """
-    t, order = tokens(pages, *keys, html_col=html_col), Window.partitionBy(*keys).orderBy("pos")
-    cell, edge = F.col("tag").isin("td", "th"), F.col("tag").isin("tr", "/tr", "table", "/table", "/td", "/th")
-    count = lambda what: F.sum(F.when(what, 1).otherwise(0)).over(order)
-    last = lambda what, value: F.last(F.when(what, value), True).over(order)
-    t = t.withColumns({
-        "row": count(F.col("tag") == "tr"), "cell": count(cell), "inside": last(cell | edge, cell),
-        "table_id": last(F.col("tag").isin("table", "/table"), F.struct(F.when(F.col("tag") == "table", attribute(F.col("token"), "id")).alias("v")))["v"],
-        "row_class": last(F.col("tag") == "tr", F.struct(attribute(F.col("token"), "class").alias("v")))["v"],
-        "label": last((F.col("tag") == "!") | F.col("tag").isin("tr", "/tr"), F.struct(F.when(F.col("tag") == "!", F.trim(F.regexp_replace("token", "^<!-*|-*>$", ""))).alias("v")))["v"],
-    })
-    group = [*keys, "row", "cell"]
-    opening = F.min_by(F.struct("tag", attribute(F.col("token"), "class").alias("class"), attribute(F.col("token"), "colspan").alias("colspan"), "table_id", "row_class", "label"), "pos").alias("o")
-    pieces = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text", F.col("before").alias("tag"))))).alias("pieces")
-    cells = t.where("inside AND row > 0").groupBy(*group).agg(opening, pieces)
-    text = plain_text(F.array_join(F.transform("pieces", lambda p: p["text"]), " "))
-    place = F.row_number().over(Window.partitionBy(*keys, "row").orderBy("cell")) - 1
-    return cells.select(*keys, "o.table_id", "row", "o.row_class", "o.label", "cell", place.alias("place"), "o.tag", "o.class", "o.colspan", "pieces", text.alias("text"))
+    given = pages.select(*keys, F.col(html_col).alias("_html"))
+    schema = ", ".join(f"`{k}` {given.schema[k].dataType.simpleString()}" for k in keys)
+    kind = pa.list_(pa.struct([("cell", pa.int64()), ("place", pa.int32()), *((n, pa.string()) for n in ("table_id", "label", "tag", "class", "colspan")), ("pieces", pa.list_(pa.struct([("text", pa.string()), ("tag", pa.string())]))), ("text", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, got = [], []
+            for i in range(b.num_rows):
+                for x in _rows_of(b["_html"][i].as_py() or ""):
+                    at.append(i)
+                    got.append(x)
+                    if len(got) == ROWS:
+                        yield batch(b, at, got)
+                        at, got = [], []
+            if got:
+                yield batch(b, at, got)
+
+    def batch(b: pa.RecordBatch, at: list[int], got: list[tuple]) -> pa.RecordBatch:
+        row, row_class, cells = zip(*got)
+        return pa.RecordBatch.from_arrays([*(b[k].take(pa.array(at)) for k in keys), pa.array(row, pa.int64()), pa.array(row_class, pa.string()), pa.array(cells, kind)], [*keys, "row", "row_class", "cells"])
+
+    return given.mapInArrow(run, f"{schema}, row long, row_class string, cells {CELLS}")
 
 
 # Labels, names and signs of the pages that are read.
@@ -101,40 +165,50 @@ def _blank(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def _heads(cells: DataFrame) -> DataFrame:
-    """(page, position, NUMBER, NAME, TYPE): the wide cells of the three rows of heads, by their order."""
-    heads = cells.where(F.col("table_id") == DETAIL_TABLE)
-    title = heads.where("tag = 'th'").where(F.col("text").isin(NUMBER, NAME, TYPE)).groupBy("page", "row").agg(F.first("text").alias("title"))
-    wide = heads.where("tag = 'td' AND colspan = '2'").join(title, ["page", "row"]).withColumn("position", F.row_number().over(Window.partitionBy("page", "row").orderBy("cell")) - 1)
-    return wide.groupBy("page", "position").agg(*(F.first(F.when(F.col("title") == n, F.col("text")), True).alias(n) for n in (NUMBER, NAME, TYPE))).where(F.col(NUMBER).isNotNull())
+def _titled(rows: DataFrame) -> DataFrame:
+    """rows with title, which of the three heads a row is (null for others), and wide, the texts of its wide cells in order."""
+    heads = F.filter("cells", lambda c: c["table_id"] == DETAIL_TABLE)
+    title = F.get(F.filter(heads, lambda c: (c["tag"] == "th") & c["text"].isin(NUMBER, NAME, TYPE)), F.lit(0))["text"]
+    wide = F.transform(F.filter(heads, lambda c: (c["tag"] == "td") & (c["colspan"] == "2")), lambda c: c["text"])
+    return rows.withColumns({"title": title, "wide": wide})
 
 
 def detail_trains(pages: DataFrame) -> DataFrame:
     """(page, position, train_number, train_type, name, service, number, direction, issue) of each column of each page; pages without the table are left out."""
-    texts = tokens(pages, "page").where("text IS NOT NULL")
-    way = F.coalesce(*(F.when(F.contains("text", F.lit(f"({d})")), d.lower()) for d in DIRECTIONS))
-    month = F.substring_index(F.substring_index("text", ISSUE[0], -1), ISSUE[1], 1)
-    titled, dated = F.startswith(F.trim("text"), F.lit(LINE_TITLE)), F.contains("text", F.lit(ISSUE[0])) & F.contains("text", F.lit(ISSUE[1]))
-    facts = texts.groupBy("page").agg(F.min_by(way, F.when(titled & way.isNotNull(), F.col("pos"))).alias("direction"), F.min_by(month, F.when(dated, F.col("pos"))).alias("issue"))
-    rows = _heads(table_cells(pages, "page")).withColumn("name", _blank(F.col(NAME)))
+    texts = lambda test: F.get(F.filter(found(F.col("html"), TOKEN, 0), lambda t: test(t) & (F.startswith(t, F.lit("<!")) | (F.regexp_extract(t, "^<(/?[A-Za-z][A-Za-z0-9]*)", 1) != "")).__invert__()), F.lit(0))
+    way = lambda t: F.coalesce(*(F.when(F.contains(t, F.lit(f"({d})")), d.lower()) for d in DIRECTIONS))
+    titled = texts(lambda t: F.startswith(F.trim(t), F.lit(LINE_TITLE)) & way(t).isNotNull())
+    dated = texts(lambda t: F.contains(t, F.lit(ISSUE[0])) & F.contains(t, F.lit(ISSUE[1])))
+    month = F.substring_index(F.substring_index("dated", ISSUE[0], -1), ISSUE[1], 1)
+    facts = pages.select("page", "html", titled.alias("titled"), dated.alias("dated")).select("page", "html", way(F.col("titled")).alias("direction"), month.alias("issue"))
+    keys = ["page", "direction", "issue"]
+    wide = _titled(table_rows(facts, *keys)).where("title IS NOT NULL").select(*keys, "row", "title", F.posexplode("wide").alias("position", "text"))
+    rows = wide.groupBy(*keys, "position").agg(*(F.min_by("text", F.when(F.col("title") == n, F.col("row"))).alias(n) for n in (NUMBER, NAME, TYPE))).where(F.col(NUMBER).isNotNull()).withColumn("name", _blank(F.col(NAME)))
     service, number = service_parts(F.col("name"))
-    return rows.join(facts, "page").select("page", F.col("position").cast("int"), F.col(NUMBER).alias("train_number"), _blank(F.col(TYPE)).alias("train_type"), "name", service.alias("service"), number.alias("number"), "direction", "issue")
+    return rows.select("page", F.col("position").cast("int"), F.col(NUMBER).alias("train_number"), _blank(F.col(TYPE)).alias("train_type"), "name", service.alias("service"), number.alias("number"), "direction", "issue")
 
 
 def detail_stops(pages: DataFrame) -> DataFrame:
     """(page, train_number, sequence, station, arrival, departure, platform): sequence is the row's number, so rows without a time leave gaps."""
-    cells = table_cells(pages, "page")
-    rows = cells.where((F.col("table_id") == DETAIL_TABLE) & (F.col("row_class") == TIME))
-    order = Window.partitionBy("page", "row").orderBy("cell")
-    ahead = lambda c: F.lead(c).over(order)
-    pairs = rows.withColumns({"next": ahead("class"), "platform": _blank(ahead("text")), "sequence": F.dense_rank().over(Window.partitionBy("page").orderBy("row")), "station": F.first(F.when((F.col("tag") == "th") & (F.col("class") == TIME), F.col("text")), True).over(order)})
-    pairs = pairs.where((F.col("tag") == "td") & (F.col("class") == TIME) & (F.col("next") == PLATFORM)).withColumn("position", F.row_number().over(order) - 1)
+    rows = _titled(table_rows(pages, "page"))
+    timed = F.when(F.col("row_class") == TIME, F.filter("cells", lambda c: c["table_id"] == DETAIL_TABLE))
+    rows = rows.select("page", "row", "title", "wide", F.when(F.size(timed) > 0, timed).alias("timed")).where("title IS NOT NULL OR timed IS NOT NULL")
     # a time ends the piece before its sign; the last of a kind counts
-    signs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size("pieces"), F.lit(1))), lambda i: F.struct(F.get("pieces", i)["text"].alias("sign"), F.get("pieces", i)["tag"].alias("tag"), F.regexp_extract(F.coalesce(F.get("pieces", i - 1)["text"], F.lit("")), "([0-9]{2}:[0-9]{2})\\s*$", 1).alias("time"))), lambda x: (attribute(x["tag"], "class") == SIGN) & (x["time"] != ""))
-    last = lambda kind: F.try_element_at(F.filter("signs", lambda x: F.trim(x["sign"]) == kind), F.lit(-1))["time"]
-    timed = pairs.withColumn("signs", signs).withColumns({"arrival": last(ARRIVES), "departure": last(DEPARTS)}).where("arrival IS NOT NULL OR departure IS NOT NULL")
-    trains = _heads(cells).select("page", "position", F.col(NUMBER).alias("train_number"))
-    return timed.join(trains, ["page", "position"]).select("page", "train_number", F.col("sequence").cast("long"), F.coalesce("station", F.lit("")).alias("station"), "arrival", "departure", "platform")
+    piece = lambda c, i: F.get(c["pieces"], i)
+    signs = lambda c: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c["pieces"]), F.lit(1))), lambda i: F.struct(F.trim(piece(c, i)["text"]).alias("sign"), piece(c, i)["tag"].alias("tag"), F.regexp_extract(F.coalesce(piece(c, i - 1)["text"], F.lit("")), "([0-9]{2}:[0-9]{2})\\s*$", 1).alias("time"))), lambda x: (x["time"] != "") & (attribute(x["tag"], "class") == SIGN))
+    station = lambda i: F.get(F.filter(F.slice("timed", F.lit(1), i + 1), lambda c: (c["tag"] == "th") & (c["class"] == TIME)), F.lit(0))["text"]
+    pair = lambda i: F.struct(F.coalesce(station(i), F.lit("")).alias("station"), signs(F.get("timed", i)).alias("signs"), _blank(F.get("timed", i + 1)["text"]).alias("platform"))
+    begins = lambda i: (F.get("timed", i)["tag"] == "td") & (F.get("timed", i)["class"] == TIME) & (F.get("timed", i + 1)["class"] == PLATFORM)
+    pairs = F.when(F.col("timed").isNotNull(), F.transform(F.filter(F.sequence(F.lit(0), F.size("timed") - 1), begins), pair))
+    rows = rows.select("page", "row", F.when(F.col("title") == NUMBER, F.col("wide")).alias("wide"), pairs.alias("pairs"))
+    page = Window.partitionBy("page")
+    numbers = F.array_sort(F.collect_list(F.when(F.col("wide").isNotNull(), F.struct("row", "wide"))).over(page))
+    rows = rows.withColumns({"numbers": numbers, "sequence": F.sum(F.when(F.col("pairs").isNotNull(), 1).otherwise(0)).over(page.orderBy("row"))})
+    each = rows.select("page", "numbers", "sequence", F.posexplode("pairs").alias("position", "p"))
+    number = F.get(F.filter(F.transform("numbers", lambda x: F.get(x["wide"], F.col("position"))), lambda x: x.isNotNull()), F.lit(0))
+    last = lambda kind: F.try_element_at(F.filter("p.signs", lambda x: x["sign"] == kind), F.lit(-1))["time"]
+    got = each.select("page", number.alias("train_number"), F.col("sequence").cast("long"), "p.station", last(ARRIVES).alias("arrival"), last(DEPARTS).alias("departure"), "p.platform")
+    return got.where("train_number IS NOT NULL AND (arrival IS NOT NULL OR departure IS NOT NULL)")
 
 
 def of_type(trains: DataFrame, wanted: str | None) -> DataFrame:
@@ -144,41 +218,46 @@ def of_type(trains: DataFrame, wanted: str | None) -> DataFrame:
 
 
 def service_links(pages: DataFrame, services: list[str]) -> DataFrame:
-    """(page, place, link): the first link of each marked cell that names one of the services, each address once on a page; all where no service is given."""
-    cells = table_cells(pages, "page").where("tag = 'td'").where(F.startswith("class", F.lit(SERVICE_CELL)))
+    """(page, place, link): the first link of each marked cell that names one of the services, each address once on a page; all where no service is given.
+
+    A long page may come in parts, a row each, in the order of a column part.
+    """
+    parts = pages if "part" in pages.columns else pages.withColumn("part", F.lit(0))
+    marked = table_rows(parts, "page", "part", "url").select("page", "part", "url", F.inline(F.filter("cells", lambda c: (c["tag"] == "td") & F.startswith(c["class"], F.lit(SERVICE_CELL)))))
     links = F.filter(F.transform("pieces", lambda p: attribute(p["tag"], "href")), lambda h: F.startswith(h, F.lit(SERVICE_LINK)))
     named = F.lit(not services) | F.exists(F.array(*map(F.lit, services or [""])), lambda n: F.contains("text", n))
-    got = cells.where(named).select("page", "cell", F.get(links, F.lit(0)).alias("href")).where("href IS NOT NULL")
-    firsts = got.groupBy("page", "href").agg(F.min("cell").alias("cell"))
-    return firsts.join(pages.select("page", "url"), "page").select("page", (F.row_number().over(Window.partitionBy("page").orderBy("cell")) - 1).alias("place"), absolute_link(F.col("url"), unescaped(F.col("href"))).alias("link"))
+    got = marked.where(named).select("page", "part", "url", "cell", F.get(links, F.lit(0)).alias("href")).where("href IS NOT NULL")
+    firsts = got.groupBy("page", "href").agg(F.min(F.struct("part", "cell", "url")).alias("at"))
+    return firsts.select("page", (F.row_number().over(Window.partitionBy("page").orderBy("at.part", "at.cell")) - 1).alias("place"), absolute_link(F.col("at.url"), unescaped(F.col("href"))).alias("link"))
 
 
-def _chosen(cells: DataFrame, pages: DataFrame) -> DataFrame:
-    """(trip_id, column, name, days): the column of the train that is wanted, and its values.
+def _of_column(rows: DataFrame) -> DataFrame:
+    """rows of trips' pages with column, name and days: the column of the train that is wanted, and its values.
 
     On lines with a main service it is the first column of that type, on some else the first whose name
     has the service without a relay; elsewhere the first. A list shorter than the column gives its first
     value; a value that is not listed comes from the wide cell after its label.
     """
-    lists = cells.where("label IS NOT NULL AND tag = 'td' AND place > 0").where(F.col("label").isin(KINDS, NAMES, DAYS)).groupBy("trip_id", "label", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda x: x["text"]).alias("values"))
-    lists = lists.groupBy("trip_id").agg(*(F.max_by("values", F.when(F.col("label") == n, F.col("row"))).alias(n) for n in (KINDS, NAMES, DAYS)))
-    follows = cells.withColumns({"title": F.lag("text").over(Window.partitionBy("trip_id", "row").orderBy("cell"))}).where("tag = 'td' AND colspan = '2'")
-    wide = follows.groupBy("trip_id").agg(*(F.min_by("text", F.when(F.col("title") == n, F.col("cell"))).alias(f"wide_{n}") for n in (NAMES, DAYS)))
+    page = Window.partitionBy("trip_id")
+    listed = lambda n: F.transform(F.filter("cells", lambda c: (c["label"] == n) & (c["tag"] == "td") & (c["place"] > 0)), lambda c: c["text"])
+    follows = lambda n: F.get(F.filter("cells", lambda c: (c["tag"] == "td") & (c["colspan"] == "2") & (F.get("cells", c["place"] - 1)["text"] == n)), F.lit(0))["text"]
+    own = rows.withColumns({**{f"l_{n}": listed(n) for n in (KINDS, NAMES, DAYS)}, **{f"w_{n}": follows(n) for n in (NAMES, DAYS)}}).drop("cells")
+    lists = {n: F.max_by(f"l_{n}", F.when(F.size(f"l_{n}") > 0, F.col("row"))).over(page) for n in (KINDS, NAMES, DAYS)}
+    wide = {f"wide_{n}": F.min_by(f"w_{n}", F.when(F.col(f"w_{n}").isNotNull(), F.col("row"))).over(page) for n in (NAMES, DAYS)}
     at = lambda n, test: F.array_position(F.transform(F.coalesce(F.col(n), F.array().cast("array<string>")), test), True)
     by_type = F.when(F.col("line").isin(*BY_TYPE), at(KINDS, lambda v: F.contains(v, F.lit(MAIN_TYPE))))
     by_name = F.when(F.col("line").isin(*BY_NAME), at(NAMES, lambda v: F.contains(v, F.lit(MAIN_NAME)) & ~F.contains(v, F.lit(RELAY))))
     column = F.coalesce(F.nullif(by_type, F.lit(0)), F.nullif(by_name, F.lit(0)), F.lit(1)).cast("int") - 1
-    known = pages.select("trip_id", "line").join(lists, "trip_id", "left").join(wide, "trip_id", "left").withColumn("column", column)
+    known = own.withColumns({**lists, **wide}).withColumn("column", column)
     value = lambda n: F.coalesce(_blank(F.when(F.col("column") < F.size(n), F.get(n, F.col("column"))).otherwise(F.get(n, F.lit(0)))), F.col(f"wide_{n}"))
-    return known.select("trip_id", "column", value(NAMES).alias("name"), value(DAYS).alias("days"))
+    return known.withColumns({"name": value(NAMES), "days": value(DAYS)})
 
 
 def two_column_stops(pages: DataFrame) -> DataFrame:
     """(trip_id, position, name, service, number, sequence, arrival, departure, platform, days) of the chosen column; passed stations and rows without a time go."""
-    cells = table_cells(pages, "trip_id")
-    stops = cells.where((F.col("label") == STATION) & F.col("row_class").isNull() & (F.col("tag") == "td"))
-    rows = stops.groupBy("trip_id", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda x: x["text"]).alias("texts"))
-    rows = rows.withColumn("sequence", F.row_number().over(Window.partitionBy("trip_id").orderBy("row"))).join(_chosen(cells, pages), "trip_id")
+    texts = F.when(F.col("row_class").isNull(), F.transform(F.filter("cells", lambda c: (c["label"] == STATION) & (c["tag"] == "td")), lambda c: c["text"]))
+    rows = table_rows(pages, "trip_id", "line").withColumn("texts", F.when(F.size(texts) > 0, texts))
+    rows = _of_column(rows).withColumn("sequence", F.sum(F.when(F.col("texts").isNotNull(), 1).otherwise(0)).over(Window.partitionBy("trip_id").orderBy("row")))
     # after the station's name, cells come in pairs of time and platform
     time, platform = F.get("texts", 2 * F.col("column") + 1), F.get("texts", 2 * F.col("column") + 2)
     got = rows.where((F.size("texts") > 2) & (2 * F.col("column") + 1 < F.size("texts"))).withColumns({"time": time, "platform": _blank(F.coalesce(platform, F.lit("")))}).where(~F.contains("time", F.lit(PASSES)))

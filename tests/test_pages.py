@@ -94,3 +94,20 @@ def test_white_space_of_any_script(spark):
     made = spark.createDataFrame([("東京　駅 x Y ",)], "name string")
     assert made.select(normal_name(F.col("name"))).first()[0] == "東京駅xy"
     assert made.select(plain_text(F.concat(F.lit("　<b>a</b>　 "), "name"))).first()[0] == "a 東京 駅 x Y"
+
+
+def test_tokens_of_a_page_are_not_dealt_out(spark):
+    """A page is walked through once; only its rows, or its chosen cells, go on."""
+    two_columns = spark.createDataFrame([(1, "main", "")], "trip_id long, line string, html string")
+    detail = spark.createDataFrame([(1, "", "")], "page long, url string, html string")
+    for rows in (pages.detail_stops(detail), pages.detail_trains(detail), pages.two_column_stops(two_columns), pages.service_links(detail, [])):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(coalesce(regexp_extract_all" not in plan and plan.count("MapInArrow") == 1, plan
+
+
+def test_links_of_a_page_in_parts(spark):
+    cell = lambda n: f'<td class=back5><b>さくら</b><a href="/jr-k_time/{n}.html">x</a></td>'
+    part = lambda *n: "<table><tr>" + "".join(map(cell, n)) + "</tr></table>"
+    rows = spark.createDataFrame([(1, 2, "https://h.org/", part(4, 1, 3)), (1, 1, "https://h.org/", part(1, 2, 1))], "page int, part int, url string, html string")
+    got = sorted((r["place"], r["link"]) for r in pages.service_links(rows, []).collect())
+    assert got == [(k, f"https://h.org/jr-k_time/{n}.html") for k, n in enumerate((1, 2, 4, 3))]

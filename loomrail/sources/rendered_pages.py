@@ -9,6 +9,8 @@ from loomrail.functions import clock
 
 #: Trains on one detail page.
 TRAINS = 3
+#: Trips in one stretch of a part of a station's page.
+STRETCH = 20000
 SERVICES = ("のぞみ", "ひかり", "Komachi")
 
 
@@ -66,9 +68,13 @@ def departure_grids(visits: DataFrame) -> DataFrame:
 
 
 def service_pages(visits: DataFrame) -> DataFrame:
-    """(page, url, html): a page for each station, a marked cell for each visit, with the service's name and the train's link."""
+    """(page, part, url, html): a page for each station, a marked cell for each visit, with the service's name and the train's link.
+
+    Stations have any number of visits, so a page comes in parts: by the visits' numbers and then by stretches of trips.
+    """
     service = F.element_at(F.array(*map(F.lit, ("みずほ", "さくら", "つばめ", "かもめ", "ひかり"))), (F.col("trip_id") % 5 + 1).cast("int"))
     link = F.concat(F.lit("/jr-k_time/2403/0101/"), F.col("trip_id").cast("string"), F.lit(".html?c="), F.col("station_id").cast("string"), F.lit("&ym=2403&d="), (F.col("seq") % 2).cast("string"))
     row = F.concat(F.lit('<tr><td class=time>'), _time(F.col("dep")), F.lit('</td><td class=back5a><b>'), service, F.lit('</b><a href="'), link, F.lit('">detail</a></td></tr>'))
-    cells = visits.select(F.col("station_id").alias("page"), F.struct("seq", "trip_id").alias("seq"), row.alias("row"))
-    return _rows(cells, "page").select("page", F.concat(F.lit("https://example.org/stations/"), F.col("page").cast("string")).alias("url"), F.concat(F.lit("<table>"), "body", F.lit("</table>")).alias("html"))
+    part = F.col("seq") * 2**32 + F.floor(F.col("trip_id") / STRETCH)
+    cells = visits.select(F.col("station_id").alias("page"), part.alias("part"), F.col("trip_id").alias("seq"), row.alias("row"))
+    return _rows(cells, "page", "part").select("page", "part", F.concat(F.lit("https://example.org/stations/"), F.col("page").cast("string")).alias("url"), F.concat(F.lit("<table>"), "body", F.lit("</table>")).alias("html"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loomrail.functions import normal_name, plain_text
 from loomrail.operators import timetable_pages as pages
+from loomrail.sources.rendered_pages import service_pages
 
 DETAIL = """<html><head><!-- <table id="tbl_train"> --></head><body>
 <h2>Yamanote Line for Shibuya and Shinjuku (Counterclockwise)</h2><p>This is based on Sep. 2023 issue of it.</p>
@@ -111,3 +112,8 @@ def test_links_of_a_page_in_parts(spark):
     rows = spark.createDataFrame([(1, 2, "https://h.org/", part(4, 1, 3)), (1, 1, "https://h.org/", part(1, 2, 1))], "page int, part int, url string, html string")
     got = sorted((r["place"], r["link"]) for r in pages.service_links(rows, []).collect())
     assert got == [(k, f"https://h.org/jr-k_time/{n}.html") for k, n in enumerate((1, 2, 4, 3))]
+
+
+def test_a_busy_station_has_a_page_in_parts(spark):
+    visits = spark.createDataFrame([(t, s, 3, 60 * s + t % 60) for t in (1, 2, 30000, 70000) for s in (1, 2)], "trip_id long, seq long, station_id int, dep int")
+    assert service_pages(visits).groupBy("page").count().collect() == [(3, 6)]

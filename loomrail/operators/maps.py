@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from loomrail.sources.documents import Documents, nested, read_trains, union_all
 from loomrail.sources.storage import new_folder, ranked, shared_folder
 
 HUB_RANK, RANK, HUB_ZOOM, ZOOM = 100, 50, 4, 6
+#: Places of routes in a block, as far as whole routes allow; tables after which they are put together in one.
+PLACES, COMPACT = 50_000, 8
 
 
 def _xy(station: Column) -> tuple[Column, Column]:
@@ -75,39 +78,124 @@ def diagram_points(visits: DataFrame, count: int, hour_width: float = 60.0, gap:
     return turned.select("trip_id", "seq", F.round(left + (F.col("minute") - F.col("start")) / 60 * hour_width, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
+def _walked(whole: bool):
+    """Function of a block's rows (block, route_id, pos, station_id, lat, lon, first, outer) that goes over its routes in order.
+
+    Routes whose missing stations are nowhere else are gone over until nothing changes, if `whole`; the
+    others once, as far as none waits for an earlier one of another block. Returns what it found, the
+    routes that have to wait, and those to go over again.
+    """
+
+    def walk(block: pa.Table) -> pa.Table:
+        routes, known, far, held, out = {}, {}, set(), set(), []
+        for r, p, s, lat, lon, first, outer, own in zip(*(block.column(c).to_pylist() for c in ("route_id", "pos", "station_id", "lat", "lon", "first", "outer", "block"))):
+            routes.setdefault(r, []).append((p, s))
+            if lat is not None:
+                known[s] = lat, lon
+            elif outer or not whole:
+                far.add(s)
+                if first < own:
+                    held.add(s)
+        order = sorted(routes)
+        for stops in routes.values():
+            stops.sort()
+        boss, met = {r: r for r in order}, {}
+
+        def top(r):
+            while boss[r] != r:
+                boss[r] = r = boss[boss[r]]
+            return r
+
+        def gaps(r):
+            return [s for _, s in routes[r] if s not in known]
+
+        def fill(r):
+            """The route's missing stations between two that were known before it."""
+            a, between, new = None, [], {}
+            for q, s in routes[r]:
+                if s not in known:
+                    between.append((q, s))
+                    continue
+                b = q, *known[s]
+                if a:
+                    new.update({t: tuple(a[i] + (b[i] - a[i]) * ((k - a[0]) / (b[0] - a[0])) for i in (1, 2)) for k, t in between})
+                a, between = b, []
+            known.update(new)
+            return new
+
+        for r in order:
+            for s in gaps(r):
+                boss[top(r)] = top(met.setdefault(s, r))
+        shared = {top(met[s]) for s in far}
+        inner = [r for r in order if top(r) not in shared and gaps(r)]
+        changed = True
+        while changed:
+            changed = False
+            for r in inner:
+                new = fill(r)
+                out += [("inner", None, s, *at) for s, at in new.items()]
+                changed = changed or bool(new)
+            inner = [r for r in inner if gaps(r)]
+        for r in order:
+            if top(r) in shared and (mine := gaps(r)):
+                if held.isdisjoint(mine):
+                    out += [("found", None, s, *at) for s, at in fill(r).items()]
+                    out += [("again", r, None, None, None)] * bool(gaps(r))
+                else:
+                    held.update(mine)
+                    out.append(("waits", r, None, None, None))
+        types = pa.string(), block.schema.field("route_id").type, block.schema.field("station_id").type, pa.float64(), pa.float64()
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, types)], ["kind", "route_id", "station_id", "nlat", "nlon"])
+
+    return walk
+
+
 def estimated(stations: DataFrame, routes: DataFrame) -> DataFrame:
     """(station_id, lat, lon, estimated): missing coordinates between two known ones of a route, by places between them.
 
     routes: (route_id, pos, station_id), each station once in a route. The result is that of passes over
-    the routes in order, as what one fills another may build on, until a pass fills nothing. A route only
-    has to wait for earlier ones that share a station with it whose coordinates are missing, so all
-    routes that are first at each of theirs go in one round, with a window for each. Rounds grow with the
-    longest chain of such routes, not with their number.
+    the routes in order, as what one fills another may build on, until a pass fills nothing. Routes are
+    dealt in order to blocks of bounded size. Those that share no missing station with another block, not
+    even by way of others, are finished in their block at once; the others go through one pass in a few
+    steps, in which a route waits only for earlier ones of other blocks, and are dealt to fewer blocks for
+    the next. So rounds grow with the blocks that a chain of routes runs through, not with its length.
     """
     shared_folder(stations.sparkSession)
-    missing = F.col("lat").isNull() | F.col("lon").isNull()
-    places = routes.join(stations.select("station_id", "lat", "lon"), "station_id").checkpoint()
-    gaps = places.where(missing).select("route_id", "station_id").checkpoint()
-    filled = stations.sparkSession.createDataFrame([], "station_id long, nlat double, nlon double")
-    order = Window.partitionBy("route_id").orderBy("pos")
-    while True:
-        waiting, found = gaps.join(filled, "station_id", "left_anti").select("route_id", "station_id").checkpoint(), 0
-        while not waiting.isEmpty():
-            first = waiting.groupBy("station_id").agg(F.min("route_id").alias("first"))
-            ready = waiting.join(first, "station_id").groupBy("route_id").agg(F.min(F.col("route_id") == F.col("first")).alias("go")).where("go").select("route_id").checkpoint()
-            here = places.join(ready, "route_id").join(filled, "station_id", "left").select("route_id", "pos", "station_id", F.coalesce("nlat", F.when(~missing, F.col("lat"))).alias("lat"), F.coalesce("nlon", F.when(~missing, F.col("lon"))).alias("lon"))
-            there = F.when(F.col("lat").isNotNull(), F.struct("pos", "lat", "lon"))
-            sides = here.withColumns({"a": F.last(there, True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "b": F.first(there, True).over(order.rowsBetween(1, Window.unboundedFollowing))})
-            gap = sides.where("lat is null and a is not null and b is not null")
-            part = (F.col("pos") - F.col("a.pos")) / (F.col("b.pos") - F.col("a.pos"))
-            new = gap.select(F.col("station_id").cast("long").alias("station_id"), *((F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * part).alias(f"n{c}") for c in ("lat", "lon"))).checkpoint()
-            found += new.count()
-            filled = filled.union(new)
-            waiting = waiting.join(ready, "route_id", "left_anti").checkpoint()
-        if not found:
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    at = stations.select("station_id", *(F.when(known, F.col(c).cast("double")).alias(c) for c in ("lat", "lon")))
+    rest = routes.select("route_id", "pos", "station_id").dropna().join(at, "station_id").checkpoint()
+    schema = f"kind string, route_id {rest.schema['route_id'].dataType.simpleString()}, station_id {rest.schema['station_id'].dataType.simpleString()}, nlat double, nlon double"
+    filled = []
+
+    def better(rows: DataFrame, new: DataFrame) -> DataFrame:
+        return rows.join(new, "station_id", "left").select(*(c for c in rows.columns if c not in ("lat", "lon")), F.coalesce("lat", "nlat").alias("lat"), F.coalesce("lon", "nlon").alias("lon"))
+
+    def compact(tables: list[DataFrame]) -> list[DataFrame]:
+        return tables if len(tables) < COMPACT else [union_all(*tables).coalesce(at.sparkSession.sparkContext.defaultParallelism).checkpoint()]
+
+    while places := rest.count():
+        count = -(-places // PLACES)
+        dealt = rest.repartitionByRange(count, "route_id").withColumn("block", F.spark_partition_id()).checkpoint()
+        steps, rows, kinds, seen = [], dealt, {"waits": 1}, set()
+        while "waits" in kinds:
+            ends = rows.where("lat is null").groupBy("station_id").agg(F.min("block").alias("first"), (F.min("block") != F.max("block")).alias("outer"))
+            got = rows.join(ends, "station_id", "left").groupBy("block").applyInArrow(_walked(not steps), schema).checkpoint()
+            kinds = {r["kind"] for r in got.select("kind").distinct().collect()}
+            steps, seen = compact([*steps, got]), seen | kinds
+            if "waits" in kinds:
+                rows = better(rows.join(got.where("kind = 'waits'").select("route_id"), "route_id", "left_semi"), _found(got)).checkpoint()
+        new = _found(union_all(*steps))
+        filled = compact([*filled, new])
+        if not {"found", "again"} <= seen:
             break
-        filled = filled.checkpoint()
-    return stations.select("station_id", "lat", "lon").join(filled, "station_id", "left").select("station_id", F.coalesce("nlat", "lat").alias("lat"), F.coalesce("nlon", "lon").alias("lon"), F.col("nlat").isNotNull().alias("estimated"))
+        again = union_all(*steps).where("kind = 'again'").select("route_id")
+        rest = better(dealt.drop("block").join(again, "route_id", "left_semi"), new).checkpoint()
+    found = union_all(*filled) if filled else at.select("station_id", F.col("lat").alias("nlat"), F.col("lon").alias("nlon")).where("false")
+    return stations.select("station_id", "lat", "lon").join(found, "station_id", "left").select("station_id", F.coalesce("nlat", "lat").alias("lat"), F.coalesce("nlon", "lon").alias("lon"), F.col("nlat").isNotNull().alias("estimated"))
+
+
+def _found(got: DataFrame) -> DataFrame:
+    return got.where("station_id is not null").select("station_id", "nlat", "nlon")
 
 
 def label_overlaps(rows: DataFrame, wide: float = 0.3, high: float = 0.1) -> DataFrame:

@@ -85,6 +85,35 @@ def test_estimates_as_passes_over_routes(spark, seed):
         assert r["estimated"] == (w is not None and known[r["station_id"]] is None)
 
 
+@pytest.mark.parametrize("places", [1, 12, 40])
+def test_estimates_in_blocks(spark, monkeypatch, places):
+    monkeypatch.setattr(maps, "PLACES", places)
+    test_estimates_as_passes_over_routes(spark, 3)
+
+
+def jobs_of(spark, name, run):
+    """Jobs that a run takes, and its result."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("back", [False, True])
+def test_estimates_of_a_long_chain_take_few_jobs(spark, back):
+    # each route fills its middle station from the one that the route before, or after, it has filled
+    size = 25
+    known = {i: (float(i), 0.0) if i == 0 or i > size else None for i in range(2 * size + 1)}
+    routes = {(size - k if back else k): [k, k + 1, k + 1 + size] for k in range(size)}
+    stations = spark.createDataFrame([(i, *(v or (None, None))) for i, v in known.items()], "station_id long, lat double, lon double")
+    lines = spark.createDataFrame([(r, k, s) for r, x in routes.items() for k, s in enumerate(x)], "route_id long, pos long, station_id long")
+    rows, jobs = jobs_of(spark, f"chain {back}", lambda: maps.estimated(stations, lines).collect())
+    want = plain_estimates(known, routes)
+    assert {r["station_id"]: (r["lat"], r["lon"]) for r in rows} == {i: pytest.approx(w) for i, w in want.items()}
+    assert jobs < 60
+
+
 def test_estimates_query_as_passes(spark):
     rows = maps.QUERIES["estimated_route_coordinates"](spark, "/root/testdata/sf0.001").collect()
     assert 0 < sum(r["estimated"] for r in rows) < len(rows) and len({r["station_id"] for r in rows}) == len(rows)

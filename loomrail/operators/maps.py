@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomrail.sources.adapters import SQL, points, read, stop_times
 from loomrail.sources.documents import Documents, nested, read_trains, union_all, write_layers, write_tiles, write_trains, write_whole
-from loomrail.sources.storage import new_folder, ranked, shared_folder
+from loomrail.sources.storage import in_blocks, new_folder, ranked, shared_folder
 
 HUB_RANK, RANK, HUB_ZOOM, ZOOM = 100, 50, 4, 6
 #: Places of routes in a block, as far as whole routes allow; tables after which they are put together in one.
@@ -173,9 +173,8 @@ def estimated(stations: DataFrame, routes: DataFrame) -> DataFrame:
     def compact(tables: list[DataFrame]) -> list[DataFrame]:
         return tables if len(tables) < COMPACT else [union_all(*tables).coalesce(at.sparkSession.sparkContext.defaultParallelism).checkpoint()]
 
-    while places := rest.count():
-        count = -(-places // PLACES)
-        dealt = rest.repartitionByRange(count, "route_id").withColumn("block", F.spark_partition_id()).checkpoint()
+    while not rest.isEmpty():
+        dealt = in_blocks(rest, PLACES, "route_id").checkpoint()
         steps, rows, kinds, seen = [], dealt, {"waits": 1}, set()
         while "waits" in kinds:
             ends = rows.where("lat is null").groupBy("station_id").agg(F.min("block").alias("first"), (F.min("block") != F.max("block")).alias("outer"))

@@ -34,3 +34,13 @@ def ranked(rows: DataFrame, *order: str, name: str = "rank") -> DataFrame:
     before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return dealt.join(before, "_part").withColumn(name, (own + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
+def in_blocks(rows: DataFrame, size: int, *order: str) -> DataFrame:
+    """rows with a `block`: ranges of the given order, of about `size` rows, however many partitions there are. Rows that the order doesn't tell apart stay together."""
+    shared_folder(rows.sparkSession)
+    dealt = rows.repartitionByRange(max(1, -(-rows.count() // size)), *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    # a row for each range
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = dealt.groupBy("_part").count().select("_part", F.floor(before / size).alias("block"))
+    return dealt.join(blocks, "_part").drop("_part")

@@ -58,6 +58,15 @@ def test_labels_in_blocks(spark, monkeypatch, block, size, side):
     test_labels_as_one_pass(spark, size, side)
 
 
+def test_blocks_do_not_depend_on_partitions(spark):
+    from loomrail.sources.storage import in_blocks
+
+    rows = in_blocks(spark.range(0, 1000, 1, 50).repartition(60), 100, "id")
+    bounds = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).orderBy("block").collect()
+    assert sum(r["n"] for r in bounds) == 1000 and 5 <= len(bounds) <= 10
+    assert all(r["b"] < s["a"] for r, s in zip(bounds, bounds[1:]))
+
+
 def test_labels_in_a_long_chain_take_few_jobs(spark):
     # each label waits for the one to its left
     rows = [(i, float(i), "abc", 40.0 * i, 0.0, 12.0, None) for i in range(30)]
